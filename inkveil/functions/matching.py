@@ -6,6 +6,7 @@ is one call into the JVM where composed ``Column`` objects are dozens.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -86,12 +87,18 @@ def rewritten(java: str, style: str, text: str, hits: str) -> str:
     return f"array_join(zip_with({pieces}, {hits}, (piece, hit) -> concat(piece, {blocks})), '')"
 
 
+def _sources(rules: Sequence[Rule]) -> list[tuple[str, int]]:
+    """Rules as plain values, so that workers need not import this package."""
+    return [(rule.pattern, rule.flags) for rule in rules]
+
+
 def python_counts(rules: Sequence[Rule]):
     """Arrow UDF: text -> matches per rule, by Python's ``re``."""
+    sources = _sources(rules)
 
     @F.pandas_udf("array<int>")
     def counts(texts: pd.Series) -> pd.Series:
-        compiled = [r.compiled() for r in rules]
+        compiled = [re.compile(*source) for source in sources]
         return texts.map(lambda t: [sum(1 for _ in p.finditer(t)) for p in compiled])
 
     return counts
@@ -99,13 +106,14 @@ def python_counts(rules: Sequence[Rule]):
 
 def python_rewrite(rules: Sequence[Rule], style: str):
     """Arrow UDF: text -> rewritten text and number of substitutions."""
+    sources, box, label = _sources(rules), BOX_MARK, LABEL_MARK
 
     @F.pandas_udf("text string, n int")
     def rewrite(texts: pd.Series) -> pd.DataFrame:
-        mark = LABEL_MARK if style == "label" else (lambda m: BOX_MARK * (len(m[0]) or 1))
-        compiled = [r.compiled() for r in rules]
+        mark = label if style == "label" else (lambda m: box * (len(m[0]) or 1))
         total = pd.Series(0, index=texts.index)
-        for pattern in compiled:
+        for source in sources:
+            pattern = re.compile(*source)
             pairs = [pattern.subn(mark, t) for t in texts]
             texts = pd.Series([p[0] for p in pairs], index=texts.index, dtype=object)
             total += pd.Series([p[1] for p in pairs], index=texts.index, dtype="int64")

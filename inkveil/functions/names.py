@@ -36,13 +36,17 @@ def accepted(name: Column) -> Column:
     return suffix(name).isin(*ACCEPTED_SUFFIXES)
 
 
-@F.pandas_udf("string")
-def _fold(names: pd.Series) -> pd.Series:
+def _fold_udf():
     """Accented letters to their ASCII base; what has none is dropped."""
-    return names.map(
-        lambda n: unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode("ascii"),
-        na_action="ignore",
-    )
+
+    @F.pandas_udf("string")
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(
+            lambda n: unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode("ascii"),
+            na_action="ignore",
+        )
+
+    return fold
 
 
 def safe_name(name: Column) -> Column:
@@ -51,7 +55,7 @@ def safe_name(name: Column) -> Column:
     Names that are ASCII already never reach Python.
     """
     is_ascii = F.octet_length(name) == F.length(name)
-    ascii_name = F.when(is_ascii, name).otherwise(_fold(F.when(~is_ascii, name)))
+    ascii_name = F.when(is_ascii, name).otherwise(_fold_udf()(F.when(~is_ascii, name)))
     joined = F.regexp_replace(ascii_name, _BLANKS, "_")
     return F.btrim(F.regexp_replace(joined, r"[^A-Za-z0-9_.-]", ""), F.lit("._"))
 

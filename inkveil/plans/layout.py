@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.files.maxPartitionBytes": "64m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
+SPREAD_BELOW = 64 * 1024 * 1024  # bytes per core
 
 
 def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -31,10 +32,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     (unique ids, so no hot key) is cheaper than idle cores.  Beyond that size
     the scan is parallel by itself and nothing is moved.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return df.repartition(2 * cores, *keys) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores, *keys) if size < cores * SPREAD_BELOW else df

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.names import accepted, output_name, stem
 from inkveil.functions.rules import Rule
+from inkveil.operators.detect import detect
 from inkveil.operators.ledger import activity_log, run_progress, run_results, run_summary
 from inkveil.operators.naming import number_outputs
 from inkveil.operators.redact import redact
-from inkveil.operators.detect import detect
 from inkveil.operators.skew import checked_broadcast
 from inkveil.plans.scratch import ensure_checkpoint_dir
 from inkveil.sources.extract import Extractor, extract
@@ -46,8 +46,10 @@ def preview_sources(
 
     Sources whose suffix is not accepted are not opened.
     """
-    gated = files.withColumn("content", F.when(accepted(F.col("name")), F.col("content")))
-    return detect(extract(gated, extractors), rules, engine=engine).drop("content", "text")
+    opened = accepted(F.col("name"))
+    gated = files.withColumn("content", F.when(opened, F.col("content")))
+    texts = extract(gated, extractors).withColumn("error", F.when(opened, F.col("error")))
+    return detect(texts, rules, engine=engine).drop("content", "text")
 
 
 def redact_sources(
