@@ -44,7 +44,6 @@ _TOKEN = re.compile(
 )
 _ESCAPED = re.compile(r"\\.", re.DOTALL)
 _SET_ITEM = re.compile(r"\\.|.", re.DOTALL)
-_RANGE_WITH_ESCAPE = re.compile(r"\\[dsw]-[^\]]|.-\\[dsw]", re.DOTALL)
 _WORD_SET = re.compile(r"\[(?:[A-Z]-[A-Z]|[a-z]-[a-z]|[0-9]-[0-9]|[A-Za-z0-9_]|\\[dw])+\]")
 
 
@@ -60,7 +59,7 @@ def _plain_case(char: str) -> bool:
 
 def _java_set(token: str, ignore_case: bool) -> str | None:
     body = token[1:-1]
-    if "&&" in body or _RANGE_WITH_ESCAPE.search(body):
+    if "&&" in body:
         return None
     if ignore_case and not body.isascii() and ("-" in body or not all(map(_plain_case, body))):
         return None
@@ -138,16 +137,24 @@ def _spell(pattern: str, ignore_case: bool) -> str | None:
     return None if None in parts else "".join(parts)
 
 
-def to_java(pattern: str, case_sensitive: bool = False, head: str | None = None) -> str | None:
+def to_java(
+    pattern: str, case_sensitive: bool = False, head: str | None = None, run: str | None = None
+) -> str | None:
     """The same pattern for Java, or ``None`` if it should stay in Python.
 
     ``head`` names what a match can start with; it is tested first, so that
-    most positions of a text are rejected by one character test.  Patterns
-    without letters go without the case flags, which slow down every class.
+    most positions of a text are rejected by one character test.  ``run`` is
+    the class of an unbounded run at the start of the pattern: if the start of
+    such a run leads to no match, no later place in it does, so only its start
+    (or the end of the last match) is tried.  Without that, the time for a run
+    of n characters, say a base64 blob, grows with n squared.  Patterns without
+    letters go without the case flags, which slow down every class.
     """
     body = _spell(pattern, not case_sensitive)
     if body is None:
         return None
     start = f"(?={_spell(head, not case_sensitive)})" if head else ""
+    if run:
+        start += f"(?:(?<!{run})|\\G)"
     cased = any(c.lower() != c.upper() for c in _ESCAPED.sub("", pattern))
     return ("(?iud)" if cased and not case_sensitive else "(?d)") + start + body

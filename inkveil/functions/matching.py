@@ -35,7 +35,9 @@ def java_pattern(rule: Rule, engine: str = "auto") -> str | None:
     """The rule's pattern for Spark's regex functions; ``None`` sends it to Python."""
     if engine not in ("auto", "python"):
         raise ValueError(f"Unknown engine '{engine}'")
-    return None if engine == "python" else to_java(rule.pattern, rule.case_sensitive, rule.head)
+    if engine == "python":
+        return None
+    return to_java(rule.pattern, rule.case_sensitive, rule.head, rule.run)
 
 
 def with_clues(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:

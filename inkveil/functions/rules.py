@@ -58,7 +58,8 @@ class Clue:
     digits: str | None = None
 
 
-# What a match contains (clue), and what it can start with (head).
+# What a match contains (clue), what it can start with (head), and the class of
+# the unbounded run it starts with (run).
 CLUES: dict[str, Clue] = {
     "Email addresses": Clue(literal="@"),
     "Phone numbers": Clue(digits=r"\d{3}[\s.-]?\d{4}"),
@@ -77,6 +78,7 @@ HEADS: dict[str, str] = {
     "Credit card numbers": r"\d",
     "IP addresses": r"\d",
 }
+RUNS: dict[str, str] = {"Email addresses": "[A-Za-z0-9._%+-]"}
 
 
 @dataclass(frozen=True)
@@ -89,6 +91,7 @@ class Rule:
     case_sensitive: bool = False
     clue: Clue | None = None
     head: str | None = None
+    run: str | None = None
 
     @property
     def flags(self) -> int:
@@ -110,10 +113,13 @@ def detector_rules(labels: Iterable[str] | None = None, case_sensitive: bool = F
     """
     wanted = dict.fromkeys(PATTERNS if labels is None else labels)
     return [
-        Rule(label, PATTERNS[label], "detector", case_sensitive, CLUES[label], HEADS.get(label))
+        Rule(
+            label, PATTERNS[label], "detector", case_sensitive,
+            clue=CLUES[label], head=HEADS.get(label), run=RUNS.get(label),
+        )
         for label in wanted
         if label in PATTERNS
-    ]
+    ]
 
 
 def keyword_rules(

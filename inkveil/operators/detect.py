@@ -53,7 +53,10 @@ def with_counts(
         for rule, java in zip(rules, javas)
     ]
     names = [f"__c{at}" for at in range(len(rules))]
-    return work.selectExpr("*", *[f"{c} AS {n}" for c, n in zip(counts, names)]), names
+    columns = [
+        f"IF({sql_name(text)} IS NULL, 0, {count}) AS {name}" for count, name in zip(counts, names)
+    ]
+    return work.selectExpr("*", *columns), names
 
 
 def detect(

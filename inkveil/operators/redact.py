@@ -55,10 +55,13 @@ def redact(
         work, found = step(work, pairs, style, original if matches_into else None, len(counts))
         counts += found
 
-    added = {into: F.when(F.col(text).isNotNull(), F.col("__t")), n_into: F.col("__n")}
+    null = F.col(text).isNull()
+    added = {into: F.when(~null, F.col("__t")), n_into: F.when(null, 0).otherwise(F.col("__n"))}
     if matches_into:
-        added[matches_into] = count_list([r.label for r in rules], counts)
-    return work.select(*[c for c in df.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+        found = count_list([r.label for r in rules], counts)
+        added[matches_into] = F.filter(found, lambda pair: ~null)
+    kept = [c for c in df.columns if c not in added]
+    return work.select(*kept, *[column.alias(name) for name, column in added.items()])
 
 
 def _native_step(

@@ -2,6 +2,10 @@
 
 The statements are written for DuckDB over the same tables.  They share the
 rule patterns and query parameters with the queries, and no logic.
+
+``redact_order_documents`` has none: a card number followed by a space and an
+accented letter ends after the space, because the letter is a word character;
+DuckDB's ``\\b`` knows ASCII letters only.  It is tested against Python instead.
 """
 
 from __future__ import annotations
@@ -234,7 +238,7 @@ def statements() -> dict[str, str]:
         "redact_all": redacted(TEXTS, "src, id", every, "box"),
         "redact_defaults": redacted(DENSE, "o_orderkey", of(DEFAULT_LABELS), "box"),
         "redact_selection": redacted(DENSE, "o_orderkey", of(w.REQUESTED), "label"),
-        "redact_order": redacted("documents", "doc_id", of(w.REORDERED), "label"),
+        "redact_order": redacted(DENSE, "o_orderkey", of(w.REORDERED), "label"),
         "redact_count": f"""SELECT r.src, r.id, coalesce(d.n, 0)::INTEGER AS n_detected,
                 r.n::INTEGER AS n_redacted
             FROM {chain(TEXTS, 'src, id', every, 'box')} r

@@ -338,7 +338,8 @@ def registered() -> dict[str, Query]:
         "redact_all": _redact_all,
         "redact_defaults": _redacted(*on_orders, lambda: detector_rules(DEFAULT_LABELS), "box"),
         "redact_selection": _redacted(*on_orders, lambda: detector_rules(REQUESTED), "label"),
-        "redact_order": _redacted(*on_docs, lambda: detector_rules(REORDERED), "label"),
+        "redact_order": _redacted(*on_orders, lambda: detector_rules(REORDERED), "label"),
+        "redact_order_documents": _redacted(*on_docs, lambda: detector_rules(REORDERED), "label"),
         "redact_count": _redact_count,
         "redact_nested_marks": _redacted(
             *on_orders, lambda: build_rules(PATTERNS, ["redacted"]), "label"

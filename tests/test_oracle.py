@@ -27,11 +27,12 @@ def ordered(rows, names):
     return sorted((tuple(row[i] for i in at) for row in rows), key=repr)
 
 
-def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+def test_queries_without_sql():
+    assert set(QUERIES) - set(SQL) == {"redact_order_documents"}
+    assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_matches_sql(name, spark, sf_dir, duck):
     result = QUERIES[name](spark, sf_dir)
     expected = duck.sql(SQL[name])

@@ -1,0 +1,180 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from inkveil.functions.rules import PATTERNS, build_rules, detector_rules
+from inkveil.operators.detect import as_map, corpus_totals, detect, long_counts, summary_text
+from inkveil.operators.redact import redact
+from inkveil.plans import workload
+from tests import plain
+
+CARD = "4785380592391139"
+
+
+def one(spark, text, rules, style="label", engine="auto"):
+    df = spark.createDataFrame([(text,)], "text string")
+    row = redact(df, rules, style, matches_into="matches", engine=engine).first()
+    return row.redacted, row.n_redacted, {m.label: m.n for m in row.matches}
+
+
+def test_ein(spark):
+    rules = detector_rules(["Employer Identification Numbers (EINs)"])
+    assert one(spark, "Tax ID: 12-3456789", rules)[:2] == ("Tax ID: [REDACTED]", 1)
+
+
+@pytest.mark.parametrize("engine", ["auto", "python"])
+def test_phone_before_card_leaves_three_digits(spark, engine):
+    text, n, found = one(spark, CARD, detector_rules(), "box", engine)
+    assert (text, n) == ("478" + "█" * 13, 1)
+    assert found == {"Phone numbers": 1, "Credit card numbers": 1}
+
+
+@pytest.mark.parametrize("engine", ["auto", "python"])
+def test_marks_are_matched_again(spark, engine):
+    rules = build_rules(["Email addresses"], ["redacted"])
+    text, n, found = one(spark, "to a@b.co now", rules, "label", engine)
+    assert (text, n) == ("to [[REDACTED]] now", 2)
+    assert found == {"Email addresses": 1}
+
+
+@pytest.mark.parametrize(("style", "text"), [
+    ("box", "█a█b██d█"), ("label", "[REDACTED]a[REDACTED]b[REDACTED][REDACTED]d[REDACTED]"),
+])
+def test_empty_matches(spark, style, text):
+    assert one(spark, "abxd", build_rules([], [], ["x*"]), style)[:2] == (text, 5)
+
+
+def test_box_counts_code_points(spark):
+    assert one(spark, "a😀é", build_rules([], ["😀é"]), "box")[:2] == ("a██", 1)
+
+
+def test_text_with_the_cutting_character(spark):
+    text = "﷐ a@b.co ﷐"
+    assert one(spark, text, detector_rules(), "box")[0] == "﷐ ██████ ﷐"
+
+
+@pytest.mark.parametrize("engine", ["auto", "python"])
+def test_whole_word_with_symbols(spark, engine):
+    loose, whole = build_rules([], ["C++"]), build_rules([], ["C++"], whole_word=True)
+    assert one(spark, "C++ or c++x", loose, "box", engine)[0] == "███ or ███x"
+    assert one(spark, "C++ or c++x", whole, "box", engine)[0] == "C++ or ███x"
+
+
+def test_quotes_and_backslashes_in_keywords(spark):
+    rules = build_rules([], ["it's \\ \"so\"", "$1"])
+    assert one(spark, "it's \\ \"so\" $1", rules)[:2] == ("[REDACTED] [REDACTED]", 2)
+
+
+def test_equal_labels_are_summed(spark):
+    assert one(spark, "aXa", build_rules([], ["a", "a"]))[2] == {'Keyword: "a"': 4}
+
+
+def test_null_and_empty(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "id int, text string")
+    rules = build_rules(None, ["x"], ["y*"])
+    rows = redact(df, rules, matches_into="m").orderBy("id").collect()
+    assert [(r.redacted, r.n_redacted, len(r.m)) for r in rows] == [(None, 0, 0), ("█", 1, 1)]
+    rows = detect(df, rules, into="m").orderBy("id").collect()
+    assert [len(r.m) for r in rows] == [0, 1]
+
+
+def test_null_has_no_hits(spark):
+    df = spark.createDataFrame([(None,)], "text string")
+    row = redact(df, detector_rules(), matches_into="m").first()
+    assert (row.redacted, row.n_redacted, row.m) == (None, 0, [])
+    row = detect(df, detector_rules()).select(as_map(F.col("matches")).alias("m")).first()
+    assert row.m == {}
+
+
+def test_other_columns_survive(spark):
+    df = spark.createDataFrame([(7, "a@b.co", "k")], "id int, text string, redacted string")
+    done = redact(df, detector_rules())
+    assert sorted(done.columns) == ["id", "n_redacted", "redacted", "text"]
+    assert done.first().id == 7
+
+
+def test_summary_in_rule_order(spark):
+    df = spark.createDataFrame([("http://x.y a@b.co c@d.eu",)], "text string")
+    found = detect(df, detector_rules(["URLs", "Email addresses"]))
+    row = found.select(summary_text(F.col("matches")).alias("s")).first()
+    assert row.s == "URLs: 1, Email addresses: 2"
+    rows = long_counts(found, []).collect()
+    assert [tuple(r) for r in rows] == [("URLs", 1), ("Email addresses", 2)]
+
+
+def test_corpus_totals_by_group(spark):
+    df = spark.createDataFrame([("x", "a@b.co"), ("x", "a@b.co c@d.eu"), ("y", "")], "g string, text string")
+    rows = corpus_totals(df, detector_rules(), ["g"]).collect()
+    assert [tuple(r) for r in rows] == [("x", 1, "Email addresses", 2, 3)]
+
+
+def test_very_long_text(spark):
+    text = "(" * 20_000 + "word " * 50_000 + "a@b.co " + "1 " * 20_000
+    rules = build_rules(None, ["word "])
+    assert one(spark, text, rules, "box")[:2] == plain.redact(text, rules, "box")
+
+
+def test_long_run_takes_linear_time(spark):
+    text = "a@b.co " + "QUJD" * 500_000
+    assert one(spark, text, detector_rules(["Email addresses"]), "box")[0] == "██████" + text[6:]
+
+
+def test_mails_back_to_back(spark):
+    rules = detector_rules(["Email addresses"])
+    for text in ("a@b.co1@c.de", "a@b.co@c.de", "a@b.c1.co.@x.de", "@a@b.cc%x@y.zz"):
+        assert one(spark, text, rules, "box")[:2] == plain.redact(text, rules, "box")
+
+
+ALPHABET = st.sampled_from(
+    list("0123456789012345678901234567890123456789--// ..@@()[]>+:_\n\t")
+    + list("abxyzABXKsiké́ßſKİı١²Ⅷ  \u001c█﷐😀")
+    + ["a@b.co", "http://", "https://", "GB29", "555-010-1234", "12-3456789", "the", "10.0.0.1", "[REDACTED]"]
+)
+TEXTS = st.lists(ALPHABET, max_size=60).map("".join)
+RULE_SETS = {
+    "detectors": build_rules(),
+    "cased": build_rules(None, ["The"], case_sensitive=True),
+    "mixed": build_rules(
+        ["ZIP / Postal codes", "URLs"], ["the", "é", "[", "ß"],
+        [r"\w+@", r"x*", r"\bk\w", r"[a-z]+\b", r"\d\s", r"^.|.$", r"(?:ab|a)b?", r"\b[A-z]"],
+    ),
+    "words": build_rules([], ["the", "a@b.co", "é", "[re"], whole_word=True),
+}
+
+
+@pytest.mark.parametrize("kind", list(RULE_SETS))
+@pytest.mark.parametrize("style", ["box", "label"])
+@settings(max_examples=2, derandomize=True, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(TEXTS, min_size=150, max_size=300))
+def test_native_equals_python(spark, kind, style, texts):
+    rules = RULE_SETS[kind]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in redact(df, rules, style, matches_into="matches").collect():
+        assert (row.redacted, row.n_redacted) == plain.redact(row.text, rules, style)
+        assert {m.label: m.n for m in row.matches} == plain.detect(row.text, rules)
+
+
+@pytest.mark.parametrize(
+    ("key", "rules", "style"),
+    [
+        ("redact_order_documents", lambda: detector_rules(workload.REORDERED), "label"),
+        ("redact_box", detector_rules, "box"),
+        ("whole_word_redact", lambda: build_rules([], workload.WHOLE_WORDS, whole_word=True), "label"),
+        ("custom_regex_python", lambda: build_rules([], [], workload.PYTHON_EXPRESSIONS), "box"),
+    ],
+)
+def test_documents_equal_python(spark, sf_dir, key, rules, style):
+    texts = {r.doc_id: r.text for r in workload.documents(spark, sf_dir).collect()}
+    rows = workload.registered()[key](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        expected = plain.redact(texts[row.doc_id], rules(), style)
+        assert (row.redacted, row.n_redacted) == expected
+
+
+def test_chain_has_no_shuffle_and_no_python(spark):
+    df = spark.range(5).selectExpr("id", "'x' AS text")
+    plan = redact(df, build_rules(PATTERNS, ["kw"]), "box", matches_into="m")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "ArrowEvalPython" not in text
