@@ -17,8 +17,8 @@ from inkveil.functions.dialect import to_java
 from inkveil.functions.rules import BOX_MARK, LABEL_MARK, Rule
 
 _DIGITS = "__digits"
-# Stands for a match while a text is being cut; a Unicode noncharacter.
-_CUT = "\ufdd0"
+# Written around a match while a text is being cut; Unicode noncharacters.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
 
 def sql_text(value: str) -> str:
@@ -65,28 +65,42 @@ def count_of(rule: Rule, java: str, text: str) -> str:
     return f"IF({possible(rule, text)}, regexp_count({text}, {sql_text(java)}), 0)"
 
 
-def hits_of(rule: Rule, java: str, text: str) -> str:
-    """The matches themselves, in text order."""
-    found = f"regexp_extract_all({text}, {sql_text(java)}, 0)"
-    return f"IF({possible(rule, text)}, {found}, array())"
+def marked(rule: Rule, java: str, text: str) -> str:
+    """The text with every match between two marking characters: the one regex pass."""
+    around = sql_text(f"{_OPEN}$0{_CLOSE}")
+    found = f"regexp_replace({text}, {sql_text(java)}, {around})"
+    return f"IF({possible(rule, text)}, {found}, {text})"
 
 
-def rewritten(java: str, style: str, text: str, hits: str) -> str:
-    """The text with every match replaced by its mark.
+def hits_in(rule: Rule, mark: str, text: str) -> str:
+    """How many matches were marked: each made the text longer by two."""
+    longer = f"CAST((length({mark}) - length({text})) / 2 AS INT)"
+    return f"IF({possible(rule, text)}, {longer}, 0)"
 
-    A box is one block per code point of the match.  The text is cut at the
-    matches and re-joined with blocks of the matches' lengths; a text that
-    happens to contain the cutting character is cut by the pattern instead.
+
+def rewritten(java: str, style: str, text: str, mark: str) -> str:
+    """The text with every match replaced by its mark, cut from the marked text.
+
+    A box is one block per code point of the match.  A text that happens to
+    hold a marking character is matched again instead.
     """
-    pattern, cut = sql_text(java), sql_text(_CUT)
+    opened, closed, pattern = sql_text(_OPEN), sql_text(_CLOSE), sql_text(java)
     if style == "label":
-        return f"regexp_replace({text}, {pattern}, {sql_text(LABEL_MARK)})"
-    pieces = (
-        f"IF(contains({text}, {cut}), split({text}, {pattern}, -1),"
-        f" split(regexp_replace({text}, {pattern}, {cut}), {cut}, -1))"
+        mark_of_piece = sql_text(LABEL_MARK)
+        again = f"regexp_replace({text}, {pattern}, {mark_of_piece})"
+    else:
+        mark_of_piece = f"repeat({sql_text(BOX_MARK)}, instr(piece, {closed}) - 1)"
+        blocks = f"coalesce(repeat({sql_text(BOX_MARK)}, length(hit)), '')"
+        again = (
+            f"array_join(zip_with(split({text}, {pattern}, -1),"
+            f" regexp_extract_all({text}, {pattern}, 0),"
+            f" (gap, hit) -> concat(gap, {blocks})), '')"
+        )
+    cut = (
+        f"array_join(transform(split({mark}, {opened}, -1), (piece, at) -> IF(at = 0, piece,"
+        f" concat({mark_of_piece}, substring_index(piece, {closed}, -1)))), '')"
     )
-    blocks = f"coalesce(repeat({sql_text(BOX_MARK)}, length(hit)), '')"
-    return f"array_join(zip_with({pieces}, {hits}, (piece, hit) -> concat(piece, {blocks})), '')"
+    return f"IF(contains({text}, {opened}) OR contains({text}, {closed}), {again}, {cut})"
 
 
 def _sources(rules: Sequence[Rule]) -> list[tuple[str, int]]:

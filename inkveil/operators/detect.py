@@ -78,8 +78,12 @@ def as_map(matches: Column) -> Column:
 
 
 def long_counts(df: DataFrame, keys: Sequence[str], matches: str = "matches") -> DataFrame:
-    """One row per document and label."""
-    return df.select(*keys, F.inline(matches))
+    """One row per document and label.
+
+    The outer form keeps the optimizer from testing the list for emptiness
+    first, which would count every match twice.
+    """
+    return df.select(*keys, F.inline_outer(matches)).filter("label IS NOT NULL")
 
 
 def summary_text(matches: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.matching import (
     count_of,
-    hits_of,
+    hits_in,
     java_pattern,
+    marked,
     python_counts,
     python_rewrite,
     rewritten,
@@ -38,9 +39,9 @@ def redact(
     ``detect``); a rule's hits serve for it as long as nothing was rewritten.
     A NULL text stays NULL with count 0.
 
-    Every native rule finds its hits, then rewrites only where there are any.
-    Rules that need Python and stand together share one Arrow UDF.  No shuffle
-    takes place.
+    Every native rule makes one regex pass over a text; the rest is cutting and
+    joining, and only where there was a hit.  Rules that need Python and stand
+    together share one Arrow UDF.  No shuffle takes place.
     """
     style = known_style(style)
     original = f"coalesce({sql_name(text)}, '')"
@@ -75,9 +76,10 @@ def _native_step(
     columns, counts = [], []
     t, n = "__t", "__n"
     for at, (rule, java) in enumerate(pairs, start=first):
-        hits, found = f"__h{at}", f"size(__h{at})"
-        columns.append(f"{hits_of(rule, java, t)} AS {hits}")
-        columns.append(f"IF({found} = 0, {t}, {rewritten(java, style, t, hits)}) AS __t{at}")
+        mark, found = f"__m{at}", f"__f{at}"
+        columns.append(f"{marked(rule, java, t)} AS {mark}")
+        columns.append(f"{hits_in(rule, mark, t)} AS {found}")
+        columns.append(f"IF({found} = 0, {t}, {rewritten(java, style, t, mark)}) AS __t{at}")
         columns.append(f"{n} + {found} AS __n{at}")
         if original is not None:
             again = count_of(rule, java, original)
