@@ -76,9 +76,9 @@ def _native_step(
     columns, counts = [], []
     t, n = "__t", "__n"
     for at, (rule, java) in enumerate(pairs, start=first):
-        mark, found = f"__m{at}", f"__f{at}"
+        mark = f"__m{at}"
+        found = hits_in(rule, mark, t)
         columns.append(f"{marked(rule, java, t)} AS {mark}")
-        columns.append(f"{hits_in(rule, mark, t)} AS {found}")
         columns.append(f"IF({found} = 0, {t}, {rewritten(java, style, t, mark)}) AS __t{at}")
         columns.append(f"{n} + {found} AS __n{at}")
         if original is not None:

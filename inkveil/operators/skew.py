@@ -10,13 +10,13 @@ bound every sort at 2**22 rows for any BIGINT order column.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.plans.scratch import ensure_checkpoint_dir
 
+GROUP = "__group"
 BLOCK_BITS = 21
 LEVELS = 2
 BROADCAST_ROWS = 1_000_000
@@ -27,22 +27,26 @@ def block_of(order: str):
     return F.shiftright(F.col(order).cast("bigint"), BLOCK_BITS)
 
 
+def grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one struct, which is never NULL and equal to itself.
+
+    Joining on it keeps rows with NULL keys, and reuses the partitioning of a
+    window over it, where a null-safe comparison would shuffle once more.
+    """
+    return df.withColumn(GROUP, F.struct(*keys))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Give every row the columns of its group; NULL keys form a group, too."""
-    renamed = groups.withColumnsRenamed({k: f"__key{i}" for i, k in enumerate(keys)})
-    same = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
-    )
-    return rows.join(renamed, same, "left").drop(*[f"__key{i}" for i in range(len(keys))])
+    right = grouped(groups, keys).drop(*keys)
+    return grouped(rows, keys).join(right, GROUP, "left").drop(GROUP)
 
 
-def _with_earlier(
-    df: DataFrame, keys: list[str], order: str, weight: str, level: int
-) -> DataFrame:
-    """Add the group's weight before each row and in all."""
+def _with_earlier(df: DataFrame, order: str, weight: str, level: int) -> DataFrame:
+    """Add the weight of the group before each row and in all."""
     earlier, total = f"__earlier{level}", f"__total{level}"
     if level == 0:
-        group = Window.partitionBy(*keys)
+        group = Window.partitionBy(GROUP)
         before = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns(
             {
@@ -52,21 +56,21 @@ def _with_earlier(
         )
     block, in_block = f"__block{level}", f"__weight{level}"
     rows = df.withColumn(block, block_of(order))
-    blocks = rows.groupBy(*keys, block).agg(F.sum(weight).alias(in_block))
-    placed = _with_earlier(blocks, keys, block, in_block, level - 1).select(
-        *keys,
+    blocks = rows.groupBy(GROUP, block).agg(F.sum(weight).alias(in_block))
+    placed = _with_earlier(blocks, block, in_block, level - 1).select(
+        GROUP,
         block,
         F.col(f"__earlier{level - 1}").alias("__before_block"),
         F.col(f"__total{level - 1}").alias(total),
     )
     before = (
-        Window.partitionBy(*keys, block)
+        Window.partitionBy(GROUP, block)
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = rows.withColumn("__in_block", F.coalesce(F.sum(weight).over(before), F.lit(0)))
     return (
-        join_groups(local, placed, [*keys, block])
+        local.join(placed, [GROUP, block], "left")
         .withColumn(earlier, F.col("__before_block") + F.col("__in_block"))
         .drop(block, "__before_block", "__in_block")
     )
@@ -83,10 +87,11 @@ def running_total(
     """Add the running sum of ``weight`` (default: 1 per row) up to and with each row.
 
     ``order`` is a BIGINT without repeats inside a group.  ``df`` is read twice
-    (rows, and totals of blocks), so pass narrow or stored data.
+    (rows, and totals of blocks) and its rows are shuffled once, so pass narrow
+    or stored data.
     """
-    rows = df.withColumn("__weight", F.lit(1) if weight is None else F.col(weight).cast("bigint"))
-    work = _with_earlier(rows, list(keys), order, "__weight", LEVELS)
+    weight = F.lit(1) if weight is None else F.col(weight).cast("bigint")
+    work = _with_earlier(grouped(df, keys).withColumn("__weight", weight), order, "__weight", LEVELS)
     added = {into: F.col(f"__earlier{LEVELS}") + F.col("__weight")}
     if total_into:
         added[total_into] = F.col(f"__total{LEVELS}")
@@ -101,10 +106,10 @@ def spread_lookup(
     ``groups`` has one row per key.  Its rows are first copied to the blocks in
     which their key occurs, then joined block by block.
     """
-    blocked = rows.withColumn("__block", block_of(order))
-    places = blocked.select(*keys, "__block").distinct()
-    spread = join_groups(places, groups, keys)
-    return join_groups(blocked, spread, [*keys, "__block"]).drop("__block")
+    blocked = grouped(rows, keys).withColumn("__block", block_of(order))
+    places = blocked.select(GROUP, "__block").distinct()
+    spread = places.join(grouped(groups, keys).drop(*keys), GROUP, "left")
+    return blocked.join(spread, [GROUP, "__block"], "left").drop(GROUP, "__block")
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -50,7 +50,7 @@ _ENTITIES = (
     ("&hellip;", "…"),
     ("&amp;", "&"),
 )
-_BLANK_STEPS = ((r"[ \t]*\n[ \t]*", "\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"))
+_BLANK_STEPS = ((r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
 
 
 def html_to_markdown(html: Column) -> Column:
@@ -90,11 +90,14 @@ def extract(
 
     Text, Markdown and HTML are converted by SQL expressions.  ``extractors``
     maps further suffixes (".pdf") to functions from bytes to text, run in
-    Arrow batches; the bytes of other rows are not sent to Python.
+    Arrow batches; the bytes of other rows are not sent to Python.  Missing
+    content counts as an empty file.  Without ``extractors`` whether a file
+    fails is known from its name alone, so that listings need not read content.
     """
     kind = suffix(F.col(name))
     plain, html = kind.isin(*TEXT_SUFFIXES), kind.isin(*HTML_SUFFIXES)
-    decoded = decode_text(F.col(content))
+    source = F.coalesce(F.col(content), F.expr("X''"))
+    decoded = decode_text(source)
     work = df
     text = F.when(plain, decoded).when(html, html_to_markdown(decoded))
     missing = F.concat(F.lit("No extractor for '"), kind, F.lit("'"))
@@ -102,9 +105,8 @@ def extract(
     if extractors:
         known = {k.lower(): f for k, f in extractors.items()}
         own = kind.isin(*known)
-        done = _extractor_udf(known)(F.when(own, kind), F.when(own, F.col(content)))
+        done = _extractor_udf(known)(F.when(own, kind), F.when(own, source))
         work = df.withColumn("__done", done)
         text = F.when(own, F.col("__done.text")).otherwise(text)
         error = F.when(own, F.col("__done.error")).otherwise(error)
-    error = F.when(F.col(content).isNull(), F.lit("No content")).otherwise(error)
     return work.withColumns({"text": text, "error": error}).drop("__done")
