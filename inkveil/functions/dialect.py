@@ -19,7 +19,7 @@ import re
 
 DIGIT = r"\p{Nd}"
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 _INSIDE = {r"\d": DIGIT, r"\w": WORD, r"\s": SPACE}
 _W = f"[{WORD}]"
 _EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
@@ -57,13 +57,46 @@ def _plain_case(char: str) -> bool:
     )
 
 
+def _other_case(low: str, high: str) -> str | None:
+    """What a range must be joined with to ignore case; ``None`` if unclear."""
+    if len(low) > 1 and low[1].isalpha() or len(high) > 1 and high[1].isalpha():
+        return None
+    first, last = low[-1], high[-1]
+    span = [chr(c) for c in range(ord(first), min(ord(last), 127) + 1)]
+    letters = {c for c in span if c.isalpha()}
+    if letters and not (first.isalpha() and last.isalpha()):
+        return None
+    if letters == {c.swapcase() for c in letters}:
+        return ""
+    if len(letters) == len(span) and first.isupper() == last.isupper():
+        return f"{first.swapcase()}-{last.swapcase()}"
+    return None
+
+
 def _java_set(token: str, ignore_case: bool) -> str | None:
+    """A character set; letter ranges are spelled in both cases.
+
+    Java compares a range with one case of a character only, and would miss
+    the Kelvin sign in ``[A-Z]``.
+    """
     body = token[1:-1]
     if "&&" in body:
         return None
     if ignore_case and not body.isascii() and ("-" in body or not all(map(_plain_case, body))):
         return None
-    return "[" + _SET_ITEM.sub(lambda m: _INSIDE.get(m[0], m[0]), body) + "]"
+    negated = body.startswith("^")
+    items, spelled = _SET_ITEM.findall(body[negated:]), []
+    while items:
+        if len(items) > 2 and items[1] == "-":
+            other = _other_case(items[0], items[2]) if ignore_case else ""
+            if other is None:
+                return None
+            spelled.append("".join(items[:3]) + other)
+            items = items[3:]
+        else:
+            spelled.append(_INSIDE.get(items[0], items[0]))
+            items = items[1:]
+    return f"[{'^' * negated}{''.join(spelled)}]"
 
 
 def _repeat_bounds(token: str) -> tuple[int, float]:

@@ -75,8 +75,8 @@ CLUES: dict[str, Clue] = {
 }
 HEADS: dict[str, str] = {
     "Phone numbers": r"[+(\d]",
-    "Credit card numbers": r"\d",
-    "IP addresses": r"\d",
+    "Credit card numbers": r"\d[\d -]{12}",
+    "IP addresses": r"\d{1,3}\.\d",
 }
 RUNS: dict[str, str] = {"Email addresses": "[A-Za-z0-9._%+-]"}
 

@@ -79,7 +79,7 @@ def test_rules_as_table(spark):
     "pattern",
     ["x*", "a|b|", r"\b", "(?=x)y", "(?P<n>x)", "(?i)x", r"\Ax", r"x\Z", r"(x)\1", "(?:ab)+",
      "(a|b)*c", "a{,3}", "x++", "[[a]", r"\x41", r"\101", r"\N{DASH}", "[]a]", "ß",
-     "{", "a{", r"\Dx", "(?:ab){1,500}"],
+     "µ", "[ -~]", "[X-c]", r"[\t-z]", "{", "a{", r"\Dx", "(?:ab){1,500}"],
 )
 def test_what_stays_in_python(pattern):
     assert to_java(pattern) is None
@@ -90,3 +90,19 @@ def test_what_stays_in_python(pattern):
 )
 def test_what_goes_native(pattern):
     assert to_java(pattern) is not None
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    [r"\s", r"[\s.-]", r"[^\s)>\]]", r"\d", r"[\d_]", r"\w", "[A-Z]", "[a-z0-9]", "[^A-Z]", "[i-k]", "[A-z]",
+     "[!-/]", "[ks]", "[^i]", r"[\w-]", "[a-c-9]", ".", "k", "i", "s", "é", "ω"],
+)
+def test_classes_equal_python(spark, pattern):
+    """All characters up to the last space one, as far as both runtimes know them."""
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x3100) if unicodedata.category(chr(c)) != "Cn"]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    got = {r.c for r in df.filter(df.c.rlike(to_java(pattern))).collect()}
+    differ = got ^ {c for c in chars if re.fullmatch(pattern, c, re.IGNORECASE)}
+    assert not {c for c in differ if unicodedata.ucd_3_2_0.category(c) != "Cn"}
