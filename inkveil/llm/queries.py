@@ -6,26 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkveil.llm.chat import OP8_SQL, op8_chat
+from inkveil.llm.class_lm import op10_class_lm
 from inkveil.llm.fingerprints import op4_fingerprint
+from inkveil.llm.line_dedup import op5_line_dedup
+from inkveil.llm.mixing import op2_mixing
+from inkveil.llm.near_dedup import op1_near_dedup
 from inkveil.llm.packing import op9_packing
+from inkveil.llm.quality import op7_quality
 from inkveil.llm.secret_scan import op3_secret_scan
+from inkveil.llm.sharding import op6_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+def _on(operator: Callable[..., DataFrame], *tables: str) -> Query:
+    """The operator over whole tables."""
+    return lambda spark, sf_dir: operator(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
 
 
 def registered() -> dict[str, Query]:
     """Every query by name."""
     return {
-        "op3_secret_scan": _on("documents", op3_secret_scan),
-        "op4_fingerprint": _on("documents", op4_fingerprint),
-        "op9_packing": _on("documents", op9_packing),
+        "op1_near_dedup": _on(op1_near_dedup, "documents"),
+        "op2_mixing": _on(op2_mixing, "documents"),
+        "op3_secret_scan": _on(op3_secret_scan, "documents"),
+        "op4_fingerprint": _on(op4_fingerprint, "documents"),
+        "op5_line_dedup": _on(op5_line_dedup, "documents"),
+        "op6_shards": _on(op6_shards, "documents"),
+        "op7_quality": _on(op7_quality, "documents", "labels"),
+        "op8_chat": _on(op8_chat, "conversations"),
+        "op9_packing": _on(op9_packing, "documents"),
+        "op10_class_lm": _on(op10_class_lm, "documents"),
     }
 
 
 def statements() -> dict[str, str]:
     """SQL for DuckDB with the same result, by query name."""
-    return {}
+    return {"op8_chat": OP8_SQL}
