@@ -4,24 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm.packing import PackingRules, pack_documents
+from inkveil.llm.line_dedup import without_repeats
+from inkveil.llm.mixing import mix_documents
+from inkveil.llm.near_dedup import one_of_each
+from inkveil.llm.packing import pack_documents
+from inkveil.llm.quality import keep_good
 from inkveil.plans.scratch import scratch_path
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the cutoffs certified on ``labels``."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of three lines and more stay where they stand first; emptied documents go."""
+    return without_repeats(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, 80 percent."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix of sources takes, a row per pass through a document."""
+    return mix_documents(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: one row per piece of a document, with its tokens."""
-    return pack_documents(docs, rules=PackingRules(), tokens=True)
+    return pack_documents(docs, tokens=True)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-ORACLE_SQL = None  # neither band candidates nor cuts can be stated in SQL
+ORACLE_SQL = None  # candidates by band, draws of the mix and cuts cannot be stated in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole of ``documents``; each stage's result is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = scratch_path(spark, "stage")
