@@ -213,25 +213,3 @@ def op8_chat(conversations: DataFrame) -> DataFrame:
             F.length("formatted").cast("bigint").alias("formatted_chars"),
         )
     )
-
-
-OP8_SQL = r"""
-WITH every AS (
-    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
-), counted AS (
-    SELECT *, length(role) + length(text)
-        + len(regexp_extract_all(role || text, '\\'))
-        + 2 * len(regexp_extract_all(role || chr(10) || text, '<\||</?s>|<</?SYS>>|\[/?INST\]'))
-        + 23 AS chars
-    FROM every
-)
-SELECT conv_id,
-    count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM counted GROUP BY conv_id
-"""

@@ -249,7 +249,7 @@ def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _unequal_codes(planes: np.ndarray, one: np.ndarray, rules: NearRules) -> np.ndarray:
-    apart = planes ^ one
+    apart = (planes ^ one).view(np.uint64)  # of signed numbers the bits of the absolute value are counted
     return np.bitwise_count(apart[:, : rules.words] | apart[:, rules.words :]).sum(axis=1)
 
 

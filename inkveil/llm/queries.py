@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm.chat import OP8_SQL, op8_chat
+from inkveil.llm import sql
+from inkveil.llm.chat import op8_chat
 from inkveil.llm.class_lm import op10_class_lm
 from inkveil.llm.fingerprints import op4_fingerprint
 from inkveil.llm.line_dedup import op5_line_dedup
@@ -43,4 +44,4 @@ def registered() -> dict[str, Query]:
 
 def statements() -> dict[str, str]:
     """SQL for DuckDB with the same result, by query name."""
-    return {"op8_chat": OP8_SQL}
+    return {"op1_near_dedup": sql.OP1, "op7_quality": sql.OP7, "op8_chat": sql.OP8}

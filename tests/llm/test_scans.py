@@ -1,0 +1,117 @@
+import hashlib
+import math
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from inkveil.llm.fingerprints import digest, likeness, op4_fingerprint, with_fingerprint, with_likeness
+from inkveil.llm.secret_scan import Scanner, entropy_windows, op3_secret_scan
+from tests.llm.edge import empty, frame, prose, rows
+
+# The three fixed forms, stated once more.
+ASSIGN = re.compile(
+    r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+PIECES = st.sampled_from(
+    ["token=", "secret", '":"', "api_KEY", "ApiKey : ", "abcdefgh", "0123456789abcdef", "AKIA", "ABCDEF0123456789", " ", "=", "é", "passwd='", "q" * 9]
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=14).map("".join))
+def test_fixed_forms(text):
+    assert Scanner().base(text) == base_spans(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdef01", min_size=0, max_size=60), st.sampled_from([1.5, 2.0, 2.5]))
+def test_windows_by_counts_match_windows_from_scratch(run, bits):
+    window, marked = 8, set()
+    for i in range(len(run) - window + 1):
+        counts = Counter(run[i : i + window]).values()
+        if -sum(c / window * math.log2(c / window) for c in counts) >= bits - 1e-12:
+            marked |= set(range(i, i + window))
+    got = {j for a, b in entropy_windows(run, window, bits) for j in range(a, b)}
+    assert got == marked
+
+
+def test_allow_list():
+    scanner = Scanner()
+    key = "aB3dE6gH9jK2mN5pQ8sT1vX4"
+    assert scanner.entropy(f"x {key} y") == [(2, 3, 2 + len(key))]
+    assert scanner.entropy("123e4567-e89b-12d3-a456-426614174000") == []
+    assert scanner.entropy(f"{key}EXAMPLEKEY") == []
+    assert scanner.entropy("internationalization-and-localization") == []
+
+
+def test_secret_edges(spark):
+    docs = frame(spark)
+    got = op3_secret_scan(docs)
+    assert got.count() == docs.count()
+    for r, (doc, text) in zip(
+        sorted(got.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["spans"])),
+        sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is None, r[0] or 0)),
+        strict=True,
+    ):
+        assert r["doc_id"] == doc
+        line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base_spans(text))
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+    assert op3_secret_scan(empty(spark)).count() == 0
+
+
+def test_fingerprints_of_alike_texts_are_alike():
+    texts = [prose(i, 300) for i in range(30)]
+    for text, other in zip(texts, texts[1:]):
+        words = text.split()
+        words[10] = "changed"
+        near, far = likeness(digest(text), digest(" ".join(words))), likeness(digest(text), digest(other))
+        assert 0 <= far < near <= 1 and near > 0.85
+    assert digest(None) == digest("") and likeness(digest(""), digest("")) == 1.0
+    assert likeness(digest("a"), digest(texts[0])) == likeness(digest(texts[0]), digest("a"))
+
+
+def test_fingerprint_columns(spark):
+    df = spark.createDataFrame([(1, "abc abc"), (2, None)], "id int, text string")
+    got = with_likeness(with_fingerprint(df), "fingerprint", "fingerprint").collect()
+    assert [r["likeness"] for r in got] == [1.0, 1.0] and got[1]["fingerprint"] == digest("")
+
+
+@pytest.mark.parametrize("ids", [[3, 1, 2], [1], list(range(300))])
+def test_edited_texts(spark, ids):
+    docs = [(i, prose(i, 5 + i % 50)) for i in ids]
+    got = {r["doc_id"]: r for r in op4_fingerprint(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    order = sorted(docs)
+    assert set(got) == set(ids)
+    for (doc, text), (_, following) in zip(order, order[1:] + order[:1]):
+        q = len(text) // 4
+        edited = text[: len(text) - q] + following[:q]
+        r = got[doc]
+        assert r["n_chars"] == len(text)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (digest(text), digest(edited))
+        assert r["near_edited"] == likeness(digest(text), digest(edited))
+        assert r["near_next"] == likeness(digest(text), digest(following))
+
+
+def test_fingerprint_edges(spark):
+    got = op4_fingerprint(frame(spark)).collect()
+    order = sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    want = []
+    for (doc, text), (_, following) in zip(order, order[1:] + order[:1]):
+        q = len(text) // 4
+        edited = text[: len(text) - q] + following[:q]
+        want.append((doc or -(2**63), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((r["doc_id"] or -(2**63), r["edited_sha256"]) for r in got) == sorted(want)
+    assert op4_fingerprint(empty(spark)).count() == 0
