@@ -17,9 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import SPACE, WORD, stored
+from inkveil.llm.common import WORD, stored
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -29,6 +29,12 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _paired(hashes: Column, reach: int) -> Column:
+    """The hash of each element with the one ``reach`` places on."""
+    n = F.size(hashes) - reach
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, reach + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
 def _repeated_words(windows: Column) -> Column:
     """Words covered by windows that occur twice or more, from the windows' hashes in order."""
 
@@ -55,22 +61,21 @@ def _repeated_words(windows: Column) -> Column:
 def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the columns of ``STATISTICS``, counted over the whole text; NULL counts as empty.
 
-    Lines are cut at ``\\n`` and count only with a word in them.  Columns of
+    A window's hash is made by doubling: of two words, of two pairs, of two
+    fours, so that it costs three steps whatever the window.  Lines are cut at ``\\n`` and count only with a word in them.  Columns of
     these names are replaced; the others are kept.  One pass, no shuffle.
     """
     kept = [c for c in df.columns if c not in STATISTICS]
     text = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     words = text.select(*kept, "__text", F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)).alias("__words"))
-    hashes = F.transform("__words", lambda w: F.xxhash64(w))
-    windows = _let(
-        hashes,
-        lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW))),
-    )
+    windows = F.transform("__words", lambda w: F.xxhash64(w))
+    for reach in (1, 2, 4):  # WINDOW is 8
+        windows = _let(windows, lambda h, reach=reach: _paired(h, reach))
     parts = words.select(
         *kept,
         F.size("__words").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace("__text", SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count("__text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         F.filter(F.split("__text", "\n"), lambda line: F.regexp_like(line, F.lit(WORD))).alias("__lines"),
         F.when(F.size("__words") >= WINDOW, windows).alias("__windows"),
     )
@@ -224,15 +229,14 @@ def op7_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, as they are.
 
-    Only labelled documents are read to calibrate; texts are not shuffled for
-    the verdict, which is taken where a row is.
+    Rows are stored once with their statistics.  Calibration reads those alone
+    and joins them with the labels; the verdict is taken where a row is, so no
+    text is shuffled.
     """
-    good = good_labels(labels)
-    labelled = docs.select("doc_id", F.col(stratum), "text").join(good, "doc_id", "left_semi")
-    stats = stored(with_statistics(labelled).drop("text"), "calibration")
-    cutoffs = stored(certified_cutoffs(stats, stratum, risk=risk), "cutoffs")
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
-    judged = with_verdict(
-        with_statistics(docs.select(own, F.col("text"), F.col(stratum).alias("__s"))), cutoffs, "__s"
-    )
-    return judged.filter("kept").select("__row.*")
+    narrow = [F.col("doc_id").cast("bigint").alias("__doc"), F.col(stratum).alias("__s")]
+    rows = stored(with_statistics(docs.select(own, F.col("text"), *narrow)).drop("text"), "quality")
+    good = good_labels(labels).withColumnRenamed("doc_id", "__doc")
+    labelled = rows.drop("__row").join(good, "__doc", "left_semi")
+    cutoffs = stored(certified_cutoffs(labelled, "__s", risk=risk), "cutoffs")
+    return with_verdict(rows, cutoffs, "__s").filter("kept").select("__row.*")
