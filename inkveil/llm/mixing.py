@@ -299,28 +299,32 @@ def mix_documents(docs: DataFrame, source: str = "source", rules: MixRules = Mix
     follows the text.  Texts are shuffled once, by a hash of the row.
     """
     placed, pieces, _ = mix(docs, source, rules)
-    key = ["__doc", "__h", "__source"]
+    key = F.struct("__doc", "__h", "__source")  # never NULL
     each = F.struct(F.col("begin").cast("int"), F.col("words").cast("int"), F.col("uses").cast("int"))
     used = (
-        pieces.groupBy(*key, "__start")
+        pieces.groupBy(key.alias("__key"), "__start")
         .agg(F.collect_list(each).alias("__pieces"), F.max("uses").alias("__top"))
         .filter("__top > 0")
         # Rows alike in all of the key are told apart by number; which is which shows in no result.
-        .withColumn("__copy", F.row_number().over(Window.partitionBy(*key).orderBy("__start")))
-        .select(F.struct(*key, "__copy").alias("__key"), "__pieces")
+        .withColumn("__number", F.row_number().over(Window.partitionBy("__key").orderBy("__start")))
+        .select("__key", "__number", "__pieces")
     )
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumns(
         {"__doc": F.col("doc_id").cast("bigint"), "__h": F.xxhash64(text), "__source": F.col(source).cast("string")}
     )
-    alike = Window.partitionBy(*key).orderBy(F.lit(0))
-    rows = rows.withColumn("__copy", F.row_number().over(alike)).withColumn("__key", F.struct(*key, "__copy"))
+    rows = rows.withColumn("__key", key).withColumn(
+        "__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    )
 
     def taken(texts: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([passages(t, [tuple(p.values()) for p in ps]) for t, ps in zip(texts, parts, strict=True)])
 
     cut = F.pandas_udf(taken, "array<string>")(text, F.col("__pieces"))
-    done = rows.join(used, "__key").withColumn("__taken", F.explode(cut))
+    # The number is compared as a difference, so that the join is on the key alone
+    # and texts stay where the window has them.
+    same = (rows["__key"] == used["__key"]) & (F.col("__copy") - F.col("__number") == 0)
+    done = rows.join(used, same).withColumn("__taken", F.explode(cut))
     length = F.length("__taken").cast("bigint")
     columns = {"text": F.col("__taken").alias("text"), "n_chars": length.alias("n_chars")}
     return done.select(*[columns.get(c, F.col(c)) for c in docs.columns])
