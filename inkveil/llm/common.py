@@ -86,14 +86,29 @@ def ranged(docs: DataFrame, id_col: str, text_col: str, with_next: bool) -> Data
                 "__id", "doc_id", "text", F.col("to_part").alias("part"), F.lit(True).alias("head")
             )
             rows = rows.unionByName(copies)
+    small_batches(spark)
     placed = rows.repartition(n, "part").sortWithinPartitions("part", "head", "__id", "text")
     return placed.select("part", "head", "doc_id", "text")
 
 
+MOST_IN_BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python in batches of at most ``MOST_IN_BATCH`` rows.
+
+    A batch is held several times over while it is handed on; the session's
+    own limit is kept where it is lower.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= MOST_IN_BATCH:
+        spark.conf.set(name, str(MOST_IN_BATCH))
+
+
 def batches(
     rows: Iterator[tuple], schema: pa.Schema, size: int = 5000
 ) -> Iterator[pa.RecordBatch]:
-    """Row tuples to record batches of at most ``size`` rows."""
+    """Row tuples to record batches of at most ``size`` rows; then Arrow's free memory is given back."""
     kept: list = []
     for row in rows:
         kept.append(row)
@@ -102,6 +117,7 @@ def batches(
             kept = []
     if kept:
         yield _batch(kept, schema)
+    pa.default_memory_pool().release_unused()
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:

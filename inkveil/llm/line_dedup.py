@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import WORD, batches, stored
+from inkveil.llm.common import WORD, batches, small_batches, stored
 
 _WORD = re.compile(WORD)
 _SENTENCE = (".", "!", "?")
@@ -126,6 +126,7 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
 
         yield from batches(rows(), _OUT, 2000)
 
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs).select("__doc", "__h", "__text")
     lines = stored(keyed.mapInArrow(run, "doc_id bigint, h bigint, n bigint, windows array<bigint>"), "lines")
     windows = lines.select("doc_id", "h", F.posexplode("windows").alias("at", "hash")).filter("hash IS NOT NULL")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import WORD, stored
+from inkveil.llm.common import WORD, small_batches, stored
 from inkveil.llm.line_dedup import _WORD
 
 
@@ -298,6 +298,7 @@ def mix_documents(docs: DataFrame, source: str = "source", rules: MixRules = Mix
     they are, and a document taken repeatedly comes repeatedly.  ``n_chars``
     follows the text.  Texts are shuffled once, by a hash of the row.
     """
+    small_batches(docs.sparkSession)
     placed, pieces, _ = mix(docs, source, rules)
     key = F.struct("__doc", "__h", "__source")  # never NULL
     each = F.struct(F.col("begin").cast("int"), F.col("words").cast("int"), F.col("uses").cast("int"))

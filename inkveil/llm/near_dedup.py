@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import batches, stored, words_of
+from inkveil.llm.common import batches, small_batches, stored, words_of
 from inkveil.llm.components import components
 
 ROWS = 5  # minima in a band's key
@@ -328,6 +328,7 @@ def near_duplicates(
     links of all of them; an empty table gives no rows; other columns are not
     read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(signatures(rows, rules), "signatures")
     named = signed.filter("doc_id IS NOT NULL AND n > 0")

@@ -18,6 +18,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -48,8 +49,9 @@ class PackingRules:
     ranks: str = "byte_bpe_50k.tiktoken"
 
 
+@lru_cache(maxsize=1)
 def tokenizer(ranks: str) -> tiktoken.Encoding:
-    """The vocabulary ``ranks`` of the public tokenizers, or of a file by that path."""
+    """The vocabulary ``ranks`` of the public tokenizers, or of a file by that path; built once per worker."""
     path = ranks if "/" in ranks else public_tokenizers.path(ranks)
     with open(path, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -58,8 +60,10 @@ def tokenizer(ranks: str) -> tiktoken.Encoding:
     )
 
 
-def sentence_ends(encoding: tiktoken.Encoding, end_id: int) -> np.ndarray:
+@lru_cache(maxsize=1)
+def sentence_ends(ranks: str, end_id: int) -> np.ndarray:
     """By token id: whether a sentence can end with it."""
+    encoding = tokenizer(ranks)
     found = np.zeros(encoding.max_token_value + 2, dtype=bool)
     for i in range(encoding.max_token_value + 1):
         try:
@@ -166,7 +170,7 @@ def pack_documents(
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(rules.ranks)
-        sentence = sentence_ends(encoding, rules.end_id)
+        sentence = sentence_ends(rules.ranks, rules.end_id)
 
         def packed(docs, ids, part, number):
             ends = np.cumsum([len(x) for x in ids])

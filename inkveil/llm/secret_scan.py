@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import batches
+from inkveil.llm.common import batches, small_batches
 
 # Fixed values.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -171,6 +171,7 @@ def scan_secrets(
 
         yield from batches(rows(), _OUT)
 
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     return picked.mapInArrow(
         run, "doc_id bigint, found array<struct<kind:string,start:int,end:int>>"

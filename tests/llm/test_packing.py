@@ -27,7 +27,7 @@ def test_ids_are_those_of_the_library(spark, sf_dir, library):
 
 def test_sentence_ends():
     own = tokenizer(PackingRules().ranks)
-    ends = sentence_ends(own, 0)
+    ends = sentence_ends(PackingRules().ranks, 0)
     ids = own.encode_ordinary("One two. Three four!\n")
     assert [bool(x) for x in ends[ids]].count(True) >= 2 and not ends[own.encode_ordinary(" two")[0]] and ends[0]
 
