@@ -29,10 +29,14 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _paired(hashes: Column, reach: int) -> Column:
+def _pairing(reach: int):
     """The hash of each element with the one ``reach`` places on."""
-    n = F.size(hashes) - reach
-    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, reach + 1, n), lambda a, b: F.xxhash64(a, b))
+
+    def paired(hashes: Column) -> Column:
+        n = F.size(hashes) - reach
+        return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, reach + 1, n), lambda a, b: F.xxhash64(a, b))
+
+    return paired
 
 
 def _repeated_words(windows: Column) -> Column:
@@ -70,7 +74,7 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     words = text.select(*kept, "__text", F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)).alias("__words"))
     windows = F.transform("__words", lambda w: F.xxhash64(w))
     for reach in (1, 2, 4):  # WINDOW is 8
-        windows = _let(windows, lambda h, reach=reach: _paired(h, reach))
+        windows = _let(windows, _pairing(reach))
     parts = words.select(
         *kept,
         F.size("__words").cast("bigint").alias("n_words"),
