@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -36,9 +37,8 @@ class LineRules:
     """``least`` words make a wrapped line; from ``long`` on hashes may end it.
 
     Windows with fewer than ``min_words`` words are not compared: so short a
-    sequence occurs in unrelated texts.  ``broadcast_rows`` bounds the table of
-    repeated windows that is sent to all executors; beyond it the tables are
-    joined by a shuffle.
+    sequence occurs in unrelated texts.  ``filter_bits`` is the logarithm of
+    the size of the bit map that all executors get: 2**26 bits are 8 MB.
     """
 
     window: int = 3
@@ -47,7 +47,7 @@ class LineRules:
     long: int = 12
     one_in: int = 4
     min_words: int = 10
-    broadcast_rows: int = 500_000
+    filter_bits: int = 26
 
 
 def split_lines(text: str, rules: LineRules) -> list[tuple[int, int, list[str]]]:
@@ -113,8 +113,10 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
     """Tables of lines ``(doc_id, h, n, windows)`` and of later occurrences ``(doc_id, h, at)``.
 
     ``h`` is the hash of the text: rows alike in doc_id and text are one
-    document.  Texts are read once; what is shuffled are windows, summed per
-    task before, so a passage in a third of all rows is few rows.
+    document.  Texts are read once.  Windows are counted by their hash alone,
+    summed per task before; a bit map of the repeated ones then lets nearly
+    all others be left out where they are, and only what passes it is compared
+    by place.  Where repeats fill the map more passes, with the same result.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,20 +131,53 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
     small_batches(docs.sparkSession)
     keyed = _keyed(docs).select("__doc", "__h", "__text")
     lines = stored(keyed.mapInArrow(run, "doc_id bigint, h bigint, n bigint, windows array<bigint>"), "lines")
-    windows = lines.select("doc_id", "h", F.posexplode("windows").alias("at", "hash")).filter("hash IS NOT NULL")
+    windows = stored(_passing(lines, _repeat_map(lines, rules.filter_bits), rules), "windows")
     place = F.struct("doc_id", "h", "at")
-    firsts = stored(
-        windows.groupBy("hash")
-        .agg(F.min(place).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("hash", "first"),
-        "windows",
-    )
-    known = F.broadcast(firsts) if firsts.count() <= rules.broadcast_rows else firsts
-    later = windows.join(known, "hash").filter(place > F.col("first")).select("doc_id", "h", "at")
+    firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = windows.join(firsts, "hash").filter(place > F.col("first")).select("doc_id", "h", "at")
     return lines, later
 
 
+def _repeat_map(lines: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the low part of every window hash that occurs twice or more."""
+    windows = lines.select(F.explode("windows").alias("hash")).filter("hash IS NOT NULL")
+    repeated = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    low = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
+    words = repeated.groupBy(F.shiftright(low, 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("bits")
+    )
+    found = words.toArrow()  # at most 2**(bits - 6) rows
+    out = np.zeros(max(1, 1 << (bits - 6)), dtype=np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _passing(lines: DataFrame, repeats: np.ndarray, rules: LineRules) -> DataFrame:
+    """``(doc_id, h, at, hash)`` of the windows whose bit is set."""
+    shared = lines.sparkSession.sparkContext.broadcast(repeats)
+    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())])
+    mask = np.uint64((1 << rules.filter_bits) - 1)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for part in parts:
+            lists = part.column("windows")
+            flat = lists.flatten()  # NULL lists do not occur
+            valid = flat.is_valid().to_numpy(zero_copy_only=False)
+            hashes = flat.fill_null(0).to_numpy(zero_copy_only=False)
+            low = hashes.view(np.uint64) & mask
+            hit = valid & ((bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) == 1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            at = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[hit]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(row)), part.column("h").take(pa.array(row)),
+                 pa.array(at.astype(np.int32)), pa.array(hashes[hit])], schema=out,
+            )
+
+    return lines.select("doc_id", "h", "windows").mapInArrow(run, "doc_id bigint, h bigint, at int, hash bigint")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumns(
