@@ -65,37 +65,46 @@ def count_of(rule: Rule, java: str, text: str) -> str:
     return f"IF({possible(rule, text)}, regexp_count({text}, {sql_text(java)}), 0)"
 
 
-def marked(rule: Rule, java: str, text: str) -> str:
-    """The text with every match between two marking characters: the one regex pass."""
-    around = sql_text(f"{_OPEN}$0{_CLOSE}")
+def marked(rule: Rule, java: str, style: str, text: str) -> str:
+    """The text with its matches marked: the one regex pass.
+
+    For labels a match becomes one marking character; for boxes, whose length
+    is the match's, it stands between two of them.
+    """
+    around = sql_text(_OPEN if style == "label" else f"{_OPEN}$0{_CLOSE}")
     found = f"regexp_replace({text}, {sql_text(java)}, {around})"
     return f"IF({possible(rule, text)}, {found}, {text})"
 
 
-def hits_in(rule: Rule, mark: str, text: str) -> str:
-    """How many matches were marked: each made the text longer by two."""
-    longer = f"CAST((length({mark}) - length({text})) / 2 AS INT)"
-    return f"IF({possible(rule, text)}, {longer}, 0)"
+def hits_in(rule: Rule, java: str, style: str, mark: str, text: str) -> str:
+    """How many matches were marked: by the marks' number, or two characters more for each."""
+    if style == "label":
+        marks = f"length({mark}) - length(replace({mark}, {sql_text(_OPEN)}, ''))"
+        again = f"regexp_count({text}, {sql_text(java)})"
+        number = f"IF(contains({text}, {sql_text(_OPEN)}), {again}, {marks})"
+    else:
+        number = f"CAST((length({mark}) - length({text})) / 2 AS INT)"
+    return f"IF({possible(rule, text)}, {number}, 0)"
 
 
 def rewritten(java: str, style: str, text: str, mark: str) -> str:
-    """The text with every match replaced by its mark, cut from the marked text.
+    """The text with every match replaced by its mark, made from the marked text.
 
     A box is one block per code point of the match.  A text that happens to
     hold a marking character is matched again instead.
     """
     opened, closed, pattern = sql_text(_OPEN), sql_text(_CLOSE), sql_text(java)
     if style == "label":
-        mark_of_piece = sql_text(LABEL_MARK)
-        again = f"regexp_replace({text}, {pattern}, {mark_of_piece})"
-    else:
-        mark_of_piece = f"repeat({sql_text(BOX_MARK)}, instr(piece, {closed}) - 1)"
-        blocks = f"coalesce(repeat({sql_text(BOX_MARK)}, length(hit)), '')"
-        again = (
-            f"array_join(zip_with(split({text}, {pattern}, -1),"
-            f" regexp_extract_all({text}, {pattern}, 0),"
-            f" (gap, hit) -> concat(gap, {blocks})), '')"
-        )
+        label = sql_text(LABEL_MARK)
+        again = f"regexp_replace({text}, {pattern}, {label})"
+        return f"IF(contains({text}, {opened}), {again}, replace({mark}, {opened}, {label}))"
+    mark_of_piece = f"repeat({sql_text(BOX_MARK)}, instr(piece, {closed}) - 1)"
+    blocks = f"coalesce(repeat({sql_text(BOX_MARK)}, length(hit)), '')"
+    again = (
+        f"array_join(zip_with(split({text}, {pattern}, -1),"
+        f" regexp_extract_all({text}, {pattern}, 0),"
+        f" (gap, hit) -> concat(gap, {blocks})), '')"
+    )
     cut = (
         f"array_join(transform(split({mark}, {opened}, -1), (piece, at) -> IF(at = 0, piece,"
         f" concat({mark_of_piece}, substring_index(piece, {closed}, -1)))), '')"

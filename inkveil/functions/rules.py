@@ -149,13 +149,16 @@ def regex_rules(expressions: Iterable[str], case_sensitive: bool = False) -> lis
 
 
 def build_rules(
-    labels: Iterable[str] | None = None,
+    labels: Iterable[str] | None = (),
     keywords: Iterable[str] = (),
     expressions: Iterable[str] = (),
     case_sensitive: bool = False,
     whole_word: bool = False,
 ) -> list[Rule]:
-    """Detectors, then keywords, then regexes; that order is the rewrite order."""
+    """Detectors, then keywords, then regexes; that order is the rewrite order.
+
+    No detector is on unless it is named; ``None`` names the whole catalog.
+    """
     return [
         *detector_rules(labels, case_sensitive),
         *keyword_rules(keywords, case_sensitive, whole_word),

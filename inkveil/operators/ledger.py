@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from inkveil.operators.detect import summary_text
 from inkveil.operators.skew import running_total
 
-# Lifetime of a run and wording.
+# Lifetime of a run and wording.  The sentences of status_sentence and
+# run_outcome and the lines of activity_log are fixed wording, too.
 RUN_TTL_SECONDS = 3600
 UNKNOWN_RUN = "Unknown or expired job."
 UNKNOWN_ERROR = "unknown error"

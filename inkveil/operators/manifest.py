@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.names import safe_name
-from inkveil.operators.skew import spread_lookup
+from inkveil.operators.skew import GROUP, grouped, spread_lookup
 from inkveil.plans.scratch import ensure_checkpoint_dir
 
+VALUE_BITS = 12
 # Messages.
 NO_FILES = "No files uploaded."
 NO_VALID_FILES = "No valid files uploaded."
@@ -48,23 +49,30 @@ def last_write_wins(
 
     The winner is found on (name, order) alone, combined before the shuffle;
     its values are fetched by (name, order), which no name can make hot.
+    Entries with a NULL name have each other's values.  The winner's values
+    are copied to blocks of ``2**VALUE_BITS`` order values: values are wide.
     """
     last = df.groupBy(*keys).agg(F.max(order).alias(order))
-    winners = df.select(*keys, order, *values).join(last, [*keys, order], "left_semi").drop(order)
+    winners = _only(df.select(*keys, order, *values), last, [*keys, order]).drop(order)
     others = [c for c in df.columns if c not in values]
-    return spread_lookup(df.select(*others), winners, keys, order).select(*df.columns)
+    return spread_lookup(df.select(*others), winners, keys, order, VALUE_BITS).select(*df.columns)
 
 
 def dedup_inputs(
     df: DataFrame, keys: Sequence[str] = ("name", "size"), order: str = "seq"
 ) -> DataFrame:
-    """Keep the first entry of equal name and size.
+    """Keep the first entry of equal name and size; a NULL equals a NULL.
 
     Same shape as above: the minimum is combined before the shuffle, and the
     semi join is spread over the order values.
     """
     first = df.groupBy(*keys).agg(F.min(order).alias(order))
-    return df.join(first, [*keys, order], "left_semi")
+    return _only(df, first, [*keys, order])
+
+
+def _only(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are in ``wanted``; compared as one struct, so NULLs meet, too."""
+    return grouped(df, keys).join(grouped(wanted, keys).select(GROUP), GROUP, "left_semi").select(*df.columns)
 
 
 def number_inputs(df: DataFrame, *order_by: str, into: str = "seq") -> DataFrame:

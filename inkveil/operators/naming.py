@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.names import OUTPUT_ENDING, OUTPUT_SUFFIX, output_name, stem
-from inkveil.operators.skew import join_groups, running_total
+from inkveil.operators.skew import GROUP, grouped, join_groups, running_total
+from inkveil.plans.scratch import ensure_checkpoint_dir
 
-# A number is one a name can carry: none (meaning 1), or 2 and up without leading zeros.
+# A number is one a name can carry: none (meaning 1), or 2 and up without leading
+# zeros.  Numbers of 19 digits and more are no BIGINTs and out of any count's reach.
 _TAKEN = rf"(?s)^(.*){OUTPUT_ENDING}(?:_([2-9]|[1-9][0-9]{{1,17}}))?\{OUTPUT_SUFFIX}\z"
 
 
@@ -33,27 +35,50 @@ def number_outputs(
     good = F.lit(True) if ok is None else F.coalesce(F.col(ok), F.lit(False))
     rows = df.withColumns({"__stem": stem(F.col(name)), "__ok": good.cast("int")})
     rows = running_total(rows, group, order, "__ok", into="__nth")
-    if existing is None:
-        number = F.col("__nth")
-    else:
-        rows = _skip_taken(rows, group, _taken_numbers(existing, keys))
-        number = F.col("__nth") + F.col("__skipped")
-    return rows.withColumn(into, F.when(F.col("__ok") == 1, number)).select(*df.columns, into)
+    if existing is not None:
+        rows = _beside(rows, group, existing)
+    return rows.withColumn(into, F.when(F.col("__ok") == 1, F.col("__nth"))).select(*df.columns, into)
 
 
-def _taken_numbers(existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, __stem, __free, __taken): how many names are taken after that many free ones."""
+def _beside(rows: DataFrame, group: list[str], existing: DataFrame) -> DataFrame:
+    """Move ``__nth`` past the numbers that are taken.
+
+    Rows and taken numbers are stored (they are narrow, and read repeatedly).
+    Names of stems that are not wanted are left out before any ranking, and
+    groups without a taken name keep their numbers as they are.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = grouped(rows, group).checkpoint()
+    wanted = rows.filter("__ok = 1").select(GROUP).distinct()
+    taken = grouped(_parsed(existing, group), group).join(wanted, GROUP, "left_semi")
+    taken = taken.select(*group, "__number").distinct().checkpoint()
+    full = grouped(taken, group).select(GROUP).distinct()
+    moved = _skip_taken(rows.join(full, GROUP, "left_semi").drop(GROUP), group, _free_before(taken, group))
+    moved = moved.withColumn("__nth", F.col("__nth") + F.coalesce("__skipped", F.lit(0))).drop("__skipped")
+    return rows.join(full, GROUP, "left_anti").drop(GROUP).unionByName(moved)
+
+
+def stem_of_output(output):
+    """The stem that an output name was made of; empty if it is no output name."""
+    return F.regexp_extract(output, _TAKEN, 1)
+
+
+def _parsed(existing: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Names in the folder as (keys, __stem, __number)."""
     output = F.col("output")
-    numbers = existing.filter(output.rlike(_TAKEN)).select(
-        *keys,
-        F.regexp_extract(output, _TAKEN, 1).alias("__stem"),
-        F.coalesce(
-            F.nullif(F.regexp_extract(output, _TAKEN, 2), F.lit("")).cast("bigint"), F.lit(1)
-        ).alias("__number"),
+    digits = F.nullif(F.regexp_extract(output, _TAKEN, 2), F.lit(""))
+    return existing.filter(output.rlike(_TAKEN)).select(
+        *group[:-1],
+        stem_of_output(output).alias("__stem"),
+        F.coalesce(digits.cast("bigint"), F.lit(1)).alias("__number"),
     )
-    ranked = running_total(numbers.distinct(), [*keys, "__stem"], "__number", into="__rank")
+
+
+def _free_before(taken: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(keys, __stem, __free, __taken): how many names are taken after that many free ones."""
+    ranked = running_total(taken, group, "__number", into="__rank")
     free = (F.col("__number") - F.col("__rank")).alias("__free")
-    return ranked.groupBy(*keys, "__stem", free).agg(F.count("*").alias("__taken"))
+    return ranked.groupBy(*group, free).agg(F.count("*").alias("__taken"))
 
 
 def _skip_taken(rows: DataFrame, group: list[str], taken: DataFrame) -> DataFrame:

@@ -77,8 +77,8 @@ def _native_step(
     t, n = "__t", "__n"
     for at, (rule, java) in enumerate(pairs, start=first):
         mark = f"__m{at}"
-        found = hits_in(rule, mark, t)
-        columns.append(f"{marked(rule, java, t)} AS {mark}")
+        found = hits_in(rule, java, style, mark, t)
+        columns.append(f"{marked(rule, java, style, t)} AS {mark}")
         columns.append(f"IF({found} = 0, {t}, {rewritten(java, style, t, mark)}) AS __t{at}")
         columns.append(f"{n} + {found} AS __n{at}")
         if original is not None:

@@ -22,9 +22,9 @@ LEVELS = 2
 BROADCAST_ROWS = 1_000_000
 
 
-def block_of(order: str):
+def block_of(order: str, bits: int | None = None):
     """The block an order value falls into; grows with the order."""
-    return F.shiftright(F.col(order).cast("bigint"), BLOCK_BITS)
+    return F.shiftright(F.col(order).cast("bigint"), BLOCK_BITS if bits is None else bits)
 
 
 def grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,14 +99,15 @@ def running_total(
 
 
 def spread_lookup(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], order: str
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], order: str, bits: int | None = None
 ) -> DataFrame:
     """Give every row its group's columns without bringing a hot group together.
 
-    ``groups`` has one row per key.  Its rows are first copied to the blocks in
-    which their key occurs, then joined block by block.
+    ``groups`` has one row per key.  Its rows are first copied to the blocks of
+    ``2**bits`` order values in which their key occurs, then joined block by
+    block.  Wide values want small blocks: a block's rows meet in one task.
     """
-    blocked = grouped(rows, keys).withColumn("__block", block_of(order))
+    blocked = grouped(rows, keys).withColumn("__block", block_of(order, bits))
     places = blocked.select(GROUP, "__block").distinct()
     spread = places.join(grouped(groups, keys).drop(*keys), GROUP, "left")
     return blocked.join(spread, [GROUP, "__block"], "left").drop(GROUP, "__block")
@@ -115,7 +116,8 @@ def spread_lookup(
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Store ``df``, count it, and mark it for broadcast only if it is small.
 
-    Beyond ``max_rows`` the join that uses it is an ordinary shuffle join.
+    Beyond ``max_rows`` the join that uses it is an ordinary shuffle join.  The
+    checkpoint goes with the DataFrame where the session's cleaner is on.
     """
     ensure_checkpoint_dir(df.sparkSession)
     stored = df.checkpoint()

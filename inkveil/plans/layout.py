@@ -13,8 +13,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": "64m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
-SPREAD_BELOW = 64 * 1024 * 1024  # bytes per core
+INPUT_PARTITIONS = "spark.inkveil.inputPartitions"
 
 
 def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -25,13 +26,11 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Split a small table over the cores; leave a large one where it is.
+    """``df`` in as many partitions as the caller asked for in ``INPUT_PARTITIONS``.
 
-    A file of one row group is read by one task however many cores there are.
-    Where the whole input would fit one split per core, a shuffle by ``keys``
-    (unique ids, so no hot key) is cheaper than idle cores.  Beyond that size
-    the scan is parallel by itself and nothing is moved.
+    A file of one row group is read by one task however many cores there are;
+    a caller with such files (a benchmark over small tables) may have them
+    dealt by ``keys``, unique ids.  Unset, nothing is moved at any size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores, *keys) if size < cores * SPREAD_BELOW else df
+    asked = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(asked), *keys) if asked else df

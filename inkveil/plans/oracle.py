@@ -3,9 +3,11 @@
 The statements are written for DuckDB over the same tables.  They share the
 rule patterns and query parameters with the queries, and no logic.
 
-``redact_order_documents`` has none: a card number followed by a space and an
-accented letter ends after the space, because the letter is a word character;
-DuckDB's ``\\b`` knows ASCII letters only.  It is tested against Python instead.
+DuckDB's ``\\b`` knows ASCII letters only.  Where that matters
+(``redact_order_documents``: a card number before a space and an accented
+letter), matches are looked for in a copy of the text in which every other
+letter is an ``a`` and every other digit a ``0``, and cut out of the text by
+their positions.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from collections.abc import Sequence
 from inkveil.functions.names import ACCEPTED_SUFFIXES
 from inkveil.functions.rules import DEFAULT_LABELS, PATTERNS
 from inkveil.plans import workload as w
-from inkveil.sources.extract import _BLANK_STEPS, _ENTITIES, _HTML_STEPS
 
 DENSE = """(SELECT o_orderkey, concat_ws(' ',
     'mail', 'user' || o_custkey || '@example.com',
@@ -108,14 +109,58 @@ def summaries(source: str, keys: str) -> str:
     return f"SELECT {keys}, concat_ws(', ', {', '.join(pairs)}) AS summary FROM {source}"
 
 
+def by_position(source: str, key: str, patterns: Sequence[str]) -> str:
+    """Labels put where the patterns match in a copy of the text with ASCII letters only."""
+    letters = "regexp_replace(t, '[^\\x00-\\x7F\\P{L}]', 'a', 'g')"
+    ascii_copy = f"regexp_replace({letters}, '[^\\x00-\\x7F\\P{{N}}]', '0', 'g')"
+    steps = [f"t0 AS (SELECT {key}, coalesce(text, '') AS t, 0 AS n FROM {source})"]
+    for k, p in enumerate(patterns):
+        parts = f"""SELECT {key}, t, n,
+            list_transform(string_split_regex({ascii_copy}, {quoted('(?i)' + p)}), lambda x: length(x)) AS gaps,
+            list_transform(regexp_extract_all({ascii_copy}, {quoted(p)}, 0, 'i'), lambda x: length(x)) AS hits
+            FROM t{k}"""
+        begin = "coalesce(list_sum(gaps[1:i - 1]), 0) + coalesce(list_sum(hits[1:i - 1]), 0) + 1"
+        piece = f"substring(t, CAST({begin} AS BIGINT), gaps[i])"
+        steps.append(
+            f"t{k + 1} AS (SELECT {key}, CASE WHEN len(hits) = 0 THEN t ELSE array_to_string("
+            f"list_transform(range(1, len(gaps) + 1), lambda i: {piece}), '[REDACTED]') END AS t,"
+            f" n + len(hits) AS n FROM ({parts}))"
+        )
+    return (
+        f"WITH {', '.join(steps)} SELECT {key}, t AS redacted, n::INTEGER AS n_redacted"
+        f" FROM t{len(patterns)}"
+    )
+
+
 def html_text(html: str) -> str:
+    """A page as Markdown: parts without text, white space, blocks, other tags, references, blanks."""
     text = html
-    for pattern, mark in _HTML_STEPS:
-        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(mark)}, 'g')"
-    for entity, char in _ENTITIES:
-        text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
-    for pattern, mark in _BLANK_STEPS:
+
+    def put(pattern: str, mark: str) -> None:
+        nonlocal text
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(mark)}, 'g')"
+
+    put("(?s)<!--.*?-->", "")
+    for element in ("script", "style", "head"):
+        put(rf"(?is)<{element}(?:\s[^>]*)?>.*?</{element}\s*>", "")
+    put(r"\s+", " ")
+    for level in range(1, 7):
+        put(rf"(?i)<h{level}(?:\s[^>]*)?>", "\n\n" + "#" * level + " ")
+    put(r"(?i)<li(?:\s[^>]*)?>", "\n- ")
+    put(r"(?i)<br(?:[\s/][^>]*)?>", "\n")
+    blocks = "address article aside blockquote div footer header main nav p section table"
+    put(rf"(?i)</?(?:{'|'.join(blocks.split())})(?:\s[^>]*)?>", "\n\n")
+    put(r"(?i)</(?:h[1-6]|ol|ul)\s*>", "\n\n")
+    put(r"(?i)</?(?:dd|dt|tr)(?:\s[^>]*)?>", "\n")
+    put(r"(?i)</t[dh]\s*>", " ")
+    put(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>", "")
+    signs = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "copy": "©", "middot": "·"}
+    for name, sign in signs.items():
+        text = f"replace({text}, '&{name};', {quoted(sign)})"
+    text = f"replace({text}, '&amp;', '&')"
+    put("[ \t]+", " ")
+    put(" ?\n ?", "\n")
+    put("\n\n\n+", "\n\n")
     return f"trim({text}, ' ' || chr(10))"
 
 
@@ -213,16 +258,49 @@ MANIFEST = f"""SELECT src, seq, {SAFE} AS safe_name FROM (
 
 LAST = """SELECT seq, name, last_value(text) OVER (PARTITION BY name ORDER BY seq
         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text
-    FROM (SELECT doc_id AS seq, lang || '_' || source AS name, text FROM documents)"""
+    FROM (SELECT doc_id AS seq, CASE WHEN lang <> 'de' THEN lang || '_' || source END AS name, text
+        FROM documents)"""
 
 FIRST = """SELECT name, size, min(seq) AS seq
-    FROM (SELECT role AS name, length(text)::INTEGER AS size, conv_id * 1000 + turn AS seq
+    FROM (SELECT CASE WHEN role <> 'system' THEN role END AS name,
+            CASE WHEN conv_id % 3 <> 0 THEN length(text)::INTEGER END AS size,
+            conv_id * 1000 + turn AS seq
         FROM conversations) GROUP BY name, size"""
 
 GATE = f"""SELECT seq, name, {SUFFIX} AS suffix,
         {SUFFIX} IN ({', '.join(map(quoted, ACCEPTED_SUFFIXES))}) AS accepted
     FROM (SELECT seq, name FROM {NAMES} UNION ALL SELECT page_id, url FROM pages)"""
 
+# Submitted listings: usable names, and for each the last content of its name.
+LISTED = r"""(SELECT source AS run_id, doc_id AS seq, lang || '_' || doc_id % 40
+        || CASE WHEN doc_id % 5 = 0 THEN '.pdf' ELSE '.txt' END AS name, text AS own
+    FROM documents WHERE source IN ('src0', 'src3', 'src7') AND doc_id % 7 <> 0 AND doc_id % 11 <> 0)"""
+JOB_FILES = f"""(SELECT run_id, seq, name,
+        last_value(own) OVER (PARTITION BY run_id, name ORDER BY seq
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text,
+        CASE WHEN name LIKE '%.pdf' THEN 'No extractor for ''.pdf''' END AS error
+    FROM {LISTED})"""
+
+
+def submitted() -> str:
+    done = chain(JOB_FILES, "run_id, seq, name, error", list(PATTERNS.values()), "label")
+    names = named(JOB_FILES, "error IS NULL")
+    return f"""SELECT d.run_id, d.seq, d.name, o.output,
+            CASE WHEN d.error IS NULL THEN d.n ELSE 0 END::INTEGER AS n_redacted,
+            CASE WHEN d.error IS NULL THEN d.t END AS markdown
+        FROM {done} d JOIN {names} o USING (run_id, seq)"""
+
+
+def outcomes() -> str:
+    """run_id, n_ok, n_failed, sentence of the jobs that came to an end."""
+    return f"""(SELECT run_id, n_ok, n_failed, CASE
+            WHEN n_failed > 0 THEN 'Done — ' || n_ok || ' succeeded, ' || n_failed || ' failed.'
+            WHEN n_ok = 1 THEN 'Done — 1 file redacted.'
+            ELSE 'Done — ' || n_ok || ' files redacted.' END AS sentence
+        FROM (SELECT run_id, count(*) FILTER (error IS NULL) AS n_ok,
+            count(*) FILTER (error IS NOT NULL) AS n_failed FROM {JOB_FILES} GROUP BY run_id))"""
+
+
 STREAM_NAMES = "(SELECT 'stream' AS run_id, doc_id AS seq, lang || '.txt' AS name, text FROM documents)"
 
 
@@ -239,6 +317,7 @@ def statements() -> dict[str, str]:
         "redact_defaults": redacted(DENSE, "o_orderkey", of(DEFAULT_LABELS), "box"),
         "redact_selection": redacted(DENSE, "o_orderkey", of(w.REQUESTED), "label"),
         "redact_order": redacted(DENSE, "o_orderkey", of(w.REORDERED), "label"),
+        "redact_order_documents": by_position("documents", "doc_id", of(w.REORDERED)),
         "redact_count": f"""SELECT r.src, r.id, coalesce(d.n, 0)::INTEGER AS n_detected,
                 r.n::INTEGER AS n_redacted
             FROM {chain(TEXTS, 'src, id', every, 'box')} r
@@ -298,6 +377,14 @@ def statements() -> dict[str, str]:
         "expire_runs": """SELECT event_id AS run_id, ts AS created FROM events
             WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
         "run_lookup": f"SELECT * FROM {RESULTS} WHERE run_id = {quoted(w.LOOKUP_RUN)}",
+        "export_runs": f"""SELECT run_id, output, markdown AS text FROM {run('label')}
+            WHERE error IS NULL""",
+        "submit_run": submitted(),
+        "run_outcome": f"""SELECT run_id, 'done' AS status, sentence FROM {outcomes()}
+            UNION ALL SELECT 'broken', 'error', 'Job failed: it broke off'""",
+        "job_status": f"""SELECT run_id, 'done' AS status, CAST(NULL AS VARCHAR) AS error,
+                n_ok + n_failed AS current, n_ok + n_failed AS total, n_ok, n_failed, sentence
+            FROM {outcomes()} WHERE run_id = 'src0'""",
         "redact_stream": redacted("documents", "doc_id", every, "label"),
         "redact_stream_named": f"""SELECT seq, o.output, d.n::INTEGER AS n_redacted, d.t AS markdown
             FROM {chain(STREAM_NAMES, 'run_id, seq', every, 'label')} d

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkveil.functions.names import accepted, output_name, stem
 from inkveil.functions.rules import Rule
@@ -14,15 +15,18 @@ from inkveil.operators.detect import detect
 from inkveil.operators.ledger import activity_log, run_progress, run_results, run_summary
 from inkveil.operators.naming import number_outputs
 from inkveil.operators.redact import redact
-from inkveil.operators.skew import checked_broadcast
-from inkveil.plans.scratch import ensure_checkpoint_dir
+from inkveil.operators.skew import BROADCAST_ROWS, checked_broadcast
+from inkveil.plans.scratch import Staging
 from inkveil.sources.extract import Extractor, extract
+from inkveil.sources.outputs import by_run
 
 NO_MATCHES = "CAST(array() AS array<struct<label:string,n:int>>)"
 KEYS = ["run_id", "seq"]
 
 
-def _extracted(files: DataFrame, extractors: Mapping[str, Extractor] | None) -> DataFrame:
+def _extracted(
+    files: DataFrame, extractors: Mapping[str, Extractor] | None, staging: Staging
+) -> DataFrame:
     """Files with text and error.
 
     Work done by caller-supplied code is stored at once: later steps read it
@@ -30,10 +34,7 @@ def _extracted(files: DataFrame, extractors: Mapping[str, Extractor] | None) ->
     """
     work = extract(files, extractors).withColumn("accepted", accepted(F.col("name")))
     work = work.drop("content")
-    if not extractors:
-        return work
-    ensure_checkpoint_dir(files.sparkSession)
-    return work.checkpoint()
+    return staging.store(work, "extracted") if extractors else work
 
 
 def preview_sources(
@@ -59,6 +60,8 @@ def redact_sources(
     extractors: Mapping[str, Extractor] | None = None,
     existing: DataFrame | None = None,
     engine: str = "auto",
+    broadcast_rows: int = BROADCAST_ROWS,
+    staging: Staging | None = None,
 ) -> DataFrame:
     """Extract, detect, redact and name ``(run_id, seq, name, content)``.
 
@@ -68,12 +71,15 @@ def redact_sources(
 
     The documents themselves are never shuffled unless they have to be: names
     are numbered on (run, seq, name) alone, and only the numbers beyond 1 are
-    joined back, by broadcast while there are few of them.
+    joined back: by broadcast up to ``broadcast_rows``, by a shuffle beyond.
+    What ``staging`` holds may be cleared once the result is stored.
     """
-    work = _extracted(files, extractors)
+    staging = staging or Staging(files.sparkSession)
+    work = _extracted(files, extractors, staging)
     narrow = work.select(*KEYS, "name", F.col("error").isNull().alias("ok"))
     numbers = number_outputs(narrow, ["run_id"], ok="ok", existing=existing)
-    beyond = checked_broadcast(numbers.filter("number > 1").select(*KEYS, "number"))
+    numbered = numbers.filter("number > 1").select(*KEYS, "number")
+    beyond = checked_broadcast(numbered, broadcast_rows)
 
     done = redact(work, rules, style, matches_into="matches", into="markdown", engine=engine)
     good = F.col("error").isNull()
@@ -113,7 +119,19 @@ class RunTables:
         return activity_log(self.documents)
 
 
-def store_run(documents: DataFrame, path: str) -> RunTables:
-    """Write the documents of ``redact_sources`` once and derive everything from the table."""
-    documents.write.mode("overwrite").parquet(path)
-    return RunTables(documents.sparkSession.read.parquet(path))
+def store_run(documents: DataFrame, path: str, staging: Staging | None = None) -> RunTables:
+    """Write the documents of ``redact_sources`` once and derive everything from the table.
+
+    The table has a folder per run, so one run is found without reading the
+    others; runs already there are kept, or replaced if they are written again.
+    """
+    writer = by_run(documents).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
+    if staging is not None:
+        staging.clear()
+    return stored_run(documents.sparkSession, path, documents.schema)
+
+
+def stored_run(spark: SparkSession, path: str, schema: StructType | str) -> RunTables:
+    """The tables of runs that ``store_run`` wrote."""
+    return RunTables(spark.read.schema(schema).parquet(path))

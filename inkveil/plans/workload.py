@@ -21,6 +21,7 @@ from inkveil.operators.detect import corpus_totals, detect, long_counts, summary
 from inkveil.operators.manifest import dedup_inputs, input_manifest, last_write_wins
 from inkveil.operators.naming import output_names
 from inkveil.operators.redact import redact
+from inkveil.plans.jobs import job_documents, job_runs, job_status, submit
 from inkveil.plans.layout import spread
 from inkveil.plans.run import preview_sources, redact_sources, store_run
 from inkveil.plans.scratch import scratch_path
@@ -206,11 +207,20 @@ def _scan_text_files(spark, sf_dir):
     turns = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     named = turns.selectExpr("concat('turn ', conv_id, ' ', turn, '.MD') AS output", "text AS markdown")
     folder = scratch_path(spark, "text-files")
-    uri = folder if "://" in folder else f"file://{folder}"
-    export_files(named, uri).write.format("noop").mode("overwrite").save()
+    export_files(named, folder, keys=()).write.format("noop").mode("overwrite").save()
     return scan_text_files(spark, folder).select("name", "text")
 
 
+def _export_runs(spark, sf_dir):
+    """Every run's outputs as files in a folder of its own, read back."""
+    done = _run(spark, sf_dir, "label").filter("error IS NULL")
+    folder = scratch_path(spark, "exported")
+    export_files(done, folder).write.format("noop").mode("overwrite").save()
+    back = scan_text_files(spark, folder)
+    run_id = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
+    return back.select(run_id.alias("run_id"), F.col("name").alias("output"), "text")
+
+
 def _input_manifest(spark, sf_dir):
     """Listed names: page addresses, and documents of which some have no name."""
     pages = table(spark, sf_dir, "pages").selectExpr("'pages' AS src", "page_id AS seq", "url AS name")
@@ -225,13 +235,19 @@ def _input_manifest(spark, sf_dir):
 
 def _last_write_wins(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    listed = docs.selectExpr("doc_id AS seq", "concat(lang, '_', source) AS name", "text")
+    listed = docs.selectExpr(
+        "doc_id AS seq", "IF(lang = 'de', NULL, concat(lang, '_', source)) AS name", "text"
+    )
     return last_write_wins(listed, ["name"], "seq", ["text"])
 
 
 def _dedup_inputs(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    listed = turns.selectExpr("role AS name", "length(text) AS size", "conv_id * 1000 + turn AS seq")
+    listed = turns.selectExpr(
+        "nullif(role, 'system') AS name",
+        "IF(conv_id % 3 = 0, NULL, length(text)) AS size",
+        "conv_id * 1000 + turn AS seq",
+    )
     return dedup_inputs(listed)
 
 
@@ -278,13 +294,54 @@ def _write_outputs(spark, sf_dir):
     return read_outputs(spark, path)
 
 
+def _stored(spark, sf_dir, style="label"):
+    return store_run(_run(spark, sf_dir, style), scratch_path(spark, "run"))
+
+
 def _bundle_manifest(spark, sf_dir):
-    return bundle_manifest(_run(spark, sf_dir, "box"), "pages")
+    return bundle_manifest(_stored(spark, sf_dir, "box").documents, "pages")
 
 
 def _run_activity(spark, sf_dir):
-    tables = store_run(_run(spark, sf_dir), scratch_path(spark, "run"))
-    return tables.activity
+    return _stored(spark, sf_dir).activity
+
+
+SUBMITTED = ("src0", "src3", "src7")
+
+
+def _submitted(spark, sf_dir):
+    """Three jobs of listed documents, and one that breaks off as a whole."""
+    root = scratch_path(spark, "jobs")
+    for source in SUBMITTED:
+        docs = table(spark, sf_dir, "documents").filter(F.col("source") == source)
+        listing = docs.selectExpr(
+            "doc_id AS seq",
+            "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN '..'"
+            " ELSE concat(' ', lang, '/', doc_id % 40, IF(doc_id % 5 = 0, '.pdf', '.txt')) END AS name",
+            "cast(text AS binary) AS content",
+        )
+        submit(listing, detector_rules(), root, source, "label")
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "'a.txt' AS name", "cast(text AS binary) AS content")
+    lost = F.when(F.col("seq").isNotNull(), F.raise_error(F.lit("disk full"))).otherwise(F.col("content"))
+    submit(docs.withColumn("content", lost), detector_rules(), root, "broken", "label")
+    return root
+
+
+def _submit_run(spark, sf_dir):
+    documents = job_documents(spark, _submitted(spark, sf_dir)).documents
+    return documents.select("run_id", "seq", "name", "output", "n_redacted", "markdown")
+
+
+def _run_outcome(spark, sf_dir):
+    root = _submitted(spark, sf_dir)
+    runs = job_runs(spark, root).drop("error")
+    said = ledger.run_outcome(runs.withColumn("error", F.lit("it broke off")), job_documents(spark, root).results)
+    return said.select("run_id", "status", "sentence")
+
+
+def _job_status(spark, sf_dir):
+    told = job_status(spark, _submitted(spark, sf_dir), SUBMITTED[0])
+    return told.select("run_id", "status", "error", "current", "total", "n_ok", "n_failed", "sentence")
 
 
 def _expire_runs(spark, sf_dir):
@@ -293,7 +350,7 @@ def _expire_runs(spark, sf_dir):
 
 
 def _run_lookup(spark, sf_dir):
-    return ledger.find_run(ledger.run_results(_run(spark, sf_dir)), LOOKUP_RUN)
+    return ledger.find_run(_stored(spark, sf_dir).results, LOOKUP_RUN)
 
 
 def _document_stream(spark, sf_dir):
@@ -378,6 +435,10 @@ def registered() -> dict[str, Query]:
         "activity_log": _run_activity,
         "expire_runs": _expire_runs,
         "run_lookup": _run_lookup,
+        "export_runs": _export_runs,
+        "submit_run": _submit_run,
+        "run_outcome": _run_outcome,
+        "job_status": _job_status,
         "redact_stream": _redact_stream,
         "redact_stream_named": _redact_stream_named,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,52 +15,77 @@ from inkveil.sources.files import TEXT_SUFFIXES, decode_text
 HTML_SUFFIXES = (".html", ".htm")
 Extractor = Callable[[bytes], str]
 
-# What an HTML page turns into, applied from top to bottom.
+# What an HTML page turns into, applied from top to bottom.  Every step takes
+# time linear in the page: a comment or script that is never closed runs to the
+# end, as in a browser, and a tag ends at the next bracket of either kind.
 _HTML_STEPS = (
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
+    (r"(?s)<!--.*?(?:-->|\z)", ""),
+    (r"(?is)<script\b[^<>]*>.*?(?:</script\s*>|\z)", ""),
+    (r"(?is)<style\b[^<>]*>.*?(?:</style\s*>|\z)", ""),
+    (r"(?is)<head\b[^<>]*>.*?(?:</head\s*>|\z)", ""),
     (r"[ \t\r\n\f]+", " "),
-    (r"(?i)<h1\b[^>]*>", "\n\n# "),
-    (r"(?i)<h2\b[^>]*>", "\n\n## "),
-    (r"(?i)<h3\b[^>]*>", "\n\n### "),
-    (r"(?i)<h4\b[^>]*>", "\n\n#### "),
-    (r"(?i)<h5\b[^>]*>", "\n\n##### "),
-    (r"(?i)<h6\b[^>]*>", "\n\n###### "),
-    (r"(?i)<li\b[^>]*>", "\n- "),
-    (r"(?i)<br\b[^>]*>", "\n"),
-    (r"(?i)</?(?:address|article|aside|blockquote|div|footer|header|main|nav|p|section|table)\b[^>]*>", "\n\n"),
+    (r"(?i)<h1\b[^<>]*>", "\n\n# "),
+    (r"(?i)<h2\b[^<>]*>", "\n\n## "),
+    (r"(?i)<h3\b[^<>]*>", "\n\n### "),
+    (r"(?i)<h4\b[^<>]*>", "\n\n#### "),
+    (r"(?i)<h5\b[^<>]*>", "\n\n##### "),
+    (r"(?i)<h6\b[^<>]*>", "\n\n###### "),
+    (r"(?i)<li\b[^<>]*>", "\n- "),
+    (r"(?i)<br\b[^<>]*>", "\n"),
+    (r"(?i)</?(?:address|article|aside|blockquote|div|footer|header|main|nav|p|section|table)\b[^<>]*>", "\n\n"),
     (r"(?i)</(?:h[1-6]|ol|ul)\s*>", "\n\n"),
-    (r"(?i)</?(?:dd|dt|tr)\b[^>]*>", "\n"),
+    (r"(?i)</?(?:dd|dt|tr)\b[^<>]*>", "\n"),
     (r"(?i)</(?:td|th)\s*>", " "),
-    (r"<[a-zA-Z/!?][^>]*>", ""),
+    (r"<[a-zA-Z/!?][^<>]*>", ""),
 )
-_ENTITIES = (
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-)
 _BLANK_STEPS = ((r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
+# Named references of HTML 4, from the standard library; a hard space is a space here.
+_NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+_REFERENCE = r"^(?:#([0-9]{1,7})(?![0-9]);?|#[xX]([0-9a-fA-F]{1,6})(?![0-9a-fA-F]);?|([A-Za-z][A-Za-z0-9]{1,7});)"
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    safe = F.when(known, code).otherwise(0xFFFD)
+    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+
+
+def decode_references(text: Column) -> Column:
+    """Character references as characters: named ones, decimal and hexadecimal ones.
+
+    One pass over the pieces between ampersands, so that what a reference
+    yields is never read as part of another one.  Texts without an ampersand
+    are passed on.
+    """
+    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+
+    def piece(part: Column, at: Column) -> Column:
+        decimal, hexadecimal = F.regexp_extract(part, _REFERENCE, 1), F.regexp_extract(part, _REFERENCE, 2)
+        name = F.regexp_extract(part, _REFERENCE, 3)
+        char = (
+            F.when(decimal != "", _character(decimal.cast("bigint")))
+            .when(hexadecimal != "", _character(F.conv(hexadecimal, 16, 10).cast("bigint")))
+            .when(name != "", F.try_element_at(names, name))
+        )
+        rest = F.regexp_replace(part, _REFERENCE, "")
+        found = F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+        return F.when(at == 0, part).otherwise(found)
+
+    decoded = F.array_join(F.transform(F.split(text, "&", -1), piece), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def html_to_markdown(html: Column) -> Column:
-    """Headings, list items and paragraphs of an HTML page as Markdown text."""
+    """Headings, list items and paragraphs of an HTML page as Markdown text.
+
+    What stands only in attributes, such as the target of a link, is no text
+    of the page and is dropped with its tag.
+    """
     text = html
     for pattern, mark in _HTML_STEPS:
         text = F.regexp_replace(text, pattern, mark)
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = decode_references(text)
     for pattern, mark in _BLANK_STEPS:
         text = F.regexp_replace(text, pattern, mark)
     return F.btrim(text, F.lit(" \n"))

@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkveil.operators.skew import GROUP, grouped
 
-def write_outputs(documents: DataFrame, path: str) -> None:
+
+ROWS_PER_FILE = 100_000
+
+
+def by_run(documents: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows dealt by run: a small run to one task, a large one to several.
+
+    How many is known from one count per run, so that tasks times runs files
+    are not written, nor a run with a third of all rows by one task.
+    """
+    shares = documents.groupBy("run_id").agg(
+        F.ceil(F.count("*") / rows_per_file).cast("int").alias("__shares")
+    )
+    left = grouped(documents, ["run_id"])
+    placed = left.join(grouped(shares, ["run_id"]).drop("run_id"), GROUP).withColumn(
+        "__share", F.pmod(F.xxhash64("output"), F.col("__shares"))
+    )
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "run_id", "__share").select(*documents.columns)
+
+
+def write_outputs(documents: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Store ``(run_id, output, markdown)`` as a table with a folder per run.
 
-    Writing a run again replaces that run and leaves the others alone.
+    Writing a run again replaces that run and leaves the others alone.  A run
+    of up to ``rows_per_file`` documents is one file.  ``documents`` is read
+    twice, the first time for the run ids alone.
     """
-    columns = documents.select("run_id", "output", "markdown")
+    columns = by_run(documents.select("run_id", "output", "markdown"), rows_per_file)
     writer = columns.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("run_id").parquet(path)
 
@@ -31,12 +55,16 @@ def bundle_manifest(outputs: DataFrame, run_id) -> DataFrame:
     return chosen.select("output", F.octet_length("markdown").alias("size")).orderBy("output")
 
 
-def export_files(outputs: DataFrame, folder: str) -> DataFrame:
-    """Write one UTF-8 file per output; returns the names written (run it by an action).
+def export_files(outputs: DataFrame, folder: str, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Write one UTF-8 file per output; returns the keys and names written (run it by an action).
 
-    ``folder`` is a URI every executor can reach.  A file is written under a
-    temporary name and moved, so a repeated task leaves the same files behind.
+    ``folder`` is a URI every executor can reach.  A file goes to
+    ``<folder>/<key>/.../<output>``, so equal names of different runs do not
+    meet.  Keys and names that are no plain file names (empty, ``.``, ``..``,
+    or with a slash) are refused.  A file is written under a temporary name
+    and moved, so a repeated task leaves the same files behind.
     """
+    names = [*keys, "output"]
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from uuid import uuid4
@@ -44,14 +72,21 @@ def export_files(outputs: DataFrame, folder: str) -> DataFrame:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
-            for output, markdown in zip(batch["output"], batch["markdown"]):
-                draft = f"{base}/.{uuid4().hex}"
+            for *path, markdown in batch[[*names, "markdown"]].itertuples(index=False):
+                parts = [str(p) for p in path]
+                if any(p in ("", ".", "..") or "/" in p for p in parts):
+                    raise ValueError(f"Unsafe output path {parts}")
+                below = "/".join([base, *parts[:-1]])
+                if below not in made:
+                    store.create_dir(below, recursive=True)
+                    made.add(below)
+                draft = f"{below}/.{uuid4().hex}"
                 with store.open_output_stream(draft) as stream:
                     stream.write(markdown.encode("utf-8"))
-                store.move(draft, f"{base}/{output}")
-            yield batch[["output"]]
+                store.move(draft, f"{below}/{parts[-1]}")
+            yield batch[names]
 
-    named = outputs.filter(F.col("output") != "").select("output", "markdown")
-    return named.mapInPandas(write, "output string")
+    named = outputs.filter(F.col("output") != "").select(*names, F.coalesce("markdown", F.lit("")).alias("markdown"))
+    return named.mapInPandas(write, named.select(*names).schema)

@@ -9,16 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from inkveil.functions.names import stem
 from inkveil.functions.rules import Rule
+from inkveil.operators.naming import stem_of_output
 from inkveil.operators.redact import redact
 from inkveil.plans.run import redact_sources
+from inkveil.plans.scratch import Staging
 from inkveil.sources.files import FILE_SCHEMA, as_files
 
-USED_NAMES = "output string, batch_id bigint"
+BUCKETS = 16
+LEDGER = "output string, bucket int, batch_id bigint"
 STORED = "seq bigint, output string, n_redacted int, markdown string, batch_id bigint"
 
 
@@ -57,24 +61,38 @@ def start_named(
 
     Each batch goes to its own folder of the table.  A batch that is repeated
     after a failure overwrites that folder and does not see its own names.
+    The names given are also kept in a ledger beside the table,
+    ``<path>_names``, in buckets of stems; a batch reads the buckets its own
+    stems fall into, and nothing else of what came before.
     """
+    ledger = f"{path.rstrip('/')}_names"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spark.createDataFrame([], STORED).write.mode("append").partitionBy("batch_id").parquet(path)
-        used = spark.read.schema(USED_NAMES).parquet(path)
-        used = used.filter((F.col("batch_id") != batch_id) & (F.col("output") != ""))
+        spark, staging = batch.sparkSession, Staging(batch.sparkSession)
+        spark.createDataFrame([], LEDGER).write.mode("append").partitionBy("bucket", "batch_id").parquet(ledger)
+        stems = batch.select(_bucket(stem(F.col("name"))).alias("bucket")).distinct()
+        near = [r["bucket"] for r in stems.collect()]  # at most BUCKETS
+        used = spark.read.schema(LEDGER).parquet(ledger)
+        used = used.filter(F.col("bucket").isin(near) & (F.col("batch_id") != batch_id))
+        existing = used.select(F.lit("stream").alias("run_id"), "output")
         files = batch.withColumn("run_id", F.lit("stream"))
-        named = redact_sources(
-            files, rules, style, existing=used.select(F.lit("stream").alias("run_id"), "output")
-        )
+        named = redact_sources(files, rules, style, existing=existing, staging=staging)
         stored = named.select("seq", "output", "n_redacted", "markdown")
         stored.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        given = spark.read.parquet(f"{path}/batch_id={batch_id}").filter("output <> ''").select("output")
+        given = given.withColumns({"bucket": _bucket(stem_of_output(F.col("output"))), "batch_id": F.lit(batch_id)})
+        lines = given.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        lines.partitionBy("bucket", "batch_id").parquet(ledger)
+        staging.clear()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
+def _bucket(of: Column) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(BUCKETS)).cast("int")
+
+
 def named_outputs(spark: SparkSession, path: str) -> DataFrame:
     """The table written by ``start_named``."""
     return spark.read.schema(STORED).parquet(path)

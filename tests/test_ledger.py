@@ -89,3 +89,7 @@ def test_names_across_batches(spark, tmp_path):
         "a_redacted.md", "a_redacted_2.md", "b_redacted.md", "a_redacted_3.md",
     ]
     assert {r.markdown for r in rows} == {"[REDACTED]"}
+    # The ledger of names is laid out by stem, so that a batch reads what it may collide with.
+    ledger_rows = spark.read.parquet(f"{out}_names").collect()
+    assert sorted(r.output for r in ledger_rows) == sorted(r.output for r in rows)
+    assert len({r.bucket for r in ledger_rows if r.output.startswith("a")}) == 1

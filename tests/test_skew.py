@@ -48,7 +48,7 @@ def test_spread_lookup(spark, bits):
 
 
 def test_last_write_and_first_entry(spark, bits):
-    rows = [(o, k or "none", w, f"{o}") for k, o, w in rows_with_hot_key(150)]
+    rows = [(o, k, w or None, f"{o}") for k, o, w in rows_with_hot_key(150)]
     df = spark.createDataFrame(rows, "seq bigint, name string, size int, content string")
     last = last_write_wins(df).collect()
     assert len(last) == len(rows)
@@ -77,6 +77,16 @@ def names_by_hand(rows, taken):
     return out
 
 
+def test_null_keys_are_kept(spark):
+    rows = [(1, None, 5), (2, "a", None), (3, "a", 3), (4, "a", 3), (5, None, 5), (6, "a", None)]
+    df = spark.createDataFrame(rows, "seq bigint, name string, size int")
+    assert sorted(r.seq for r in dedup_inputs(df).collect()) == [1, 2, 3]
+    listed = df.selectExpr("seq", "name", "cast(seq as string) AS content")
+    assert {r.seq: r.content for r in last_write_wins(listed).collect()} == {
+        1: "5", 5: "5", 2: "6", 3: "6", 4: "6", 6: "6",
+    }
+
+
 @pytest.mark.parametrize("with_existing", [False, True])
 def test_output_names(spark, bits, with_existing):
     rng = random.Random(5)

@@ -91,6 +91,38 @@ def test_html(spark):
     assert text == "# Head & more\n\nOne two three\nfour <x> 1 < 2\n\n- a\n- b"
 
 
+def markdown(spark, html):
+    return spark.createDataFrame([(html,)], "html string").select(html_to_markdown(F.col("html")).alias("t")).first().t
+
+
+def test_character_references(spark):
+    assert markdown(spark, "<p>john&#64;example.com 555&#45;010&#x2D;1234</p>") == "john@example.com 555-010-1234"
+    assert markdown(spark, "&#x1F600;&#233;&eacute;&euro;&#38;lt; &amp;amp; &amp;#64;") == "😀éé€&lt; &amp; &#64;"
+    assert markdown(spark, "a & b &unknown; &#; &#xZZ; &lt") == "a & b &unknown; &#; &#xZZ; &lt"
+    assert markdown(spark, "&#0;&#xD800;&#1114112;&#64") == "\ufffd\ufffd\ufffd@"
+    rules = detector_rules()
+    page = [("r", 1, "a.html", bytearray(b"<p>john&#64;example.com</p>"))]
+    df = spark.createDataFrame(page, "run_id string, seq bigint, name string, content binary")
+    assert redact_sources(df, rules, "label").first().markdown == "[REDACTED]"
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<h1 ", "<script ", "<style>", "&#", "&amp", "<"])
+def test_malformed_pages_take_linear_time(spark, piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    markdown(spark, piece)  # compiled
+    start = time.perf_counter()
+    markdown(spark, page)
+    assert time.perf_counter() - start < 4
+
+
+def test_unclosed_parts_run_to_the_end(spark):
+    assert markdown(spark, "<p>a</p><!-- b <p>c</p>") == "a"
+    assert markdown(spark, "a<script>b</scripty>c") == "a"
+    assert markdown(spark, '<a href="mailto:x@y.com">write</a>') == "write"
+
+
 def broken(content):
     raise RuntimeError("bad file")
 
@@ -186,6 +218,29 @@ def test_outputs(spark, tmp_path):
     ]
     assert listing[0].size == len("mail [REDACTED]")
     folder = tmp_path / "files"
-    exported = export_files(stored.filter("run_id = 'r'"), f"file://{folder}").collect()
-    assert sorted(r.output for r in exported) == sorted(os.listdir(folder))
-    assert (folder / "tax-form_redacted_2.md").read_text() == "EIN: [REDACTED]"
+    exported = export_files(stored, f"file://{folder}").collect()
+    found = {(run, name) for run in os.listdir(folder) for name in os.listdir(folder / run)}
+    assert {(r.run_id, r.output) for r in exported} == found and len(found) == 5
+    assert (folder / "r" / "tax-form_redacted_2.md").read_text() == "EIN: [REDACTED]"
+    assert (folder / "s" / "tax-form_redacted.md").read_text() == "nothing"
+    assert (folder / "r" / "tax-form_redacted.md").read_text() != "nothing"
+
+
+@pytest.mark.parametrize("run_id,output", [("r", "../up.md"), ("..", "a.md"), ("r", "a/b.md"), ("", "a.md")])
+def test_unsafe_outputs_are_refused(spark, tmp_path, run_id, output):
+    df = spark.createDataFrame([(run_id, output, "x")], "run_id string, output string, markdown string")
+    with pytest.raises(Exception, match="Unsafe output path"):
+        export_files(df, f"file://{tmp_path}/files").collect()
+    assert not (tmp_path / "up.md").exists()
+
+
+def test_stored_runs_are_few_files_and_prune(spark, tmp_path):
+    rows = [(f"r{i % 6}" if i % 3 else "hot", i, f"o{i}.md", "x") for i in range(600)]
+    df = spark.createDataFrame(rows, "run_id string, seq int, output string, markdown string").repartition(16)
+    path = tmp_path / "out"
+    write_outputs(df, str(path), rows_per_file=100)
+    files = {d: len(list((path / d).glob("*.parquet"))) for d in os.listdir(path) if d.startswith("run_id")}
+    assert all(n == 1 for d, n in files.items() if "hot" not in d) and 1 < files["run_id=hot"] <= 3
+    plan = read_outputs(spark, str(path)).filter("run_id = 'r1'")
+    assert plan.count() == sum(r[0] == "r1" for r in rows)
+    assert "PartitionFilters: [isnotnull(run_id" in plan._jdf.queryExecution().executedPlan().toString()
