@@ -14,7 +14,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from inkveil.plans.layout import configured
+from inkveil.plans.layout import INPUT_PARTITIONS, configured
 from inkveil.plans.workload import registered
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -23,7 +23,8 @@ ROUNDS = int(os.environ.get("BENCH_ROUNDS", "3"))
 HEADLINE = (
     "redact_label,redact_box,detect_counts,corpus_detect_totals,redact_label_dense,"
     "redact_box_dense,keyword_redact,custom_regex_redact,custom_regex_python,extract_html,"
-    "redact_sources,output_names,output_names_existing,last_write_wins,dedup_inputs,run_progress"
+    "redact_sources,output_names,output_names_existing,last_write_wins,dedup_inputs,run_progress,"
+    "write_outputs,activity_log,redact_stream_named,scan_preview"
 )
 
 
@@ -31,6 +32,8 @@ def main() -> None:
     spark = (
         configured(SparkSession.builder.master(f"local[{CPUS}]").appName("bench"))
         .config("spark.sql.shuffle.partitions", str(2 * int(CPUS)))
+        # The tables are single row groups, which one task would read.
+        .config(INPUT_PARTITIONS, str(2 * int(CPUS)))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
