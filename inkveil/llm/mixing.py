@@ -31,9 +31,9 @@ class MixRules:
 
     weights: Sequence[float] = (1, 2, 3)
     most: int = 3
-    block: int = 128
-    slots_per_shard: int = 1 << 18
-    min_shards: int = 8
+    block: int = 64
+    slots_per_shard: int = 1 << 16
+    min_shards: int = 4
     seed: int = 7
     max_sources: int = 100_000
     rows_per_bucket: int = 20_000
