@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -204,14 +203,18 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = _keyed(docs.select(*kept)).withColumn("__key", F.struct(F.col("__doc").alias("doc_id"), F.col("__h").alias("h")))
 
-    def apply(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
-        done = [cut(t, list(p), rules) for t, p in zip(texts, places, strict=True)]
-        return pd.DataFrame(done, columns=["text", "n"])
-
-    cutter = F.pandas_udf(apply, "text string, n bigint")
-    joined = rows.join(found, "__key", "left").withColumn(
-        "__cut", F.when(F.col("__at").isNotNull(), cutter(F.col("__text"), F.coalesce("__at", F.array().cast("array<int>"))))
-    )
+    def apply(texts: pa.Array, places: pa.Array) -> pa.Array:
+        done = []
+        for text, at in zip(texts.to_pylist(), places.to_pylist(), strict=True):
+            left, n = (None, 0) if at is None else cut(text, at, rules)
+            done.append({"text": left, "n": n})
+        return pa.array(done, type=pa.struct([("text", pa.string()), ("n", pa.int64())]))
+
+    # Texts that stay are not sent to Python.  Both results come from one call:
+    # an expression that counts as nondeterministic is not copied into each use.
+    cutter = F.arrow_udf(apply, "text string, n bigint").asNondeterministic()
+    hit = F.when(F.col("__at").isNotNull(), F.col("__text"))
+    joined = rows.join(found, "__key", "left").withColumn("__cut", cutter(hit, F.col("__at")))
     text = F.when(F.col("__at").isNotNull() & F.col("text").isNotNull(), F.col("__cut.text")).otherwise(F.col("text"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in kept],

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,16 +132,19 @@ def mix_slots(spark, sources: Sequence[Source], rules: MixRules) -> DataFrame:
         empty = spark.createDataFrame([], schema)
         return empty.select("shard", F.col("n").alias("slot"), "src", F.col("n").alias("block"), F.col("n").alias("pass"))
 
-    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = pa.schema([("shard", pa.int64()), ("src", pa.int32()), ("n", pa.int64())])
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for shard in part["id"]:
+            for shard in part.column("id").to_pylist():
                 slots = total * (shard + 1) // shards - total * shard // shards
                 rng = np.random.Generator(np.random.Philox(key=[rules.seed, shard]))
                 counts = draw_counts(expected, int(slots), rng)
                 src = np.flatnonzero(counts)
-                yield pd.DataFrame({"shard": shard, "src": src.astype(np.int32), "n": counts[src]})
+                columns = [np.full(len(src), shard), src.astype(np.int32), counts[src]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
 
-    drawn = spark.range(shards).mapInPandas(draw, schema)
+    drawn = spark.range(shards).mapInArrow(draw, schema)
     blocks = F.get(F.array(*[F.lit(int(s.blocks)) for s in sources]), F.col("src")).cast("bigint")
     before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("shard").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,12 +165,12 @@ def mix_slots(spark, sources: Sequence[Source], rules: MixRules) -> DataFrame:
     )
     seed = rules.seed
 
-    def mapped(k: pd.Series, size: pd.Series, src: pd.Series) -> pd.Series:
-        k, size = k.to_numpy(np.int64), size.to_numpy(np.int64)
-        key = (src.to_numpy(np.uint64) << np.uint64(32)) + (k // size).astype(np.uint64) + (np.uint64(seed) << np.uint64(56))
-        return pd.Series(permute(k % size, size, key))
+    def mapped(k: pa.Array, size: pa.Array, src: pa.Array) -> pa.Array:
+        k, size, src = k.to_numpy(), size.to_numpy(), src.to_numpy().astype(np.uint64)
+        key = (src << np.uint64(32)) + (k // size).astype(np.uint64) + (np.uint64(seed) << np.uint64(56))
+        return pa.array(permute(k % size, size, key))
 
-    block = F.pandas_udf(mapped, "bigint")(F.col("k"), F.col("blocks"), F.col("src"))
+    block = F.arrow_udf(mapped, "bigint")(F.col("k"), F.col("blocks"), F.col("src"))
     return numbered.select(
         "shard", "slot", "src", block.alias("block"), F.floor(F.col("k") / F.col("blocks")).alias("pass")
     )
@@ -318,10 +321,12 @@ def mix_documents(docs: DataFrame, source: str = "source", rules: MixRules = Mix
         "__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
     )
 
-    def taken(texts: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([passages(t, [tuple(p.values()) for p in ps]) for t, ps in zip(texts, parts, strict=True)])
+    def taken(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), parts.to_pylist(), strict=True)
+        found = [passages(t, [tuple(p.values()) for p in ps]) for t, ps in pairs]
+        return pa.array(found, type=pa.list_(pa.string()))
 
-    cut = F.pandas_udf(taken, "array<string>")(text, F.col("__pieces"))
+    cut = F.arrow_udf(taken, "array<string>")(text, F.col("__pieces"))
     # The number is compared as a difference, so that the join is on the key alone
     # and texts stay where the window has them.
     same = (rows["__key"] == used["__key"]) & (F.col("__copy") - F.col("__number") == 0)

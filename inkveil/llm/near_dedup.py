@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -234,9 +233,11 @@ def _chunked(rows: DataFrame, rules: NearRules) -> DataFrame:
     ).drop("__chunks", "__other")
 
 
-def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _groups(frames):
     """Whole groups of (key, c, d) from batches in that order."""
-    rest: pd.DataFrame | None = None
+    import pandas as pd  # here, as most tasks do without it
+
+    rest = None
     for frame in frames:
         frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
         new = (frame[["key", "c", "d"]].shift() != frame[["key", "c", "d"]]).any(axis=1).to_numpy()
@@ -272,7 +273,9 @@ def _open_rows(buckets: DataFrame, found: DataFrame) -> DataFrame:
 def _promising(rows: DataFrame, planes: DataFrame, rules: NearRules) -> DataFrame:
     """The members with a candidate of another component in their bucket."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames):
+        import pandas as pd
+
         for g in _groups(frames):
             node, comp = g["node"].to_numpy(), g["comp"].to_numpy()
             codes = np.stack(g["planes"].to_list()).astype(np.int64)
@@ -289,7 +292,9 @@ def _promising(rows: DataFrame, planes: DataFrame, rules: NearRules) -> DataFram
 def _joining(rows: DataFrame, planes: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     """Links ``(a, b)`` that join components within a bucket's chunks, checked on full sets."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames):
+        import pandas as pd
+
         for g in _groups(frames):
             node = g["node"].to_numpy()
             _, label = np.unique(g["comp"].to_numpy(), return_inverse=True)
