@@ -218,7 +218,7 @@ def judge(
     an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(stratum), "text")
-    stats = stored(with_statistics(rows), "quality").drop("text")
+    stats = stored(with_statistics(rows).drop("text"), "quality")
     good = stats.join(good_labels(labels), "doc_id", "left_semi")
     return with_verdict(stats, certified_cutoffs(good, stratum, risk=risk), stratum)
 
