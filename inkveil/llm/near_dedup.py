@@ -40,7 +40,8 @@ class NearRules:
 
     ``missed`` bounds the probability that a link at the threshold shares no
     band; it sets the number of bands.  ``chunk`` bounds the members of a
-    bucket that one task compares; ``broadcast_rows`` bounds the ids sent to
+    bucket that one task compares with as many others, ``chunk_shingles`` the
+    shingles of their sets; ``broadcast_rows`` bounds the ids sent to
     all executors to find candidates' texts, beyond it a shuffle join does.
     """
 
@@ -48,6 +49,7 @@ class NearRules:
     percent: int = 80
     missed: float = 1e-7
     chunk: int = 1024
+    chunk_shingles: int = 1 << 20
     broadcast_rows: int = 1_000_000
 
     @property
@@ -222,9 +224,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     return both.filter(100 * common >= rules.percent * (sizes - common)).select("a", "b")
 
 
-def _chunked(rows: DataFrame, rules: NearRules) -> DataFrame:
+def _chunked(rows: DataFrame, chunks: Column) -> DataFrame:
     """Copies of bucket members for every pair of chunks ``(key, c, d)`` they are compared in."""
-    chunks = F.ceil(F.col("n") / rules.chunk).cast("int")
+    chunks = F.greatest(chunks, F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))
     spread = rows.withColumn("__chunks", chunks).withColumn("__own", own).withColumn("__other", other)
@@ -285,7 +287,8 @@ def _promising(rows: DataFrame, planes: DataFrame, rules: NearRules) -> DataFram
                 hit[i] = near.any()
             yield pd.DataFrame({"key": g["key"].to_numpy()[hit], "node": node[hit]})
 
-    spread = _in_order(_chunked(rows.join(planes, "node"), rules).select("key", "c", "d", "node", "comp", "planes"))
+    parted = _chunked(rows.join(planes, "node"), F.ceil(F.col("n") / rules.chunk))
+    spread = _in_order(parted.select("key", "c", "d", "node", "comp", "planes"))
     return spread.mapInPandas(run, "key bigint, node bigint").distinct()
 
 
@@ -312,8 +315,11 @@ def _joining(rows: DataFrame, planes: DataFrame, sets: DataFrame, rules: NearRul
                         links.append((node[i], node[j]))
             yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    full = rows.join(planes, "node").join(sets, "node")
-    spread = _in_order(_chunked(full, rules).select("key", "c", "d", "node", "comp", "planes", "members"))
+    sizes = sets.select("node", F.size("members").alias("size"))
+    heavy = rows.join(sizes, "node").groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("size"))
+    full = rows.join(planes, "node").join(sets, "node").join(heavy, "key")
+    parted = _chunked(full, F.ceil(F.greatest(F.col("m") / rules.chunk, F.col("size") / rules.chunk_shingles)))
+    spread = _in_order(parted.select("key", "c", "d", "node", "comp", "planes", "members"))
     return spread.mapInPandas(run, "a bigint, b bigint")
 
 

@@ -139,6 +139,7 @@ def test_star_whose_rays_are_no_links(spark):
     docs = [(i, t) for i, t in enumerate(rays)] + [(10**6, " ".join(base))]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     want, _ = brute(docs, 3, 85)
-    for chunk in (1024, 4):
-        got = near_duplicates(df, rules=NearRules(shingle=3, percent=85, chunk=chunk)).collect()
+    for chunk, shingles in ((1024, 1 << 20), (4, 1 << 20), (1024, 900)):
+        rules = NearRules(shingle=3, percent=85, chunk=chunk, chunk_shingles=shingles)
+        got = near_duplicates(df, rules=rules).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
