@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import WORD, batches, small_batches, stored
 
 _WORD = re.compile(WORD)
-_SENTENCE = (".", "!", "?")
+_SENTENCE = b".!?"
 
 
 @dataclass(frozen=True)
@@ -49,37 +49,58 @@ class LineRules:
     filter_bits: int = 26
 
 
-def split_lines(text: str, rules: LineRules) -> list[tuple[int, int, list[str]]]:
-    """``(start, end, words)`` of the lines with a word in them, wrapped."""
+def line_ends(words: list[bytes], rules: LineRules) -> list[int]:
+    """Where the wrapped lines of one physical line end, as numbers of words."""
+    n = len(words)
+    if n <= rules.wrap:
+        return [n]
+    out, start = [], 0
+    stops = [i for i, word in enumerate(words) if word[-1] in _SENTENCE]
+    for stop in [*stops, n - 1]:
+        while True:  # behind picked words of a stretch that is long before its sentence ends
+            picked = range(start + rules.long - 1, stop)
+            at = next((i for i in picked if zlib.crc32(words[i]) % rules.one_in == 0), None)
+            if at is None:
+                break
+            start = at + 1
+            out.append(start)
+        if stop + 1 - start >= rules.least:
+            start = stop + 1
+            out.append(start)
+    if start < n:
+        out.append(n)
+    return out
+
+
+def split_words(text: bytes, rules: LineRules) -> list[list[bytes]]:
+    """The words of every line with a word in it, wrapped."""
+    out = []
+    for line in text.split(b"\n"):
+        if words := line.split():
+            start = 0
+            for end in line_ends(words, rules):
+                out.append(words[start:end])
+                start = end
+    return out
+
+
+def split_lines(text: str, rules: LineRules) -> list[tuple[int, int, list[bytes]]]:
+    """The same with each line's place in the text: ``(start, end, words)``."""
     out, at = [], 0
     for line in text.split("\n"):
-        words = _WORD.findall(line)
-        if 0 < len(words) <= rules.wrap:
-            out.append((at, at + len(line), words))
-        elif words:
-            begin, held = None, []
-            for m in _WORD.finditer(line):
-                word = m[0]
-                begin = m.start() if begin is None else begin
-                held.append(word)
-                n = len(held)
-                if n >= rules.least and (
-                    word.endswith(_SENTENCE)
-                    or n >= rules.long
-                    and zlib.crc32(word.encode("utf-8", "replace")) % rules.one_in == 0
-                ):
-                    out.append((at + begin, at + m.end(), held))
-                    begin, held = None, []
-            if held:
-                out.append((at + begin, at + len(line), held))
+        if words := line.encode("utf-8", "replace").split():
+            spans, start = [m.span() for m in _WORD.finditer(line)], 0
+            for end in line_ends(words, rules):
+                out.append((at + spans[start][0], at + spans[end - 1][1], words[start:end]))
+                start = end
         at += len(line) + 1
     return out
 
 
-def window_hashes(lines: list[tuple[int, int, list[str]]], rules: LineRules) -> list[int | None]:
+def window_hashes(lines: list[list[bytes]], rules: LineRules) -> list[int | None]:
     """A 64-bit hash for every window of consecutive lines, None for too short ones."""
-    own = [xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace")) for _, _, words in lines]
-    sizes = [len(words) for _, _, words in lines]
+    own = [xxhash.xxh3_64_intdigest(b" ".join(words)) for words in lines]
+    sizes = [len(words) for words in lines]
     pack = struct.Struct(f"<{rules.window}Q").pack
     out: list[int | None] = []
     for i in range(len(own) - rules.window + 1):
@@ -122,7 +143,7 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
         def rows():
             for part in parts:
                 for doc, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    lines = split_lines(text, rules)
+                    lines = split_words(text.encode("utf-8", "replace"), rules)
                     yield doc, h, len(lines), window_hashes(lines, rules)
 
         yield from batches(rows(), _OUT, 2000)
@@ -133,6 +154,8 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
     windows = stored(_passing(lines, _repeat_map(lines, rules.filter_bits), rules), "windows")
     place = F.struct("doc_id", "h", "at")
     firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # Stored, as a join of two plain shuffles can be split where a hash is hot.
+    firsts = stored(firsts.drop("n"), "windows")
     later = windows.join(firsts, "hash").filter(place > F.col("first")).select("doc_id", "h", "at")
     return lines, later
 

@@ -1,7 +1,8 @@
 import random
+import zlib
 
 from inkveil.llm.common import words_of
-from inkveil.llm.line_dedup import LineRules, cut, dedup_lines, op5_line_dedup, split_lines, without_repeats
+from inkveil.llm.line_dedup import LineRules, cut, dedup_lines, line_ends, op5_line_dedup, split_lines, split_words, without_repeats
 from tests.llm.edge import empty, frame, prose
 
 RULES = LineRules()
@@ -72,7 +73,8 @@ def test_lines_are_wrapped_alike_in_any_place():
         text = prose(i + 50, 40).replace("\n", " ") + " " + passage + " " + prose(i + 90, 40)
         found = {tuple(w) for _, _, w in split_lines(text, RULES)}
         assert len(inside - found) <= 4
-        assert [x for _, _, w in split_lines(text, RULES) for x in w] == text.split()
+        assert [x for _, _, w in split_lines(text, RULES) for x in w] == text.encode().split()
+        assert [w for _, _, w in split_lines(text, RULES)] == split_words(text.encode(), RULES)
 
 
 def test_edges(spark):
@@ -90,3 +92,24 @@ def test_edges(spark):
     ids = [r["doc_id"] for r in left.collect()]
     assert 6 not in ids and ids.count(5) == 2 and 1 in ids
     assert without_repeats(empty(spark)).count() == 0 and op5_line_dedup(empty(spark)).count() == 0
+
+
+def wrapped(words, rules=RULES):
+    """The rule of wrapping, word by word."""
+    if len(words) <= rules.wrap:
+        return [len(words)]
+    out, n = [], 0
+    for i, word in enumerate(words):
+        n += 1
+        if n >= rules.least and (word[-1:] in b".!?" or n >= rules.long and zlib.crc32(word) % rules.one_in == 0):
+            out.append(i + 1)
+            n = 0
+    return out if n == 0 else [*out, len(words)]
+
+
+def test_lines_end_where_the_rule_says():
+    for seed in range(200):
+        rng = random.Random(seed)
+        words = prose(seed, rng.randint(1, 120)).encode().split()
+        words = [w.rstrip(b".") if rng.random() < 0.8 else w for w in words]
+        assert line_ends(words or [b"."], RULES) == wrapped(words or [b"."])
