@@ -33,36 +33,19 @@ def unescape(text: Column) -> Column:
 
 
 def _doubled(nodes: DataFrame) -> list[DataFrame]:
-    """By round k: ``(__tree, __node, __up, __sum, __n)``, the ancestor 2**k up and what lies below it.
+    """By round k: ``(__tree, __node, __up)``, each message's ancestor 2**k up, where it has one.
 
-    Ends when no message has an ancestor that far up.  A cycle always has one,
-    so the rounds also end when 2**k exceeds the number of messages.
+    Rounds get smaller as paths end, and the last one is empty but for messages
+    on a cycle or below one: these always have an ancestor, so the rounds also
+    end when 2**k exceeds the number of messages.
     """
-    known = nodes.select("__tree", F.col("__node").alias("__parent"), F.lit(True).alias("__known"))
-    first = nodes.join(known, ["__tree", "__parent"], "left").select(
-        "__tree",
-        "__node",
-        F.when(F.col("__known"), F.col("__parent")).alias("__up"),
-        F.col("__score").alias("__sum"),
-        F.lit(1).cast("bigint").alias("__n"),
-    )
-    rounds, most = [stored(first, "paths")], nodes.count()
-    while (1 << (len(rounds) - 1)) <= most and rounds[-1].filter("__up IS NOT NULL").limit(1).count():
+    known = nodes.select("__tree", F.col("__node").alias("__up"))
+    first = nodes.select("__tree", "__node", F.col("__parent").alias("__up")).filter("__up IS NOT NULL")
+    rounds, most = [stored(first.join(known, ["__tree", "__up"], "left_semi"), "paths")], nodes.count()
+    while (1 << (len(rounds) - 1)) <= most and rounds[-1].limit(1).count():
         at = rounds[-1]
-        above = at.select(
-            "__tree",
-            F.col("__node").alias("__up"),
-            F.col("__up").alias("__next"),
-            F.col("__sum").alias("__above"),
-            F.col("__n").alias("__m"),
-        )
-        step = at.join(above, ["__tree", "__up"], "left").select(
-            "__tree",
-            "__node",
-            F.col("__next").alias("__up"),
-            (F.col("__sum") + F.coalesce("__above", F.lit(0.0))).alias("__sum"),
-            (F.col("__n") + F.coalesce("__m", F.lit(0))).alias("__n"),
-        )
+        above = at.select("__tree", F.col("__node").alias("__up"), F.col("__up").alias("__next"))
+        step = at.join(above, ["__tree", "__up"]).select("__tree", "__node", F.col("__next").alias("__up"))
         rounds.append(stored(step, "paths"))
     return rounds
 
@@ -99,39 +82,41 @@ def format_trees(
         (F.coalesce(F.col(role), F.lit("")) == learn).alias("__learn"),
     )
     nodes = stored(rows.select("__tree", "__node", "__parent", "__score"), "nodes")
-    rounds = _doubled(nodes)
-    paths = _paths(_leaves(nodes, rounds[-1], branches), rounds)
-    return _formatted(paths, rows)
+    paths = _paths(nodes, _doubled(nodes))
+    ranked = _ranked(paths, nodes if score is not None else None, branches)
+    return _formatted(paths.join(ranked, ["__tree", "__leaf"]), rows)
 
 
-def _leaves(nodes: DataFrame, last: DataFrame, branches: int | None) -> DataFrame:
-    """``(__tree, __leaf, __mean, __place)`` of the chosen leaves."""
-    parents = nodes.filter("__parent IS NOT NULL AND __parent <> __node").select(
-        "__tree", F.col("__parent").alias("__node")
-    )
-    leaves = (
-        last.filter("__up IS NULL")
-        .join(parents, ["__tree", "__node"], "left_anti")
-        .select("__tree", F.col("__node").alias("__leaf"), (F.col("__sum") / F.col("__n")).alias("__mean"))
-    )
-    order = Window.partitionBy("__tree").orderBy(F.desc("__mean"), "__leaf")
-    ranked = leaves.withColumn("__place", F.row_number().over(order))
-    return ranked if branches is None else ranked.filter(F.col("__place") <= branches)
+def _paths(nodes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """``(__tree, __leaf, __node, __far)``: every message between a leaf and its root.
 
-
-def _paths(leaves: DataFrame, rounds: list[DataFrame]) -> DataFrame:
-    """Every message on the way from a chosen leaf to its root, with its distance from the leaf."""
-    found = leaves.select("*", F.col("__leaf").alias("__node"), F.lit(0).cast("bigint").alias("__far"))
-    for k, jump in enumerate(rounds[:-1]):  # nothing chosen has an ancestor in the last
-        far = jump.filter("__up IS NOT NULL").select("__tree", "__node", "__up")
-        higher = found.join(far, ["__tree", "__node"]).select(
-            "__tree", "__leaf", "__mean", "__place", F.col("__up").alias("__node"), (F.col("__far") + (1 << k)).alias("__far")
+    In round k those known so far, up to 2**k steps from their leaf, give those
+    as far beyond.
+    """
+    parents = rounds[0].select("__tree", F.col("__up").alias("__node"))
+    endless = rounds[-1].select("__tree", "__node")
+    leaves = nodes.select("__tree", "__node").join(parents.unionByName(endless), ["__tree", "__node"], "left_anti")
+    found = leaves.select("__tree", F.col("__node").alias("__leaf"), "__node", F.lit(0).cast("bigint").alias("__far"))
+    for k, jump in enumerate(rounds[:-1]):  # no leaf has an ancestor in the last
+        higher = found.join(jump, ["__tree", "__node"]).select(
+            "__tree", "__leaf", F.col("__up").alias("__node"), (F.col("__far") + (1 << k)).alias("__far")
         )
-        columns = ["__tree", "__leaf", "__mean", "__place", "__node", "__far"]
-        found = stored(found.select(*columns).unionByName(higher), "paths")
+        found = stored(found.unionByName(higher), "paths")
     return found
 
 
+def _ranked(paths: DataFrame, nodes: DataFrame | None, branches: int | None) -> DataFrame:
+    """``(__tree, __leaf, __mean, __place)`` of the branches that are chosen."""
+    if nodes is None:
+        means = paths.filter("__far = 0").select("__tree", "__leaf", F.lit(0.0).alias("__mean"))
+    else:
+        scored = paths.join(nodes.select("__tree", "__node", "__score"), ["__tree", "__node"])
+        means = scored.groupBy("__tree", "__leaf").agg(F.avg("__score").alias("__mean"))
+    order = Window.partitionBy("__tree").orderBy(F.desc("__mean"), "__leaf")
+    ranked = means.withColumn("__place", F.row_number().over(order))
+    return ranked if branches is None else ranked.filter(F.col("__place") <= branches)
+
+
 def _formatted(paths: DataFrame, rows: DataFrame) -> DataFrame:
     """Each path's turns as one text, with the spans of the loss mask."""
     path = Window.partitionBy("__tree", "__leaf").orderBy(F.desc("__far"))
