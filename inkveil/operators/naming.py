@@ -78,7 +78,7 @@ def _free_before(taken: DataFrame, group: Sequence[str]) -> DataFrame:
     """(keys, __stem, __free, __taken): how many names are taken after that many free ones."""
     ranked = running_total(taken, group, "__number", into="__rank")
     free = (F.col("__number") - F.col("__rank")).alias("__free")
-    return ranked.groupBy(*group, free).agg(F.count("*").alias("__taken"))
+    return ranked.groupBy(*group, free).agg(F.count("*").alias("__taken")).checkpoint()
 
 
 def _skip_taken(rows: DataFrame, group: list[str], taken: DataFrame) -> DataFrame:
@@ -100,7 +100,9 @@ def _skip_taken(rows: DataFrame, group: list[str], taken: DataFrame) -> DataFram
         "__taken",
         F.lit(None).cast("bigint").alias("__want"),
     )
-    placed = running_total(wanted.unionByName(gone), group, "__place", "__taken", "__skipped")
+    # Stored, as running totals read their input several times.
+    line = wanted.unionByName(gone).checkpoint()
+    placed = running_total(line, group, "__place", "__taken", "__skipped")
     skipped = placed.filter("__want IS NOT NULL").select(
         *group, F.col("__want").alias("__nth"), "__skipped"
     )
