@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,9 +40,16 @@ _HTML_STEPS = (
     (r"<[a-zA-Z/!?][^<>]*>", ""),
 )
 _BLANK_STEPS = ((r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
-# Named references of HTML 4, from the standard library; a hard space is a space here.
-_NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
-_REFERENCE = r"^(?:#([0-9]{1,7})(?![0-9]);?|#[xX]([0-9a-fA-F]{1,6})(?![0-9a-fA-F]);?|([A-Za-z][A-Za-z0-9]{1,7});)"
+# The named references of HTML that end in a semicolon; a hard space is a space here.
+_NAMED = {name[:-1]: char.replace("\xa0", " ") for name, char in html5.items() if name.endswith(";")}
+_COMMON = {name: _NAMED[name] for name in (*name2codepoint, "apos")}  # tried first: maps are searched in order
+_REFERENCE = (
+    r"^(?:#0*([0-9]{1,7})(?![0-9]);?|#[xX]0*([0-9a-fA-F]{1,6})(?![0-9a-fA-F]);?|([A-Za-z][A-Za-z0-9]{1,30});)"
+)
+
+
+def _map(pairs: Mapping[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
 def _character(code: Column) -> Column:
@@ -58,7 +66,7 @@ def decode_references(text: Column) -> Column:
     yields is never read as part of another one.  Texts without an ampersand
     are passed on.
     """
-    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    common, names = _map(_COMMON), _map(_NAMED)
 
     def piece(part: Column, at: Column) -> Column:
         decimal, hexadecimal = F.regexp_extract(part, _REFERENCE, 1), F.regexp_extract(part, _REFERENCE, 2)
@@ -66,7 +74,7 @@ def decode_references(text: Column) -> Column:
         char = (
             F.when(decimal != "", _character(decimal.cast("bigint")))
             .when(hexadecimal != "", _character(F.conv(hexadecimal, 16, 10).cast("bigint")))
-            .when(name != "", F.try_element_at(names, name))
+            .when(name != "", F.coalesce(F.try_element_at(common, name), F.try_element_at(names, name)))
         )
         rest = F.regexp_replace(part, _REFERENCE, "")
         found = F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))

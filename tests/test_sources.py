@@ -106,6 +106,15 @@ def test_character_references(spark):
     assert redact_sources(df, rules, "label").first().markdown == "[REDACTED]"
 
 
+def test_all_named_and_padded_references(spark):
+    assert markdown(spark, "&commat;&period;&lowbar;&plus;&lpar;&CounterClockwiseContourIntegral;") == "@._+(\u2233"
+    assert markdown(spark, "&#0000000064;&#x000000040;a&NonBreakingSpace;b &nosuchname;") == "@@a b &nosuchname;"
+    page = [("r", 1, "a.html", bytearray(b"<p>john&commat;example&period;com</p><p>jo&#0000000064;example.com</p>"))]
+    df = spark.createDataFrame(page, "run_id string, seq bigint, name string, content binary")
+    done = redact_sources(df, detector_rules(), "label").first()
+    assert done.markdown == "[REDACTED]\n\n[REDACTED]" and done.n_redacted == 2
+
+
 @pytest.mark.parametrize("piece", ["<!--", "<h1 ", "<script ", "<style>", "&#", "&amp", "<"])
 def test_malformed_pages_take_linear_time(spark, piece):
     import time
