@@ -9,6 +9,13 @@ Prose often has a whole passage on one line, so a physical line of more than
 ``wrap`` words is wrapped into lines: at the end of a sentence, or in long
 sentences behind a word picked by its hash.  Both depend on the words alone, so
 a passage is wrapped alike wherever it stands.
+
+Two copies of a passage behind different words can still fall into step late or
+not at all.  So runs of ``PassageRules.gram`` words are compared, too, whatever
+lines they lie on: of every ``reach`` consecutive runs the one of least hash is
+picked, which depends on their words alone, and around a picked run that occurs
+again every run is compared.  A passage of gram + reach - 1 = 47 words or more
+is found wherever it stands, and goes from its first word to its last.
 """
 
 from __future__ import annotations
@@ -49,6 +56,17 @@ class LineRules:
     filter_bits: int = 26
 
 
+@dataclass(frozen=True)
+class PassageRules:
+    """Runs of ``gram`` words (a power of two); one of every ``reach`` runs is picked."""
+
+    gram: int = 16
+    reach: int = 32
+
+
+_RUN = 1 << 30  # places from here on are places of runs, by word
+
+
 def line_ends(words: list[bytes], rules: LineRules) -> list[int]:
     """Where the wrapped lines of one physical line end, as numbers of words."""
     n = len(words)
@@ -112,31 +130,86 @@ def window_hashes(lines: list[list[bytes]], rules: LineRules) -> list[int | None
     return out
 
 
-def cut(text: str, windows: list[int], rules: LineRules) -> tuple[str, int]:
-    """The text without the lines that the windows at these places cover, and their number."""
+def run_hashes(words: list[bytes], rules: PassageRules) -> np.ndarray:
+    """A 64-bit hash for every run of ``gram`` words, by doubling."""
+    if len(words) < rules.gram:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    size, factor = 1, 0x9E3779B97F4A7C15
+    while size < rules.gram:
+        out = out[:-size] * np.uint64(factor) + out[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
+def _sliding(pick, values: np.ndarray, size: int) -> np.ndarray:
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values = pick(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def picked_runs(hashes: np.ndarray, rules: PassageRules) -> np.ndarray:
+    """Places of the runs that have the least hash of some ``reach`` consecutive ones."""
+    if len(hashes) < rules.reach:
+        return np.zeros(0, dtype=np.int64)
+    least = np.pad(_sliding(np.minimum, hashes, rules.reach), rules.reach - 1)
+    return np.flatnonzero(_sliding(np.maximum, least, rules.reach) == hashes)
+
+
+def _covered(places: np.ndarray, before: int, behind: int, size: int) -> np.ndarray:
+    """A flag for each of ``size`` places: within a stretch around one of ``places``."""
+    delta = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(delta, np.maximum(places - before, 0), 1)
+    np.add.at(delta, np.minimum(places + behind, size), -1)
+    return np.cumsum(delta[:-1]) > 0
+
+
+def cut(
+    text: str, places: list[int], rules: LineRules, passages: PassageRules | None = None
+) -> tuple[str, int]:
+    """The text without the words that windows and runs at these places cover, and the number of their lines."""
     lines = split_lines(text, rules)
-    covered = sorted({i for w in windows for i in range(w, min(w + rules.window, len(lines)))})
-    parts, at = [], 0
-    for i in covered:
-        begin, end = lines[i][0], lines[i + 1][0] if i + 1 < len(lines) else len(text)
-        parts.append(text[at:begin])
-        at = end
-    return "".join(parts) + text[at:], len(covered)
+    first = np.cumsum([0] + [len(words) for _, _, words in lines])
+    gone = np.zeros(int(first[-1]), dtype=bool)
+    for at in places:
+        if at < _RUN:
+            gone[first[at] : first[min(at + rules.window, len(lines))]] = True
+    runs = np.array([at - _RUN for at in places if at >= _RUN], dtype=np.int64)
+    if len(runs):
+        gone |= _covered(runs, 0, passages.gram, len(gone))
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    parts, end = [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    for i, j in edges.reshape(-1, 2):  # stretches of words that go, with the space behind them
+        parts.append(text[end : starts[i]])
+        end = starts[j]
+    touched = np.add.reduceat(gone, first[:-1]).astype(bool).sum() if lines else 0
+    return "".join(parts) + text[end:], int(touched)
 
 
 _OUT = pa.schema(
-    [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("windows", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64())]
+    + [("windows", pa.list_(pa.int64())), ("picked", pa.list_(pa.int64()))]
 )
 
 
-def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[DataFrame, DataFrame]:
-    """Tables of lines ``(doc_id, h, n, windows)`` and of later occurrences ``(doc_id, h, at)``.
+def repeated_windows(
+    docs: DataFrame, rules: LineRules = LineRules(), passages: PassageRules | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Tables of lines ``(doc_id, h, n, windows, picked)`` and of later occurrences ``(doc_id, h, at)``.
 
     ``h`` is the hash of the text: rows alike in doc_id and text are one
     document.  Texts are read once.  Windows are counted by their hash alone,
     summed per task before; a bit map of the repeated ones then lets nearly
     all others be left out where they are, and only what passes it is compared
     by place.  Where repeats fill the map more passes, with the same result.
+    With ``passages`` picked runs are counted, too, at most twice for a text;
+    texts are then read again for the runs around repeated ones.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +217,24 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
             for part in parts:
                 for doc, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     lines = split_words(text.encode("utf-8", "replace"), rules)
-                    yield doc, h, len(lines), window_hashes(lines, rules)
+                    picked = []
+                    if passages:
+                        hashes = run_hashes([word for line in lines for word in line], passages)
+                        own, n = np.unique(hashes[picked_runs(hashes, passages)], return_counts=True)
+                        picked = np.concatenate([own, own[n > 1]]).view(np.int64).tolist()
+                    yield doc, h, len(lines), window_hashes(lines, rules), picked
 
         yield from batches(rows(), _OUT, 2000)
 
     small_batches(docs.sparkSession)
     keyed = _keyed(docs).select("__doc", "__h", "__text")
-    lines = stored(keyed.mapInArrow(run, "doc_id bigint, h bigint, n bigint, windows array<bigint>"), "lines")
-    windows = stored(_passing(lines, _repeat_map(lines, rules.filter_bits), rules), "windows")
+    ddl = "doc_id bigint, h bigint, n bigint, windows array<bigint>, picked array<bigint>"
+    lines = stored(keyed.mapInArrow(run, ddl), "lines")
+    shared = docs.sparkSession.sparkContext.broadcast(_repeat_map(lines, rules.filter_bits))
+    windows = _passing(lines, shared, rules)
+    if passages:
+        windows = windows.unionByName(_passing_runs(keyed, shared, rules, passages))
+    windows = stored(windows, "windows")
     place = F.struct("doc_id", "h", "at")
     firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # Stored, as a join of two plain shuffles can be split where a hash is hot.
@@ -161,8 +244,8 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
 
 
 def _repeat_map(lines: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the low part of every window hash that occurs twice or more."""
-    windows = lines.select(F.explode("windows").alias("hash")).filter("hash IS NOT NULL")
+    """A bit for the low part of every hash of a window or picked run that occurs twice or more."""
+    windows = lines.select(F.explode(F.concat("windows", "picked")).alias("hash")).filter("hash IS NOT NULL")
     repeated = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     low = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
     words = repeated.groupBy(F.shiftright(low, 6).alias("word")).agg(
@@ -174,11 +257,17 @@ def _repeat_map(lines: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _passing(lines: DataFrame, repeats: np.ndarray, rules: LineRules) -> DataFrame:
-    """``(doc_id, h, at, hash)`` of the windows whose bit is set."""
-    shared = lines.sparkSession.sparkContext.broadcast(repeats)
-    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())])
-    mask = np.uint64((1 << rules.filter_bits) - 1)
+_PLACED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())])
+_PLACED_DDL = "doc_id bigint, h bigint, at int, hash bigint"
+
+
+def _set_in(bits: np.ndarray, hashes: np.ndarray, rules: LineRules) -> np.ndarray:
+    low = hashes & np.uint64((1 << rules.filter_bits) - 1)
+    return (bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) == 1
+
+
+def _passing(lines: DataFrame, shared, rules: LineRules) -> DataFrame:
+    """``(doc_id, h, at, hash)`` of the windows whose bit is set in the broadcast map."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -187,17 +276,42 @@ def _passing(lines: DataFrame, repeats: np.ndarray, rules: LineRules) -> DataFra
             flat = lists.flatten()  # NULL lists do not occur
             valid = flat.is_valid().to_numpy(zero_copy_only=False)
             hashes = flat.fill_null(0).to_numpy(zero_copy_only=False)
-            low = hashes.view(np.uint64) & mask
-            hit = valid & ((bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) == 1)
+            hit = valid & _set_in(bits, hashes.view(np.uint64), rules)
             sizes = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(len(sizes)), sizes)[hit]
             at = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[hit]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(pa.array(row)), part.column("h").take(pa.array(row)),
-                 pa.array(at.astype(np.int32)), pa.array(hashes[hit])], schema=out,
+                 pa.array(at.astype(np.int32)), pa.array(hashes[hit])], schema=_PLACED,
             )
 
-    return lines.select("doc_id", "h", "windows").mapInArrow(run, "doc_id bigint, h bigint, at int, hash bigint")
+    return lines.select("doc_id", "h", "windows").mapInArrow(run, _PLACED_DDL)
+
+
+def _passing_runs(keyed: DataFrame, shared, rules: LineRules, passages: PassageRules) -> DataFrame:
+    """``(doc_id, h, at, hash)`` of all runs within reach of a picked one whose bit is set."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for part in parts:
+            docs, hs, texts = (c.to_pylist() for c in part.columns)
+            for doc, h, text in zip(docs, hs, texts, strict=True):
+                hashes = run_hashes(text.encode("utf-8", "replace").split(), passages)
+                picked = picked_runs(hashes, passages)
+                picked = picked[_set_in(bits, hashes[picked], rules)]
+                if not len(picked):
+                    continue
+                at = np.flatnonzero(_covered(picked, passages.reach - 1, passages.reach, len(hashes)))
+                for i in range(0, len(at), 50_000):
+                    some = at[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc] * len(some), pa.int64()), pa.array([h] * len(some), pa.int64()),
+                         pa.array((some + _RUN).astype(np.int32)), pa.array(hashes[some].view(np.int64))],
+                        schema=_PLACED,
+                    )
+        pa.default_memory_pool().release_unused()
+
+    return keyed.mapInArrow(run, _PLACED_DDL)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -207,16 +321,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """``docs`` with the cut ``text``, and ``n_lines`` and ``n_removed`` per row.
+def dedup_lines(
+    docs: DataFrame, rules: LineRules = LineRules(), passages: PassageRules | None = None
+) -> DataFrame:
+    """``docs`` with the cut ``text``, and ``n_lines`` and ``n_removed`` (lines that lost words) per row.
 
     A NULL text stays NULL and has no lines; texts of fewer than three lines
     have no windows and stay; NULL ids come before all others; rows alike in
     doc_id and text are one document and are cut alike; an empty table stays
     empty; all other columns are kept (``n_lines`` and ``n_removed`` are
-    replaced).  Texts are shuffled once, by their hash.
+    replaced).  Texts are shuffled once, by their hash.  With ``passages``
+    repeated runs of words go as well, without regard to lines.
     """
-    lines, later = repeated_windows(docs, rules)
+    lines, later = repeated_windows(docs, rules, passages)
     key = F.struct("doc_id", "h").alias("__key")  # never NULL, so that NULL ids meet
     cuts = later.groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at"))
     sizes = lines.groupBy("doc_id", "h").agg(F.max("n").alias("n_lines"))
@@ -229,7 +346,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     def apply(texts: pa.Array, places: pa.Array) -> pa.Array:
         done = []
         for text, at in zip(texts.to_pylist(), places.to_pylist(), strict=True):
-            left, n = (None, 0) if at is None else cut(text, at, rules)
+            left, n = (None, 0) if at is None else cut(text, at, rules, passages)
             done.append({"text": left, "n": n})
         return pa.array(done, type=pa.struct([("text", pa.string()), ("n", pa.int64())]))
 
@@ -248,7 +365,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, n_lines, n_removed)`` of every document."""
-    return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(docs, passages=PassageRules()).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def without_repeats(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -256,6 +373,6 @@ def without_repeats(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
 
     ``n_chars`` follows the text.  A document that had no words before stays.
     """
-    done = dedup_lines(docs, rules).filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(WORD)))
+    done = dedup_lines(docs, rules, PassageRules()).filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(WORD)))
     text_length = F.length("text").cast("bigint").alias("n_chars")
     return done.select(*[text_length if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -2,7 +2,7 @@ import random
 import zlib
 
 from inkveil.llm.common import words_of
-from inkveil.llm.line_dedup import LineRules, cut, dedup_lines, line_ends, op5_line_dedup, split_lines, split_words, without_repeats
+from inkveil.llm.line_dedup import LineRules, PassageRules, cut, dedup_lines, line_ends, op5_line_dedup, split_lines, split_words, without_repeats
 from tests.llm.edge import empty, frame, prose
 
 RULES = LineRules()
@@ -113,3 +113,40 @@ def test_lines_end_where_the_rule_says():
         words = prose(seed, rng.randint(1, 120)).encode().split()
         words = [w.rstrip(b".") if rng.random() < 0.8 else w for w in words]
         assert line_ends(words or [b"."], RULES) == wrapped(words or [b"."])
+
+
+def planted(marks, joint, words=51, copies=40):
+    """Texts around copies of one passage, each at a random word; no sentence marks without ``marks``."""
+    rng = random.Random(11)
+    clean = lambda ws: [w if marks else w.rstrip(".") for w in ws]
+    passage = clean(prose(4242, words).split())
+    docs = []
+    for i in range(copies):
+        own = clean(prose(9000 + i, 160).split())
+        at = rng.randrange(1, len(own))
+        docs.append((i, own[:at], own[at:]))
+    return passage, docs, [(i, joint.join([*a, *passage, *b])) for i, a, b in docs]
+
+
+def test_passages_of_51_words_go_from_end_to_end(spark):
+    for marks, joint in ((True, " "), (False, " "), (False, "\n")):
+        passage, parts, docs = planted(marks, joint)
+        got = {r["doc_id"]: r["text"] for r in op5_line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+        assert got[0] == docs[0][1]
+        for i, before, behind in parts[1:]:
+            # The words next to a passage may by chance be those next to its first copy.
+            assert abs(len(got[i].split()) - len(before + behind)) <= 2, (marks, joint, i)
+
+
+def test_picked_runs_follow_the_words_alone():
+    rules, passage = PassageRules(), [w.encode() for w in prose(6, 47).split()]
+    from inkveil.llm.line_dedup import picked_runs, run_hashes
+
+    def found(words):
+        hashes = run_hashes(words, rules)
+        return set(hashes[picked_runs(hashes, rules)].tolist())
+
+    common = found(passage)
+    assert common
+    for i in range(50):
+        assert common <= found([w.encode() for w in prose(100 + i, 40 + i).split()] + passage + [b"end"] * i)
