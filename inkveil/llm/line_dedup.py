@@ -1,6 +1,7 @@
 """Line dedup: passages that occur again are removed where they occur later.
 
-Every three consecutive lines make a window, and windows overlap.  A window
+Every three consecutive lines make a window, and windows overlap; where three
+hold fewer than ten words the lines that follow are added.  A window
 whose hash occurs twice or more is kept where it stands first, by
 (doc_id, hash of the text, position); elsewhere its lines count as covered, and
 neighbouring covered lines are cut out as one stretch.
@@ -25,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,9 @@ _SENTENCE = b".!?"
 class LineRules:
     """``least`` words make a wrapped line; from ``long`` on hashes may end it.
 
-    Windows with fewer than ``min_words`` words are not compared: so short a
-    sequence occurs in unrelated texts.  ``filter_bits`` is the logarithm of
+    Windows with fewer than ``min_words`` words are not compared, as so short a
+    sequence occurs in unrelated texts: they are lengthened by the lines that
+    follow until they have as many.  ``filter_bits`` is the logarithm of
     the size of the bit map that all executors get: 2**26 bits are 8 MB.
     """
 
@@ -115,17 +118,31 @@ def split_lines(text: str, rules: LineRules) -> list[tuple[int, int, list[bytes]
     return out
 
 
+def window_ends(sizes: list[int], rules: LineRules) -> list[int | None]:
+    """Behind which line the window of every line ends, by the lines' words; None where the text is too short."""
+    total = [0, *accumulate(sizes)]
+    out: list[int | None] = []
+    end = 0
+    for i in range(len(sizes) - rules.window + 1):
+        end = max(end, i + rules.window)
+        while end < len(sizes) and total[end] - total[i] < rules.min_words:
+            end += 1
+        out.append(end if total[end] - total[i] >= rules.min_words else None)
+    return out
+
+
 def window_hashes(lines: list[list[bytes]], rules: LineRules) -> list[int | None]:
     """A 64-bit hash for every window of consecutive lines, None for too short ones."""
     own = [xxhash.xxh3_64_intdigest(b" ".join(words)) for words in lines]
-    sizes = [len(words) for words in lines]
     pack = struct.Struct(f"<{rules.window}Q").pack
     out: list[int | None] = []
-    for i in range(len(own) - rules.window + 1):
-        if sum(sizes[i : i + rules.window]) < rules.min_words:
+    for i, end in enumerate(window_ends([len(words) for words in lines], rules)):
+        if end is None:
             out.append(None)
         else:
-            value = xxhash.xxh3_64_intdigest(pack(*own[i : i + rules.window]))
+            hashes = own[i:end]
+            packed = pack(*hashes) if len(hashes) == rules.window else struct.pack(f"<{len(hashes)}Q", *hashes)
+            value = xxhash.xxh3_64_intdigest(packed)
             out.append(value - (1 << 64) if value >= 1 << 63 else value)
     return out
 
@@ -174,11 +191,12 @@ def cut(
 ) -> tuple[str, int]:
     """The text without the words that windows and runs at these places cover, and the number of their lines."""
     lines = split_lines(text, rules)
-    first = np.cumsum([0] + [len(words) for _, _, words in lines])
+    sizes = [len(words) for _, _, words in lines]
+    first, ends = np.cumsum([0, *sizes]), window_ends(sizes, rules)
     gone = np.zeros(int(first[-1]), dtype=bool)
     for at in places:
         if at < _RUN:
-            gone[first[at] : first[min(at + rules.window, len(lines))]] = True
+            gone[first[at] : first[ends[at]]] = True
     runs = np.array([at - _RUN for at in places if at >= _RUN], dtype=np.int64)
     if len(runs):
         gone |= _covered(runs, 0, passages.gram, len(gone))

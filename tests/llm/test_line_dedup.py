@@ -150,3 +150,17 @@ def test_picked_runs_follow_the_words_alone():
     assert common
     for i in range(50):
         assert common <= found([w.encode() for w in prose(100 + i, 40 + i).split()] + passage + [b"end"] * i)
+
+
+def test_short_lines_are_joined_into_windows(spark):
+    rng = random.Random(8)
+    shared = [[f"item{i}", "of", f"list{i % 3}"][: 1 + i % 3] for i in range(12)]  # 24 words on 12 lines
+    docs = []
+    for i in range(20):
+        own = lambda n: [f"{rng.random()} alone" for _ in range(n)]
+        docs.append((i, "\n".join([*own(5), *[" ".join(w) for w in shared], *own(4)])))
+    got = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[0]["text"] == docs[0][1]
+    for i, text in docs[1:]:
+        lines = text.split("\n")
+        assert got[i]["text"].split("\n") == lines[:5] + lines[17:] and got[i]["n_removed"] == 12
