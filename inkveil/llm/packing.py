@@ -14,11 +14,13 @@ monotone queue, so every place is entered and left once.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +38,8 @@ class PackingRules:
     ``ranks`` is the byte-BPE vocabulary as a table of ranks: the same
     vocabulary, and so the same ids, as the library ``tokenizers`` gives with
     the JSON form of it, at several times the speed (a test compares them).
+    The added tokens of that form, in a file of the same name beside it, are
+    found in texts, too.
     ``stretch`` is the number of tokens after which a stretch is closed at the
     next document end, so that a task holds a bounded part of the stream.
     """
@@ -55,11 +59,21 @@ def tokenizer(ranks: str) -> tiktoken.Encoding:
     path = ranks if "/" in ranks else public_tokenizers.path(ranks)
     with open(path, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    form = Path(path).with_suffix(".json")
+    added = json.loads(form.read_text("utf-8"))["added_tokens"] if form.exists() else []
     return tiktoken.Encoding(
-        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
+        "packing",
+        pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=table,
+        special_tokens={token["content"]: token["id"] for token in added},
     )
 
 
+def token_ids(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text, in which added tokens are one id each."""
+    return encoding.encode(text, allowed_special="all", disallowed_special=())
+
+
 @lru_cache(maxsize=1)
 def sentence_ends(ranks: str, end_id: int) -> np.ndarray:
     """By token id: whether a sentence can end with it."""
@@ -188,7 +202,7 @@ def pack_documents(
                         held, ids, size = [], [], 0
                     if part != at:
                         at, number = part, 0
-                    found = encoding.encode_ordinary(text)
+                    found = token_ids(encoding, text)
                     found.append(rules.end_id)
                     held.append(doc)
                     ids.append(np.array(found, dtype=np.int32))

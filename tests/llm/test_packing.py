@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from inkveil.llm.packing import PackingRules, best_cuts, op9_packing, pack_documents, sentence_ends, tokenizer
+from inkveil.llm.packing import PackingRules, best_cuts, op9_packing, pack_documents, sentence_ends, token_ids, tokenizer
 from tests.llm.edge import empty, frame, prose
 
 
@@ -106,3 +106,15 @@ def test_edges(spark, library):
     pairs = [(r["doc_id"], r["text"]) for r in docs.collect()]
     check(op9_packing(docs).collect(), pairs, library)
     assert op9_packing(empty(spark)).count() == 0
+
+
+def test_added_tokens_are_those_of_the_library_by_default(spark):
+    plain, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokenizer(PackingRules().ranks)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", "  <|endoftext|>  \n", "no marks. At all"]
+    for text in texts:
+        assert token_ids(own, text) == plain.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in pack_documents(docs, tokens=True).collect():
+        ids = [*plain.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
+        assert (r["start"], r["length"], r["doc_tokens"]) == (0, len(ids), len(ids))
+        assert r["tokens"] == ids
