@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkveil.llm import sql
+from inkveil.llm.byte_bpe import op12_byte_bpe
 from inkveil.llm.chat import op8_chat
 from inkveil.llm.class_lm import op10_class_lm
 from inkveil.llm.fingerprints import op4_fingerprint
@@ -39,6 +40,7 @@ def registered() -> dict[str, Query]:
         "op8_chat": _on(op8_chat, "conversations"),
         "op9_packing": _on(op9_packing, "documents"),
         "op10_class_lm": _on(op10_class_lm, "documents"),
+        "op12_byte_bpe": _on(op12_byte_bpe, "documents"),
     }
 
 

@@ -21,7 +21,7 @@ def test_query_matches_sql(name, spark, sf_dir):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_stages_keep_the_columns(spark, sf_dir):
