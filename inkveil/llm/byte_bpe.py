@@ -41,7 +41,7 @@ class BpeRules:
 
 
 # What the pattern's \s holds (Unicode's White_Space).
-_BLANK = "\t-\r \x85\xa0  -     　"
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_BLANK}]{{2,}}")
 # An apostrophe may begin a match with the letters behind it, so it is not among the marks.
 _SAFE = re.compile(
