@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -125,3 +126,36 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
     )
+
+
+def ordered_sha256(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, separator: str
+) -> DataFrame:
+    """BIGINT ``keys`` and ``sha256``: the hash of each group's values in order, with ``separator`` between them.
+
+    Values go through the hash one by one, so a task holds a batch of them
+    however large a group is.  NULL keys form groups, too.
+    """
+    out = pa.schema([(k, pa.int64()) for k in keys] + [("sha256", pa.string())])
+    between = separator.encode()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups():
+            at, digest = None, None
+            for part in parts:
+                *own, values = (c.to_pylist() for c in part.columns)
+                for key, text in zip(zip(*own, strict=True), values, strict=True):
+                    if digest is not None and key == at:
+                        digest.update(between + text.encode())
+                        continue
+                    if digest is not None:
+                        yield *at, digest.hexdigest()
+                    at, digest = key, hashlib.sha256(text.encode())
+            if digest is not None:
+                yield *at, digest.hexdigest()
+
+        yield from batches(groups(), out)
+
+    dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, *order)
+    ddl = ", ".join(f"`{k}` bigint" for k in keys) + ", sha256 string"
+    return dealt.select(*[F.col(k).cast("bigint").alias(k) for k in keys], value).mapInArrow(run, ddl)

@@ -10,11 +10,13 @@ from inkveil.llm import sql
 from inkveil.llm.byte_bpe import op12_byte_bpe
 from inkveil.llm.chat import op8_chat
 from inkveil.llm.class_lm import op10_class_lm
+from inkveil.llm.conversation_repair import op13_repair
 from inkveil.llm.fingerprints import op4_fingerprint
 from inkveil.llm.line_dedup import op5_line_dedup
 from inkveil.llm.mixing import op2_mixing
 from inkveil.llm.near_dedup import op1_near_dedup
 from inkveil.llm.packing import op9_packing
+from inkveil.llm.prefix_trie import op11_prefix_trie
 from inkveil.llm.quality import op7_quality
 from inkveil.llm.secret_scan import op3_secret_scan
 from inkveil.llm.sharding import op6_shards
@@ -40,7 +42,9 @@ def registered() -> dict[str, Query]:
         "op8_chat": _on(op8_chat, "conversations"),
         "op9_packing": _on(op9_packing, "documents"),
         "op10_class_lm": _on(op10_class_lm, "documents"),
+        "op11_prefix_trie": _on(op11_prefix_trie, "conversations"),
         "op12_byte_bpe": _on(op12_byte_bpe, "documents"),
+        "op13_repair": _on(op13_repair, "conversations"),
     }
 
 
