@@ -1,164 +1,96 @@
 """Line dedup: passages that occur again are removed where they occur later.
 
 Every three consecutive lines make a window, and windows overlap; where three
-hold fewer than ten words the lines that follow are added.  A window
-whose hash occurs twice or more is kept where it stands first, by
-(doc_id, hash of the text, position); elsewhere its lines count as covered, and
-neighbouring covered lines are cut out as one stretch.
-
-Prose often has a whole passage on one line, so a physical line of more than
-``wrap`` words is wrapped into lines: at the end of a sentence, or in long
-sentences behind a word picked by its hash.  Both depend on the words alone, so
-a passage is wrapped alike wherever it stands.
-
-Two copies of a passage behind different words can still fall into step late or
-not at all.  So runs of ``PassageRules.gram`` words are compared, too, whatever
-lines they lie on: of every ``reach`` consecutive runs the one of least hash is
-picked, which depends on their words alone, and around a picked run that occurs
-again every run is compared.  A passage of gram + reach - 1 = 47 words or more
-is found wherever it stands, and goes from its first word to its last.
+hold fewer than ten words the lines that follow are added.  A window whose hash
+occurs twice or more is kept where it stands first, by (doc_id, hash of the
+text, position); elsewhere its words count as covered, and neighbouring covered
+words are cut out as one stretch.
+
+Prose often has a whole passage on one line, so a physical line is wrapped into
+lines: of every ``reach`` consecutive pairs of words on it the one of least hash
+is picked, and a picked pair's first word ends a line.  That depends on the
+words around alone, so copies of a passage are in step from at most 15 words
+behind their beginning on, whatever stands before, and 47 words always hold a
+whole window.
+
+What lies before the first window of a stretch or behind its last one is then
+compared word by word with what lies there at the first occurrence: only for
+windows with different neighbours in different places, as all others are inside
+a stretch.  So a passage goes from its first word to its last.
 """
 
 from __future__ import annotations
 
 import re
-import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import WORD, batches, small_batches, stored
 
 _WORD = re.compile(WORD)
-_SENTENCE = b".!?"
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """``least`` words make a wrapped line; from ``long`` on hashes may end it.
+    """Windows of ``window`` lines; of every ``reach`` pairs of words on a line one is picked.
 
     Windows with fewer than ``min_words`` words are not compared, as so short a
     sequence occurs in unrelated texts: they are lengthened by the lines that
-    follow until they have as many.  ``filter_bits`` is the logarithm of
-    the size of the bit map that all executors get: 2**26 bits are 8 MB.
+    follow until they have as many.  At the ends of a stretch ``around`` words
+    are compared one by one; beyond a line break fewer than ``over_break`` equal
+    ones are taken for chance and stay.  ``filter_bits`` is the logarithm of the size of
+    the bit maps that all executors get: 2**26 bits are 8 MB.  ``at_once`` is
+    the number of bytes whose words a task holds at a time (or one text).
     """
 
     window: int = 3
-    wrap: int = 8
-    least: int = 5
-    long: int = 12
-    one_in: int = 4
+    reach: int = 8
     min_words: int = 10
+    around: int = 32
+    over_break: int = 3
     filter_bits: int = 26
+    at_once: int = 1 << 21
 
 
-@dataclass(frozen=True)
-class PassageRules:
-    """Runs of ``gram`` words (a power of two); one of every ``reach`` runs is picked."""
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
-    gram: int = 16
-    reach: int = 32
 
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), factor, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-_RUN = 1 << 30  # places from here on are places of runs, by word
 
+class _Powers:
+    """Powers of the factor and of its inverse, as many as any text has needed."""
 
-def line_ends(words: list[bytes], rules: LineRules) -> list[int]:
-    """Where the wrapped lines of one physical line end, as numbers of words."""
-    n = len(words)
-    if n <= rules.wrap:
-        return [n]
-    out, start = [], 0
-    stops = [i for i, word in enumerate(words) if word[-1] in _SENTENCE]
-    for stop in [*stops, n - 1]:
-        while True:  # behind picked words of a stretch that is long before its sentence ends
-            picked = range(start + rules.long - 1, stop)
-            at = next((i for i in picked if zlib.crc32(words[i]) % rules.one_in == 0), None)
-            if at is None:
-                break
-            start = at + 1
-            out.append(start)
-        if stop + 1 - start >= rules.least:
-            start = stop + 1
-            out.append(start)
-    if start < n:
-        out.append(n)
-    return out
-
-
-def split_words(text: bytes, rules: LineRules) -> list[list[bytes]]:
-    """The words of every line with a word in it, wrapped."""
-    out = []
-    for line in text.split(b"\n"):
-        if words := line.split():
-            start = 0
-            for end in line_ends(words, rules):
-                out.append(words[start:end])
-                start = end
-    return out
-
-
-def split_lines(text: str, rules: LineRules) -> list[tuple[int, int, list[bytes]]]:
-    """The same with each line's place in the text: ``(start, end, words)``."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        if words := line.encode("utf-8", "replace").split():
-            spans, start = [m.span() for m in _WORD.finditer(line)], 0
-            for end in line_ends(words, rules):
-                out.append((at + spans[start][0], at + spans[end - 1][1], words[start:end]))
-                start = end
-        at += len(line) + 1
-    return out
-
-
-def window_ends(sizes: list[int], rules: LineRules) -> list[int | None]:
-    """Behind which line the window of every line ends, by the lines' words; None where the text is too short."""
-    total = [0, *accumulate(sizes)]
-    out: list[int | None] = []
-    end = 0
-    for i in range(len(sizes) - rules.window + 1):
-        end = max(end, i + rules.window)
-        while end < len(sizes) and total[end] - total[i] < rules.min_words:
-            end += 1
-        out.append(end if total[end] - total[i] >= rules.min_words else None)
-    return out
-
-
-def window_hashes(lines: list[list[bytes]], rules: LineRules) -> list[int | None]:
-    """A 64-bit hash for every window of consecutive lines, None for too short ones."""
-    own = [xxhash.xxh3_64_intdigest(b" ".join(words)) for words in lines]
-    pack = struct.Struct(f"<{rules.window}Q").pack
-    out: list[int | None] = []
-    for i, end in enumerate(window_ends([len(words) for words in lines], rules)):
-        if end is None:
-            out.append(None)
-        else:
-            hashes = own[i:end]
-            packed = pack(*hashes) if len(hashes) == rules.window else struct.pack(f"<{len(hashes)}Q", *hashes)
-            value = xxhash.xxh3_64_intdigest(packed)
-            out.append(value - (1 << 64) if value >= 1 << 63 else value)
-    return out
-
-
-def run_hashes(words: list[bytes], rules: PassageRules) -> np.ndarray:
-    """A 64-bit hash for every run of ``gram`` words, by doubling."""
-    if len(words) < rules.gram:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    size, factor = 1, 0x9E3779B97F4A7C15
-    while size < rules.gram:
-        out = out[:-size] * np.uint64(factor) + out[size:]
-        size, factor = 2 * size, factor * factor % (1 << 64)
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(32))
+    def __init__(self) -> None:
+        self.up = self.down = _powers(1, 1)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            self.up, self.down = _powers(_FACTOR, n), _powers(_INVERSE, n)
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit values whose every bit depends on all of the bits given."""
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(32))
 
 
 def _sliding(pick, values: np.ndarray, size: int) -> np.ndarray:
@@ -170,113 +102,163 @@ def _sliding(pick, values: np.ndarray, size: int) -> np.ndarray:
     return values
 
 
-def picked_runs(hashes: np.ndarray, rules: PassageRules) -> np.ndarray:
-    """Places of the runs that have the least hash of some ``reach`` consecutive ones."""
-    if len(hashes) < rules.reach:
-        return np.zeros(0, dtype=np.int64)
-    least = np.pad(_sliding(np.minimum, hashes, rules.reach), rules.reach - 1)
-    return np.flatnonzero(_sliding(np.maximum, least, rules.reach) == hashes)
-
-
-def _covered(places: np.ndarray, before: int, behind: int, size: int) -> np.ndarray:
-    """A flag for each of ``size`` places: within a stretch around one of ``places``."""
-    delta = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(delta, np.maximum(places - before, 0), 1)
-    np.add.at(delta, np.minimum(places + behind, size), -1)
-    return np.cumsum(delta[:-1]) > 0
-
-
-def cut(
-    text: str, places: list[int], rules: LineRules, passages: PassageRules | None = None
-) -> tuple[str, int]:
-    """The text without the words that windows and runs at these places cover, and the number of their lines."""
-    lines = split_lines(text, rules)
-    sizes = [len(words) for _, _, words in lines]
-    first, ends = np.cumsum([0, *sizes]), window_ends(sizes, rules)
-    gone = np.zeros(int(first[-1]), dtype=bool)
-    for at in places:
-        if at < _RUN:
-            gone[first[at] : first[ends[at]]] = True
-    runs = np.array([at - _RUN for at in places if at >= _RUN], dtype=np.int64)
-    if len(runs):
-        gone |= _covered(runs, 0, passages.gram, len(gone))
+def picked(hashes: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
+    """A flag for each word: it begins the pair of least hash of some ``reach`` on its physical line."""
+    n = len(hashes)
+    if n < reach:
+        return np.zeros(n, dtype=bool)
+    pairs = hashes * np.uint64(_FACTOR)
+    same = line[:-1] == line[1:]
+    pairs[:-1][same] += hashes[1:][same]
+    pairs = mixed(pairs)
+    least = _sliding(np.minimum, pairs, reach)
+    least[line[: n - reach + 1] != line[reach - 1 :]] = 0
+    return _sliding(np.maximum, np.pad(least, reach - 1), reach) == pairs
+
+
+class Shape(NamedTuple):
+    """Texts as lines of words, and the windows that begin with each line.
+
+    ``begins`` and ``ends`` are words by line, ``text`` is its text; the first
+    lines of a text have windows, up to ``window_ends`` with hash ``windows``
+    (``whole`` where there is one).  ``room`` are the words before and behind
+    the window on the physical lines of its ends.  ``sums`` are running sums of
+    word hashes.
+    """
+
+    begins: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
+    whole: np.ndarray
+    window_ends: np.ndarray
+    windows: np.ndarray
+    room: tuple[np.ndarray, np.ndarray]
+    sums: np.ndarray
+
+    def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of the words from ``start`` to ``end``, wherever they stand."""
+        _, down = _POWERS.upto(len(self.sums))
+        size = (end - start).astype(np.uint64)
+        return mixed((self.sums[end] - self.sums[start]) * down[start] + size)
+
+
+def shape(texts: Sequence[bytes], rules: LineRules) -> Shape:
+    """The lines and windows of several texts, one after another."""
+    words: list[bytes] = []
+    sizes, owners = [], []
+    for i, text in enumerate(texts):
+        for line in text.split(b"\n"):
+            if own := line.split():
+                words += own
+                sizes.append(len(own))
+                owners.append(i)
+    n = len(words)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=n)
+    lines = np.repeat(np.arange(len(sizes)), sizes)
+    stop = picked(hashes, lines, rules.reach)
+    breaks = np.cumsum(sizes, dtype=np.int64)
+    stop[breaks - 1] = True
+    ends = np.flatnonzero(stop) + 1
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+    text = np.array(owners, dtype=np.int64)[lines[ends - 1]]
+    up, _ = _POWERS.upto(n + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)])
+    last = np.searchsorted(ends, begins + rules.min_words)
+    last = np.maximum(last, np.arange(len(ends)) + rules.window - 1)
+    whole = last < len(ends)
+    last = np.minimum(last, max(len(ends) - 1, 0))
+    whole &= text[last] == text
+    window_ends = ends[last]
+    physical = np.array(sizes, dtype=np.int64)
+    room = begins - (breaks - physical)[lines[begins]], breaks[lines[window_ends - 1]] - window_ends
+    out = Shape(begins, ends, text, whole, window_ends, np.zeros(0, dtype=np.uint64), room, sums)
+    return out._replace(windows=out.stretch(begins, window_ends))
+
+
+def _groups(columns: list[list], rules: LineRules) -> Iterator[tuple[list, list[bytes]]]:
+    """Rows (text last) as groups of at most ``at_once`` bytes or one row, with their texts as bytes."""
+    rows, texts, size = [], [], 0
+    for row in zip(*columns, strict=True):
+        raw = row[-1].encode("utf-8", "replace")
+        if rows and size + len(raw) > rules.at_once:
+            yield rows, texts
+            rows, texts, size = [], [], 0
+        rows.append(row[:-1])
+        texts.append(raw)
+        size += len(raw)
+    if rows:
+        yield rows, texts
+
+
+def cut(text: str, places: list[dict], rules: LineRules) -> tuple[str, int]:
+    """The text without the words of the windows at these places, and the number of lines that lose words.
+
+    A place is a line with the words that go ``before`` and ``behind`` its window.
+    """
+    own = shape([text.encode("utf-8", "replace")], rules)
+    gone = np.zeros(len(own.sums) - 1, dtype=bool)
+    for place in places:
+        at = place["at"]
+        start = max(int(own.begins[at]) - place["before"], 0)
+        gone[start : int(own.window_ends[at]) + place["behind"]] = True
     starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
     parts, end = [], 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     for i, j in edges.reshape(-1, 2):  # stretches of words that go, with the space behind them
         parts.append(text[end : starts[i]])
         end = starts[j]
-    touched = np.add.reduceat(gone, first[:-1]).astype(bool).sum() if lines else 0
+    touched = np.add.reduceat(gone, own.begins).astype(bool).sum() if len(own.begins) else 0
     return "".join(parts) + text[end:], int(touched)
 
 
-_OUT = pa.schema(
-    [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64())]
-    + [("windows", pa.list_(pa.int64())), ("picked", pa.list_(pa.int64()))]
+_LINES = pa.schema(
+    [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("rest", pa.bool_())]
+    + [("windows", pa.list_(pa.int64()))]
 )
+_LINES_DDL = "doc_id bigint, h bigint, n bigint, rest boolean, windows array<bigint>"
 
 
-def repeated_windows(
-    docs: DataFrame, rules: LineRules = LineRules(), passages: PassageRules | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Tables of lines ``(doc_id, h, n, windows, picked)`` and of later occurrences ``(doc_id, h, at)``.
-
-    ``h`` is the hash of the text: rows alike in doc_id and text are one
-    document.  Texts are read once.  Windows are counted by their hash alone,
-    summed per task before; a bit map of the repeated ones then lets nearly
-    all others be left out where they are, and only what passes it is compared
-    by place.  Where repeats fill the map more passes, with the same result.
-    With ``passages`` picked runs are counted, too, at most twice for a text;
-    texts are then read again for the runs around repeated ones.
-    """
+def _lines(keyed: DataFrame, rules: LineRules) -> DataFrame:
+    """Each text's number of lines, the hashes of its windows, which its first lines begin, and whether words are left behind the last."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for part in parts:
-                for doc, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    lines = split_words(text.encode("utf-8", "replace"), rules)
-                    picked = []
-                    if passages:
-                        hashes = run_hashes([word for line in lines for word in line], passages)
-                        own, n = np.unique(hashes[picked_runs(hashes, passages)], return_counts=True)
-                        picked = np.concatenate([own, own[n > 1]]).view(np.int64).tolist()
-                    yield doc, h, len(lines), window_hashes(lines, rules), picked
-
-        yield from batches(rows(), _OUT, 2000)
+        for part in parts:
+            for rows, texts in _groups([c.to_pylist() for c in part.columns], rules):
+                own = shape(texts, rules)
+                n = np.bincount(own.text, minlength=len(rows))
+                sizes = np.bincount(own.text[own.whole], minlength=len(rows))
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                windows = pa.ListArray.from_arrays(
+                    pa.array(offsets), pa.array(own.windows[own.whole].view(np.int64))
+                )
+                rest = np.zeros(len(rows), dtype=bool)
+                some = np.flatnonzero(sizes)
+                first = np.cumsum(n) - n
+                rest[some] = own.window_ends[(first + sizes - 1)[some]] < own.ends[(first + n - 1)[some]]
+                docs, hs = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs, pa.int64()), pa.array(hs, pa.int64()), pa.array(n.astype(np.int64)),
+                     pa.array(rest), windows], schema=_LINES,
+                )
+        pa.default_memory_pool().release_unused()
 
-    small_batches(docs.sparkSession)
-    keyed = _keyed(docs).select("__doc", "__h", "__text")
-    ddl = "doc_id bigint, h bigint, n bigint, windows array<bigint>, picked array<bigint>"
-    lines = stored(keyed.mapInArrow(run, ddl), "lines")
-    shared = docs.sparkSession.sparkContext.broadcast(_repeat_map(lines, rules.filter_bits))
-    windows = _passing(lines, shared, rules)
-    if passages:
-        windows = windows.unionByName(_passing_runs(keyed, shared, rules, passages))
-    windows = stored(windows, "windows")
-    place = F.struct("doc_id", "h", "at")
-    firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    # Stored, as a join of two plain shuffles can be split where a hash is hot.
-    firsts = stored(firsts.drop("n"), "windows")
-    later = windows.join(firsts, "hash").filter(place > F.col("first")).select("doc_id", "h", "at")
-    return lines, later
+    return keyed.mapInArrow(run, _LINES_DDL)
 
 
-def _repeat_map(lines: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the low part of every hash of a window or picked run that occurs twice or more."""
-    windows = lines.select(F.explode(F.concat("windows", "picked")).alias("hash")).filter("hash IS NOT NULL")
-    repeated = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+def _bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the low part of every ``hash``; at most 2**(bits - 6) rows come to the driver."""
     low = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
-    words = repeated.groupBy(F.shiftright(low, 6).alias("word")).agg(
+    words = hashes.groupBy(F.shiftright(low, 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("bits")
     )
-    found = words.toArrow()  # at most 2**(bits - 6) rows
+    found = words.toArrow()
     out = np.zeros(max(1, 1 << (bits - 6)), dtype=np.int64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-_PLACED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())])
-_PLACED_DDL = "doc_id bigint, h bigint, at int, hash bigint"
+def _shared_map(hashes: DataFrame, rules: LineRules) -> Broadcast:
+    return hashes.sparkSession.sparkContext.broadcast(_bit_map(hashes, rules.filter_bits))
 
 
 def _set_in(bits: np.ndarray, hashes: np.ndarray, rules: LineRules) -> np.ndarray:
@@ -284,106 +266,206 @@ def _set_in(bits: np.ndarray, hashes: np.ndarray, rules: LineRules) -> np.ndarra
     return (bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) == 1
 
 
-def _passing(lines: DataFrame, shared, rules: LineRules) -> DataFrame:
-    """``(doc_id, h, at, hash)`` of the windows whose bit is set in the broadcast map."""
+_PLACED = pa.schema(
+    [("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())]
+    + [("prev", pa.int32()), ("next", pa.int32())]
+)
+_PLACED_DDL = "doc_id bigint, h bigint, at int, hash bigint, prev int, next int"
+
+
+def _passing(lines: DataFrame, shared: Broadcast, rules: LineRules) -> DataFrame:
+    """The windows whose bit is set in the map, with 32 bits of the windows before and behind each.
+
+    Of a text's last window ``next`` is 0 if words are left behind it, else 1.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for part in parts:
             lists = part.column("windows")
-            flat = lists.flatten()  # NULL lists do not occur
-            valid = flat.is_valid().to_numpy(zero_copy_only=False)
-            hashes = flat.fill_null(0).to_numpy(zero_copy_only=False)
-            hit = valid & _set_in(bits, hashes.view(np.uint64), rules)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
-            at = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[hit]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            first = np.cumsum(sizes) - sizes
+            at = np.arange(len(flat)) - np.repeat(first, sizes)
+            short = flat.astype(np.int32)
+            prev, following = np.zeros_like(short), np.zeros_like(short)
+            prev[1:], following[:-1] = short[:-1], short[1:]
+            prev[at == 0] = 0
+            rest = part.column("rest").to_numpy(zero_copy_only=False)
+            following[(first + sizes - 1)[sizes > 0]] = np.where(rest, 0, 1)[sizes > 0]
+            hit = _set_in(bits, flat.view(np.uint64), rules)
+            rows = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(row)), part.column("h").take(pa.array(row)),
-                 pa.array(at.astype(np.int32)), pa.array(hashes[hit])], schema=_PLACED,
+                [part.column("doc_id").take(rows), part.column("h").take(rows), pa.array(at[hit].astype(np.int32)),
+                 pa.array(flat[hit]), pa.array(prev[hit]), pa.array(following[hit])], schema=_PLACED,
             )
 
-    return lines.select("doc_id", "h", "windows").mapInArrow(run, _PLACED_DDL)
+    return lines.select("doc_id", "h", "rest", "windows").mapInArrow(run, _PLACED_DDL)
 
 
-def _passing_runs(keyed: DataFrame, shared, rules: LineRules, passages: PassageRules) -> DataFrame:
-    """``(doc_id, h, at, hash)`` of all runs within reach of a picked one whose bit is set."""
+_AROUND = pa.schema(
+    [("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())]
+    + [("before", pa.list_(pa.int32())), ("behind", pa.list_(pa.int32()))]
+    + [("room_before", pa.int32()), ("room_behind", pa.int32())]
+)
+_AROUND_DDL = (
+    "doc_id bigint, h bigint, at int, hash bigint, before array<int>, behind array<int>, "
+    "room_before int, room_behind int"
+)
+
+
+def _around(keyed: DataFrame, windows: Broadcast, texts: Broadcast, rules: LineRules) -> DataFrame:
+    """The words around the windows in one bit map, of the texts in another.
+
+    Element k is a hash of the k + 1 words next to the window; there are fewer
+    at the ends of a text.
+    """
+
+    def side(own: Shape, edge: np.ndarray, limit: np.ndarray, way: int) -> pa.Array:
+        sizes = np.minimum(way * (limit - edge), rules.around)
+        start = np.repeat(edge, sizes)
+        far = np.arange(len(start)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        a, b = (start, start + far) if way > 0 else (start - far, start)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.stretch(a, b).astype(np.int32)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for part in parts:
-            docs, hs, texts = (c.to_pylist() for c in part.columns)
-            for doc, h, text in zip(docs, hs, texts, strict=True):
-                hashes = run_hashes(text.encode("utf-8", "replace").split(), passages)
-                picked = picked_runs(hashes, passages)
-                picked = picked[_set_in(bits, hashes[picked], rules)]
-                if not len(picked):
-                    continue
-                at = np.flatnonzero(_covered(picked, passages.reach - 1, passages.reach, len(hashes)))
-                for i in range(0, len(at), 50_000):
-                    some = at[i : i + 50_000]
+            keys = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            part = part.filter(pa.array(_set_in(texts.value, keys, rules)))
+            columns = [part.column(c).to_pylist() for c in ("doc_id", "h", "text")]
+            for rows, raw in _groups(columns, rules):
+                own = shape(raw, rules)
+                hit = np.flatnonzero(own.whole & _set_in(windows.value, own.windows, rules))
+                first = np.searchsorted(own.text, np.arange(len(raw)))
+                behind = np.searchsorted(own.text, np.arange(len(raw)), side="right") - 1
+                text = own.text[hit]
+                docs, hs = (np.array(c, dtype=object) for c in zip(*rows, strict=True))
+                for i in range(0, len(hit), 5000):
+                    some, of = hit[i : i + 5000], text[i : i + 5000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(some), pa.int64()), pa.array([h] * len(some), pa.int64()),
-                         pa.array((some + _RUN).astype(np.int32)), pa.array(hashes[some].view(np.int64))],
-                        schema=_PLACED,
+                        [pa.array(docs[of], pa.int64()), pa.array(hs[of], pa.int64()),
+                         pa.array((some - first[of]).astype(np.int32)), pa.array(own.windows[some].view(np.int64)),
+                         side(own, own.begins[some], own.begins[first[of]], -1),
+                         side(own, own.window_ends[some], own.ends[behind[of]], 1),
+                         *(pa.array(room[some].astype(np.int32)) for room in own.room)], schema=_AROUND,
                     )
         pa.default_memory_pool().release_unused()
 
-    return keyed.mapInArrow(run, _PLACED_DDL)
+    return keyed.select("doc_id", "h", "text", F.xxhash64("doc_id", "h").alias("key")).mapInArrow(run, _AROUND_DDL)
+
+
+PLACE = ("doc_id", "h", "at")
+
+
+def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[DataFrame, DataFrame]:
+    """Tables of texts ``(doc_id, h, n)`` and of what goes ``(doc_id, h, at, before, behind)``.
+
+    ``h`` is the hash of the text: rows alike in doc_id and text are one
+    document.  ``at`` is the line that begins a later window; with it go the
+    words ``before`` and ``behind`` it that are those at the first occurrence.
+    Windows are counted by their hash alone, summed per task before; a bit map
+    of the repeated ones then lets nearly all others be left out where they
+    are, and only what passes it is compared by place.  Where repeats fill the
+    map more passes, with the same result.  Texts are read again where a
+    stretch of repeated windows begins or ends.
+    """
+    small_batches(docs.sparkSession)
+    keyed = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), _hash_of(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    lines = stored(_lines(keyed, rules), "lines")
+    counted = lines.select(F.explode("windows").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+    windows = stored(_passing(lines, _shared_map(counted.filter("n > 1"), rules), rules), "windows")
+    place = F.struct(*PLACE)
+    firsts = windows.groupBy("hash").agg(
+        F.min(place).alias("first"),
+        F.count("*").alias("n"),
+        (F.min("prev") < F.max("prev")).alias("begins"),
+        ((F.min("next") < F.max("next")) | F.bool_or(F.col("next") == 0)).alias("ends"),
+    )
+    # Stored, as a join of two plain shuffles can be split where a hash is hot.
+    firsts = stored(firsts.filter("n > 1").drop("n"), "windows")
+    later = windows.select(*PLACE, "hash").join(firsts.drop("begins", "ends"), "hash").filter(place > F.col("first"))
+    none = F.lit(0).alias("before"), F.lit(0).alias("behind")
+    return lines.select("doc_id", "h", "n"), later.select(*PLACE, *none).unionByName(
+        _beyond(keyed, windows, firsts.filter("begins OR ends"), rules)
+    )
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns(
-        {"__doc": F.col("doc_id").cast("bigint"), "__h": F.xxhash64(text), "__text": text}
+def _beyond(keyed: DataFrame, windows: DataFrame, edges: DataFrame, rules: LineRules) -> DataFrame:
+    """Later windows at the edge of a stretch: how many words next to them are those at the first occurrence."""
+    of_texts = windows.select("doc_id", "h", "hash").join(edges, "hash", "left_semi")
+    texts = of_texts.select(F.xxhash64("doc_id", "h").alias("hash"))
+    maps = _shared_map(edges.select("hash"), rules), _shared_map(texts, rules)
+    around = stored(_around(keyed, *maps, rules), "windows")
+    known = around.join(edges, "hash")  # with its first place, and whether stretches begin or end here
+    place = F.struct(*PLACE)
+    first = known.filter(place == F.col("first")).dropDuplicates(["hash"])
+    first = stored(first.select("hash", F.col("before").alias("at_before"), F.col("behind").alias("at_behind")), "windows")
+
+    def alike(a: str, b: str, edge: str):
+        equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: F.coalesce(same, F.lit(False))))
+        room = F.col(f"room_{a}")
+        words = F.when(equal < room + rules.over_break, F.least(equal, room)).otherwise(equal)
+        return F.when(F.col(edge), words).otherwise(0).alias(a)
+
+    return (
+        known.filter(place > F.col("first"))
+        .join(first, "hash")
+        .select(*PLACE, alike("before", "at_before", "begins"), alike("behind", "at_behind", "ends"))
+        .filter("before + behind > 0")
     )
 
 
-def dedup_lines(
-    docs: DataFrame, rules: LineRules = LineRules(), passages: PassageRules | None = None
-) -> DataFrame:
+def _hash_of(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """``docs`` with the cut ``text``, and ``n_lines`` and ``n_removed`` (lines that lost words) per row.
 
     A NULL text stays NULL and has no lines; texts of fewer than three lines
     have no windows and stay; NULL ids come before all others; rows alike in
-    doc_id and text are one document and are cut alike; an empty table stays
-    empty; all other columns are kept (``n_lines`` and ``n_removed`` are
-    replaced).  Texts are shuffled once, by their hash.  With ``passages``
-    repeated runs of words go as well, without regard to lines.
+    doc_id and text are one document and are cut alike; of equal texts with
+    different ids the least id keeps its words; an empty table stays empty.
+    A text of any length is read whole, a few megabytes of others with it.  All
+    other columns are kept as they are, whatever their names (``n_lines`` and
+    ``n_removed`` are replaced).  Texts are shuffled once, by their hash.
     """
-    lines, later = repeated_windows(docs, rules, passages)
-    key = F.struct("doc_id", "h").alias("__key")  # never NULL, so that NULL ids meet
-    cuts = later.groupBy("doc_id", "h").agg(F.collect_set("at").alias("__at"))
-    sizes = lines.groupBy("doc_id", "h").agg(F.max("n").alias("n_lines"))
-    found = sizes.join(cuts.select(key, "__at"), (F.struct("doc_id", "h") == F.col("__key")), "left")
-    found = found.select(key, "n_lines", "__at")
-
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = _keyed(docs.select(*kept)).withColumn("__key", F.struct(F.col("__doc").alias("doc_id"), F.col("__h").alias("h")))
+    lines, gone = repeated_windows(docs, rules)
+    key = F.struct("doc_id", "h").alias("key")  # never NULL, so that NULL ids meet
+    cuts = gone.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "before", "behind")).alias("places"))
+    sizes = lines.groupBy("doc_id", "h").agg(F.max("n").alias("n"))
+    found = sizes.select(key, "n").join(cuts.select(key, "places"), "key", "left")
 
     def apply(texts: pa.Array, places: pa.Array) -> pa.Array:
         done = []
         for text, at in zip(texts.to_pylist(), places.to_pylist(), strict=True):
-            left, n = (None, 0) if at is None else cut(text, at, rules, passages)
+            left, n = (None, 0) if at is None or text is None else cut(text, at, rules)
             done.append({"text": left, "n": n})
         return pa.array(done, type=pa.struct([("text", pa.string()), ("n", pa.int64())]))
 
     # Texts that stay are not sent to Python.  Both results come from one call:
     # an expression that counts as nondeterministic is not copied into each use.
     cutter = F.arrow_udf(apply, "text string, n bigint").asNondeterministic()
-    hit = F.when(F.col("__at").isNotNull(), F.col("__text"))
-    joined = rows.join(found, "__key", "left").withColumn("__cut", cutter(hit, F.col("__at")))
-    text = F.when(F.col("__at").isNotNull() & F.col("text").isNotNull(), F.col("__cut.text")).otherwise(F.col("text"))
-    return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in kept],
-        F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce("__cut.n", F.lit(0)).cast("bigint").alias("n_removed"),
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    own = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), _hash_of(F.col("text")).alias("h")).alias("key")
+    joined = docs.select(row, own).join(found, "key", "left")
+    done = joined.withColumn("cut", cutter(F.when(F.col("places").isNotNull(), F.col("row.text")), F.col("places")))
+    text = F.when(F.col("places").isNotNull(), F.col("cut.text")).otherwise(F.col("row.text"))
+    return done.select(
+        *[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept],
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce("cut.n", F.lit(0)).cast("bigint").alias("n_removed"),
     )
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, n_lines, n_removed)`` of every document."""
-    return dedup_lines(docs, passages=PassageRules()).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def without_repeats(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -391,6 +473,10 @@ def without_repeats(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
 
     ``n_chars`` follows the text.  A document that had no words before stays.
     """
-    done = dedup_lines(docs, rules, PassageRules()).filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(WORD)))
-    text_length = F.length("text").cast("bigint").alias("n_chars")
-    return done.select(*[text_length if c == "n_chars" else F.col(c) for c in docs.columns])
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
+    done = dedup_lines(docs.select("doc_id", "text", kept), rules)
+    left = done.filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(WORD)))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return left.select(
+        *[(own[c] if c in own else F.col("kept").getField(c)).alias(c) for c in docs.columns]
+    )

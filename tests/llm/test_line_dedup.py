@@ -1,26 +1,94 @@
 import random
-import zlib
+
+import numpy as np
+import xxhash
 
 from inkveil.llm.common import words_of
-from inkveil.llm.line_dedup import LineRules, PassageRules, cut, dedup_lines, line_ends, op5_line_dedup, split_lines, split_words, without_repeats
+from inkveil.llm.line_dedup import LineRules, cut, dedup_lines, op5_line_dedup, shape, without_repeats
 from tests.llm.edge import empty, frame, prose
 
 RULES = LineRules()
+MASK = (1 << 64) - 1
+
+
+def mix(x):
+    for _ in range(2):
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & MASK
+    return x ^ (x >> 32)
+
+
+def split(text, rules=RULES):
+    """Lines of words by the rule: of every ``reach`` pairs on a physical line the least ends a line."""
+    out = []
+    for line in text.encode().split(b"\n"):
+        words = line.split()
+        hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
+        pairs = [mix((h * 0x9E3779B97F4A7C15 + (hashes[i + 1] if i + 1 < len(hashes) else 0)) & MASK) for i, h in enumerate(hashes)]
+        ends = {len(words) - 1}
+        for i in range(len(pairs) - rules.reach + 1):
+            least = min(pairs[i : i + rules.reach])
+            ends |= {j for j in range(i, i + rules.reach) if pairs[j] == least}
+        own = []
+        for i, word in enumerate(words):
+            own.append(word)
+            if i in ends:
+                out.append(own)
+                own = []
+    return out
+
+
+def windows_of(lines, rules=RULES):
+    """By line the words of its window and where it ends, as long as there is one."""
+    out = []
+    for i in range(len(lines)):
+        end = i + rules.window
+        while end <= len(lines) and sum(map(len, lines[i:end])) < rules.min_words:
+            end += 1
+        if end > len(lines):
+            break
+        out.append((tuple(w for line in lines[i:end] for w in line), end))
+    return out
 
 
 def brute(docs, rules=RULES):
-    """Texts by id, each window compared by its words with all before it."""
-    seen, out = set(), {}
+    """Texts by id, each window compared by its words with all before it, and edges word by word."""
+    shapes, places, around = {}, {}, {}
     for doc, text in sorted(docs):
-        lines, repeats, own = split_lines(text, rules), [], []
-        for i in range(len(lines) - rules.window + 1):
-            words = tuple(tuple(w) for _, _, w in lines[i : i + rules.window])
-            if sum(map(len, words)) < rules.min_words:
+        lines = split(text, rules)
+        begins = [sum(map(len, lines[:i])) for i in range(len(lines) + 1)]
+        own = windows_of(lines, rules)
+        shapes[doc] = [w for line in lines for w in line], begins, own
+        for i, (words, _) in enumerate(own):
+            places.setdefault(words, []).append((doc, i))
+            rest = begins[own[i][1]] < begins[-1]
+            next_to = (own[i - 1][0] if i else None, own[i + 1][0] if i + 1 < len(own) else rest)
+            around.setdefault(words, set()).add(next_to)
+    out = {}
+    for doc, text in docs:
+        words, begins, own = shapes[doc]
+        repeats = []
+        for i, (window, end) in enumerate(own):
+            first_doc, first_at = places[window][0]
+            if (first_doc, first_at) == (doc, i):
                 continue
-            if words in seen:
-                repeats.append(i)
-            seen.add(words)
-            own.append(words)
+            before = behind = 0
+            begin, stop = (len({x[k] for x in around[window]}) > 1 for k in (0, 1))
+            stop = stop or any(x[1] is True for x in around[window])
+            if begin or stop:
+                there, there_begins, there_own = shapes[first_doc]
+                a, b = begins[i], there_begins[first_at]
+                while before < min(a, b, rules.around) and words[a - before - 1] == there[b - before - 1]:
+                    before += 1
+                a, b = begins[end], there_begins[there_own[first_at][1]]
+                while behind < min(len(words) - a, len(there) - b, rules.around) and words[a + behind] == there[b + behind]:
+                    behind += 1
+                edges = [0, *np.cumsum([len(line.split()) for line in text.split("\n")]).tolist()]
+                room = begins[i] - max(e for e in edges if e <= begins[i])
+                before = min(before, room) if before < room + rules.over_break else before
+                room = min(e for e in edges if e >= a) - a
+                behind = min(behind, room) if behind < room + rules.over_break else behind
+                before, behind = before * begin, behind * stop
+            repeats.append({"at": i, "before": before, "behind": behind})
         out[doc] = cut(text, repeats, rules)[0]
     return out
 
@@ -66,15 +134,43 @@ def test_repeats_within_a_text(spark):
     assert (row["n_lines"], row["n_removed"]) == (8, 3)
 
 
+def lines_of(text):
+    own, words = shape([text.encode()], RULES), text.encode().split()
+    return [words[a:b] for a, b in zip(own.begins, own.ends)]
+
+
+def test_lines_end_where_the_rule_says():
+    for seed in range(100):
+        rng = random.Random(seed)
+        text = prose(seed, rng.randint(0, 150), rng.choice([2, 10, 400]))
+        lines = split(text)
+        assert lines_of(text) == lines
+        own = shape([text.encode()], RULES)
+        found = windows_of(lines)
+        assert own.whole.sum() == len(found) and own.whole[: len(found)].all()
+        sizes = np.cumsum([len(line) for line in lines])
+        assert own.window_ends[: len(found)].tolist() == [sizes[end - 1] for _, end in found]
+        # Equal windows and no others have equal hashes.
+        assert len(set(zip(own.windows.tolist(), [w for w, _ in found]))) == len({w for w, _ in found})
+
+
+def test_several_texts_at_once_have_the_windows_of_each():
+    texts = [t.encode() for t in (prose(1, 90), "", "a b\n c", prose(2, 12), prose(1, 90), " \n ")]
+    together = shape(texts, RULES)
+    for i, text in enumerate(texts):
+        alone, mine = shape([text], RULES), together.text == i
+        assert together.windows[mine & together.whole].tolist() == alone.windows[alone.whole].tolist()
+        assert (together.ends - together.begins)[mine].tolist() == (alone.ends - alone.begins).tolist()
+
+
 def test_lines_are_wrapped_alike_in_any_place():
     passage = prose(5, 80).replace("\n", " ")
-    inside = {tuple(w) for _, _, w in split_lines(passage, RULES)}
+    inside = {tuple(w) for w in split(passage)}
     for i in range(20):
         text = prose(i + 50, 40).replace("\n", " ") + " " + passage + " " + prose(i + 90, 40)
-        found = {tuple(w) for _, _, w in split_lines(text, RULES)}
-        assert len(inside - found) <= 4
-        assert [x for _, _, w in split_lines(text, RULES) for x in w] == text.encode().split()
-        assert [w for _, _, w in split_lines(text, RULES)] == split_words(text.encode(), RULES)
+        found = split(text)
+        assert len(inside - {tuple(w) for w in found}) <= 6
+        assert [x for w in found for x in w] == text.encode().split()
 
 
 def test_edges(spark):
@@ -94,27 +190,6 @@ def test_edges(spark):
     assert without_repeats(empty(spark)).count() == 0 and op5_line_dedup(empty(spark)).count() == 0
 
 
-def wrapped(words, rules=RULES):
-    """The rule of wrapping, word by word."""
-    if len(words) <= rules.wrap:
-        return [len(words)]
-    out, n = [], 0
-    for i, word in enumerate(words):
-        n += 1
-        if n >= rules.least and (word[-1:] in b".!?" or n >= rules.long and zlib.crc32(word) % rules.one_in == 0):
-            out.append(i + 1)
-            n = 0
-    return out if n == 0 else [*out, len(words)]
-
-
-def test_lines_end_where_the_rule_says():
-    for seed in range(200):
-        rng = random.Random(seed)
-        words = prose(seed, rng.randint(1, 120)).encode().split()
-        words = [w.rstrip(b".") if rng.random() < 0.8 else w for w in words]
-        assert line_ends(words or [b"."], RULES) == wrapped(words or [b"."])
-
-
 def planted(marks, joint, words=51, copies=40):
     """Texts around copies of one passage, each at a random word; no sentence marks without ``marks``."""
     rng = random.Random(11)
@@ -138,18 +213,42 @@ def test_passages_of_51_words_go_from_end_to_end(spark):
             assert abs(len(got[i].split()) - len(before + behind)) <= 2, (marks, joint, i)
 
 
-def test_picked_runs_follow_the_words_alone():
-    rules, passage = PassageRules(), [w.encode() for w in prose(6, 47).split()]
-    from inkveil.llm.line_dedup import picked_runs, run_hashes
+def test_47_words_hold_a_whole_window():
+    for seed in range(60):
+        passage = " ".join(w.rstrip(".") for w in prose(700 + seed, 47).split())
+        both = []
+        for i in (1, 2):
+            own = " ".join(prose(seed * 10 + i, 40 + i).split())
+            both.append({w for w, _ in windows_of(split(f"{own} {passage} {own} "))})
+        assert {w for w in both[0] & both[1] if " ".join(x.decode() for x in w) in passage}
+
+
+def test_the_query_on_a_whole_table(spark, sf_dir):
+    """The registered form against brute force, passages inside lines and lengthened windows included."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    got = {r["doc_id"]: r["text"] or "" for r in op5_line_dedup(docs).collect()}
+    assert got == brute(rows)
+
+
+def test_long_texts_and_ties(spark):
+    word, line = "word " * 300_000, " ".join(prose(1, 40_000).split())
+    docs = [(1, word), (2, " " * 2_000_000), (3, "\n" * 2_000_000), (4, line), (5, line), (5, line), (6, "x" * 2_000_000), (7, line + " y")]
+    got = {}
+    for r in op5_line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got[4] == [line] and got[5] == ["", ""] and got[7] == ["y"]
+    assert got[2] == [docs[1][1]] and got[3] == [docs[2][1]] and got[6] == [docs[6][1]]
+    assert len(got[1][0].split()) < 20  # its first window stays
 
-    def found(words):
-        hashes = run_hashes(words, rules)
-        return set(hashes[picked_runs(hashes, rules)].tolist())
 
-    common = found(passage)
-    assert common
-    for i in range(50):
-        assert common <= found([w.encode() for w in prose(100 + i, 40 + i).split()] + passage + [b"end"] * i)
+def test_clashing_columns_stay(spark):
+    names = ["key", "row", "cut", "places", "n", "h", "hash", "at", "__text", "__key", "__h", "__doc", "__cut", "__at", "kept"]
+    own = ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(i, prose(1, 60), *range(i, i + len(names))) for i in (1, 2)], f"doc_id bigint, text string, {own}")
+    done = {r["doc_id"]: r for r in dedup_lines(docs).collect()}
+    assert all(done[i][n] == i + k for i in (1, 2) for k, n in enumerate(names))
+    assert [tuple(r) for r in without_repeats(docs).collect()] == [tuple(docs.filter("doc_id = 1").first())]
 
 
 def test_short_lines_are_joined_into_windows(spark):
