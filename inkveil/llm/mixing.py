@@ -314,23 +314,25 @@ def mix_documents(docs: DataFrame, source: str = "source", rules: MixRules = Mix
         .select("__key", "__number", "__pieces")
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns(
-        {"__doc": F.col("doc_id").cast("bigint"), "__h": F.xxhash64(text), "__source": F.col(source).cast("string")}
-    )
-    rows = rows.withColumn("__key", key).withColumn(
-        "__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    )
+    # Other columns travel as one value, so none of their names matters.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(
+            F.col("doc_id").cast("bigint").alias("__doc"),
+            F.xxhash64(text).alias("__h"),
+            F.col(source).cast("string").alias("__source"),
+        ).alias("__key"),
+    ).withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
 
     def taken(texts: pa.Array, parts: pa.Array) -> pa.Array:
         pairs = zip(texts.to_pylist(), parts.to_pylist(), strict=True)
         found = [passages(t, [tuple(p.values()) for p in ps]) for t, ps in pairs]
         return pa.array(found, type=pa.list_(pa.string()))
 
-    cut = F.arrow_udf(taken, "array<string>")(text, F.col("__pieces"))
+    cut = F.arrow_udf(taken, "array<string>")(F.coalesce("row.text", F.lit("")), F.col("__pieces"))
     # The number is compared as a difference, so that the join is on the key alone
     # and texts stay where the window has them.
     same = (rows["__key"] == used["__key"]) & (F.col("__copy") - F.col("__number") == 0)
     done = rows.join(used, same).withColumn("__taken", F.explode(cut))
-    length = F.length("__taken").cast("bigint")
-    columns = {"text": F.col("__taken").alias("text"), "n_chars": length.alias("n_chars")}
-    return done.select(*[columns.get(c, F.col(c)) for c in docs.columns])
+    columns = {"text": F.col("__taken"), "n_chars": F.length("__taken").cast("bigint")}
+    return done.select(*[columns.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

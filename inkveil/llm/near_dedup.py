@@ -403,12 +403,21 @@ def op1_near_dedup(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """The rows of ``docs`` without all but one document of each component.
 
-    Rows that share an id are one document; of them the one with the least
-    text stays.  Rows without an id stay.
+    Documents are told apart by doc_id and text, so texts that share an id are
+    compared one by one, and rows without an id like any other.  Rows alike in
+    both are one document and one of them stays; of a component the one with
+    the least id, NULL last.  Empty texts are near nothing.  All columns are
+    kept, whatever their names.
     """
-    kept = near_duplicates(docs, rules=rules).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("bigint"))
-    own = Window.partitionBy("__id").orderBy("text")
-    rows = named.join(kept.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
-    rows = rows.withColumn("__place", F.row_number().over(own)).filter("__place = 1")
-    return rows.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
+    rows = docs.select(F.struct(*columns).alias("row"), key.alias("key"), F.col("doc_id").cast("bigint").alias("id"), "text")
+    near = near_duplicates(rows.select("key", "text"), "key", rules=rules)
+    classes = near.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
+    ids = rows.groupBy("key").agg(F.min("id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")
+    best = classes.join(ids, "key").groupBy("component").agg(F.min(order).alias("best")).select("best.key")
+    own = Window.partitionBy("key").orderBy("key")
+    left = rows.drop("id", "text").join(best, "key", "left_semi")
+    left = left.withColumn("place", F.row_number().over(own)).filter("place = 1")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from inkveil.llm.byte_bpe import BpeRules, encode_text
 from inkveil.llm.common import batches, ranged
 
 
@@ -70,8 +72,18 @@ def tokenizer(ranks: str) -> tiktoken.Encoding:
 
 
 def token_ids(encoding: tiktoken.Encoding, text: str) -> list[int]:
-    """The ids of a text, in which added tokens are one id each."""
-    return encoding.encode(text, allowed_special="all", disallowed_special=())
+    """The ids of a text of any length, in which added tokens are one id each."""
+    if len(text) <= BpeRules().blanks:
+        return encoding.encode(text, allowed_special="all", disallowed_special=())
+    added = encoding.special_tokens_set
+    parts = re.split("(" + "|".join(map(re.escape, sorted(added))) + ")", text) if added else [text]
+    ids: list[int] = []
+    for part in parts:
+        if part in added:
+            ids.append(encoding.encode_single_token(part))
+        else:
+            ids += encode_text(encoding, part).tolist()
+    return ids
 
 
 @lru_cache(maxsize=1)
@@ -176,8 +188,10 @@ def pack_documents(
     token.  With ``tokens`` the piece's ids are a column, too.  Sequences
     ascend with the documents' order, (doc_id, text); NULL ids come first;
     repeated rows are packed as often as they occur; an empty table gives no
-    rows; other columns are not read.  Texts are shuffled once, by ranges of
-    ids; a range ends a sequence, and a task holds one stretch of tokens.
+    rows; other columns are not read.  Texts of any length are read whole, long
+    ones in pieces, and cut wherever a sequence ends.  Texts are shuffled once,
+    by ranges of ids; a range ends a sequence, and a task holds one stretch of
+    tokens.
     """
     fields = _FIELDS if tokens else _FIELDS[:-1]
     out = pa.schema([(name, kind) for name, _, kind in fields])

@@ -89,3 +89,11 @@ def test_edges(spark):
     assert mixed.columns == docs.columns
     assert sum(len(words_of(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in rows)
     assert op2_mixing(empty(spark)).count() == 0 and mix_documents(empty(spark)).count() == 0
+
+
+def test_clashing_columns_travel_along(spark):
+    names = ["__key", "__pieces", "__source", "__copy", "__taken", "row", "__number"]
+    own = ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(i, prose(i, 300), f"s{i % 2}", *[i] * len(names)) for i in range(20)], f"doc_id bigint, text string, source string, {own}")
+    done = mix_documents(docs).collect()
+    assert done and all(set(r[3:]) == {r["doc_id"]} for r in done)

@@ -143,3 +143,15 @@ def test_star_whose_rays_are_no_links(spark):
         rules = NearRules(shingle=3, percent=85, chunk=chunk, chunk_shingles=shingles)
         got = near_duplicates(df, rules=rules).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_one_of_each_loses_no_text_and_compares_rows_without_an_id(spark):
+    a, b, c = (" ".join(prose(i, 60).split()) for i in (31, 32, 33))
+    rows = [(1, a, 1), (1, b, 2), (None, c, 3), (None, c + " end", 4), (None, a, 5), (2, b, 6), (2, b, 7), (None, "", 8), (None, "", 9), (3, None, 10)]
+    names = ["key", "row", "id", "place", "best", "component", "__id", "__place"]
+    own = ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(d, t, *[n] * len(names)) for d, t, n in rows], f"doc_id bigint, text string, {own}")
+    left = [tuple(r) for r in one_of_each(docs).collect()]
+    assert all(len(set(r[2:])) == 1 for r in left)
+    kept = {r[2] for r in left}
+    assert {1, 2, 10} <= kept and len(kept & {3, 4}) == 1 and len(kept & {8, 9}) == 1 and not kept & {5, 6, 7}

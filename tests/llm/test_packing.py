@@ -118,3 +118,13 @@ def test_added_tokens_are_those_of_the_library_by_default(spark):
         ids = [*plain.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
         assert (r["start"], r["length"], r["doc_tokens"]) == (0, len(ids), len(ids))
         assert r["tokens"] == ids
+
+
+def test_texts_of_many_megabytes_have_the_ids_of_the_library():
+    plain, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokenizer(PackingRules().ranks)
+    line = " ".join(prose(8, 600).split())
+    for text in (
+        " " * 1_200_000, "\n" * 1_100_000 + "end", "a" + "\t" * 1_000_000 + " b", "x" * 400_000, (line + "\n") * 200,
+        " " * 50_000 + "<|endoftext|>" + "\n" * 60_000 + " z<|endoftext|>",
+    ):
+        assert token_ids(own, text) == plain.encode(text, add_special_tokens=False).ids
