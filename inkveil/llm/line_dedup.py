@@ -14,9 +14,8 @@ behind their beginning on, whatever stands before, and 47 words always hold a
 whole window.
 
 What lies before the first window of a stretch or behind its last one is then
-compared word by word with what lies there at the first occurrence: only for
-windows with different neighbours in different places, as all others are inside
-a stretch.  So a passage goes from its first word to its last.
+compared word by word with what lies there at the first occurrence.  So a
+passage goes from its first word to its last.
 """
 
 from __future__ import annotations
@@ -54,7 +53,7 @@ class LineRules:
     window: int = 3
     reach: int = 8
     min_words: int = 10
-    around: int = 32
+    around: int = 24
     over_break: int = 3
     filter_bits: int = 26
     at_once: int = 1 << 21
@@ -190,17 +189,18 @@ def _groups(columns: list[list], rules: LineRules) -> Iterator[tuple[list, list[
         yield rows, texts
 
 
-def cut(text: str, places: list[dict], rules: LineRules) -> tuple[str, int]:
-    """The text without the words of the windows at these places, and the number of lines that lose words.
+def cut(text: str, ats: Sequence[int], more: Sequence[dict], rules: LineRules) -> tuple[str, int]:
+    """The text without the words of the windows that begin with some lines, and the number of lines that lose words.
 
-    A place is a line with the words that go ``before`` and ``behind`` its window.
+    ``more`` has the words that go ``before`` and ``behind`` some windows.
     """
     own = shape([text.encode("utf-8", "replace")], rules)
     gone = np.zeros(len(own.sums) - 1, dtype=bool)
-    for place in places:
-        at = place["at"]
-        start = max(int(own.begins[at]) - place["before"], 0)
-        gone[start : int(own.window_ends[at]) + place["behind"]] = True
+    for at in ats:
+        gone[int(own.begins[at]) : int(own.window_ends[at])] = True
+    for edge in more:
+        start = max(int(own.begins[edge["at"]]) - edge["before"], 0)
+        gone[start : int(own.window_ends[edge["at"]]) + edge["behind"]] = True
     starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
     parts, end = [], 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
@@ -267,17 +267,13 @@ def _set_in(bits: np.ndarray, hashes: np.ndarray, rules: LineRules) -> np.ndarra
 
 
 _PLACED = pa.schema(
-    [("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())]
-    + [("prev", pa.int32()), ("next", pa.int32())]
+    [("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("last", pa.bool_())]
 )
-_PLACED_DDL = "doc_id bigint, h bigint, at int, hash bigint, prev int, next int"
+_PLACED_DDL = "doc_id bigint, h bigint, at int, hash bigint, last boolean"
 
 
 def _passing(lines: DataFrame, shared: Broadcast, rules: LineRules) -> DataFrame:
-    """The windows whose bit is set in the map, with 32 bits of the windows before and behind each.
-
-    Of a text's last window ``next`` is 0 if words are left behind it, else 1.
-    """
+    """The windows whose bit is set in the map; ``last`` marks those that end with their text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -288,35 +284,32 @@ def _passing(lines: DataFrame, shared: Broadcast, rules: LineRules) -> DataFrame
             row = np.repeat(np.arange(len(sizes)), sizes)
             first = np.cumsum(sizes) - sizes
             at = np.arange(len(flat)) - np.repeat(first, sizes)
-            short = flat.astype(np.int32)
-            prev, following = np.zeros_like(short), np.zeros_like(short)
-            prev[1:], following[:-1] = short[:-1], short[1:]
-            prev[at == 0] = 0
+            last = np.zeros(len(flat), dtype=bool)
             rest = part.column("rest").to_numpy(zero_copy_only=False)
-            following[(first + sizes - 1)[sizes > 0]] = np.where(rest, 0, 1)[sizes > 0]
+            last[(first + sizes - 1)[(sizes > 0) & ~rest]] = True
             hit = _set_in(bits, flat.view(np.uint64), rules)
             rows = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(rows), part.column("h").take(rows), pa.array(at[hit].astype(np.int32)),
-                 pa.array(flat[hit]), pa.array(prev[hit]), pa.array(following[hit])], schema=_PLACED,
+                 pa.array(flat[hit]), pa.array(last[hit])], schema=_PLACED,
             )
 
     return lines.select("doc_id", "h", "rest", "windows").mapInArrow(run, _PLACED_DDL)
 
 
 _AROUND = pa.schema(
-    [("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())]
+    [("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32())]
     + [("before", pa.list_(pa.int32())), ("behind", pa.list_(pa.int32()))]
     + [("room_before", pa.int32()), ("room_behind", pa.int32())]
 )
 _AROUND_DDL = (
-    "doc_id bigint, h bigint, at int, hash bigint, before array<int>, behind array<int>, "
+    "doc_id bigint, h bigint, at int, before array<int>, behind array<int>, "
     "room_before int, room_behind int"
 )
 
 
-def _around(keyed: DataFrame, windows: Broadcast, texts: Broadcast, rules: LineRules) -> DataFrame:
-    """The words around the windows in one bit map, of the texts in another.
+def _around(keyed: DataFrame, places: Broadcast, texts: Broadcast, rules: LineRules) -> DataFrame:
+    """The words around the windows whose places are in one bit map, of the texts in another.
 
     Element k is a hash of the k + 1 words next to the window; there are fewer
     at the ends of a text.
@@ -334,19 +327,21 @@ def _around(keyed: DataFrame, windows: Broadcast, texts: Broadcast, rules: LineR
         for part in parts:
             keys = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
             part = part.filter(pa.array(_set_in(texts.value, keys, rules)))
-            columns = [part.column(c).to_pylist() for c in ("doc_id", "h", "text")]
+            columns = [part.column(c).to_pylist() for c in ("doc_id", "h", "key", "text")]
             for rows, raw in _groups(columns, rules):
                 own = shape(raw, rules)
-                hit = np.flatnonzero(own.whole & _set_in(windows.value, own.windows, rules))
                 first = np.searchsorted(own.text, np.arange(len(raw)))
+                docs, hs, keys = zip(*rows, strict=True)
+                places_of = np.array(keys, dtype=np.int64)[own.text] ^ (np.arange(len(own.text)) - first[own.text])
+                hit = np.flatnonzero(own.whole & _set_in(places.value, places_of.view(np.uint64), rules))
                 behind = np.searchsorted(own.text, np.arange(len(raw)), side="right") - 1
                 text = own.text[hit]
-                docs, hs = (np.array(c, dtype=object) for c in zip(*rows, strict=True))
+                docs, hs = np.array(docs, dtype=object), np.array(hs, dtype=object)
                 for i in range(0, len(hit), 5000):
                     some, of = hit[i : i + 5000], text[i : i + 5000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(docs[of], pa.int64()), pa.array(hs[of], pa.int64()),
-                         pa.array((some - first[of]).astype(np.int32)), pa.array(own.windows[some].view(np.int64)),
+                         pa.array((some - first[of]).astype(np.int32)),
                          side(own, own.begins[some], own.begins[first[of]], -1),
                          side(own, own.window_ends[some], own.ends[behind[of]], 1),
                          *(pa.array(room[some].astype(np.int32)) for room in own.room)], schema=_AROUND,
@@ -356,20 +351,18 @@ def _around(keyed: DataFrame, windows: Broadcast, texts: Broadcast, rules: LineR
     return keyed.select("doc_id", "h", "text", F.xxhash64("doc_id", "h").alias("key")).mapInArrow(run, _AROUND_DDL)
 
 
-PLACE = ("doc_id", "h", "at")
-
-
 def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[DataFrame, DataFrame]:
-    """Tables of texts ``(doc_id, h, n)`` and of what goes ``(doc_id, h, at, before, behind)``.
+    """Tables of texts ``(doc_id, h, n)`` and of what goes from them, ``(doc_id, h, ats, more)``.
 
     ``h`` is the hash of the text: rows alike in doc_id and text are one
-    document.  ``at`` is the line that begins a later window; with it go the
-    words ``before`` and ``behind`` it that are those at the first occurrence.
+    document.  ``ats`` are the lines that begin a later window, ``more`` the
+    words ``before`` and ``behind`` some of these windows that go with them.
     Windows are counted by their hash alone, summed per task before; a bit map
     of the repeated ones then lets nearly all others be left out where they
     are, and only what passes it is compared by place.  Where repeats fill the
-    map more passes, with the same result.  Texts are read again where a
-    stretch of repeated windows begins or ends.
+    map more passes, with the same result.  Of the texts in which a stretch of
+    later windows begins or ends, and of those with the first occurrences, the
+    words are read again.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(
@@ -378,32 +371,39 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
     lines = stored(_lines(keyed, rules), "lines")
     counted = lines.select(F.explode("windows").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
     windows = stored(_passing(lines, _shared_map(counted.filter("n > 1"), rules), rules), "windows")
-    place = F.struct(*PLACE)
-    firsts = windows.groupBy("hash").agg(
-        F.min(place).alias("first"),
-        F.count("*").alias("n"),
-        (F.min("prev") < F.max("prev")).alias("begins"),
-        ((F.min("next") < F.max("next")) | F.bool_or(F.col("next") == 0)).alias("ends"),
-    )
+    place = F.struct("doc_id", "h", "at")
+    firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # Stored, as a join of two plain shuffles can be split where a hash is hot.
-    firsts = stored(firsts.filter("n > 1").drop("n"), "windows")
-    later = windows.select(*PLACE, "hash").join(firsts.drop("begins", "ends"), "hash").filter(place > F.col("first"))
-    none = F.lit(0).alias("before"), F.lit(0).alias("behind")
-    return lines.select("doc_id", "h", "n"), later.select(*PLACE, *none).unionByName(
-        _beyond(keyed, windows, firsts.filter("begins OR ends"), rules)
+    firsts = stored(firsts.drop("n"), "windows")
+    later = windows.join(firsts, "hash").filter(place > F.col("first"))
+    gone = later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("at", "last", "first"))).alias("gone"))
+    gone = stored(gone, "gone")
+    more = _beyond(keyed, gone, rules).groupBy(F.struct("doc_id", "h").alias("key"))
+    more = more.agg(F.collect_list(F.struct("at", "before", "behind")).alias("more"))
+    ats = gone.select(F.struct("doc_id", "h").alias("key"), F.transform("gone", lambda g: g["at"]).alias("ats"))
+    return lines.select("doc_id", "h", "n"), ats.join(more, "key", "left").select("key.*", "ats", "more")
+
+
+def _beyond(keyed: DataFrame, gone: DataFrame, rules: LineRules) -> DataFrame:
+    """``(doc_id, h, at, before, behind)``: where a stretch begins or ends, the words next to it that are those at the first occurrence."""
+
+    def edge(g, i):
+        begins = (g["at"] > 0) & ~F.coalesce(F.get("gone", i - 1)["at"] == g["at"] - 1, F.lit(False))
+        ends = ~g["last"] & ~F.coalesce(F.get("gone", i + 1)["at"] == g["at"] + 1, F.lit(False))
+        return F.struct(g["at"].alias("at"), g["first"].alias("first"), begins.alias("begins"), ends.alias("ends"))
+
+    edges = gone.select("doc_id", "h", F.inline(F.transform("gone", edge))).filter("begins OR ends")
+    edges = stored(edges, "edges")
+    places = edges.select("doc_id", "h", "at").unionByName(edges.select("first.*"))
+    key = F.xxhash64("doc_id", "h")
+    maps = (
+        _shared_map(places.select(key.bitwiseXOR(F.col("at").cast("bigint")).alias("hash")), rules),
+        _shared_map(places.select(key.alias("hash")), rules),
     )
-
-
-def _beyond(keyed: DataFrame, windows: DataFrame, edges: DataFrame, rules: LineRules) -> DataFrame:
-    """Later windows at the edge of a stretch: how many words next to them are those at the first occurrence."""
-    of_texts = windows.select("doc_id", "h", "hash").join(edges, "hash", "left_semi")
-    texts = of_texts.select(F.xxhash64("doc_id", "h").alias("hash"))
-    maps = _shared_map(edges.select("hash"), rules), _shared_map(texts, rules)
-    around = stored(_around(keyed, *maps, rules), "windows")
-    known = around.join(edges, "hash")  # with its first place, and whether stretches begin or end here
-    place = F.struct(*PLACE)
-    first = known.filter(place == F.col("first")).dropDuplicates(["hash"])
-    first = stored(first.select("hash", F.col("before").alias("at_before"), F.col("behind").alias("at_behind")), "windows")
+    around = _around(keyed, *maps, rules)
+    place = F.struct("doc_id", "h", "at").alias("place")  # never NULL, so that NULL ids meet
+    around = stored(around.select(place, *around.columns[3:]).dropDuplicates(["place"]), "around")
+    first = around.select(F.col("place").alias("first"), F.col("before").alias("at_before"), F.col("behind").alias("at_behind"))
 
     def alike(a: str, b: str, edge: str):
         equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: F.coalesce(same, F.lit(False))))
@@ -412,9 +412,10 @@ def _beyond(keyed: DataFrame, windows: DataFrame, edges: DataFrame, rules: LineR
         return F.when(F.col(edge), words).otherwise(0).alias(a)
 
     return (
-        known.filter(place > F.col("first"))
-        .join(first, "hash")
-        .select(*PLACE, alike("before", "at_before", "begins"), alike("behind", "at_behind", "ends"))
+        edges.select(place, "first", "begins", "ends")
+        .join(around, "place")
+        .join(first, "first")
+        .select("place.*", alike("before", "at_before", "begins"), alike("behind", "at_behind", "ends"))
         .filter("before + behind > 0")
     )
 
@@ -436,14 +437,13 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """
     lines, gone = repeated_windows(docs, rules)
     key = F.struct("doc_id", "h").alias("key")  # never NULL, so that NULL ids meet
-    cuts = gone.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "before", "behind")).alias("places"))
     sizes = lines.groupBy("doc_id", "h").agg(F.max("n").alias("n"))
-    found = sizes.select(key, "n").join(cuts.select(key, "places"), "key", "left")
+    found = sizes.select(key, "n").join(gone.select(key, "ats", "more"), "key", "left")
 
-    def apply(texts: pa.Array, places: pa.Array) -> pa.Array:
+    def apply(texts: pa.Array, ats: pa.Array, more: pa.Array) -> pa.Array:
         done = []
-        for text, at in zip(texts.to_pylist(), places.to_pylist(), strict=True):
-            left, n = (None, 0) if at is None or text is None else cut(text, at, rules)
+        for text, at, beyond in zip(texts.to_pylist(), ats.to_pylist(), more.to_pylist(), strict=True):
+            left, n = (None, 0) if at is None or text is None else cut(text, at, beyond or (), rules)
             done.append({"text": left, "n": n})
         return pa.array(done, type=pa.struct([("text", pa.string()), ("n", pa.int64())]))
 
@@ -454,8 +454,8 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     own = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), _hash_of(F.col("text")).alias("h")).alias("key")
     joined = docs.select(row, own).join(found, "key", "left")
-    done = joined.withColumn("cut", cutter(F.when(F.col("places").isNotNull(), F.col("row.text")), F.col("places")))
-    text = F.when(F.col("places").isNotNull(), F.col("cut.text")).otherwise(F.col("row.text"))
+    done = joined.withColumn("cut", cutter(F.when(F.col("ats").isNotNull(), F.col("row.text")), F.col("ats"), F.col("more")))
+    text = F.when(F.col("ats").isNotNull(), F.col("cut.text")).otherwise(F.col("row.text"))
     return done.select(
         *[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept],
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n_lines"),

@@ -52,7 +52,7 @@ def windows_of(lines, rules=RULES):
 
 def brute(docs, rules=RULES):
     """Texts by id, each window compared by its words with all before it, and edges word by word."""
-    shapes, places, around = {}, {}, {}
+    shapes, places = {}, {}
     for doc, text in sorted(docs):
         lines = split(text, rules)
         begins = [sum(map(len, lines[:i])) for i in range(len(lines) + 1)]
@@ -60,36 +60,29 @@ def brute(docs, rules=RULES):
         shapes[doc] = [w for line in lines for w in line], begins, own
         for i, (words, _) in enumerate(own):
             places.setdefault(words, []).append((doc, i))
-            rest = begins[own[i][1]] < begins[-1]
-            next_to = (own[i - 1][0] if i else None, own[i + 1][0] if i + 1 < len(own) else rest)
-            around.setdefault(words, set()).add(next_to)
     out = {}
     for doc, text in docs:
         words, begins, own = shapes[doc]
-        repeats = []
-        for i, (window, end) in enumerate(own):
-            first_doc, first_at = places[window][0]
-            if (first_doc, first_at) == (doc, i):
-                continue
+        later = [i for i, (window, _) in enumerate(own) if places[window][0] != (doc, i)]
+        more = []
+        for i in later:
+            first_doc, first_at = places[own[i][0]][0]
+            there, there_begins, there_own = shapes[first_doc]
+            edges = [0, *np.cumsum([len(line.split()) for line in text.split("\n")]).tolist()]
             before = behind = 0
-            begin, stop = (len({x[k] for x in around[window]}) > 1 for k in (0, 1))
-            stop = stop or any(x[1] is True for x in around[window])
-            if begin or stop:
-                there, there_begins, there_own = shapes[first_doc]
-                a, b = begins[i], there_begins[first_at]
-                while before < min(a, b, rules.around) and words[a - before - 1] == there[b - before - 1]:
-                    before += 1
-                a, b = begins[end], there_begins[there_own[first_at][1]]
-                while behind < min(len(words) - a, len(there) - b, rules.around) and words[a + behind] == there[b + behind]:
-                    behind += 1
-                edges = [0, *np.cumsum([len(line.split()) for line in text.split("\n")]).tolist()]
-                room = begins[i] - max(e for e in edges if e <= begins[i])
-                before = min(before, room) if before < room + rules.over_break else before
-                room = min(e for e in edges if e >= a) - a
-                behind = min(behind, room) if behind < room + rules.over_break else behind
-                before, behind = before * begin, behind * stop
-            repeats.append({"at": i, "before": before, "behind": behind})
-        out[doc] = cut(text, repeats, rules)[0]
+            a, b = begins[i], there_begins[first_at]
+            while i - 1 not in later and before < min(a, b, rules.around) and words[a - before - 1] == there[b - before - 1]:
+                before += 1
+            room = a - max(e for e in edges if e <= a)
+            before = min(before, room) if before < room + rules.over_break else before
+            a, b = begins[own[i][1]], there_begins[there_own[first_at][1]]
+            most = min(len(words) - a, len(there) - b, rules.around)
+            while i + 1 not in later and behind < most and words[a + behind] == there[b + behind]:
+                behind += 1
+            room = min(e for e in edges if e >= a) - a
+            behind = min(behind, room) if behind < room + rules.over_break else behind
+            more.append({"at": i, "before": before, "behind": behind})
+        out[doc] = cut(text, later, more, rules)[0]
     return out
 
 
