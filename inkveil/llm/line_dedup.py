@@ -20,7 +20,6 @@ passage goes from its first word to its last.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -34,9 +33,6 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.common import WORD, batches, small_batches, stored
 
-_WORD = re.compile(WORD)
-
-
 @dataclass(frozen=True)
 class LineRules:
     """Windows of ``window`` lines; of every ``reach`` pairs of words on a line one is picked.
@@ -189,26 +185,61 @@ def _groups(columns: list[list], rules: LineRules) -> Iterator[tuple[list, list[
         yield rows, texts
 
 
-def cut(text: str, ats: Sequence[int], more: Sequence[dict], rules: LineRules) -> tuple[str, int]:
-    """The text without the words of the windows that begin with some lines, and the number of lines that lose words.
-
-    ``more`` has the words that go ``before`` and ``behind`` some windows.
-    """
-    own = shape([text.encode("utf-8", "replace")], rules)
-    gone = np.zeros(len(own.sums) - 1, dtype=bool)
-    for at in ats:
-        gone[int(own.begins[at]) : int(own.window_ends[at])] = True
-    for edge in more:
-        start = max(int(own.begins[edge["at"]]) - edge["before"], 0)
-        gone[start : int(own.window_ends[edge["at"]]) + edge["behind"]] = True
-    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+def without_words(raw: bytes, gone: np.ndarray) -> bytes:
+    """A text without the words that are gone and the white space behind each stretch of them."""
+    signs = np.frombuffer(raw, dtype=np.uint8)
+    blank = (signs == 32) | ((signs >= 9) & (signs <= 13))
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    starts = np.concatenate([starts, [len(raw)]])
     parts, end = [], 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    for i, j in edges.reshape(-1, 2):  # stretches of words that go, with the space behind them
-        parts.append(text[end : starts[i]])
+    for i, j in edges.reshape(-1, 2):
+        parts.append(raw[end : starts[i]])
         end = starts[j]
-    touched = np.add.reduceat(gone, own.begins).astype(bool).sum() if len(own.begins) else 0
-    return "".join(parts) + text[end:], int(touched)
+    return b"".join(parts) + raw[end:]
+
+
+def _alike(own: np.ndarray, first: list[int], room: int, rules: LineRules) -> int:
+    """How many words next to a window are those at the first occurrence, by the hashes of the first k."""
+    n = min(len(own), len(first))
+    differ = np.flatnonzero(own[:n] != np.array(first[:n], dtype=np.int32))
+    equal = int(differ[0]) if len(differ) else n
+    return min(equal, room) if equal < room + rules.over_break else equal
+
+
+def cut_texts(
+    texts: Sequence[bytes], ats: Sequence[list[int]], more: Sequence[list[dict]], rules: LineRules
+) -> Iterator[tuple[bytes, int]]:
+    """Each text without its later windows, and the number of lines that lose words.
+
+    ``ats`` are the lines that begin these windows; ``more`` has, for windows
+    where a stretch begins or ends, the hashes of the words ``before`` and
+    ``behind`` the first occurrence (None where nothing is to be compared).
+    """
+    own = shape(texts, rules)
+    first = np.searchsorted(own.text, np.arange(len(texts) + 1))
+    n = len(own.sums) - 1
+    words = np.concatenate([own.begins, [n]])[first]
+    lines = np.concatenate([np.array(a, dtype=np.int64) + first[i] for i, a in enumerate(ats)])
+    change = np.bincount(own.begins[lines], minlength=n + 1) - np.bincount(own.window_ends[lines], minlength=n + 1)
+    gone = np.cumsum(change)[:n] > 0
+    far = np.arange(1, rules.around + 1)
+    for i, edges in enumerate(more):
+        for edge in edges or ():
+            line = first[i] + edge["at"]
+            if edge["before"]:
+                at = int(own.begins[line])
+                back = at - far[: at - words[i]]
+                same = own.stretch(back, np.full(len(back), at)).astype(np.int32)
+                gone[at - _alike(same, edge["before"], int(own.room[0][line]), rules) : at] = True
+            if edge["behind"]:
+                at = int(own.window_ends[line])
+                ahead = at + far[: words[i + 1] - at]
+                same = own.stretch(np.full(len(ahead), at), ahead).astype(np.int32)
+                gone[at : at + _alike(same, edge["behind"], int(own.room[1][line]), rules)] = True
+    touched = np.add.reduceat(gone, own.begins) > 0 if len(own.begins) else np.zeros(0, dtype=bool)
+    for i, raw in enumerate(texts):
+        yield without_words(raw, gone[words[i] : words[i + 1]]), int(touched[first[i] : first[i + 1]].sum())
 
 
 _LINES = pa.schema(
@@ -300,12 +331,8 @@ def _passing(lines: DataFrame, shared: Broadcast, rules: LineRules) -> DataFrame
 _AROUND = pa.schema(
     [("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32())]
     + [("before", pa.list_(pa.int32())), ("behind", pa.list_(pa.int32()))]
-    + [("room_before", pa.int32()), ("room_behind", pa.int32())]
-)
-_AROUND_DDL = (
-    "doc_id bigint, h bigint, at int, before array<int>, behind array<int>, "
-    "room_before int, room_behind int"
 )
+_AROUND_DDL = "doc_id bigint, h bigint, at int, before array<int>, behind array<int>"
 
 
 def _around(keyed: DataFrame, places: Broadcast, texts: Broadcast, rules: LineRules) -> DataFrame:
@@ -343,8 +370,7 @@ def _around(keyed: DataFrame, places: Broadcast, texts: Broadcast, rules: LineRu
                         [pa.array(docs[of], pa.int64()), pa.array(hs[of], pa.int64()),
                          pa.array((some - first[of]).astype(np.int32)),
                          side(own, own.begins[some], own.begins[first[of]], -1),
-                         side(own, own.window_ends[some], own.ends[behind[of]], 1),
-                         *(pa.array(room[some].astype(np.int32)) for room in own.room)], schema=_AROUND,
+                         side(own, own.window_ends[some], own.ends[behind[of]], 1)], schema=_AROUND,
                     )
         pa.default_memory_pool().release_unused()
 
@@ -356,13 +382,12 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
 
     ``h`` is the hash of the text: rows alike in doc_id and text are one
     document.  ``ats`` are the lines that begin a later window, ``more`` the
-    words ``before`` and ``behind`` some of these windows that go with them.
+    hashes of words that stand at the first occurrence of some of them.
     Windows are counted by their hash alone, summed per task before; a bit map
     of the repeated ones then lets nearly all others be left out where they
     are, and only what passes it is compared by place.  Where repeats fill the
-    map more passes, with the same result.  Of the texts in which a stretch of
-    later windows begins or ends, and of those with the first occurrences, the
-    words are read again.
+    map more passes, with the same result.  Of the texts with first occurrences
+    of windows in which a stretch begins or ends, the words are read again.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(
@@ -385,38 +410,26 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
 
 
 def _beyond(keyed: DataFrame, gone: DataFrame, rules: LineRules) -> DataFrame:
-    """``(doc_id, h, at, before, behind)``: where a stretch begins or ends, the words next to it that are those at the first occurrence."""
+    """``(doc_id, h, at, before, behind)``: where a stretch begins or ends, the words next to the first occurrence."""
 
     def edge(g, i):
         begins = (g["at"] > 0) & ~F.coalesce(F.get("gone", i - 1)["at"] == g["at"] - 1, F.lit(False))
         ends = ~g["last"] & ~F.coalesce(F.get("gone", i + 1)["at"] == g["at"] + 1, F.lit(False))
         return F.struct(g["at"].alias("at"), g["first"].alias("first"), begins.alias("begins"), ends.alias("ends"))
 
-    edges = gone.select("doc_id", "h", F.inline(F.transform("gone", edge))).filter("begins OR ends")
+    edges = gone.select("doc_id", "h", F.inline(F.filter(F.transform("gone", edge), lambda e: e["begins"] | e["ends"])))
     edges = stored(edges, "edges")
-    places = edges.select("doc_id", "h", "at").unionByName(edges.select("first.*"))
+    places = stored(edges.select("first").distinct().select("first.*"), "edges")
     key = F.xxhash64("doc_id", "h")
     maps = (
         _shared_map(places.select(key.bitwiseXOR(F.col("at").cast("bigint")).alias("hash")), rules),
         _shared_map(places.select(key.alias("hash")), rules),
     )
-    around = _around(keyed, *maps, rules)
-    place = F.struct("doc_id", "h", "at").alias("place")  # never NULL, so that NULL ids meet
-    around = stored(around.select(place, *around.columns[3:]).dropDuplicates(["place"]), "around")
-    first = around.select(F.col("place").alias("first"), F.col("before").alias("at_before"), F.col("behind").alias("at_behind"))
-
-    def alike(a: str, b: str, edge: str):
-        equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: F.coalesce(same, F.lit(False))))
-        room = F.col(f"room_{a}")
-        words = F.when(equal < room + rules.over_break, F.least(equal, room)).otherwise(equal)
-        return F.when(F.col(edge), words).otherwise(0).alias(a)
-
-    return (
-        edges.select(place, "first", "begins", "ends")
-        .join(around, "place")
-        .join(first, "first")
-        .select("place.*", alike("before", "at_before", "begins"), alike("behind", "at_behind", "ends"))
-        .filter("before + behind > 0")
+    first = F.struct("doc_id", "h", "at").alias("first")  # never NULL, so that NULL ids meet
+    around = _around(keyed, *maps, rules).select(first, "before", "behind").dropDuplicates(["first"])
+    # Stored, as a join of two plain shuffles can be split where a place is hot.
+    return edges.join(stored(around, "around"), "first").select(
+        "doc_id", "h", "at", F.when(F.col("begins"), F.col("before")).alias("before"), F.when(F.col("ends"), F.col("behind")).alias("behind")
     )
 
 
@@ -441,10 +454,13 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     found = sizes.select(key, "n").join(gone.select(key, "ats", "more"), "key", "left")
 
     def apply(texts: pa.Array, ats: pa.Array, more: pa.Array) -> pa.Array:
-        done = []
-        for text, at, beyond in zip(texts.to_pylist(), ats.to_pylist(), more.to_pylist(), strict=True):
-            left, n = (None, 0) if at is None or text is None else cut(text, at, beyond or (), rules)
-            done.append({"text": left, "n": n})
+        rows = list(zip(texts.to_pylist(), ats.to_pylist(), more.to_pylist(), strict=True))
+        done: list[dict] = [{"text": None, "n": 0}] * len(rows)
+        hit = [(i, at, beyond, text) for i, (text, at, beyond) in enumerate(rows) if text is not None and at is not None]
+        for some, raw in _groups(list(zip(*hit, strict=True)), rules):
+            cuts = cut_texts(raw, [at for _, at, _ in some], [beyond for _, _, beyond in some], rules)
+            for (i, _, _), (left, n) in zip(some, cuts, strict=True):
+                done[i] = {"text": left.decode(), "n": n}
         return pa.array(done, type=pa.struct([("text", pa.string()), ("n", pa.int64())]))
 
     # Texts that stay are not sent to Python.  Both results come from one call:

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from inkveil.llm.common import words_of
-from inkveil.llm.line_dedup import LineRules, cut, dedup_lines, op5_line_dedup, shape, without_repeats
+from inkveil.llm.line_dedup import LineRules, dedup_lines, op5_line_dedup, shape, without_repeats, without_words
 from tests.llm.edge import empty, frame, prose
 
 RULES = LineRules()
@@ -64,7 +64,7 @@ def brute(docs, rules=RULES):
     for doc, text in docs:
         words, begins, own = shapes[doc]
         later = [i for i, (window, _) in enumerate(own) if places[window][0] != (doc, i)]
-        more = []
+        gone = np.zeros(len(words), dtype=bool)
         for i in later:
             first_doc, first_at = places[own[i][0]][0]
             there, there_begins, there_own = shapes[first_doc]
@@ -81,8 +81,8 @@ def brute(docs, rules=RULES):
                 behind += 1
             room = min(e for e in edges if e >= a) - a
             behind = min(behind, room) if behind < room + rules.over_break else behind
-            more.append({"at": i, "before": before, "behind": behind})
-        out[doc] = cut(text, later, more, rules)[0]
+            gone[begins[i] - before : begins[own[i][1]] + behind] = True
+        out[doc] = without_words(text.encode(), gone).decode()
     return out
 
 
