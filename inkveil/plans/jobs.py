@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions.rules import Rule
-from inkveil.operators.ledger import run_outcome, run_summary
+from inkveil.operators.ledger import RUN_TTL_SECONDS, expire_runs, run_outcome, run_summary
 from inkveil.operators.manifest import (
+    NO_FILES,
     NO_VALID_FILES,
     drop_unnamed,
     last_write_wins,
     require_inputs,
     with_safe_names,
 )
+from inkveil.operators.rulesets import RuleSets
 from inkveil.plans.run import RunTables, redact_sources, store_run, stored_run
-from inkveil.plans.scratch import Staging
+from inkveil.plans.scratch import Staging, ensure_checkpoint_dir
 from inkveil.sources.extract import Extractor
 
 RUNS = "run_id string, status string, created timestamp, error string, at timestamp"
@@ -49,34 +52,102 @@ def submit(
     named = require_inputs(drop_unnamed(listing.select("seq", "name", "content")))
     safe = with_safe_names(named).select("seq", F.col("safe_name").alias("name"), "content")
     safe = require_inputs(safe, NO_VALID_FILES)
+    runs = spark.createDataFrame([(run_id,)], "run_id string").withColumn("created", F.lit(_now(spark)))
+    _carry_out(safe.withColumn("run_id", F.lit(run_id)), runs, rules, root, style, extractors)
+    return run_id
+
+
+def submit_all(
+    listing: DataFrame,
+    jobs: DataFrame,
+    root: str,
+    extractors: Mapping[str, Extractor] | None = None,
+) -> DataFrame:
+    """Run the jobs of a whole table in one plan; returns those refused, ``(run_id, error)``.
+
+    ``listing`` is ``(run_id, seq, name, content)`` and ``jobs`` has a row per
+    ``run_id`` with its options (see ``rulesets.OPTIONS``) and, if wanted, the
+    time it was ``created``.  Each job has what ``submit`` gives it: its own
+    selection of detectors, keywords, regexes, flags and style, its own safe
+    names and its row in the runs table.  Refused, and without a run, are jobs
+    with an invalid regex or no rule, without entries, or without a usable
+    name.  Entries of unknown jobs are left out.
+    """
+    spark = listing.sparkSession
+    sets = RuleSets(jobs)
+    created = F.col("created") if "created" in jobs.columns else F.lit(None)
+    entries = drop_unnamed(listing.select("run_id", "seq", "name", "content"))
+    safe = with_safe_names(entries).select("run_id", "seq", F.col("safe_name").alias("name"), "content")
+    # A stored row per job: what is wrong with it, and how many entries are left to it.
+    named = entries.groupBy("run_id").agg(F.lit(True).alias("named"))
+    valid = safe.groupBy("run_id").agg(F.lit(True).alias("valid"))
+    why = F.coalesce(
+        "error",
+        F.when(F.col("named").isNull(), NO_FILES),
+        F.when(F.col("valid").isNull(), NO_VALID_FILES),
+    )
+    ensure_checkpoint_dir(spark)
+    told = (
+        jobs.select("run_id", F.coalesce(created.cast("timestamp"), F.lit(_now(spark))).alias("created"))
+        .join(sets.jobs, "run_id")
+        .join(named, "run_id", "left")
+        .join(valid, "run_id", "left")
+        .select("run_id", "created", why.alias("error"))
+        .checkpoint()
+    )
+    good = told.filter("error IS NULL").select("run_id", "created")
+    if not good.isEmpty():
+        _carry_out(safe.join(good.select("run_id"), "run_id", "left_semi"), good, sets, root, "box", extractors)
+    return told.filter("error IS NOT NULL").select("run_id", "error")
+
+
+def _now(spark: SparkSession):
+    return spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
+
+
+def _carry_out(safe: DataFrame, runs: DataFrame, rules, root: str, style: str, extractors) -> None:
+    """Redact and store the files of some runs; their notes say how that went."""
+    spark = safe.sparkSession
     staging = Staging(spark)
-    created = spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
-    _note(spark, root, run_id, "running", created)
+    _note(root, runs, "running")
     try:
-        files = staging.store(last_write_wins(safe), "inputs").withColumn("run_id", F.lit(run_id))
+        keys = ["run_id", "name"]
+        files = staging.store(last_write_wins(safe.select("run_id", "seq", "name", "content"), keys), "inputs")
         done = redact_sources(files, rules, style, extractors, staging=staging)
         store_run(done, f"{root}/documents")
     except Exception as cause:
-        _note(spark, root, run_id, "error", created, str(cause))
+        _note(root, runs, "error", _said(cause))
     else:
-        _note(spark, root, run_id, "done", created)
+        _note(root, runs, "done")
     finally:
         staging.clear()
-    return run_id
 
 
-def _note(spark, root: str, run_id: str, status: str, created, error: str | None = None) -> None:
-    """Add a line to the runs table; of a run's lines the latest counts."""
-    line = spark.createDataFrame([(run_id, status, created, error)], "run_id string, status string, created timestamp, error string")
-    line.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/runs")
+def _said(cause: Exception) -> str:
+    """What went wrong, without the trace of where."""
+    return str(cause).strip().split("\n")[0]
+
 
+def _note(root: str, runs: DataFrame, status: str, error: str | None = None) -> None:
+    """Add a line to the notes of each run, in a folder of its own; of a run's lines the latest counts."""
+    lines = runs.select(
+        "run_id", F.lit(status).alias("status"), "created", F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("at")
+    )
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(parts, "run_id").write.mode("append").partitionBy("run_id").parquet(f"{root}/runs")
 
-def job_runs(spark: SparkSession, root: str) -> DataFrame:
-    """``(run_id, status, created, error)``, one row per job."""
-    lines = spark.read.schema(RUNS).parquet(f"{root}/runs")
+
+def job_notes(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
+    """The notes of all jobs, or of one: its folder alone is read."""
+    notes = spark.read.schema(RUNS).parquet(f"{root}/runs")
+    return notes if run_id is None else notes.filter(F.col("run_id") == run_id)
+
+
+def job_runs(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
+    """``(run_id, status, created, error)``, one row per job, or of one job alone."""
     # Of lines of one moment the finished one counts.
     latest = F.max_by(F.struct("status", "created", "error"), F.struct("at", F.col("status") != "running"))
-    return lines.groupBy("run_id").agg(latest.alias("last")).select("run_id", "last.*")
+    return job_notes(spark, root, run_id).groupBy("run_id").agg(latest.alias("last")).select("run_id", "last.*")
 
 
 def job_documents(spark: SparkSession, root: str) -> RunTables:
@@ -90,9 +161,9 @@ def job_status(spark: SparkSession, root: str, run_id: str | None = None) -> Dat
     ``(run_id, status, error, current, total, n_ok, n_failed, sentence)``.  A
     job that is unknown gives no row; see ``ledger.require_run``.
     """
-    runs, results = job_runs(spark, root), job_documents(spark, root).results
+    runs, results = job_runs(spark, root, run_id), job_documents(spark, root).results
     if run_id is not None:
-        runs, results = runs.filter(F.col("run_id") == run_id), results.filter(F.col("run_id") == run_id)
+        results = results.filter(F.col("run_id") == run_id)
     counts = run_summary(results).drop("sentence")
     told = run_outcome(runs, results).join(counts, "run_id", "left")
     n_ok, n_failed = F.coalesce("n_ok", F.lit(0)), F.coalesce("n_failed", F.lit(0))
@@ -101,3 +172,53 @@ def job_status(spark: SparkSession, root: str, run_id: str | None = None) -> Dat
         "run_id", "status", "error", whole.alias("current"), whole.alias("total"),
         n_ok.cast("bigint").alias("n_ok"), n_failed.cast("bigint").alias("n_failed"), "sentence",
     )
+
+
+PURGED = "run_id string, created timestamp, n_notes bigint, removed boolean"
+
+
+def purge_runs(spark: SparkSession, root: str, now, ttl_seconds: int = RUN_TTL_SECONDS, exported: str | None = None) -> DataFrame:
+    """Delete what expired runs have left; returns ``(run_id, created, n_notes, removed)``.
+
+    A run is expired when it was created before ``now`` less the lifetime.  Its
+    folders go from the documents and, where that is given, from ``exported``
+    (files by run), and last from the notes, so a purge that breaks off is
+    simply done again.  Runs that are being written stay: those whose last
+    note says ``running``, and those that got another note since this purge
+    read them (``removed`` is False).  The folders are deleted by tasks.
+    """
+    notes = job_notes(spark, root).withColumn("folder", F.regexp_extract("_metadata.file_path", "([^/]*)/[^/]*$", 1))
+    seen = notes.groupBy("run_id").agg(F.count("*").alias("n_notes"), F.max("folder").alias("folder"))
+    ended = job_runs(spark, root).filter("status <> 'running'")
+    alive = expire_runs(ended, now, ttl_seconds).select("run_id")
+    expired = ended.join(alive, "run_id", "left_anti").join(seen, "run_id").select("run_id", "created", "n_notes", "folder")
+
+    def delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.parse import unquote
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        others = fs.FileSystem.from_uri(exported) if exported else None
+
+        def drop(at: fs.FileSystem, path: str) -> None:
+            if at.get_file_info(path).type == fs.FileType.Directory:
+                at.delete_dir(path)
+
+        for batch in batches:
+            gone = []
+            for run_id, folder, n_notes in zip(batch["run_id"], batch["folder"], batch["n_notes"], strict=True):
+                own = unquote(folder)
+                found = store.get_file_info(fs.FileSelector(f"{base}/runs/{own}", allow_not_found=True))
+                same = sum(f.base_name.endswith(".parquet") for f in found) == n_notes
+                if same:
+                    drop(store, f"{base}/documents/{own}")
+                    if others:
+                        drop(others[0], f"{others[1]}/{run_id}")
+                    drop(store, f"{base}/runs/{own}")
+                gone.append(same)
+            yield batch[["run_id", "created", "n_notes"]].assign(removed=gone)
+
+    # Stored at once: looked at again, it must not be looked for again.
+    ensure_checkpoint_dir(spark)
+    return expired.checkpoint().mapInPandas(delete, PURGED).checkpoint()

@@ -274,7 +274,7 @@ GATE = f"""SELECT seq, name, {SUFFIX} AS suffix,
 # Submitted listings: usable names, and for each the last content of its name.
 LISTED = r"""(SELECT source AS run_id, doc_id AS seq, lang || '_' || doc_id % 40
         || CASE WHEN doc_id % 5 = 0 THEN '.pdf' ELSE '.txt' END AS name, text AS own
-    FROM documents WHERE source IN ('src0', 'src3', 'src7') AND doc_id % 7 <> 0 AND doc_id % 11 <> 0)"""
+    FROM documents WHERE source IS NOT NULL AND doc_id % 7 <> 0 AND doc_id % 11 <> 0)"""
 JOB_FILES = f"""(SELECT run_id, seq, name,
         last_value(own) OVER (PARTITION BY run_id, name ORDER BY seq
             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text,
@@ -301,6 +301,34 @@ def outcomes() -> str:
             count(*) FILTER (error IS NOT NULL) AS n_failed FROM {JOB_FILES} GROUP BY run_id))"""
 
 
+NUMBER = "CAST(coalesce(nullif(regexp_extract({}, '([0-9]+)', 1), ''), '0') AS INTEGER)"
+
+
+def multi_job() -> str:
+    """Each source's documents by the options of its number."""
+    parts = []
+    for k, options in enumerate(w.OPTION_SETS):
+        source = f"(SELECT * FROM documents WHERE source IS NOT NULL AND {NUMBER.format('source')} % {len(w.OPTION_SETS)} = {k})"
+        patterns = [
+            *of(options["labels"]),
+            *words(options.get("keywords", ()), options.get("whole_word", False)),
+            *options.get("expressions", ()),
+        ]
+        flags = "c" if options.get("case_sensitive") else "i"
+        parts.append(redacted(source, "doc_id", patterns, options["style"], flags))
+    return " UNION ALL ".join(f"({part})" for part in parts)
+
+
+# Words of the texts one by one, and the table of keywords.
+WORD = r"[\p{L}\p{N}_]+"
+WORDS = f"""keywords AS (SELECT DISTINCT word FROM (
+        SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations)
+        WHERE length(word) >= {w.KEYWORD_LETTERS}),
+    parts AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '{WORD}') AS gaps,
+        regexp_extract_all(coalesce(text, ''), '{WORD}') AS hits FROM documents),
+    pieces AS (SELECT doc_id, i, gaps[i] AS gap, hits[i] AS hit
+        FROM (SELECT *, unnest(range(1, len(gaps) + 1)) AS i FROM parts))"""
+
 STREAM_NAMES = "(SELECT 'stream' AS run_id, doc_id AS seq, lang || '.txt' AS name, text FROM documents)"
 
 
@@ -381,10 +409,22 @@ def statements() -> dict[str, str]:
             WHERE error IS NULL""",
         "submit_run": submitted(),
         "run_outcome": f"""SELECT run_id, 'done' AS status, sentence FROM {outcomes()}
-            UNION ALL SELECT 'broken', 'error', 'Job failed: it broke off'""",
+            UNION ALL SELECT 'broken', 'error', 'Job failed: [USER_RAISED_EXCEPTION] disk full'""",
         "job_status": f"""SELECT run_id, 'done' AS status, CAST(NULL AS VARCHAR) AS error,
-                n_ok + n_failed AS current, n_ok + n_failed AS total, n_ok, n_failed, sentence
-            FROM {outcomes()} WHERE run_id = 'src0'""",
+                n_ok + n_failed AS current, n_ok + n_failed AS total, n_ok, n_failed FROM {outcomes()}
+            UNION ALL SELECT 'broken', 'error', '[USER_RAISED_EXCEPTION] disk full', 0, 0, 0, 0""",
+        "purge_runs": f"""SELECT run_id, {NUMBER.format('run_id')} > 6 AS removed,
+                CASE WHEN {NUMBER.format('run_id')} > 6 THEN 0 ELSE count(*) END AS n_left
+            FROM {JOB_FILES} GROUP BY run_id""",
+        "multi_job_redact": multi_job(),
+        "keyword_table_redact": f"""WITH {WORDS} SELECT doc_id,
+                string_agg(gap || CASE WHEN word IS NULL THEN coalesce(hit, '') ELSE repeat('{BOX}', length(hit)) END,
+                    '' ORDER BY i) AS redacted,
+                count(word)::INTEGER AS n_redacted
+            FROM pieces LEFT JOIN keywords ON lower(hit) = word GROUP BY doc_id""",
+        "keyword_table_totals": f"""WITH {WORDS} SELECT 'Keyword: "' || word || '"' AS label,
+                count(DISTINCT doc_id) AS n_docs, count(*) AS n_matches
+            FROM pieces JOIN keywords ON lower(hit) = word GROUP BY word""",
         "redact_stream": redacted("documents", "doc_id", every, "label"),
         "redact_stream_named": f"""SELECT seq, o.output, d.n::INTEGER AS n_redacted, d.t AS markdown
             FROM {chain(STREAM_NAMES, 'run_id, seq', every, 'label')} d

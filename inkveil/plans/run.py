@@ -15,6 +15,7 @@ from inkveil.operators.detect import detect
 from inkveil.operators.ledger import activity_log, run_progress, run_results, run_summary
 from inkveil.operators.naming import number_outputs
 from inkveil.operators.redact import redact
+from inkveil.operators.rulesets import RuleSets
 from inkveil.operators.skew import BROADCAST_ROWS, checked_broadcast
 from inkveil.plans.scratch import Staging
 from inkveil.sources.extract import Extractor, extract
@@ -55,7 +56,7 @@ def preview_sources(
 
 def redact_sources(
     files: DataFrame,
-    rules: Sequence[Rule],
+    rules: Sequence[Rule] | RuleSets,
     style: str = "box",
     extractors: Mapping[str, Extractor] | None = None,
     existing: DataFrame | None = None,
@@ -72,6 +73,8 @@ def redact_sources(
     The documents themselves are never shuffled unless they have to be: names
     are numbered on (run, seq, name) alone, and only the numbers beyond 1 are
     joined back: by broadcast up to ``broadcast_rows``, by a shuffle beyond.
+    With ``RuleSets`` every run has its own rules and style (and texts are
+    dealt by set, if there are several); ``style`` and ``engine`` then say nothing.
     What ``staging`` holds may be cleared once the result is stored.
     """
     staging = staging or Staging(files.sparkSession)
@@ -81,7 +84,10 @@ def redact_sources(
     numbered = numbers.filter("number > 1").select(*KEYS, "number")
     beyond = checked_broadcast(numbered, broadcast_rows)
 
-    done = redact(work, rules, style, matches_into="matches", into="markdown", engine=engine)
+    if isinstance(rules, RuleSets):
+        done = rules.redact(work, into="markdown", matches_into="matches", broadcast_rows=broadcast_rows, staging=staging)
+    else:
+        done = redact(work, rules, style, matches_into="matches", into="markdown", engine=engine)
     good = F.col("error").isNull()
     name = output_name(stem(F.col("name")), F.coalesce("number", F.lit(1)))
     return done.join(beyond, KEYS, "left").select(

@@ -18,10 +18,12 @@ from inkveil.functions.rules import (
 )
 from inkveil.operators import ledger
 from inkveil.operators.detect import corpus_totals, detect, long_counts, summary_text
+from inkveil.operators.keywords import detect_keywords, redact_keywords
 from inkveil.operators.manifest import dedup_inputs, input_manifest, last_write_wins
 from inkveil.operators.naming import output_names
 from inkveil.operators.redact import redact
-from inkveil.plans.jobs import job_documents, job_runs, job_status, submit
+from inkveil.operators.rulesets import RuleSets
+from inkveil.plans.jobs import job_documents, job_runs, job_status, purge_runs, submit, submit_all
 from inkveil.plans.layout import spread
 from inkveil.plans.run import preview_sources, redact_sources, store_run
 from inkveil.plans.scratch import scratch_path
@@ -306,21 +308,34 @@ def _run_activity(spark, sf_dir):
     return _stored(spark, sf_dir).activity
 
 
-SUBMITTED = ("src0", "src3", "src7")
+def _number(source: str = "source") -> str:
+    """The number in a source's name, 0 without one."""
+    return f"coalesce(try_cast(regexp_extract({source}, '([0-9]+)', 1) AS int), 0)"
+
+
+def _listing(spark, sf_dir):
+    """All documents as listed files, a job per source; some have no usable name."""
+    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
+    return spread(docs, "doc_id").selectExpr(
+        "source AS run_id",
+        "doc_id AS seq",
+        "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN '..'"
+        " ELSE concat(' ', lang, '/', doc_id % 40, IF(doc_id % 5 = 0, '.pdf', '.txt')) END AS name",
+        "cast(text AS binary) AS content",
+    )
+
+
+def _jobs(spark, sf_dir):
+    """A job per source, all with the whole catalog."""
+    labels = F.array(*map(F.lit, PATTERNS))
+    sources = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select(F.col("source").alias("run_id"))
+    return sources.distinct().select("run_id", labels.alias("labels"), F.lit("label").alias("style"))
 
 
 def _submitted(spark, sf_dir):
-    """Three jobs of listed documents, and one that breaks off as a whole."""
+    """All documents as jobs by source, and one job that breaks off as a whole."""
     root = scratch_path(spark, "jobs")
-    for source in SUBMITTED:
-        docs = table(spark, sf_dir, "documents").filter(F.col("source") == source)
-        listing = docs.selectExpr(
-            "doc_id AS seq",
-            "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN '..'"
-            " ELSE concat(' ', lang, '/', doc_id % 40, IF(doc_id % 5 = 0, '.pdf', '.txt')) END AS name",
-            "cast(text AS binary) AS content",
-        )
-        submit(listing, detector_rules(), root, source, "label")
+    submit_all(_listing(spark, sf_dir), _jobs(spark, sf_dir), root)
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS seq", "'a.txt' AS name", "cast(text AS binary) AS content")
     lost = F.when(F.col("seq").isNotNull(), F.raise_error(F.lit("disk full"))).otherwise(F.col("content"))
     submit(docs.withColumn("content", lost), detector_rules(), root, "broken", "label")
@@ -334,14 +349,73 @@ def _submit_run(spark, sf_dir):
 
 def _run_outcome(spark, sf_dir):
     root = _submitted(spark, sf_dir)
-    runs = job_runs(spark, root).drop("error")
-    said = ledger.run_outcome(runs.withColumn("error", F.lit("it broke off")), job_documents(spark, root).results)
-    return said.select("run_id", "status", "sentence")
+    said = ledger.run_outcome(job_runs(spark, root), job_documents(spark, root).results)
+    # An error's code stands behind its message.
+    return said.select("run_id", "status", F.regexp_replace("sentence", " SQLSTATE.*$", "").alias("sentence"))
 
 
 def _job_status(spark, sf_dir):
-    told = job_status(spark, _submitted(spark, sf_dir), SUBMITTED[0])
-    return told.select("run_id", "status", "error", "current", "total", "n_ok", "n_failed", "sentence")
+    told = job_status(spark, _submitted(spark, sf_dir))
+    told = told.withColumn("error", F.regexp_replace("error", " SQLSTATE.*$", ""))
+    return told.select("run_id", "status", "error", "current", "total", "n_ok", "n_failed")
+
+
+def _purge_runs(spark, sf_dir):
+    """Jobs by source, each ten minutes older than the one before it; what a purge takes and leaves."""
+    root = scratch_path(spark, "jobs")
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
+    aged = _jobs(spark, sf_dir).withColumn("created", F.lit(now) - F.expr(f"make_dt_interval(0, 0, 10 * {_number('run_id')})"))
+    submit_all(_listing(spark, sf_dir), aged, root)
+    removed = purge_runs(spark, root, now).filter("removed").select("run_id", F.lit(True).alias("removed"))
+    left = job_documents(spark, root).documents.groupBy("run_id").agg(F.count("*").alias("n_left"))
+    kept = job_runs(spark, root).select("run_id", F.lit(False).alias("removed"))
+    return removed.unionAll(kept).join(left, "run_id", "left").select(
+        "run_id", "removed", F.coalesce("n_left", F.lit(0)).alias("n_left")
+    )
+
+
+# Options by number of source, and the words from which keyword tables are taken.
+OPTION_SETS = (
+    {"labels": ["Email addresses", "Phone numbers"], "style": "box"},
+    {"labels": [], "keywords": list(WHOLE_WORDS), "whole_word": True, "style": "label"},
+    {"labels": ["IP addresses", "Credit card numbers"], "keywords": ["Und", "The"], "case_sensitive": True, "style": "box"},
+    {"labels": [], "keywords": ["&&&", "on"], "expressions": [r"[a-z]+tion[.,]"], "style": "label"},
+    {"labels": list(DEFAULT_LABELS), "expressions": [r"[&#$%*]{3}"], "style": "label"},
+    {"labels": ["URLs", "ZIP / Postal codes", "Phone numbers"], "keywords": ["redacted", "er"], "style": "label"},
+)
+OPTIONS_DDL = "set int, labels array<string>, keywords array<string>, expressions array<string>, case_sensitive boolean, whole_word boolean, style string"
+KEYWORD_LETTERS = 6
+
+
+def _multi_job_redact(spark, sf_dir):
+    """All documents, each source by its own job's selection, keywords, flags and style."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    names = OPTIONS_DDL.replace(",", "").split()[::2]
+    options = spark.createDataFrame([(i, *[o.get(n) for n in names[1:]]) for i, o in enumerate(OPTION_SETS)], OPTIONS_DDL)
+    sources = docs.select("source").filter("source IS NOT NULL").distinct()
+    jobs = sources.withColumn("set", F.expr(f"{_number()} % {len(OPTION_SETS)}")).join(F.broadcast(options), "set").drop("set")
+    return RuleSets(jobs, "source").redact(docs).select("doc_id", "redacted", "n_redacted")
+
+
+def _keyword_table(spark, sf_dir):
+    """Every longer word of ASCII letters in the conversations."""
+    turns = table(spark, sf_dir, "conversations")
+    words = turns.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("keyword"))
+    return words.filter(F.length("keyword") >= KEYWORD_LETTERS).distinct()
+
+
+def _keyword_table_redact(spark, sf_dir):
+    done = redact_keywords(
+        documents(spark, sf_dir), _keyword_table(spark, sf_dir), "box", whole_word=True, order="keyword"
+    )
+    return done.select("doc_id", "redacted", "n_redacted")
+
+
+def _keyword_table_totals(spark, sf_dir):
+    """By keyword of the table, the documents and the matches."""
+    found = detect_keywords(documents(spark, sf_dir), _keyword_table(spark, sf_dir), whole_word=True, order="keyword")
+    listed = long_counts(found, ["doc_id"])
+    return listed.groupBy("label").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_matches"))
 
 
 def _expire_runs(spark, sf_dir):
@@ -436,6 +510,10 @@ def registered() -> dict[str, Query]:
         "expire_runs": _expire_runs,
         "run_lookup": _run_lookup,
         "export_runs": _export_runs,
+        "multi_job_redact": _multi_job_redact,
+        "keyword_table_redact": _keyword_table_redact,
+        "keyword_table_totals": _keyword_table_totals,
+        "purge_runs": _purge_runs,
         "submit_run": _submit_run,
         "run_outcome": _run_outcome,
         "job_status": _job_status,

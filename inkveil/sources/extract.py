@@ -7,38 +7,17 @@ from collections.abc import Callable, Iterator, Mapping
 from html.entities import html5, name2codepoint
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.names import suffix
 from inkveil.sources.files import TEXT_SUFFIXES, decode_text
+from inkveil.sources.html import KEPT, page_markdown
 
 HTML_SUFFIXES = (".html", ".htm")
 Extractor = Callable[[bytes], str]
 
-# What an HTML page turns into, applied from top to bottom.  Every step takes
-# time linear in the page: a comment or script that is never closed runs to the
-# end, as in a browser, and a tag ends at the next bracket of either kind.
-_HTML_STEPS = (
-    (r"(?s)<!--.*?(?:-->|\z)", ""),
-    (r"(?is)<script\b[^<>]*>.*?(?:</script\s*>|\z)", ""),
-    (r"(?is)<style\b[^<>]*>.*?(?:</style\s*>|\z)", ""),
-    (r"(?is)<head\b[^<>]*>.*?(?:</head\s*>|\z)", ""),
-    (r"[ \t\r\n\f]+", " "),
-    (r"(?i)<h1\b[^<>]*>", "\n\n# "),
-    (r"(?i)<h2\b[^<>]*>", "\n\n## "),
-    (r"(?i)<h3\b[^<>]*>", "\n\n### "),
-    (r"(?i)<h4\b[^<>]*>", "\n\n#### "),
-    (r"(?i)<h5\b[^<>]*>", "\n\n##### "),
-    (r"(?i)<h6\b[^<>]*>", "\n\n###### "),
-    (r"(?i)<li\b[^<>]*>", "\n- "),
-    (r"(?i)<br\b[^<>]*>", "\n"),
-    (r"(?i)</?(?:address|article|aside|blockquote|div|footer|header|main|nav|p|section|table)\b[^<>]*>", "\n\n"),
-    (r"(?i)</(?:h[1-6]|ol|ul)\s*>", "\n\n"),
-    (r"(?i)</?(?:dd|dt|tr)\b[^<>]*>", "\n"),
-    (r"(?i)</(?:td|th)\s*>", " "),
-    (r"<[a-zA-Z/!?][^<>]*>", ""),
-)
 _BLANK_STEPS = ((r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
 # The named references of HTML that end in a semicolon; a hard space is a space here.
 _NAMED = {name[:-1]: char.replace("\xa0", " ") for name, char in html5.items() if name.endswith(";")}
@@ -84,19 +63,24 @@ def decode_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
+def _pages_udf():
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array((None if p is None else page_markdown(p) for p in pages.to_pylist()), type=pa.string())
+
+    return F.arrow_udf(run, "string").asNondeterministic()
+
+
 def html_to_markdown(html: Column) -> Column:
-    """Headings, list items and paragraphs of an HTML page as Markdown text.
+    """Headings, lists, tables, paragraphs and preformatted lines of an HTML page as Markdown text.
 
-    What stands only in attributes, such as the target of a link, is no text
-    of the page and is dropped with its tag.
+    Tags are read by one pass in Arrow batches; references are decoded and
+    blanks squeezed by SQL expressions.  What stands only in attributes, such
+    as the target of a link, is no text of the page and is dropped with its tag.
     """
-    text = html
-    for pattern, mark in _HTML_STEPS:
-        text = F.regexp_replace(text, pattern, mark)
-    text = decode_references(text)
+    text = decode_references(_pages_udf()(html))
     for pattern, mark in _BLANK_STEPS:
         text = F.regexp_replace(text, pattern, mark)
-    return F.btrim(text, F.lit(" \n"))
+    return F.translate(F.btrim(text, F.lit(" \n")), "".join(KEPT.values()), "".join(KEPT))
 
 
 def _extractor_udf(extractors: Mapping[str, Extractor]):
@@ -122,7 +106,7 @@ def extract(
 ) -> DataFrame:
     """Add ``text`` and ``error``; exactly one of the two is NULL.
 
-    Text, Markdown and HTML are converted by SQL expressions.  ``extractors``
+    Text and Markdown are converted by SQL expressions, HTML by one pass over its tags.  ``extractors``
     maps further suffixes (".pdf") to functions from bytes to text, run in
     Arrow batches; the bytes of other rows are not sent to Python.  Missing
     content counts as an empty file.  Without ``extractors`` whether a file
@@ -133,7 +117,8 @@ def extract(
     source = F.coalesce(F.col(content), F.expr("X''"))
     decoded = decode_text(source)
     work = df
-    text = F.when(plain, decoded).when(html, html_to_markdown(decoded))
+    # The bytes of other files are not sent to Python.
+    text = F.when(plain, decoded).when(html, html_to_markdown(F.when(html, decoded)))
     missing = F.concat(F.lit("No extractor for '"), kind, F.lit("'"))
     error = F.when(~(plain | html), missing)
     if extractors:

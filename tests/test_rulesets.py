@@ -1,0 +1,126 @@
+import re
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkveil.functions.rules import NO_RULES, build_rules
+from inkveil.operators.manifest import NO_FILES, NO_VALID_FILES
+from inkveil.operators.rulesets import MAX_SETS, OPTIONS, RuleSets
+from inkveil.plans.jobs import _note, job_documents, job_notes, job_runs, job_status, purge_runs, submit, submit_all
+from inkveil.plans.scratch import Staging, scratch_path
+from inkveil.sources.outputs import export_files
+from tests import plain
+
+JOBS = "run_id string, " + ", ".join(f"{name} {kind}" for name, kind in OPTIONS.items())
+SETS = {
+    "a": (["Email addresses"], ["Token"], [], "label", False, False),
+    "b": ([], ["the", "redacted"], [r"\d+"], "box", True, True),
+    "c": (None, ["e"], None, None, None, None),
+    "d": (["Email addresses"], ["Token"], [], "label", False, False),
+    "e": ([], [], [r"(?P<w>[a-z])(?P=w)"], "label", False, False),
+    "bad": ([], [], ["("], "label", False, False),
+    "none": (["No such"], ["  "], [], "label", False, False),
+}
+
+
+def jobs(spark):
+    return spark.createDataFrame([(k, *v) for k, v in SETS.items()], JOBS)
+
+
+def rules_of(run):
+    labels, keywords, expressions, style, cased, whole = SETS[run]
+    return build_rules(labels or (), keywords or (), expressions or (), bool(cased), bool(whole)), style or "box"
+
+
+TEXTS = ["", None, "the Token the 12 redacted", "mail x@y.co token 7 [REDACTED]", "aabb ee the", "THE x@y.com"]
+
+
+@pytest.mark.parametrize("native", [0, 2, 24])
+def test_every_row_by_its_own_rules(spark, native):
+    rows = [(run, i, t) for run in [*SETS, "unknown", None] for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "run_id string, id int, text string").repartition(3)
+    staging = Staging(spark)
+    sets = RuleSets(jobs(spark))
+    assert len({s.rules for s in sets.sets if not s.error}) == 4
+    refused = {r["run_id"]: r["error"] for r in sets.refused().collect()}
+    assert set(refused) == {"bad", "none"} and refused["none"] == NO_RULES and refused["bad"].startswith("Invalid regex '('")
+    done = sets.redact(docs, matches_into="m", native_sets=native, staging=staging)
+    assert set(done.columns) == {"run_id", "id", "text", "redacted", "n_redacted", "m"}
+    found = {(r["run_id"], r["id"]): r for r in done.collect()}
+    assert {run for run, _ in found} == set("abcde")
+    for (run, i), r in found.items():
+        rules, style = rules_of(run)
+        want = (None, 0) if TEXTS[i] is None else plain.redact(TEXTS[i], rules, style)
+        assert (r["redacted"], r["n_redacted"]) == want, (run, i)
+        assert {m["label"]: m["n"] for m in r["m"]} == plain.detect(TEXTS[i] or "", rules)
+    staging.clear()
+
+
+def test_edges(spark):
+    none = spark.createDataFrame([], "run_id string, text string")
+    assert RuleSets(jobs(spark)).redact(none).count() == 0
+    assert RuleSets(spark.createDataFrame([], JOBS)).redact(none).count() == 0
+    few = spark.createDataFrame([("a", ["x"])], "run_id string, keywords array<string>")
+    docs = spark.createDataFrame([("a", "axb"), ("z", "x")], "run_id string, text string")
+    assert [tuple(r) for r in RuleSets(few).redact(docs).collect()] == [("a", "axb", "a█b", 1)]
+    assert MAX_SETS >= 10_000
+
+
+LISTING = "run_id string, seq bigint, name string, content binary"
+
+
+def listing(spark):
+    rows = [(run, i, f"f {i % 2}.txt", bytearray((t or "").encode())) for run in SETS for i, t in enumerate(TEXTS)]
+    rows += [("empty", 1, "", bytearray(b"x")), ("unsafe", 1, "..", bytearray(b"x")), ("unknown", 1, "a.txt", bytearray(b"x"))]
+    return spark.createDataFrame(rows, LISTING)
+
+
+def test_a_table_of_jobs_is_as_good_as_one_by_one(spark):
+    more = spark.createDataFrame([(k, *SETS["a"]) for k in ("empty", "unsafe", "absent")], JOBS)
+    root, single = scratch_path(spark, "jobs"), scratch_path(spark, "jobs")
+    refused = {r["run_id"]: r["error"] for r in submit_all(listing(spark), jobs(spark).unionAll(more), root).collect()}
+    assert {k: refused[k] for k in ("empty", "unsafe", "absent", "none")} == {
+        "empty": NO_FILES, "unsafe": NO_VALID_FILES, "absent": NO_FILES, "none": NO_RULES
+    }
+    assert set(refused) == {"empty", "unsafe", "absent", "none", "bad"}
+    for run in "ab":
+        rules, style = rules_of(run)
+        submit(listing(spark).filter(F.col("run_id") == run).drop("run_id"), rules, single, run, style)
+    got = job_documents(spark, root).documents
+    assert {r["run_id"] for r in got.select("run_id").collect()} == set("abcde")
+    columns = ["run_id", "seq", "name", "output", "error", "accepted", "matches", "n_redacted", "markdown"]
+    for run in "ab":
+        one = job_documents(spark, single).documents.filter(F.col("run_id") == run).select(columns)
+        assert sorted(one.collect(), key=repr) == sorted(got.filter(F.col("run_id") == run).select(columns).collect(), key=repr)
+    assert {r["run_id"]: r["status"] for r in job_runs(spark, root).collect()} == dict.fromkeys("abcde", "done")
+    assert [r["sentence"] for r in job_status(spark, root, "c").collect()] == ["Done — 6 files redacted."]
+
+
+def test_one_run_is_looked_up_in_its_own_folder(spark):
+    root = scratch_path(spark, "jobs")
+    submit_all(listing(spark), jobs(spark), root)
+    plan = job_notes(spark, root, "a")._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*run_id[^\]]* = a", plan)
+
+
+def test_purge(spark, tmp_path):
+    root, exported = f"file://{tmp_path}/jobs", f"file://{tmp_path}/out"
+    now = datetime(2024, 5, 1, 12)
+    ages = {"a": 3601, "b": 3600, "c": 9999, "d": 0, "e": 7200}
+    aged = jobs(spark).filter(F.col("run_id").isin(*ages)).join(
+        spark.createDataFrame([(k, now - timedelta(seconds=s)) for k, s in ages.items()], "run_id string, created timestamp"), "run_id"
+    )
+    submit_all(listing(spark), aged, root)
+    export_files(job_documents(spark, root).documents, exported).write.format("noop").mode("overwrite").save()
+    # A run that is written again while its old tables expire stays.
+    _note(root, aged.filter("run_id = 'e'").select("run_id", "created"), "running")
+    removed = purge_runs(spark, root, now, exported=exported)
+    assert {r["run_id"]: (r["n_notes"], r["removed"]) for r in removed.collect()} == {"a": (2, True), "c": (2, True)}
+    assert removed.count() == 2
+    left = {"b", "d", "e"}
+    assert {r["run_id"] for r in job_runs(spark, root).collect()} == left
+    assert {r["run_id"] for r in job_documents(spark, root).documents.select("run_id").collect()} == left
+    assert {p.name for p in (tmp_path / "out").iterdir()} == left
+    assert {p.name for p in (tmp_path / "jobs" / "runs").glob("run_id=*")} == {f"run_id={k}" for k in left}
+    assert purge_runs(spark, root, now).count() == 0
