@@ -9,6 +9,7 @@ has been gone through; blocks are then found by their number.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import WORD, small_batches, stored
-from inkveil.llm.line_dedup import _WORD
+
+_WORD = re.compile(WORD)
 
 
 @dataclass(frozen=True)
