@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -89,7 +90,33 @@ def test_names_across_batches(spark, tmp_path):
         "a_redacted.md", "a_redacted_2.md", "b_redacted.md", "a_redacted_3.md",
     ]
     assert {r.markdown for r in rows} == {"[REDACTED]"}
-    # The ledger of names is laid out by stem, so that a batch reads what it may collide with.
-    ledger_rows = spark.read.parquet(f"{out}_names").collect()
-    assert sorted(r.output for r in ledger_rows) == sorted(r.output for r in rows)
-    assert len({r.bucket for r in ledger_rows if r.output.startswith("a")}) == 1
+    # Numbers alone are kept beside the texts.
+    assert spark.read.parquet(f"{out}_names").drop("batch_id").columns == ["seq", "name", "number"]
+
+
+def test_names_of_many_batches_come_from_the_state(spark, tmp_path, monkeypatch):
+    folder, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "p")
+    folder.mkdir()
+    rng, listed, plans = random.Random(2), [], []
+    for batch in range(10):
+        for i in range(6):
+            name = f"{rng.choice('abcdef')}.{rng.choice(['txt', 'md', 'pdf'])}"
+            (folder / f"{batch}-{i}").mkdir()
+            (folder / f"{batch}-{i}" / name).write_text("x@b.co")
+            listed.append((batch * 6 + i, name))
+        stream = stream_files(spark, str(folder))
+        seq = F.split(F.element_at(F.split("path", "/"), -2), "-")
+        stream = stream.select((seq[0].cast("bigint") * 6 + seq[1].cast("bigint")).alias("seq"), "name", "content")
+        done = start_named(stream, detector_rules(), out, progress, "label")
+        done.awaitTermination()
+        state = done.names.lastProgress["stateOperators"][0]
+        plans.append((state["numRowsTotal"], done.names.lastProgress["numInputRows"]))
+    counts, want = {}, {}
+    for seq, name in listed:
+        stem, kind = name.split(".")
+        counts[stem] = counts.get(stem, 0) + (kind != "pdf")
+        n = counts[stem]
+        want[seq] = "" if kind == "pdf" else f"{stem}_redacted{'' if n == 1 else f'_{n}'}.md"
+    assert {r["seq"]: r["output"] for r in named_outputs(spark, out).collect()} == want
+    # A batch reads its own files, and the state has a row per stem, not per name.
+    assert all(n <= 6 for n, _ in plans) and len({rows for _, rows in plans}) == 1
