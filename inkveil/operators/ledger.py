@@ -66,10 +66,11 @@ def run_progress(results: DataFrame) -> DataFrame:
     )
 
 
-def activity_log(files: DataFrame) -> DataFrame:
+def activity_log(files: DataFrame, total: str | None = None) -> DataFrame:
     """The lines a run writes per file, as rows ``(run_id, seq, line_no, line)``.
 
     ``files``: ``(run_id, seq, name, output, error, accepted, matches, n_redacted)``.
+    ``total`` names a column with the run's number of files, if not all are there yet.
     """
     name, failed = F.col("name"), F.col("error").isNotNull()
     detected = summary_text(F.col("matches"))
@@ -89,7 +90,12 @@ def activity_log(files: DataFrame) -> DataFrame:
             F.concat(F.lit("  Saved -> "), "output")
         ),
     )
-    placed = running_total(files, ["run_id"], "seq", into="current", total_into="total")
+    # Texts are not needed, so they are not read.
+    columns = ["run_id", "seq", "name", "output", "error", "accepted", "matches", "n_redacted"]
+    narrow = files.select(*columns, *([F.col(total).alias("__files")] if total else []))
+    placed = running_total(narrow, ["run_id"], "seq", into="current", total_into="total")
+    if total:
+        placed = placed.withColumn("total", F.col("__files"))
     written = placed.select("run_id", "seq", F.posexplode(F.array_compact(lines)))
     return written.select(
         "run_id", "seq", (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line")

@@ -8,9 +8,10 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from inkveil.functions.rules import Rule
-from inkveil.operators.ledger import RUN_TTL_SECONDS, expire_runs, run_outcome, run_summary
+from inkveil.operators.ledger import RUN_TTL_SECONDS, activity_log, expire_runs, run_outcome, run_summary
 from inkveil.operators.manifest import (
     NO_FILES,
     NO_VALID_FILES,
@@ -20,11 +21,12 @@ from inkveil.operators.manifest import (
     with_safe_names,
 )
 from inkveil.operators.rulesets import RuleSets
-from inkveil.plans.run import RunTables, redact_sources, store_run, stored_run
+from inkveil.operators.skew import running_total
+from inkveil.plans.run import RunTables, redact_in_slices, store_run, stored_run
 from inkveil.plans.scratch import Staging, ensure_checkpoint_dir
 from inkveil.sources.extract import Extractor
 
-RUNS = "run_id string, status string, created timestamp, error string, at timestamp"
+RUNS = "run_id string, status string, created timestamp, n_files bigint, error string, at timestamp"
 DOCUMENTS = (
     "run_id string, seq bigint, name string, output string, error string, accepted boolean, "
     "matches array<struct<label:string,n:int>>, n_redacted int, markdown string"
@@ -38,6 +40,7 @@ def submit(
     run_id: str | None = None,
     style: str = "box",
     extractors: Mapping[str, Extractor] | None = None,
+    slices: int = 1,
 ) -> str:
     """Run a listing ``(seq, name, content)`` as one job and return its id.
 
@@ -45,7 +48,9 @@ def submit(
     with one name all have the last one's content.  A listing without entries,
     or without a usable name, is refused with ``ValueError`` before a run
     exists.  The run's row says ``running``, then ``done``, or ``error`` with
-    the message of what broke off outside of single files.
+    the message of what broke off outside of single files.  The documents are
+    stored in ``slices`` parts, in the order of ``seq``: what ``job_status``,
+    ``live_progress`` and ``log_tail`` tell while it runs.
     """
     spark = listing.sparkSession
     run_id = run_id or uuid.uuid4().hex
@@ -53,7 +58,7 @@ def submit(
     safe = with_safe_names(named).select("seq", F.col("safe_name").alias("name"), "content")
     safe = require_inputs(safe, NO_VALID_FILES)
     runs = spark.createDataFrame([(run_id,)], "run_id string").withColumn("created", F.lit(_now(spark)))
-    _carry_out(safe.withColumn("run_id", F.lit(run_id)), runs, rules, root, style, extractors)
+    _carry_out(safe.withColumn("run_id", F.lit(run_id)), runs, rules, root, style, extractors, slices)
     return run_id
 
 
@@ -62,6 +67,7 @@ def submit_all(
     jobs: DataFrame,
     root: str,
     extractors: Mapping[str, Extractor] | None = None,
+    slices: int = 1,
 ) -> DataFrame:
     """Run the jobs of a whole table in one plan; returns those refused, ``(run_id, error)``.
 
@@ -97,7 +103,7 @@ def submit_all(
     )
     good = told.filter("error IS NULL").select("run_id", "created")
     if not good.isEmpty():
-        _carry_out(safe.join(good.select("run_id"), "run_id", "left_semi"), good, sets, root, "box", extractors)
+        _carry_out(safe.join(good.select("run_id"), "run_id", "left_semi"), good, sets, root, "box", extractors, slices)
     return told.filter("error IS NOT NULL").select("run_id", "error")
 
 
@@ -105,16 +111,19 @@ def _now(spark: SparkSession):
     return spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
 
 
-def _carry_out(safe: DataFrame, runs: DataFrame, rules, root: str, style: str, extractors) -> None:
+def _carry_out(safe: DataFrame, runs: DataFrame, rules, root: str, style: str, extractors, slices: int) -> None:
     """Redact and store the files of some runs; their notes say how that went."""
     spark = safe.sparkSession
     staging = Staging(spark)
+    ensure_checkpoint_dir(spark)
+    counted = safe.groupBy("run_id").agg(F.count("*").alias("n_files"))
+    runs = runs.join(counted, "run_id").checkpoint()
     _note(root, runs, "running")
     try:
         keys = ["run_id", "name"]
         files = staging.store(last_write_wins(safe.select("run_id", "seq", "name", "content"), keys), "inputs")
-        done = redact_sources(files, rules, style, extractors, staging=staging)
-        store_run(done, f"{root}/documents")
+        for number, done in enumerate(redact_in_slices(files, rules, slices, style, extractors, staging)):
+            store_run(done, f"{root}/documents", mode="append" if number else "overwrite")
     except Exception as cause:
         _note(root, runs, "error", _said(cause))
     else:
@@ -131,7 +140,7 @@ def _said(cause: Exception) -> str:
 def _note(root: str, runs: DataFrame, status: str, error: str | None = None) -> None:
     """Add a line to the notes of each run, in a folder of its own; of a run's lines the latest counts."""
     lines = runs.select(
-        "run_id", F.lit(status).alias("status"), "created", F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("at")
+        "run_id", F.lit(status).alias("status"), "created", "n_files", F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("at")
     )
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines.repartition(parts, "run_id").write.mode("append").partitionBy("run_id").parquet(f"{root}/runs")
@@ -144,9 +153,9 @@ def job_notes(spark: SparkSession, root: str, run_id: str | None = None) -> Data
 
 
 def job_runs(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
-    """``(run_id, status, created, error)``, one row per job, or of one job alone."""
+    """``(run_id, status, created, n_files, error)``, one row per job, or of one job alone."""
     # Of lines of one moment the finished one counts.
-    latest = F.max_by(F.struct("status", "created", "error"), F.struct("at", F.col("status") != "running"))
+    latest = F.max_by(F.struct("status", "created", "n_files", "error"), F.struct("at", F.col("status") != "running"))
     return job_notes(spark, root, run_id).groupBy("run_id").agg(latest.alias("last")).select("run_id", "last.*")
 
 
@@ -167,13 +176,58 @@ def job_status(spark: SparkSession, root: str, run_id: str | None = None) -> Dat
     counts = run_summary(results).drop("sentence")
     told = run_outcome(runs, results).join(counts, "run_id", "left")
     n_ok, n_failed = F.coalesce("n_ok", F.lit(0)), F.coalesce("n_failed", F.lit(0))
-    whole = (n_ok + n_failed).cast("bigint")
     return told.select(
-        "run_id", "status", "error", whole.alias("current"), whole.alias("total"),
+        "run_id", "status", "error", (n_ok + n_failed).cast("bigint").alias("current"),
+        F.coalesce("n_files", F.lit(0)).cast("bigint").alias("total"),
         n_ok.cast("bigint").alias("n_ok"), n_failed.cast("bigint").alias("n_failed"), "sentence",
     )
 
 
+PROGRESS = "run_id string, current bigint, total bigint, percent int, batch_id bigint"
+
+
+def live_progress(spark: SparkSession, root: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Follow the documents of all jobs as they are stored, and write where each run stands to ``path``.
+
+    A count per run is kept in the state store; a batch reads the files that
+    came since the last one and writes a line for each run among them, in a
+    folder of its own (overwritten if the batch is repeated).  Takes up what is
+    there now and stops; called again, it goes on from there.
+    """
+    stored = spark.readStream.schema(DOCUMENTS).parquet(f"{root}/documents")
+    counts = stored.groupBy("run_id").agg(F.count("*").alias("current"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        totals = job_runs(batch.sparkSession, root).select("run_id", F.col("n_files").alias("total"))
+        percent = F.floor(F.col("current") / F.col("total") * 100 + 0.5).cast("int")
+        lines = batch.join(totals, "run_id").select("run_id", "current", "total", percent.alias("percent"))
+        lines.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def latest_progress(spark: SparkSession, path: str) -> DataFrame:
+    """``(run_id, current, total, percent)``: the last line of each run that ``live_progress`` wrote."""
+    lines = spark.read.schema(PROGRESS).parquet(path)
+    last = lines.groupBy("run_id").agg(F.max_by(F.struct("current", "total", "percent"), "batch_id").alias("last"))
+    return last.select("run_id", "last.*")
+
+
+def log_tail(spark: SparkSession, root: str, run_id: str, offset: int = 0) -> DataFrame:
+    """``(number, line)``: a job's log from line ``offset`` (0 is the first) on, finished or not.
+
+    While the job runs lines are only added at the end, so whoever has read n
+    lines goes on with ``offset=n``.  One run's folder is read, without texts.
+    """
+    total = job_runs(spark, root, run_id).select("run_id", "n_files")
+    files = job_documents(spark, root).documents.filter(F.col("run_id") == run_id).join(F.broadcast(total), "run_id")
+    lines = activity_log(files, "n_files").withColumn("__place", F.col("seq") * 8 + F.col("line_no"))
+    placed = running_total(lines, ["run_id"], "__place", into="number")
+    return placed.filter(F.col("number") > offset).select((F.col("number") - 1).alias("number"), "line")
+
+
+
 PURGED = "run_id string, created timestamp, n_notes bigint, removed boolean"
 
 

@@ -187,13 +187,13 @@ def named(source: str, good: str) -> str:
 RUN_NAMES = named(FILES, "error IS NULL")
 
 
-def run(style: str) -> str:
+def run(style: str, files: str = FILES) -> str:
     """The documents of a run."""
-    done = chain(FILES, "run_id, seq, name, error", list(PATTERNS.values()), style)
+    done = chain(files, "run_id, seq, name, error", list(PATTERNS.values()), style)
     return f"""(SELECT d.run_id, d.seq, d.name, o.output, d.error,
             CASE WHEN d.error IS NULL THEN d.t END AS markdown,
             CASE WHEN d.error IS NULL THEN d.n ELSE 0 END::INTEGER AS n_redacted
-        FROM {done} d JOIN {RUN_NAMES} o USING (run_id, seq))"""
+        FROM {done} d JOIN {named(files, 'error IS NULL')} o USING (run_id, seq))"""
 
 
 RESULTS = f"""(SELECT f.run_id, f.seq, f.name AS input, o.output, f.error IS NULL AS ok
@@ -203,7 +203,7 @@ PLACES = """row_number() OVER (PARTITION BY run_id ORDER BY seq) AS current,
     count(*) OVER (PARTITION BY run_id) AS total"""
 
 
-def activity() -> str:
+def activity(files: str = FILES) -> str:
     line = "SELECT run_id, seq, {} AS line_no, {} AS line FROM a"
     bad = "SELECT run_id, seq, {} AS line_no, {} AS line FROM a WHERE error IS NOT NULL"
     good = "SELECT run_id, seq, {} AS line_no, {} AS line FROM a WHERE error IS NULL"
@@ -222,8 +222,8 @@ def activity() -> str:
         good.format("5", "'  Saved -> ' || output"),
         bad.format("6", "'  FAILED: ' || error"),
     ]
-    readable = f"(SELECT run_id, seq, CASE WHEN error IS NULL THEN text ELSE '' END AS text FROM {FILES})"
-    return f"""WITH a AS (SELECT r.*, s.summary, {PLACES} FROM {run('label')} r
+    readable = f"(SELECT run_id, seq, CASE WHEN error IS NULL THEN text ELSE '' END AS text FROM {files})"
+    return f"""WITH a AS (SELECT r.*, s.summary, {PLACES} FROM {run('label', files)} r
             JOIN ({summaries(readable, 'run_id, seq')}) s USING (run_id, seq))
         SELECT run_id, seq, line_no::INTEGER AS line_no, line FROM ({' UNION ALL '.join(rows)})"""
 
@@ -412,10 +412,17 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT 'broken', 'error', 'Job failed: [USER_RAISED_EXCEPTION] disk full'""",
         "job_status": f"""SELECT run_id, 'done' AS status, CAST(NULL AS VARCHAR) AS error,
                 n_ok + n_failed AS current, n_ok + n_failed AS total, n_ok, n_failed FROM {outcomes()}
-            UNION ALL SELECT 'broken', 'error', '[USER_RAISED_EXCEPTION] disk full', 0, 0, 0, 0""",
+            UNION ALL SELECT 'broken', 'error', '[USER_RAISED_EXCEPTION] disk full',
+                0, (SELECT count(*) FROM documents), 0, 0""",
         "purge_runs": f"""SELECT run_id, {NUMBER.format('run_id')} > 6 AS removed,
                 CASE WHEN {NUMBER.format('run_id')} > 6 THEN 0 ELSE count(*) END AS n_left
             FROM {JOB_FILES} GROUP BY run_id""",
+        "live_progress": f"""SELECT run_id, count(*) AS current, count(*) AS total, 100::INTEGER AS percent
+            FROM {JOB_FILES} GROUP BY run_id""",
+        "log_tail": f"""SELECT number - 1 AS number, line FROM (
+                SELECT row_number() OVER (ORDER BY seq, line_no) AS number, line
+                FROM ({activity(JOB_FILES)}) WHERE run_id = {quoted(w.LOOKUP_RUN)})
+            WHERE number > {w.TAIL_FROM}""",
         "multi_job_redact": multi_job(),
         "keyword_table_redact": f"""WITH {WORDS} SELECT doc_id,
                 string_agg(gap || CASE WHEN word IS NULL THEN coalesce(hit, '') ELSE repeat('{BOX}', length(hit)) END,

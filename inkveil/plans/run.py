@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,11 +79,53 @@ def redact_sources(
     """
     staging = staging or Staging(files.sparkSession)
     work = _extracted(files, extractors, staging)
+    return _redacted(work, _numbered(work, existing, broadcast_rows), rules, style, engine, broadcast_rows, staging)
+
+
+def redact_in_slices(
+    files: DataFrame,
+    rules: Sequence[Rule] | RuleSets,
+    slices: int,
+    style: str = "box",
+    extractors: Mapping[str, Extractor] | None = None,
+    staging: Staging | None = None,
+) -> Iterator[DataFrame]:
+    """``redact_sources`` in ``slices`` parts, one after the other; a run's files come in the order of ``seq``.
+
+    Names are numbered once over all files.  Each part works on its own files
+    only, so whoever stores the parts as they come can tell how far a run is.
+    """
+    staging = staging or Staging(files.sparkSession)
+    work = _extracted(files, extractors, staging)
+    beyond = _numbered(work, None, BROADCAST_ROWS)
+    if slices < 2:
+        yield _redacted(work, beyond, rules, style, "auto", BROADCAST_ROWS, staging)
+        return
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    bounds = work.groupBy("run_id").agg(F.percentile_approx("seq", shares, F.lit(10_000)).alias("__bounds"))
+    placed = work.join(checked_broadcast(bounds), "run_id")
+    placed = placed.withColumn("__slice", F.size(F.filter("__bounds", lambda b: b < F.col("seq")))).drop("__bounds")
+    for number in range(slices):
+        part = placed.filter(F.col("__slice") == number).drop("__slice")
+        yield _redacted(part, beyond, rules, style, "auto", BROADCAST_ROWS, staging)
+
+
+def _numbered(work: DataFrame, existing: DataFrame | None, broadcast_rows: int) -> DataFrame:
+    """``(run_id, seq, number)`` of the outputs that need a number in their name."""
     narrow = work.select(*KEYS, "name", F.col("error").isNull().alias("ok"))
     numbers = number_outputs(narrow, ["run_id"], ok="ok", existing=existing)
-    numbered = numbers.filter("number > 1").select(*KEYS, "number")
-    beyond = checked_broadcast(numbered, broadcast_rows)
+    return checked_broadcast(numbers.filter("number > 1").select(*KEYS, "number"), broadcast_rows)
 
+
+def _redacted(
+    work: DataFrame,
+    beyond: DataFrame,
+    rules: Sequence[Rule] | RuleSets,
+    style: str,
+    engine: str,
+    broadcast_rows: int,
+    staging: Staging,
+) -> DataFrame:
     if isinstance(rules, RuleSets):
         done = rules.redact(work, into="markdown", matches_into="matches", broadcast_rows=broadcast_rows, staging=staging)
     else:
@@ -125,13 +167,16 @@ class RunTables:
         return activity_log(self.documents)
 
 
-def store_run(documents: DataFrame, path: str, staging: Staging | None = None) -> RunTables:
+def store_run(
+    documents: DataFrame, path: str, staging: Staging | None = None, mode: str = "overwrite"
+) -> RunTables:
     """Write the documents of ``redact_sources`` once and derive everything from the table.
 
     The table has a folder per run, so one run is found without reading the
     others; runs already there are kept, or replaced if they are written again.
+    With ``mode="append"`` the documents are added to those of their runs.
     """
-    writer = by_run(documents).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = by_run(documents).write.mode(mode).option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("run_id").parquet(path)
     if staging is not None:
         staging.clear()

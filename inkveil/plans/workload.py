@@ -23,7 +23,17 @@ from inkveil.operators.manifest import dedup_inputs, input_manifest, last_write_
 from inkveil.operators.naming import output_names
 from inkveil.operators.redact import redact
 from inkveil.operators.rulesets import RuleSets
-from inkveil.plans.jobs import job_documents, job_runs, job_status, purge_runs, submit, submit_all
+from inkveil.plans.jobs import (
+    job_documents,
+    job_runs,
+    job_status,
+    latest_progress,
+    live_progress,
+    log_tail,
+    purge_runs,
+    submit,
+    submit_all,
+)
 from inkveil.plans.layout import spread
 from inkveil.plans.run import preview_sources, redact_sources, store_run
 from inkveil.plans.scratch import scratch_path
@@ -360,6 +370,29 @@ def _job_status(spark, sf_dir):
     return told.select("run_id", "status", "error", "current", "total", "n_ok", "n_failed")
 
 
+SLICES = 3
+
+
+def _in_slices(spark, sf_dir):
+    root = scratch_path(spark, "jobs")
+    submit_all(_listing(spark, sf_dir), _jobs(spark, sf_dir), root, slices=SLICES)
+    return root
+
+
+def _live_progress(spark, sf_dir):
+    """Where all jobs stand by the stream of their stored documents."""
+    root, path, checkpoint = _in_slices(spark, sf_dir), scratch_path(spark, "lines"), scratch_path(spark, "progress")
+    live_progress(spark, root, path, checkpoint).awaitTermination()
+    return latest_progress(spark, path)
+
+
+TAIL_FROM = 40
+
+
+def _log_tail(spark, sf_dir):
+    return log_tail(spark, _in_slices(spark, sf_dir), LOOKUP_RUN, TAIL_FROM)
+
+
 def _purge_runs(spark, sf_dir):
     """Jobs by source, each ten minutes older than the one before it; what a purge takes and leaves."""
     root = scratch_path(spark, "jobs")
@@ -514,6 +547,8 @@ def registered() -> dict[str, Query]:
         "keyword_table_redact": _keyword_table_redact,
         "keyword_table_totals": _keyword_table_totals,
         "purge_runs": _purge_runs,
+        "live_progress": _live_progress,
+        "log_tail": _log_tail,
         "submit_run": _submit_run,
         "run_outcome": _run_outcome,
         "job_status": _job_status,

@@ -8,24 +8,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.operators.skew import GROUP, grouped
+from inkveil.operators.skew import GROUP, checked_broadcast, grouped
 
 
 ROWS_PER_FILE = 100_000
 
 
-def by_run(documents: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+def by_run(documents: DataFrame, rows_per_file: int = ROWS_PER_FILE, max_runs: int = 100_000) -> DataFrame:
     """Rows dealt by run: a small run to one task, a large one to several.
 
     How many is known from one count per run, so that tasks times runs files
-    are not written, nor a run with a third of all rows by one task.
+    are not written, nor a run with a third of all rows by one task.  Rows are
+    shuffled once: runs that need several tasks have over ``rows_per_file``
+    rows, so they are few, and their numbers are broadcast; beyond ``max_runs``
+    such runs they are joined.
     """
-    shares = documents.groupBy("run_id").agg(
-        F.ceil(F.count("*") / rows_per_file).cast("int").alias("__shares")
-    )
-    left = grouped(documents, ["run_id"])
-    placed = left.join(grouped(shares, ["run_id"]).drop("run_id"), GROUP).withColumn(
-        "__share", F.pmod(F.xxhash64("output"), F.col("__shares"))
+    counts = documents.groupBy("run_id").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("__shares"))
+    large = checked_broadcast(grouped(counts.filter("__shares > 1"), ["run_id"]).drop("run_id"), max_runs)
+    placed = grouped(documents, ["run_id"]).join(large, GROUP, "left").withColumn(
+        "__share", F.pmod(F.xxhash64("output"), F.coalesce("__shares", F.lit(1)))
     )
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(parts, "run_id", "__share").select(*documents.columns)

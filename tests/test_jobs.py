@@ -3,7 +3,8 @@ import pytest
 from inkveil.functions.rules import build_rules
 from inkveil.operators.ledger import UNKNOWN_RUN, expire_runs, require_run
 from inkveil.operators.manifest import NO_FILES, NO_VALID_FILES
-from inkveil.plans.jobs import job_documents, job_runs, job_status, submit
+from inkveil.plans import jobs
+from inkveil.plans.jobs import job_documents, job_runs, job_status, latest_progress, live_progress, log_tail, submit
 from inkveil.plans.scratch import Staging, scratch_path
 
 RULES = build_rules(["Email addresses"])
@@ -77,3 +78,35 @@ def test_staging_is_cleared(spark):
     import os
 
     assert not os.path.exists(path) and staging.paths == []
+
+
+def test_progress_and_log_of_a_job_that_is_half_done(spark, tmp_path, monkeypatch):
+    root, lines, checkpoint = f"{tmp_path}/jobs", f"{tmp_path}/lines", f"{tmp_path}/checkpoint"
+    names = [f"{'ab'[i % 2]}.{'pdf' if i % 5 == 4 else 'txt'}" for i in range(12)]
+    files = listing(spark, *[(10 * i, name, f"x{i}@b.co".encode()) for i, name in enumerate(names)])
+    seen, logs, read = [], [], 0
+    whole = jobs.store_run
+
+    def stored(*args, **options):
+        nonlocal read
+        whole(*args, **options)
+        (status,) = job_status(spark, root, "r").collect()
+        live_progress(spark, root, lines, checkpoint).awaitTermination()
+        (live,) = latest_progress(spark, lines).collect()
+        seen.append((status.status, status.current, status.total, status.sentence, live.current, live.total, live.percent))
+        new = [tuple(r) for r in log_tail(spark, root, "r", read).orderBy("number").collect()]
+        assert [n for n, _ in new] == list(range(read, read + len(new)))
+        logs.extend(line for _, line in new)
+        read += len(new)
+
+    monkeypatch.setattr(jobs, "store_run", stored)
+    submit(files, RULES, root, "r", "label", slices=3)
+    assert seen == [("running", 4 * i, 12, None, 4 * i, 12, round(100 * i / 3)) for i in (1, 2, 3)]
+    monkeypatch.undo()
+    submit(files, RULES, root, "one", "label")
+    log = [r["line"] for r in log_tail(spark, root, "one").orderBy("number").collect()]
+    assert logs == log and log[0].startswith("[1/12] ")
+    both = job_documents(spark, root).documents.drop("run_id")
+    assert both.distinct().count() == 12 and both.count() == 24
+    (status,) = job_status(spark, root, "r").collect()
+    assert (status.status, status.current, status.total, status.n_failed) == ("done", 12, 12, 2)
