@@ -407,6 +407,8 @@ def statements() -> dict[str, str]:
         "run_lookup": f"SELECT * FROM {RESULTS} WHERE run_id = {quoted(w.LOOKUP_RUN)}",
         "export_runs": f"""SELECT run_id, output, markdown AS text FROM {run('label')}
             WHERE error IS NULL""",
+        "exported_bundle": f"""SELECT output, strlen(markdown) AS size FROM {run('box')}
+            WHERE run_id = {quoted(w.LOOKUP_RUN)} AND error IS NULL""",
         "submit_run": submitted(),
         "run_outcome": f"""SELECT run_id, 'done' AS status, sentence FROM {outcomes()}
             UNION ALL SELECT 'broken', 'error', 'Job failed: [USER_RAISED_EXCEPTION] disk full'""",

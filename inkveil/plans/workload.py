@@ -37,6 +37,7 @@ from inkveil.plans.jobs import (
 from inkveil.plans.layout import spread
 from inkveil.plans.run import preview_sources, redact_sources, store_run
 from inkveil.plans.scratch import scratch_path
+from inkveil.sources.export import export_runs, exported_bundle, exported_texts
 from inkveil.sources.extract import html_to_markdown
 from inkveil.sources.files import decode_text, scan_text_files
 from inkveil.sources.outputs import bundle_manifest, export_files, read_outputs, write_outputs
@@ -224,13 +225,16 @@ def _scan_text_files(spark, sf_dir):
 
 
 def _export_runs(spark, sf_dir):
-    """Every run's outputs as files in a folder of its own, read back."""
-    done = _run(spark, sf_dir, "label").filter("error IS NULL")
+    """Every run's outputs as files in a folder of its own, read back by their manifest."""
     folder = scratch_path(spark, "exported")
-    export_files(done, folder).write.format("noop").mode("overwrite").save()
-    back = scan_text_files(spark, folder)
-    run_id = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
-    return back.select(run_id.alias("run_id"), F.col("name").alias("output"), "text")
+    export_runs(_run(spark, sf_dir, "label").filter("error IS NULL"), folder)
+    return exported_texts(spark, folder)
+
+
+def _exported_bundle(spark, sf_dir):
+    folder = scratch_path(spark, "exported")
+    export_runs(_run(spark, sf_dir, "box").filter("error IS NULL"), folder)
+    return exported_bundle(spark, folder, LOOKUP_RUN)
 
 
 def _input_manifest(spark, sf_dir):
@@ -543,6 +547,7 @@ def registered() -> dict[str, Query]:
         "expire_runs": _expire_runs,
         "run_lookup": _run_lookup,
         "export_runs": _export_runs,
+        "exported_bundle": _exported_bundle,
         "multi_job_redact": _multi_job_redact,
         "keyword_table_redact": _keyword_table_redact,
         "keyword_table_totals": _keyword_table_totals,
