@@ -111,6 +111,36 @@ def picked(hashes: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
     return _sliding(np.maximum, np.pad(least, reach - 1), reach) == pairs
 
 
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+# A value for each byte, far from those of its neighbours.
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_FACTOR))
+LONG_WORD = 4096
+_AT_A_TIME = 1 << 20
+
+
+def word_hashes(signs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word, from running sums over the bytes of some words at a time."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    for i in long:
+        out[i] = xxhash.xxh3_64_intdigest(signs[starts[i] : ends[i]].tobytes())
+    bounds = np.unique(np.concatenate([[0, len(starts)], long, long + 1]))
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        if ends[low] - starts[low] > LONG_WORD:
+            continue
+        while low < high:
+            some = min(high, max(low + 1, int(np.searchsorted(ends, starts[low] + _AT_A_TIME, side="right"))))
+            first, last = starts[low], ends[some - 1]
+            up, down = _POWERS.upto(int(last - first) + 1)
+            sums = np.zeros(last - first + 1, dtype=np.uint64)
+            np.cumsum(BYTE_VALUES[signs[first:last]] * up[: last - first], out=sums[1:])
+            a, b = starts[low:some] - first, ends[low:some] - first
+            out[low:some] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+            low = some
+    return out
+
+
 class Shape(NamedTuple):
     """Texts as lines of words, and the windows that begin with each line.
 
@@ -118,7 +148,7 @@ class Shape(NamedTuple):
     lines of a text have windows, up to ``window_ends`` with hash ``windows``
     (``whole`` where there is one).  ``room`` are the words before and behind
     the window on the physical lines of its ends.  ``sums`` are running sums of
-    word hashes.
+    word hashes, ``places`` where each word begins in its text, in bytes.
     """
 
     begins: np.ndarray
@@ -129,6 +159,7 @@ class Shape(NamedTuple):
     windows: np.ndarray
     room: tuple[np.ndarray, np.ndarray]
     sums: np.ndarray
+    places: np.ndarray
 
     def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of the words from ``start`` to ``end``, wherever they stand."""
@@ -139,23 +170,24 @@ class Shape(NamedTuple):
 
 def shape(texts: Sequence[bytes], rules: LineRules) -> Shape:
     """The lines and windows of several texts, one after another."""
-    words: list[bytes] = []
-    sizes, owners = [], []
-    for i, text in enumerate(texts):
-        for line in text.split(b"\n"):
-            if own := line.split():
-                words += own
-                sizes.append(len(own))
-                owners.append(i)
-    n = len(words)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=n)
-    lines = np.repeat(np.arange(len(sizes)), sizes)
+    signs = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    blank = np.ones(len(signs) + 2, dtype=bool)
+    blank[1:-1] = _SPACES[signs]
+    starts = np.flatnonzero(blank[:-2] & ~blank[1:-1])
+    stops = np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+    n = len(starts)
+    hashes = word_hashes(signs, starts, stops)
+    lines = np.searchsorted(np.flatnonzero(signs == 10), starts)
+    _, first, sizes = np.unique(lines, return_index=True, return_counts=True)
+    lines = np.repeat(np.arange(len(first)), sizes)
+    offsets = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    owners = np.searchsorted(offsets, starts, side="right") - 1
     stop = picked(hashes, lines, rules.reach)
     breaks = np.cumsum(sizes, dtype=np.int64)
     stop[breaks - 1] = True
     ends = np.flatnonzero(stop) + 1
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
-    text = np.array(owners, dtype=np.int64)[lines[ends - 1]]
+    text = owners[begins]
     up, _ = _POWERS.upto(n + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)])
     last = np.searchsorted(ends, begins + rules.min_words)
@@ -164,9 +196,8 @@ def shape(texts: Sequence[bytes], rules: LineRules) -> Shape:
     last = np.minimum(last, max(len(ends) - 1, 0))
     whole &= text[last] == text
     window_ends = ends[last]
-    physical = np.array(sizes, dtype=np.int64)
-    room = begins - (breaks - physical)[lines[begins]], breaks[lines[window_ends - 1]] - window_ends
-    out = Shape(begins, ends, text, whole, window_ends, np.zeros(0, dtype=np.uint64), room, sums)
+    room = begins - first[lines[begins]], breaks[lines[window_ends - 1]] - window_ends
+    out = Shape(begins, ends, text, whole, window_ends, np.zeros(0, dtype=np.uint64), room, sums, starts - offsets[owners])
     return out._replace(windows=out.stretch(begins, window_ends))
 
 
@@ -185,17 +216,13 @@ def _groups(columns: list[list], rules: LineRules) -> Iterator[tuple[list, list[
         yield rows, texts
 
 
-def without_words(raw: bytes, gone: np.ndarray) -> bytes:
-    """A text without the words that are gone and the white space behind each stretch of them."""
-    signs = np.frombuffer(raw, dtype=np.uint8)
-    blank = (signs == 32) | ((signs >= 9) & (signs <= 13))
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    starts = np.concatenate([starts, [len(raw)]])
+def without_words(raw: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
+    """A text without the words that are gone (by where they start) and the white space behind each stretch of them."""
     parts, end = [], 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     for i, j in edges.reshape(-1, 2):
         parts.append(raw[end : starts[i]])
-        end = starts[j]
+        end = starts[j] if j < len(starts) else len(raw)
     return b"".join(parts) + raw[end:]
 
 
@@ -239,7 +266,8 @@ def cut_texts(
                 gone[at : at + _alike(same, edge["behind"], int(own.room[1][line]), rules)] = True
     touched = np.add.reduceat(gone, own.begins) > 0 if len(own.begins) else np.zeros(0, dtype=bool)
     for i, raw in enumerate(texts):
-        yield without_words(raw, gone[words[i] : words[i + 1]]), int(touched[first[i] : first[i + 1]].sum())
+        some = slice(words[i], words[i + 1])
+        yield without_words(raw, own.places[some], gone[some]), int(touched[first[i] : first[i + 1]].sum())
 
 
 _LINES = pa.schema(

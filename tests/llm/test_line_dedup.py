@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 import xxhash
 
 from inkveil.llm.common import words_of
-from inkveil.llm.line_dedup import LineRules, dedup_lines, op5_line_dedup, shape, without_repeats, without_words
+from inkveil.llm.line_dedup import BYTE_VALUES, LONG_WORD, LineRules, dedup_lines, op5_line_dedup, shape, without_repeats, without_words, word_hashes
 from tests.llm.edge import empty, frame, prose
 
 RULES = LineRules()
@@ -17,12 +18,19 @@ def mix(x):
     return x ^ (x >> 32)
 
 
+def word_hash(word):
+    if len(word) > LONG_WORD:
+        return xxhash.xxh3_64_intdigest(word)
+    values = [int(v) for v in BYTE_VALUES]
+    return mix(sum(values[b] * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(word)) + len(word) & MASK)
+
+
 def split(text, rules=RULES):
     """Lines of words by the rule: of every ``reach`` pairs on a physical line the least ends a line."""
     out = []
     for line in text.encode().split(b"\n"):
         words = line.split()
-        hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
+        hashes = [word_hash(w) for w in words]
         pairs = [mix((h * 0x9E3779B97F4A7C15 + (hashes[i + 1] if i + 1 < len(hashes) else 0)) & MASK) for i, h in enumerate(hashes)]
         ends = {len(words) - 1}
         for i in range(len(pairs) - rules.reach + 1):
@@ -82,7 +90,8 @@ def brute(docs, rules=RULES):
             room = min(e for e in edges if e >= a) - a
             behind = min(behind, room) if behind < room + rules.over_break else behind
             gone[begins[i] - before : begins[own[i][1]] + behind] = True
-        out[doc] = without_words(text.encode(), gone).decode()
+        starts = np.array([m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode())], dtype=np.int64)
+        out[doc] = without_words(text.encode(), starts, gone).decode()
     return out
 
 
@@ -147,6 +156,18 @@ def test_lines_end_where_the_rule_says():
         assert len(set(zip(own.windows.tolist(), [w for w, _ in found]))) == len({w for w, _ in found})
 
 
+def test_word_hashes_over_several_parts(monkeypatch):
+    from inkveil.llm import line_dedup
+
+    text = " ".join([prose(1, 300), "x" * 5000, "ü", "y" * 4097, "z" * 4096, prose(2, 50)]).encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    starts, ends = np.array(spans).T
+    for size in (1 << 20, 100, 1):
+        monkeypatch.setattr(line_dedup, "_AT_A_TIME", size)
+        got = word_hashes(np.frombuffer(text, dtype=np.uint8), starts, ends)
+        assert got.tolist() == [word_hash(text[a:b]) for a, b in spans]
+
+
 def test_several_texts_at_once_have_the_windows_of_each():
     texts = [t.encode() for t in (prose(1, 90), "", "a b\n c", prose(2, 12), prose(1, 90), " \n ")]
     together = shape(texts, RULES)
