@@ -85,6 +85,24 @@ def of(labels: Sequence[str]) -> list[str]:
     return [PATTERNS[label] for label in dict.fromkeys(labels) if label in PATTERNS]
 
 
+def spans(source: str, keys: str, patterns: Sequence[str]) -> str:
+    """Where each rule's boxes lie; boxes are as long as what they cover, so places stay."""
+    steps = [f"t0 AS (SELECT {keys}, coalesce(text, '') AS t FROM {source})"]
+    parts = []
+    for k, p in enumerate(patterns):
+        steps.append(f"t{k + 1} AS (SELECT {keys}, {rewrite('t', p, 'box')} AS t FROM t{k})")
+        steps.append(f"""s{k} AS (SELECT {keys},
+            list_transform(string_split_regex(t, {quoted('(?i)' + p)}), lambda x: length(x)) AS gaps,
+            list_transform(regexp_extract_all(t, {quoted(p)}, 0, 'i'), lambda x: length(x)) AS hits
+            FROM t{k} WHERE regexp_matches(t, {quoted(p)}, 'i'))""")
+        begin = "CAST(list_sum(gaps[1:i]) + coalesce(list_sum(hits[1:i - 1]), 0) AS BIGINT)"
+        parts.append(
+            f"SELECT {keys}, {k + 1}::INTEGER AS rule_no, {begin} AS begin, CAST({begin} + hits[i] AS BIGINT) AS stop"
+            f" FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM s{k})"
+        )
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(parts)}"
+
+
 def words(keywords: Sequence[str], whole: bool = False) -> list[str]:
     edge = r"\b" if whole else ""
     return [edge + re.escape(k) + edge for k in keywords]
@@ -342,6 +360,7 @@ def statements() -> dict[str, str]:
         "redact_label_dense": redacted(DENSE, "o_orderkey", every, "label"),
         "redact_box_dense": redacted(DENSE, "o_orderkey", every, "box"),
         "redact_all": redacted(TEXTS, "src, id", every, "box"),
+        "redaction_spans": spans(TEXTS, "src, id", every),
         "redact_defaults": redacted(DENSE, "o_orderkey", of(DEFAULT_LABELS), "box"),
         "redact_selection": redacted(DENSE, "o_orderkey", of(w.REQUESTED), "label"),
         "redact_order": redacted(DENSE, "o_orderkey", of(w.REORDERED), "label"),

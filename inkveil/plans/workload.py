@@ -23,6 +23,7 @@ from inkveil.operators.manifest import dedup_inputs, input_manifest, last_write_
 from inkveil.operators.naming import output_names
 from inkveil.operators.redact import redact
 from inkveil.operators.rulesets import RuleSets
+from inkveil.operators.spans import redaction_spans
 from inkveil.plans.jobs import (
     job_documents,
     job_runs,
@@ -196,6 +197,11 @@ def _redact_all(spark, sf_dir):
     return done.select("src", "id", "redacted", "n_redacted")
 
 
+def _redaction_spans(spark, sf_dir):
+    found = redaction_spans(texts(spark, sf_dir), detector_rules(), "box")
+    return found.select("src", "id", "rule_no", F.col("start").alias("begin"), F.col("end").alias("stop"))
+
+
 def _source_gate(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").selectExpr("page_id AS seq", "url AS name")
     names = document_names(spark, sf_dir).select("seq", "name").unionAll(pages)
@@ -504,6 +510,7 @@ def registered() -> dict[str, Query]:
         "redact_label_dense": _redacted(*on_orders, detector_rules, "label"),
         "redact_box_dense": _redacted(*on_orders, detector_rules, "box"),
         "redact_all": _redact_all,
+        "redaction_spans": _redaction_spans,
         "redact_defaults": _redacted(*on_orders, lambda: detector_rules(DEFAULT_LABELS), "box"),
         "redact_selection": _redacted(*on_orders, lambda: detector_rules(REQUESTED), "label"),
         "redact_order": _redacted(*on_orders, lambda: detector_rules(REORDERED), "label"),
