@@ -38,6 +38,7 @@ from inkveil.plans.jobs import (
 from inkveil.plans.layout import spread
 from inkveil.plans.run import preview_sources, redact_sources, store_run
 from inkveil.plans.scratch import scratch_path
+from inkveil.plans.totals import incremental_totals, update_totals
 from inkveil.sources.export import export_runs, exported_bundle, exported_texts
 from inkveil.sources.extract import html_to_markdown
 from inkveil.sources.files import decode_text, scan_text_files
@@ -417,6 +418,24 @@ def _purge_runs(spark, sf_dir):
     )
 
 
+ADDED = " and call 555-010-1234."
+
+
+def _incremental_totals(spark, sf_dir):
+    """Totals after all jobs ran, every third ran again with longer texts, and old ones were purged."""
+    root, path = scratch_path(spark, "jobs"), scratch_path(spark, "totals")
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
+    aged = _jobs(spark, sf_dir).withColumn("created", F.lit(now) - F.expr(f"make_dt_interval(0, 0, 10 * {_number('run_id')})"))
+    submit_all(_listing(spark, sf_dir), aged, root)
+    update_totals(spark, root, path)
+    again = aged.filter(F.expr(f"{_number('run_id')} % 3 = 0")).withColumn("created", F.lit(now))
+    longer = F.concat("content", F.lit(ADDED).cast("binary"))
+    submit_all(_listing(spark, sf_dir).withColumn("content", longer), again, root)
+    purge_runs(spark, root, now)
+    update_totals(spark, root, path)
+    return incremental_totals(spark, path)
+
+
 # Options by number of source, and the words from which keyword tables are taken.
 OPTION_SETS = (
     {"labels": ["Email addresses", "Phone numbers"], "style": "box"},
@@ -560,6 +579,7 @@ def registered() -> dict[str, Query]:
         "keyword_table_totals": _keyword_table_totals,
         "purge_runs": _purge_runs,
         "live_progress": _live_progress,
+        "incremental_totals": _incremental_totals,
         "log_tail": _log_tail,
         "submit_run": _submit_run,
         "run_outcome": _run_outcome,

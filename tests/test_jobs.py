@@ -110,3 +110,46 @@ def test_progress_and_log_of_a_job_that_is_half_done(spark, tmp_path, monkeypatc
     assert both.distinct().count() == 12 and both.count() == 24
     (status,) = job_status(spark, root, "r").collect()
     assert (status.status, status.current, status.total, status.n_failed) == ("done", 12, 12, 2)
+
+
+def test_totals_follow_the_runs(spark, tmp_path):
+    import re
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from inkveil.plans.jobs import purge_runs, submit_all
+    from inkveil.plans.totals import incremental_totals, update_totals
+
+    root, path = f"file://{tmp_path}/jobs", f"file://{tmp_path}/totals"
+    now = datetime(2024, 5, 1, 12)
+
+    def put(runs, text, age=0):
+        rows = [(run, i, f"{i}.txt", bytearray(text.encode())) for run in runs for i in range(4)]
+        files = spark.createDataFrame(rows, "run_id string, seq bigint, name string, content binary")
+        made = [(run, ["Email addresses", "URLs"], "label", now - timedelta(seconds=age)) for run in runs]
+        jobs = spark.createDataFrame(made, "run_id string, labels array<string>, style string, created timestamp")
+        assert submit_all(files, jobs, root).count() == 0
+
+    def whole():
+        found = job_documents(spark, root).documents.select(F.inline("matches")).groupBy("label")
+        return sorted(map(tuple, found.agg(F.count("*"), F.sum("n")).collect()))
+
+    def step():
+        read = {r["run_id"] for r in update_totals(spark, root, path).collect()}
+        assert sorted(map(tuple, incremental_totals(spark, path).collect())) == whole()
+        return read
+
+    put("abc", "x@y.co http://z.co/ x@y.co", 9999)
+    put("d", "nothing")
+    assert step() == set("abcd") and step() == set()
+    put("b", "http://z.co/ only")
+    put("e", "q@r.st")
+    assert step() == set("be")
+    assert {r["run_id"] for r in purge_runs(spark, root, now).filter("removed").collect()} == set("ac")
+    assert step() == set() and [r[0] for r in whole()] == ["Email addresses", "URLs"]
+    put("b", "clean again")
+    assert step() == {"b"} and whole() == [("Email addresses", 4, 4)]
+    put("a", "back a@b.co")
+    assert step() == {"a"} and whole() == [("Email addresses", 8, 8)]
+    assert len({re.search("batch=([0-9]+)", str(p))[1] for p in (tmp_path / "totals").glob("batch=*")}) == 5  # one update had nothing to add
