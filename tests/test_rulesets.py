@@ -114,7 +114,7 @@ def test_purge(spark, tmp_path):
     submit_all(listing(spark), aged, root)
     export_files(job_documents(spark, root).documents, exported).write.format("noop").mode("overwrite").save()
     # A run that is written again while its old tables expire stays.
-    _note(root, aged.filter("run_id = 'e'").select("run_id", "created"), "running")
+    _note(root, aged.filter("run_id = 'e'").selectExpr("run_id", "created", "6L AS n_files"), "running")
     removed = purge_runs(spark, root, now, exported=exported)
     assert {r["run_id"]: (r["n_notes"], r["removed"]) for r in removed.collect()} == {"a": (2, True), "c": (2, True)}
     assert removed.count() == 2
