@@ -31,7 +31,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import WORD, batches, small_batches, stored
+from inkveil.llm.common import WORD, small_batches, stored
+from inkveil.plans.scratch import Staging
 
 @dataclass(frozen=True)
 class LineRules:
@@ -421,20 +422,22 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
     keyed = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), _hash_of(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text")
     )
-    lines = stored(_lines(keyed, rules), "lines")
+    staging = Staging(docs.sparkSession)  # what nothing reads any more once the places are known
+    lines = staging.store(_lines(keyed, rules), "lines")
     counted = lines.select(F.explode("windows").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
-    windows = stored(_passing(lines, _shared_map(counted.filter("n > 1"), rules), rules), "windows")
+    windows = staging.store(_passing(lines, _shared_map(counted.filter("n > 1"), rules), rules), "windows")
     place = F.struct("doc_id", "h", "at")
     firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # Stored, as a join of two plain shuffles can be split where a hash is hot.
-    firsts = stored(firsts.drop("n"), "windows")
+    firsts = staging.store(firsts.drop("n"), "windows")
     later = windows.join(firsts, "hash").filter(place > F.col("first"))
     gone = later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("at", "last", "first"))).alias("gone"))
-    gone = stored(gone, "gone")
+    gone, sizes = stored(gone, "gone"), stored(lines.select("doc_id", "h", "n"), "sizes")
+    staging.clear()
     more = _beyond(keyed, gone, rules).groupBy(F.struct("doc_id", "h").alias("key"))
     more = more.agg(F.collect_list(F.struct("at", "before", "behind")).alias("more"))
     ats = gone.select(F.struct("doc_id", "h").alias("key"), F.transform("gone", lambda g: g["at"]).alias("ats"))
-    return lines.select("doc_id", "h", "n"), ats.join(more, "key", "left").select("key.*", "ats", "more")
+    return sizes, ats.join(more, "key", "left").select("key.*", "ats", "more")
 
 
 def _beyond(keyed: DataFrame, gone: DataFrame, rules: LineRules) -> DataFrame:
