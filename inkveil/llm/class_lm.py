@@ -1,16 +1,19 @@
 """LM scoring: a Brown class-based bigram model.
 
-The most frequent words are put into classes by exchange clustering on their
-bigram counts: each word in turn moves to the class that raises the likelihood
-of the training text most.  All other words belong to classes by their ending.
-A text's probability is the product of class-transition and word-emission
-probabilities,
+All training words are put into classes by exchange clustering on their bigram
+counts: a word moves to the class that raises the likelihood of the training
+text most.  The most frequent words are exchanged one by one to seed the
+classes; then whole rounds follow in which Spark gathers, for every word, how
+often it stands next to each class, and each word picks its class against the
+same class table.  A round that does not raise the likelihood is taken back.
+Only words unseen in training are known by their ending.  A text's probability
+is the product of class-transition and word-emission probabilities,
 
     P(w | v) = P(class(w) | class(v)) P(w | class(w)),
 
-both smoothed.  Counts cover every word of all training texts.  The words up
-to a bounded number of most frequent ones are scored where the text is; for
-the others a join finds the counts.
+both smoothed.  Counts cover every word of all training texts.  Numbers and
+classes of the words up to a bounded number of most frequent ones go to every
+task; the counts and classes of all others are found by joins.
 """
 
 from __future__ import annotations
@@ -19,32 +22,38 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import batches, small_batches, stored, words_of
+from inkveil.llm.common import batches, partitions, small_batches, stored, words_of
 
 
 @dataclass(frozen=True)
 class ClassModel:
-    """``clustered`` words are exchanged among ``classes``; ``endings`` classes take the rest.
-
-    ``listed`` bounds the words whose counts every task holds (about 40 MB).
-    A task holds counts of ``held_words`` words before it passes them on.
+    """Words are exchanged among ``classes + endings`` classes.
+
+    ``seeds`` words are exchanged one by one among the first ``classes``, the
+    others start in one of the ``endings`` classes by their last two bytes.
+    ``rounds`` of exchange of listed words follow (the first of those that are
+    no seeds, then of every second word in turn), and one of the words beyond.  ``listed`` bounds the words whose numbers every task holds (about
+    40 MB).  A task holds counts of ``held_words`` words, or of ``held_cells``
+    pairs of a listed word and a class, before it passes them on.
     """
 
-    clustered: int = 1024
-    classes: int = 48
-    endings: int = 64
+    seeds: int = 1024
+    classes: int = 96
+    endings: int = 16
     listed: int = 1 << 18
     sweeps: int = 6
+    rounds: int = 5
     add: float = 0.1
     add_class: float = 0.5
     held_words: int = 400_000
+    held_cells: int = 1 << 21
 
 
 def held_out(id_col: Column) -> Column:
@@ -74,70 +83,310 @@ def word_counts(docs: DataFrame, model: ClassModel) -> DataFrame:
     return each.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Symbols:
-    """Numbers words: 0.. for the clustered ones, then the endings, last the end of a text."""
+def ending(word: bytes, endings: int) -> int:
+    return zlib.crc32(word[-2:]) % endings
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, model: ClassModel):
-        self.index = {w: i for i, w in enumerate(words)}
-        self.clustered = min(model.clustered, len(words))
-        self.endings = model.endings
-        self.end = self.clustered + self.endings
-        self.size = self.end + 1
-        own = np.arange(len(words))
-        late = [self.clustered + ending(w, model.endings) for w in words[self.clustered :]]
-        self.symbol = np.concatenate([own[: self.clustered], np.array(late, dtype=np.int64)]).astype(np.int64)
-        self.counts = counts
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the list (-1: not listed) and symbols."""
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        symbols = self.symbol[at] if len(self.symbol) else np.zeros(len(words), dtype=np.int64)
-        for i in np.flatnonzero(at < 0):
-            symbols[i] = self.clustered + ending(words[i], self.endings)
-        return at, symbols
+_BUILT: list = [None, None]  # a broadcast list and its index
 
 
-def ending(word: bytes, endings: int) -> int:
-    return zlib.crc32(word[-2:]) % endings
+def _index_of(shared) -> dict[bytes, int]:
+    """The numbers of listed words, built once per worker."""
+    if _BUILT[0] is not shared:
+        _BUILT[:] = [shared, {w: i for i, w in enumerate(shared.value)}]
+    return _BUILT[1]
 
 
-def bigram_counts(docs: DataFrame, shared, model: ClassModel) -> DataFrame:
-    """``(pair, n)`` of neighbouring symbols, pair = left * size + right; a text starts after an end."""
-    out = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+_ENCODED = pa.schema(
+    [("doc_id", pa.int64()), ("h", pa.int64()), ("ids", pa.binary()), ("rare", pa.list_(pa.binary()))]
+)
+
+
+def encoded_texts(docs: DataFrame, shared) -> DataFrame:
+    """Texts as numbers of listed words (-1: another word) and the other words in order."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = symbols_of(shared, model)
-        total = np.zeros(symbols.size**2, dtype=np.int64)
-        for part in parts:
-            # In slices, so that what a task holds does not follow the length of a batch.
-            for text in part[0].to_pylist():
-                words = words_of(text)
-                left = symbols.end
-                for i in range(0, len(words) + 1, 1 << 16):
-                    _, chain = symbols.of(words[i : i + (1 << 16)])
-                    if i + (1 << 16) > len(words):
-                        chain = np.append(chain, symbols.end)
-                    pairs = np.concatenate([[left], chain[:-1]]) * symbols.size + chain
-                    values, n = np.unique(pairs, return_counts=True)
-                    total[values] += n
-                    left = chain[-1] if len(chain) else left
-        found = np.flatnonzero(total)
-        for i in range(0, len(found), 50_000):
-            some = found[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], schema=out)
+        index = _index_of(shared)
+
+        def rows():
+            for part in parts:
+                for doc, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words = words_of(text)
+                    at = np.fromiter(map(index.get, words, repeat(-1)), dtype="<i4", count=len(words))
+                    yield doc, h, at.tobytes(), [words[i] for i in np.flatnonzero(at < 0)]
+
+        yield from batches(rows(), _ENCODED, 200)
+
+    return docs.select("doc_id", "h", "text").mapInArrow(
+        run, "doc_id bigint, h bigint, ids binary, rare array<binary>"
+    )
+
+
+Run = tuple[np.ndarray, list[bytes]]
+MOST_IN_RUN = 1 << 18
+
+
+def text_runs(ids: bytes, rare: list[bytes], end: int) -> Iterator[Run]:
+    """A text in runs of bounded length; an ``end`` follows its last word."""
+    all_at, used = np.frombuffer(ids, dtype="<i4"), 0
+    for i in range(0, len(all_at) + 1, MOST_IN_RUN):
+        at = all_at[i : i + MOST_IN_RUN].astype(np.int64)
+        others = int((at < 0).sum())
+        if i + MOST_IN_RUN > len(all_at):
+            at = np.append(at, end)
+        yield at, rare[used : used + others]
+        used += others
+
+
+def token_runs(parts: Iterator[pa.RecordBatch], end: int) -> Iterator[Run]:
+    """All texts of ``(ids, rare)`` as runs, each beginning with the last token of the one before."""
+    at, rare, held = [np.array([end])], [], 1
+    for part in parts:
+        for ids, others in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for more, words in text_runs(ids, others, end):
+                at.append(more)
+                rare += words
+                held += len(more)
+                if held > MOST_IN_RUN:
+                    whole = np.concatenate(at)
+                    yield whole, rare
+                    at, rare, held = [whole[-1:]], rare[-1:] if whole[-1] < 0 else [], 1
+    if held > 1:
+        yield np.concatenate(at), rare
+
+
+@dataclass(frozen=True)
+class Classes:
+    """The class of every listed word, by number; the last one is the end of a text."""
+
+    label: np.ndarray
+    first_ending: int
+    endings: int
+
+    @property
+    def end(self) -> int:
+        return len(self.label) - 1
+
+    @property
+    def size(self) -> int:
+        return self.first_ending + self.endings + 1
+
+    def of(self, at: np.ndarray, rare: list[bytes]) -> np.ndarray:
+        """Classes along a run; words that are not listed stand in that of their ending."""
+        found = self.label[at]
+        if rare:
+            found[at < 0] = [self.first_ending + ending(w, self.endings) for w in rare]
+        return found
+
+
+def seed_bigrams(texts: DataFrame, symbols, size: int) -> np.ndarray:
+    """Counts of neighbouring symbols, a bounded matrix; ``symbols``: a broadcast ``Classes``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = symbols.value
+        total = np.zeros(size**2, dtype=np.int64)
+        for at, rare in token_runs(parts, own.end):
+            chain = own.of(at, rare)
+            values, n = np.unique(chain[:-1] * size + chain[1:], return_counts=True)
+            total[values] += n
+        yield from _table_rows(total[:, None])
+
+    return _table(texts.select("ids", "rare").mapInArrow(run, "pair bigint, n0 bigint"), size, 1)[0]
+
+
+def class_tables(texts: DataFrame, shared, size: int) -> np.ndarray:
+    """Two tables of neighbouring classes: over all words, and between listed ones alone."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        total = np.zeros((size**2, 2), dtype=np.int64)
+        for at, rare in token_runs(parts, own.end):
+            chain = own.of(at, rare)
+            pairs = chain[:-1] * size + chain[1:]
+            total[:, 0] += np.bincount(pairs, minlength=size**2)
+            total[:, 1] += np.bincount(pairs[(at[:-1] >= 0) & (at[1:] >= 0)], minlength=size**2)
+        yield from _table_rows(total)
+
+    return _table(texts.select("ids", "rare").mapInArrow(run, "pair bigint, n0 bigint, n1 bigint"), size, 2)
 
-    return docs.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
+def _table_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    found = np.flatnonzero(total[:, 0])
+    names = ["pair"] + [f"n{i}" for i in range(total.shape[1])]
+    for i in range(0, len(found), 50_000):
+        some = found[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some)] + [pa.array(c) for c in total[some].T], names=names)
 
-_BUILT: list = [None, None, None]  # a broadcast list, the model, and their symbols
 
+def _table(rows: DataFrame, size: int, tables: int) -> np.ndarray:
+    """Sums of ``(pair, n0, ...)`` as matrices; at most ``size`` squared rows reach the driver."""
+    got = rows.groupBy("pair").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(tables)]).toArrow()
+    out = np.zeros((tables, size**2))
+    for i in range(tables):
+        out[i, got["pair"].to_numpy()] = got[f"n{i}"].to_numpy()
+    return out.reshape(tables, size, size)
 
-def symbols_of(shared, model: ClassModel) -> Symbols:
-    """The words' numbers from the broadcast list, built once per worker."""
-    if _BUILT[0] is not shared or _BUILT[1] != model:
-        words, counts = shared.value
-        _BUILT[:] = [shared, model, Symbols(words, counts, model)]
-    return _BUILT[2]
+
+def listed_cells(texts: DataFrame, shared, size: int, model: ClassModel) -> DataFrame:
+    """``(at, cells)`` by listed word: how often each class stands left (ctx) and right (size + ctx) of it."""
+    out = pa.schema([("at", pa.int64()), ("ctx", pa.int32()), ("n", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        keys, sums, held = [], [], 0
+
+        def merged():
+            values, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            return values, np.bincount(inverse, weights=np.concatenate(sums)).astype(np.int64)
+
+        def given(values, n):
+            for i in range(0, len(values), 50_000):
+                some = values[i : i + 50_000]
+                columns = [some // (2 * size), (some % (2 * size)).astype(np.int32), n[i : i + 50_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
+
+        for at, rare in token_runs(parts, own.end):
+            chain = own.of(at, rare)
+            word = (at >= 0) & (at < own.end)
+            left = (at[1:] * 2 * size + chain[:-1])[word[1:]]
+            right = (at[:-1] * 2 * size + size + chain[1:])[word[:-1]]
+            values, n = np.unique(np.concatenate([left, right]), return_counts=True)
+            keys.append(values)
+            sums.append(n)
+            held += len(values)
+            if held > model.held_cells:
+                values, n = merged()
+                keys, sums, held = [values], [n], len(values)
+                if held > model.held_cells // 2:
+                    yield from given(values, n)
+                    keys, sums, held = [], [], 0
+        if keys:
+            yield from given(*merged())
+
+    return _by_word(texts.select("ids", "rare").mapInArrow(run, "at bigint, ctx int, n bigint"), "at")
+
+
+def rare_cells(texts: DataFrame, shared, size: int, model: ClassModel) -> DataFrame:
+    """``(word, cells)`` of the words that are not listed; 2 size + ctx: such a word stands right of it."""
+    out = pa.schema([("word", pa.binary()), ("ctx", pa.int32()), ("n", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+
+        def rows():
+            counts: Counter = Counter()
+            for at, rare in token_runs(parts, own.end):
+                if not rare:
+                    continue
+                chain, where = own.of(at, rare), np.flatnonzero(at < 0)
+                behind = where > 0
+                counts.update(zip(compress(rare, behind), chain[where[behind] - 1].tolist()))
+                ahead = where < len(at) - 1
+                to = where[ahead] + 1
+                ctx = chain[to] + np.where(at[to] < 0, 2 * size, size)
+                counts.update(zip(compress(rare, ahead), ctx.tolist()))
+                if len(counts) > model.held_words:
+                    yield from ((w, c, n) for (w, c), n in counts.items())
+                    counts.clear()
+            yield from ((w, c, n) for (w, c), n in counts.items())
+
+        yield from batches(rows(), out, 20_000)
+
+    return _by_word(texts.select("ids", "rare").mapInArrow(run, "word binary, ctx int, n bigint"), "word")
+
+
+def _by_word(cells: DataFrame, key: str) -> DataFrame:
+    """One row per word with its cells, of which there are at most three per class."""
+    dealt = cells.repartition(partitions(cells.sparkSession), key)  # serves both groupings
+    sums = dealt.groupBy(key, "ctx").agg(F.sum("n").alias("n"))
+    return sums.groupBy(key).agg(F.collect_list(F.struct("ctx", "n")).alias("cells"))
+
+
+def best_classes(table: np.ndarray, own: np.ndarray, ctx: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The class of highest likelihood for each word, given the class bigrams of all others.
+
+    The cells of word i begin at ``starts[i]``; ``own`` is its class in
+    ``table`` (a word next to itself counts as next to another of its class), or -1 if its counts are not to be taken out.  A tie with the
+    own class stays, other ties go to the lower class.
+    """
+    size = len(table)
+    k = size - 1  # all but the end
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ctx))))
+    left, c = ctx < size, ctx % size
+    near = np.zeros((2, len(starts), k))  # by word: counts of classes on its left, its right
+    np.add.at(near, ((~left & (c < k)).astype(int)[c < k], owner[c < k], c[c < k]), n[c < k])
+    has = np.flatnonzero(own >= 0)
+
+    # The table without the word: its own class loses what stands next to it.
+    base = np.where(left[:, None], table[c, :k], table[:k].T[c])
+    mine = np.flatnonzero(own[owner] >= 0)
+    base[mine, own[owner[mine]]] -= n[mine]
+    in_own = np.flatnonzero(c == own[owner])
+    base[in_own] -= near[left[in_own].astype(int), owner[in_own]]
+    base = np.maximum(base, 0)
+    gain = np.add.reduceat(_xlogx(base + n[:, None]) - _xlogx(base), starts, axis=0)
+    # Where a class stands on both sides, one count of the table takes both.
+    word, both = np.nonzero((near[0] > 0) & (near[1] > 0))
+    l, r = near[0, word, both], near[1, word, both]
+    d = np.maximum(table[both, both] - np.where(own[word] == both, l + r, 0), 0)
+    np.add.at(gain, (word, both), _xlogx(d + l + r) - _xlogx(d + l) - _xlogx(d + r) + _xlogx(d))
+    for side, sums in ((left, table.sum(0)[:k]), (~left, table.sum(1)[:k])):
+        amount = np.bincount(owner, weights=n * side, minlength=len(starts))
+        rest = np.repeat(sums[None, :], len(starts), axis=0)
+        rest[has, own[has]] = np.maximum(rest[has, own[has]] - amount[has], 0)
+        gain -= _xlogx(rest + amount[:, None]) - _xlogx(rest)
+    gain[has, own[has]] += 1e-9
+    return gain.argmax(1)
+
+
+def with_class(cells: DataFrame, key: str, kind: str, table, shared, keep_cells: bool) -> DataFrame:
+    """``(key, n, cls)``: each word's best class; its cells go along where the caller needs them."""
+    names = [key, "n", "cls"] + ["cells"] * keep_cells
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bigrams = table.value
+        label = shared.value.label
+        for part in parts:
+            held, begin = part.column("cells"), 0
+            ends = np.cumsum(held.value_lengths().to_numpy())
+            while begin < len(ends):
+                before = ends[begin - 1] if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(ends, before + 8192, side="right")))
+                rows = part.slice(begin, stop - begin)
+                flat = rows.column("cells").flatten()
+                ctx, n = flat.field("ctx").to_numpy(), flat.field("n").to_numpy().astype(float)
+                starts = np.concatenate([[0], ends[begin : stop - 1] - before]).astype(np.int64)
+                numbers = rows.column(0).to_numpy(zero_copy_only=False) if key == "at" else None
+                own = np.full(len(starts), -1) if numbers is None else label[numbers.astype(np.int64)]
+                best = best_classes(bigrams, own, ctx, n, starts)
+                seen = np.add.reduceat(n * (ctx < len(bigrams)), starts).astype(np.int64)
+                columns = [rows.column(0), pa.array(seen), pa.array(best.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns + [rows.column("cells")] * keep_cells, names=names)
+                begin = stop
+
+    ddl = f"{key} {kind}, n bigint, cls int" + ", cells array<struct<ctx:int,n:bigint>>" * keep_cells
+    return cells.mapInArrow(run, ddl)
+
+
+def rare_table(words: DataFrame, size: int) -> np.ndarray:
+    """Class bigrams with a word that is not listed; left of another such word it counts by its ending."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size**2, 1), dtype=np.int64)
+        for part in parts:
+            flat = part.column(1).flatten()
+            ctx, n = flat.field("ctx").to_numpy(), flat.field("n").to_numpy()
+            cls = np.repeat(part.column(0).to_numpy(), part.column(1).value_lengths().to_numpy())
+            for side, pairs in ((ctx < size, ctx * size + cls), (ctx // size == 1, cls * size + ctx % size)):
+                total[:, 0] += np.bincount(pairs[side], weights=n[side], minlength=size**2).astype(np.int64)
+        yield from _table_rows(total)
+
+    return _table(words.select("cls", "cells").mapInArrow(run, "pair bigint, n0 bigint"), size, 1)[0]
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What of the log-likelihood depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -206,93 +455,107 @@ def exchange(bigrams: np.ndarray, clustered: int, classes: int, sweeps: int) ->
 
 @dataclass(frozen=True)
 class Trained:
-    """What scoring needs: per listed word and per symbol, in base-10 logarithms."""
+    """What scoring needs: per listed word (the last is the end) and per class, in base-10 logarithms."""
 
-    label: np.ndarray  # class by symbol
+    classes: Classes
     transition: np.ndarray  # log P(class | class before)
-    emission: np.ndarray  # log P(word | class) by listed word
-    unlisted: np.ndarray  # by symbol: minus the log of an ending's smoothed total
-    base: np.ndarray  # log P(word) by listed word
-    base_end: float
+    emission: np.ndarray  # log P(word | class)
+    smoothed: np.ndarray  # log of a class's smoothed total
+    base: np.ndarray  # log P(word)
     base_total: float  # log of N + add (V + 1)
     end_known: bool
 
 
-def train(
-    bigrams: np.ndarray, symbols: Symbols, ending_sums: dict[int, tuple[int, int]], totals: tuple[int, int, int], model: ClassModel
-) -> Trained:
-    """``ending_sums``: (tokens, words) by ending; ``totals``: N, V and the number of ends."""
-    n, distinct, ends = totals
-    label = exchange(bigrams, symbols.clustered, model.classes, model.sweeps)
-    n_labels = int(label.max()) + 1
-    member = np.zeros((symbols.size, n_labels))
-    member[np.arange(symbols.size), label] = 1
-    table = member.T @ bigrams @ member + model.add_class
-    transition = np.log10(table / table.sum(1, keepdims=True))
-
-    size = len(symbols.counts)
-    class_sum = np.zeros(n_labels)
-    own = label[symbols.symbol] if size else np.zeros(0, dtype=int)
-    np.add.at(class_sum, own[: symbols.clustered], symbols.counts[: symbols.clustered])
-    smoothed = np.zeros(symbols.size)
-    for e in range(symbols.endings):
-        tokens, words = ending_sums.get(e, (0, 0))
-        smoothed[symbols.clustered + e] = tokens + model.add * (words + 1)
-    emission = np.zeros(size)
-    k = symbols.clustered
-    emission[:k] = np.log10(symbols.counts[:k] / class_sum[own[:k]]) if k else 0
-    emission[k:] = np.log10((symbols.counts[k:] + model.add) / smoothed[symbols.symbol[k:]])
-    base_total = float(np.log10(n + model.add * (distinct + 1)))
-    return Trained(
-        label,
-        transition,
-        emission,
-        -np.log10(np.maximum(smoothed, 1e-300)),
-        np.log10(symbols.counts + model.add) - base_total,
-        float(np.log10(ends + model.add)) - base_total,
-        base_total,
-        ends > 0,
-    )
+def train(texts: DataFrame, words: list[bytes], counts: np.ndarray, model: ClassModel) -> tuple[Classes, np.ndarray, DataFrame]:
+    """Classes of the listed words, their transition counts, and ``(word, n, cls, cells)`` of all others."""
+    spark = texts.sparkSession
+    share = spark.sparkContext.broadcast
+    seeds = min(model.seeds, len(words))
+    late = [seeds + ending(w, model.endings) for w in words[seeds:]]
+    end = seeds + model.endings
+    symbols = Classes(np.concatenate([np.arange(seeds), late, [end]]).astype(np.int64), seeds, model.endings)
+    found = exchange(seed_bigrams(texts, share(symbols), end + 1), seeds, model.classes, model.sweeps)
+    classes = Classes(found[symbols.label], int(found[end]) - model.endings, model.endings)
+
+    size = classes.size
+    shared = share(classes)
+    tables = class_tables(texts, shared, size)
+    for turn in range(model.rounds):
+        cells = listed_cells(texts, shared, size, model)
+        moved = with_class(cells, "at", "bigint", share(tables[0]), shared, False).toArrow()
+        label, at = classes.label.copy(), moved["at"].to_numpy()
+        # Words that all move at once may crowd one class: seeds wait for the others, then every second word moves.
+        turns = (at + turn) % 2 == 0 if turn else at >= seeds
+        label[at[turns]] = moved["cls"].to_numpy()[turns]
+        tried = Classes(label, classes.first_ending, classes.endings)
+        tried_shared = share(tried)
+        after = class_tables(texts, tried_shared, size)
+        if likelihood(after[0]) <= likelihood(tables[0]):
+            break
+        classes, shared, tables = tried, tried_shared, after
+    cells = rare_cells(texts, shared, size, model)
+    others = stored(with_class(cells, "word", "binary", share(tables[0]), shared, True), "classes")
+    return classes, tables[1] + rare_table(others, size), others
 
 
 _SCORED = pa.schema(
     [("doc_id", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64())]
     + [("base", pa.float64()), ("score", pa.float64()), ("n_rare", pa.int64())]
-    + [("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))]
+    + [("lc", pa.int32()), ("lw", pa.binary()), ("rc", pa.int32()), ("rw", pa.binary()), ("n", pa.int64())]
 )
 _SCORED_DDL = (
-    "doc_id bigint, h bigint, n_tokens bigint, n_known bigint, base double, score double, "
-    "n_rare bigint, rare array<struct<word:binary,n:int>>"
+    "doc_id bigint, h bigint, n_tokens bigint, n_known bigint, base double, score double, n_rare bigint, "
+    "lc int, lw binary, rc int, rw binary, n bigint"
 )
 
 
-def score_listed(docs: DataFrame, shared, trained, model: ClassModel) -> DataFrame:
-    """Scores by the listed words; ``rare`` are the others, whose counts are still to be added."""
+def score_listed(texts: DataFrame, trained, model: ClassModel) -> DataFrame:
+    """A row per text with its score by the listed words, and rows of the pairs with another word.
+
+    Such a row has ``n`` times a class or a word on the left (lc, lw) and on
+    the right (rc, rw); their classes and counts are still to be found.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, t = symbols_of(shared, model), trained.value
+        t = trained.value
+        own = t.classes
 
         def rows():
             for part in parts:
-                for doc, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = words_of(text)
-                    at, chain = symbols.of(words)
-                    rare = at < 0
-                    labels = t.label[np.append(chain, symbols.end)]
-                    before = np.concatenate([[t.label[symbols.end]], labels[:-1]])
-                    known = at[~rare]
-                    base = t.base[known].sum() + t.base_end - rare.sum() * t.base_total
-                    score = t.transition[before, labels].sum() + t.emission[known].sum()
-                    score += t.unlisted[chain[rare]].sum()
-                    others = Counter([words[i] for i in np.flatnonzero(rare)])
-                    yield (
-                        doc, h, len(words) + 1, len(known) + t.end_known, float(base), float(score),
-                        int(rare.sum()), [{"word": w, "n": n} for w, n in others.items()],
-                    )
-
-        yield from batches(rows(), _SCORED, 500)
-
-    return docs.select("doc_id", "h", "text").mapInArrow(run, _SCORED_DDL)
+                for doc, h, ids, rare in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    pairs: Counter = Counter()
+                    tokens = known = base = score = 0
+                    last, last_word = own.end, None
+                    for at, words in text_runs(ids, rare, own.end):
+                        at = np.concatenate([[last], at])
+                        chain = own.of(at, [last_word, *words] if last < 0 else words)
+                        listed = at >= 0
+                        both = listed[:-1] & listed[1:]
+                        here = at[1:][listed[1:]]
+                        tokens += len(at) - 1
+                        known += len(here)
+                        base += t.base[here].sum()
+                        score += t.emission[here].sum()
+                        score += t.transition[chain[:-1][both], chain[1:][both]].sum()
+                        words, before = iter(words), last_word if last < 0 else None
+                        for i in np.flatnonzero(~both):
+                            # The words that are not listed come in order; one on the left was on the right before.
+                            lw = before if at[i] < 0 else None
+                            rw = before = next(words) if at[i + 1] < 0 else None
+                            lc = None if at[i] < 0 else int(chain[i])
+                            pairs[lc, lw, None if at[i + 1] < 0 else int(chain[i + 1]), rw] += 1
+                        if len(pairs) > model.held_words:
+                            yield from ((doc, h, *[None] * 5, *p, n) for p, n in pairs.items())
+                            pairs.clear()
+                        last, last_word = int(at[-1]), before
+                    yield from ((doc, h, *[None] * 5, *p, n) for p, n in pairs.items())
+                    base -= len(rare) * t.base_total
+                    ends = 0 if t.end_known else 1
+                    yield doc, h, tokens, known - ends, float(base), float(score), len(rare), *[None] * 5
+
+        yield from batches(rows(), _SCORED, 5000)
+
+    return texts.select("doc_id", "h", "ids", "rare").mapInArrow(run, _SCORED_DDL)
 
 
 def score_texts(docs: DataFrame, model: ClassModel = ClassModel()) -> DataFrame:
@@ -302,67 +565,98 @@ def score_texts(docs: DataFrame, model: ClassModel = ClassModel()) -> DataFrame:
     alone; a NULL id is held out; repeated rows get the same scores and count
     repeatedly in training; without training texts all words are unknown and
     classes equally likely; an empty table gives no rows; other columns are
-    not read.  The driver holds the listed words, the bounded matrix of
-    symbol bigrams, and sums.
+    not read.  Words of one frequency are listed in the order of their bytes,
+    a word equally good in two classes stays where it is or takes the lower
+    one.  A very long text is counted and scored in runs of 2^18 words that
+    overlap by one.  The driver holds the listed words and their classes, two
+    bounded matrices (seed symbols, classes) and sums.
     """
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("h"), text.alias("text"))
-    training = rows.filter(~held_out(F.col("doc_id")))
-    counts = stored(word_counts(training, model), "words")
-    ends = training.select("doc_id").count()
+    in_training = ~held_out(F.col("doc_id"))
+    counts = stored(word_counts(rows.filter(in_training), model), "words")
+    ends = rows.select("doc_id").filter(in_training).count()
 
-    tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(model.endings)).cast("int")
     listed = counts.orderBy(F.desc("n"), "word").limit(model.listed).toArrow()
     words, numbers = listed["word"].to_pylist(), np.array(listed["n"].to_numpy(), dtype=np.int64)
     order = sorted(range(len(words)), key=lambda i: (-numbers[i], words[i]))
     words, numbers = [words[i] for i in order], numbers[order]
-    symbols = Symbols(words, numbers, model)
-    shared = spark.sparkContext.broadcast((words, numbers))
-
-    sums = counts.groupBy(tail.alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    tokens, distinct = sum(r["n"] for r in sums) + ends, sum(r["v"] for r in sums) + (ends > 0)
-    ending_sums = {r["e"]: [r["n"], r["v"]] for r in sums}
-    for word, n in zip(words[: symbols.clustered], numbers[: symbols.clustered].tolist(), strict=True):
-        of = ending_sums[ending(word, model.endings)]
-        of[0], of[1] = of[0] - n, of[1] - 1
-
-    pairs = bigram_counts(training, shared, model).toArrow()
-    bigrams = np.zeros(symbols.size**2)
-    bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    bigrams = bigrams.reshape(symbols.size, symbols.size)
-    trained = train(bigrams, symbols, ending_sums, (tokens, distinct, ends), model)
-    part = stored(score_listed(rows, shared, spark.sparkContext.broadcast(trained), model), "scores")
-    return _with_rare(part, counts, tokens, model)
-
-
-def _with_rare(part: DataFrame, counts: DataFrame, tokens: int, model: ClassModel) -> DataFrame:
-    """Add log10(count + add) of the words that are not listed, for both scores."""
-    rare = part.select("doc_id", "h", F.explode("rare").alias("r")).select(
-        "doc_id", "h", F.col("r.word").alias("word"), F.col("r.n").alias("k")
+    texts = stored(encoded_texts(rows, spark.sparkContext.broadcast(words)), "encoded")
+    classes, bigrams, others = train(texts.filter(in_training), words, numbers, model)
+
+    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    tokens, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
+    own = classes.label[:-1]
+    class_sum = np.bincount(own, weights=numbers, minlength=classes.size)
+    class_words = np.bincount(own, minlength=classes.size)
+    for r in others.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        class_sum[r["cls"]] += r["n"]
+        class_words[r["cls"]] += r["v"]
+    smoothed = np.log10(class_sum + model.add * (class_words + 1))
+    base_total = float(np.log10(tokens + model.add * (distinct + 1)))
+    table = bigrams + model.add_class
+    trained = Trained(
+        classes,
+        np.log10(table / table.sum(1, keepdims=True)),
+        np.append(np.log10(numbers + model.add) - smoothed[own], 0.0),
+        smoothed,
+        np.log10(np.append(numbers, ends) + model.add) - base_total,
+        base_total,
+        ends > 0,
+    )
+    part = stored(score_listed(texts, spark.sparkContext.broadcast(trained), model), "scores")
+    return _with_rare(part, others, trained, tokens, model)
+
+
+def _with_rare(part: DataFrame, others: DataFrame, trained: Trained, tokens: int, model: ClassModel) -> DataFrame:
+    """Add what pairs with a word that is not listed are worth: its class and count are joined by the word."""
+    spark, classes = part.sparkSession, trained.classes
+
+    def looked_up(pairs: DataFrame, side: str) -> DataFrame:
+        # A pair without a word on this side gets a key that is no word and spreads by text.
+        word = F.coalesce(f"{side}w", F.encode(F.concat(F.lit(" "), F.col("h").cast("string")), "UTF-8"))
+        known = others.select(F.col("word").alias("key"), F.col("n").alias("seen"), "cls")
+        tail = F.pmod(F.crc32(F.substring(f"{side}w", -2, 2)), F.lit(classes.endings)) + classes.first_ending
+        joined = pairs.withColumn("key", word).join(known, "key", "left")
+        return joined.withColumn(f"{side}c", F.coalesce(f"{side}c", "cls", tail.cast("int"))).drop("key", "cls")
+
+    pairs = part.filter(F.col("n").isNotNull()).select("doc_id", "h", "lc", "lw", "rc", "rw", "n")
+    found = looked_up(looked_up(pairs, "l").drop("seen"), "r")
+    size = classes.size
+    table = pa.table(
+        {
+            "lc": pa.array(np.repeat(np.arange(size), size).astype(np.int32)),
+            "rc": pa.array(np.tile(np.arange(size), size).astype(np.int32)),
+            "step": pa.array(trained.transition.ravel()),
+        }
     )
-    found = rare.join(counts, "word", "left")
-    own = F.coalesce("n", F.lit(0))
+    found = found.join(F.broadcast(spark.createDataFrame(table)), ["lc", "rc"])  # size squared rows
+    seen = F.coalesce("seen", F.lit(0))
+    right = F.col("rw").isNotNull()
+    count = F.when(right, F.log10(seen + model.add)).otherwise(0.0)
+    total = F.element_at(F.array(*[F.lit(float(x)) for x in trained.smoothed]), F.col("rc") + 1)
     sums = found.groupBy("doc_id", "h").agg(
-        F.sum(F.col("k") * F.log10(own + model.add)).alias("add"),
-        F.sum(F.when(own > 0, F.col("k")).otherwise(0)).alias("known"),
-        F.sum("k").alias("k"),
+        F.sum(F.col("n") * count).alias("add_base"),
+        F.sum(F.col("n") * (F.col("step") + count - F.when(right, total).otherwise(0.0))).alias("add"),
+        F.sum(F.when(right & (seen > 0), F.col("n")).otherwise(0)).alias("known"),
+        F.sum(F.when(right, F.col("n")).otherwise(0)).alias("k"),
     )
     key = F.struct("doc_id", "h").alias("key")  # never NULL
-    per_text = sums.select(key, "add", "known", "k")
-    joined = part.drop("rare").withColumn("key", F.struct("doc_id", "h")).join(per_text, "key", "left")
+    per_text = sums.select(key, "add_base", "add", "known", "k")
+    texts = part.filter(F.col("n_tokens").isNotNull()).select("doc_id", "n_tokens", "n_known", "base", "score", "n_rare", key)
+    joined = texts.join(per_text, "key", "left")
     # Rows alike have been summed together: their part is the share of one.
     times = F.coalesce(F.col("k") / F.greatest("n_rare", F.lit(1)), F.lit(1.0))
-    add = F.coalesce(F.col("add") / times, F.lit(0.0))
     return joined.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce((F.col("known") / times).cast("bigint"), F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"),
-        (F.col("score") + add).alias("score"),
+        (F.col("base") + F.coalesce(F.col("add_base") / times, F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce(F.col("add") / times, F.lit(0.0))).alias("score"),
     )
 
 

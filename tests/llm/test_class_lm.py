@@ -4,12 +4,25 @@ from collections import Counter
 
 import numpy as np
 import pytest
-
-from inkveil.llm.class_lm import ClassModel, exchange, op10_class_lm, score_texts
+from pyspark.sql import functions as F
+
+from inkveil.llm.class_lm import (
+    ClassModel,
+    best_classes,
+    encoded_texts,
+    ending,
+    exchange,
+    likelihood,
+    op10_class_lm,
+    score_texts,
+    text_runs,
+    train,
+)
+from inkveil.llm import class_lm
 from inkveil.llm.common import words_of
 from tests.llm.edge import empty, frame, rows
 
-SMALL = ClassModel(clustered=30, classes=6, endings=8, listed=60, held_words=50)
+SMALL = ClassModel(seeds=30, classes=6, endings=8, listed=60, held_words=50)
 
 
 def base(docs):
@@ -101,3 +114,126 @@ def test_edges(spark):
     nobody = [(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
     got = op10_class_lm(spark.createDataFrame(nobody, "doc_id bigint, text string")).collect()
     assert len(got) == len(nobody) and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in got)
+
+
+def mixed_texts():
+    """Frequent and rare words, words seen only when held out, runs of them, repeated rows."""
+    rng = np.random.default_rng(8)
+    docs = languages(120)
+    for i in range(120, 300):
+        words = [f"r{int(400 * rng.random() ** 3)}" for _ in range(int(rng.integers(0, 30)))]
+        docs.append((i, " ".join(words + [f"only{i}"] * (i % 4))))
+    return docs + [docs[140], docs[141], docs[-1], docs[-1], (None, "r1 none none"), (301, None)]
+
+
+def test_score_recomputed_from_texts(spark, monkeypatch):
+    """Classes as trained; transitions, emissions and scores again in plain Python, with short runs."""
+    monkeypatch.setattr(class_lm, "MOST_IN_RUN", 7)
+    docs = mixed_texts()
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = score_texts(frame, SMALL).collect()
+    same(got, base(docs))
+
+    training = [words_of(t) for d, t in docs if d is not None and zlib.crc32(str(d).encode()) % 10]
+    count = Counter(w for words in training for w in words)
+    listed = sorted(count, key=lambda w: (-count[w], w))[: SMALL.listed]
+    texts = frame.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0)
+    texts = encoded_texts(texts.withColumn("h", F.lit(0).cast("bigint")), spark.sparkContext.broadcast(listed))
+    classes, table, others = train(texts, listed, np.array([count[w] for w in listed]), SMALL)
+    cls = dict(zip(listed, classes.label.tolist()))
+    rest = others.select("word", "n", "cls").collect()
+    assert {bytes(r["word"]): r["n"] for r in rest} == {w: n for w, n in count.items() if w not in cls}
+    far = {bytes(r["word"]): r["cls"] for r in rest}
+    end, size = classes.size - 1, classes.size
+
+    def at_end(w):
+        return classes.first_ending + ending(w, SMALL.endings)
+
+    want = np.zeros((size, size))
+    for words in training:
+        for left, right in zip([None, *words], [*words, None]):
+            b = end if right is None else cls.get(right, far.get(right))
+            if left is None or left in cls:
+                a = end if left is None else cls[left]
+            else:
+                a = at_end(left) if right in far else far[left]
+            want[a, b] += 1
+    assert (want == table).all()
+
+    p = np.log10((want + SMALL.add_class) / (want + SMALL.add_class).sum(1, keepdims=True))
+    all_cls = {**cls, **far}
+    mass, kinds = Counter(), Counter(all_cls.values())
+    for w, c in all_cls.items():
+        mass[c] += count[w]
+
+    def score(text):
+        total, a = 0.0, end
+        for w in words_of(text):
+            b = all_cls.get(w, at_end(w))
+            total += p[a, b] + math.log10((count[w] + SMALL.add) / (mass[b] + SMALL.add * (kinds[b] + 1)))
+            a = b
+        return total + p[a, end]
+
+    by_id = {}
+    for d, t in docs:
+        by_id.setdefault(d, score(t))
+    assert len(got) == len(docs)
+    for r in got:
+        assert r["score"] == pytest.approx(by_id[r["doc_id"]], rel=1e-9)
+
+
+def test_best_class_is_that_of_highest_likelihood():
+    rng = np.random.default_rng(5)
+    size, words = 7, 30
+    label = rng.integers(0, size - 1, words)
+    pairs = rng.integers(0, 4, (words + 1, words + 1)) * (rng.random((words + 1, words + 1)) < 0.3)
+    np.fill_diagonal(pairs, 0)
+    of = np.append(label, size - 1)
+
+    def table(of):
+        m = np.zeros((words + 1, size))
+        m[np.arange(words + 1), of] = 1
+        return m.T @ pairs @ m
+
+    for w in range(words):
+        left, right = np.zeros(size), np.zeros(size)
+        np.add.at(left, of, pairs[:, w])
+        np.add.at(right, of, pairs[w])
+        cells = np.concatenate([left, right])
+        ctx = np.flatnonzero(cells)
+        if len(ctx) == 0:
+            continue
+        got = best_classes(table(of), of[[w]], ctx, cells[ctx], np.array([0]))[0]
+        values = []
+        for b in range(size - 1):
+            moved = of.copy()
+            moved[w] = b
+            values.append(likelihood(table(moved)))
+        assert values[got] == pytest.approx(max(values), rel=1e-9)
+
+
+def test_runs_of_a_long_text():
+    ids = np.array([3, -1, 2, -1, -1, 0, 1], dtype="<i4")
+    for most in (1, 2, 3, 7, 8):
+        class_lm_most, class_lm.MOST_IN_RUN = class_lm.MOST_IN_RUN, most
+        try:
+            runs = list(text_runs(ids.tobytes(), [b"x", b"y", b"z"], 9))
+        finally:
+            class_lm.MOST_IN_RUN = class_lm_most
+        assert np.concatenate([a for a, _ in runs]).tolist() == [*ids.tolist(), 9]
+        assert [w for _, ws in runs for w in ws] == [b"x", b"y", b"z"]
+
+
+def test_words_beyond_the_seeds_are_clustered(spark):
+    """Every word but the seeds is rare alone; their classes are learned all the same."""
+    rng = np.random.default_rng(2)
+    docs = [
+        (i, " ".join(f"{'xy'[j % 2]}{int(300 * rng.random())}{'ab'[int(rng.random() * 2)]}" for j in range(40)))
+        for i in range(400)
+    ]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = ClassModel(seeds=20, classes=4, endings=4, listed=100)
+    for m in (model, ClassModel(seeds=20, classes=4, endings=4, listed=5000)):
+        held = [r for r in score_texts(frame, m).collect() if r["held_out"]]
+        gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+        assert gain > 0.15  # endings say nothing; half of the most possible, log10(2)
