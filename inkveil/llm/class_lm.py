@@ -26,6 +26,7 @@ from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ class ClassModel:
     endings: int = 16
     listed: int = 1 << 18
     sweeps: int = 6
-    rounds: int = 5
+    rounds: int = 3
     add: float = 0.1
     add_class: float = 0.5
     held_words: int = 400_000
@@ -227,27 +228,32 @@ def _table(rows: DataFrame, size: int, tables: int) -> np.ndarray:
     return out.reshape(tables, size, size)
 
 
-def listed_cells(texts: DataFrame, shared, size: int, model: ClassModel) -> DataFrame:
-    """``(at, cells)`` by listed word: how often each class stands left (ctx) and right (size + ctx) of it."""
-    out = pa.schema([("at", pa.int64()), ("ctx", pa.int32()), ("n", pa.int64())])
+_CELL = np.dtype([("ctx", "<u2"), ("n", "<u2")])
+
+
+def listed_cells(texts: DataFrame, shared, size: int, turn: tuple[int, int, int], model: ClassModel) -> DataFrame:
+    """``(at, cells)``, sorted: how often each class stands left (ctx) and right (size + ctx) of a word.
+
+    Of the words from ``turn[0]`` on those with ``turn[1]`` as the remainder
+    by ``turn[2]`` are counted.  A task packs its counts of a word into one
+    value, so a word comes in about as many rows as there are tasks.
+    """
+    out = pa.schema([("at", pa.int32()), ("cells", pa.binary())])
+    first, remainder, divisor = turn
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        moving = np.arange(own.end + 1) % divisor == remainder
+        moving[:first] = moving[own.end] = False
         keys, sums, held = [], [], 0
 
-        def merged():
-            values, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return values, np.bincount(inverse, weights=np.concatenate(sums)).astype(np.int64)
-
         def given(values, n):
-            for i in range(0, len(values), 50_000):
-                some = values[i : i + 50_000]
-                columns = [some // (2 * size), (some % (2 * size)).astype(np.int32), n[i : i + 50_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
+            for i in range(0, len(values), 200_000):
+                yield _packed(values[i : i + 200_000], n[i : i + 200_000], size, out)
 
         for at, rare in token_runs(parts, own.end):
             chain = own.of(at, rare)
-            word = (at >= 0) & (at < own.end)
+            word = (at >= 0) & moving[at]
             left = (at[1:] * 2 * size + chain[:-1])[word[1:]]
             right = (at[:-1] * 2 * size + size + chain[1:])[word[:-1]]
             values, n = np.unique(np.concatenate([left, right]), return_counts=True)
@@ -255,15 +261,89 @@ def listed_cells(texts: DataFrame, shared, size: int, model: ClassModel) -> Data
             sums.append(n)
             held += len(values)
             if held > model.held_cells:
-                values, n = merged()
+                values, n = _summed(keys, sums)
                 keys, sums, held = [values], [n], len(values)
                 if held > model.held_cells // 2:
                     yield from given(values, n)
                     keys, sums, held = [], [], 0
         if keys:
-            yield from given(*merged())
+            yield from given(*_summed(keys, sums))
+
+    rows = texts.select("ids", "rare").mapInArrow(run, "at int, cells binary")
+    return rows.repartition(partitions(texts.sparkSession), "at").sortWithinPartitions("at")
+
+
+def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key, in the order of keys."""
+    values = np.concatenate(keys)
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    starts = np.flatnonzero(np.diff(values, prepend=-1))
+    return values[starts], np.add.reduceat(np.concatenate(sums)[order], starts) if len(starts) else starts
+
+
+def _packed(keys: np.ndarray, n: np.ndarray, size: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Sorted keys ``at * 2 * size + ctx`` as one row per word; counts beyond 65,535 take several cells."""
+    times = (n + 65_534) // 65_535
+    keys, n = np.repeat(keys, times), np.repeat(n, times)
+    cells = np.empty(len(keys), dtype=_CELL)
+    cells["ctx"] = keys % (2 * size)
+    cells["n"] = 65_535
+    last = np.cumsum(times) - 1
+    cells["n"][last] = n[last] - 65_535 * (times - 1)
+    at = keys // (2 * size)
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    offsets = (np.append(starts, len(at)) * _CELL.itemsize).astype(np.int32)
+    packed = pa.Array.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cells.tobytes())]
+    )
+    return pa.RecordBatch.from_arrays([pa.array(at[starts].astype(np.int32)), packed], schema=schema)
+
 
-    return _by_word(texts.select("ids", "rare").mapInArrow(run, "at bigint, ctx int, n bigint"), "at")
+def best_listed(cells: DataFrame, table, shared) -> DataFrame:
+    """``(at, cls)``: each counted word's best class; what a task holds are the cells of a few thousand words."""
+    out = pa.schema([("at", pa.int32()), ("cls", pa.int32())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bigrams, label = table.value, shared.value.label
+        width = 2 * len(bigrams)
+
+        def chosen(keys, n):
+            at, ctx = keys // width, keys % width
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            for i, j in _slices(np.append(starts[1:], len(at))):
+                low, high = starts[i], starts[j] if j < len(starts) else len(at)
+                some = at[starts[i:j]]
+                best = best_classes(bigrams, label[some], ctx[low:high], n[low:high].astype(float), starts[i:j] - low)
+                columns = [pa.array(some.astype(np.int32)), pa.array(best.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+        keys, sums, held = [], [], 0
+        for part in parts:
+            lengths = pc.binary_length(part.column(1)).to_numpy() // _CELL.itemsize
+            flat = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=_CELL)
+            keys.append(np.repeat(part.column(0).to_numpy().astype(np.int64), lengths) * width + flat["ctx"])
+            sums.append(flat["n"].astype(np.int64))
+            held += len(flat)
+            if held > 1 << 18:
+                values, n = _summed(keys, sums)
+                whole = int(np.searchsorted(values, values[-1] // width * width))  # the last word may go on
+                yield from chosen(values[:whole], n[:whole])
+                keys, sums, held = [values[whole:]], [n[whole:]], len(values) - whole
+        if held:
+            yield from chosen(*_summed(keys, sums))
+
+    return cells.mapInArrow(run, "at int, cls int")
+
+
+def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words that have 8,192 cells or one word; ``ends``: where each word's cells end."""
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + 8192, side="right")))
+        yield begin, stop
+        begin = stop
 
 
 def rare_cells(texts: DataFrame, shared, size: int, model: ClassModel) -> DataFrame:
@@ -292,14 +372,11 @@ def rare_cells(texts: DataFrame, shared, size: int, model: ClassModel) -> DataFr
 
         yield from batches(rows(), out, 20_000)
 
-    return _by_word(texts.select("ids", "rare").mapInArrow(run, "word binary, ctx int, n bigint"), "word")
-
-
-def _by_word(cells: DataFrame, key: str) -> DataFrame:
-    """One row per word with its cells, of which there are at most three per class."""
-    dealt = cells.repartition(partitions(cells.sparkSession), key)  # serves both groupings
-    sums = dealt.groupBy(key, "ctx").agg(F.sum("n").alias("n"))
-    return sums.groupBy(key).agg(F.collect_list(F.struct("ctx", "n")).alias("cells"))
+    cells = texts.select("ids", "rare").mapInArrow(run, "word binary, ctx int, n bigint")
+    dealt = cells.repartition(partitions(texts.sparkSession), "word")  # serves both groupings
+    sums = dealt.groupBy("word", "ctx").agg(F.sum("n").alias("n"))
+    # At most three cells per class.
+    return sums.groupBy("word").agg(F.collect_list(F.struct("ctx", "n")).alias("cells"))
 
 
 def best_classes(table: np.ndarray, own: np.ndarray, ctx: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -339,33 +416,26 @@ def best_classes(table: np.ndarray, own: np.ndarray, ctx: np.ndarray, n: np.ndar
     return gain.argmax(1)
 
 
-def with_class(cells: DataFrame, key: str, kind: str, table, shared, keep_cells: bool) -> DataFrame:
-    """``(key, n, cls)``: each word's best class; its cells go along where the caller needs them."""
-    names = [key, "n", "cls"] + ["cells"] * keep_cells
+def best_rare(cells: DataFrame, table) -> DataFrame:
+    """``(word, n, cls, cells)``: each word's count and best class, with its cells."""
+    names = ["word", "n", "cls", "cells"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bigrams = table.value
-        label = shared.value.label
         for part in parts:
-            held, begin = part.column("cells"), 0
-            ends = np.cumsum(held.value_lengths().to_numpy())
-            while begin < len(ends):
-                before = ends[begin - 1] if begin else 0
-                stop = max(begin + 1, int(np.searchsorted(ends, before + 8192, side="right")))
-                rows = part.slice(begin, stop - begin)
+            ends = np.cumsum(part.column("cells").value_lengths().to_numpy())
+            for i, j in _slices(ends):
+                rows = part.slice(i, j - i)
                 flat = rows.column("cells").flatten()
                 ctx, n = flat.field("ctx").to_numpy(), flat.field("n").to_numpy().astype(float)
-                starts = np.concatenate([[0], ends[begin : stop - 1] - before]).astype(np.int64)
-                numbers = rows.column(0).to_numpy(zero_copy_only=False) if key == "at" else None
-                own = np.full(len(starts), -1) if numbers is None else label[numbers.astype(np.int64)]
-                best = best_classes(bigrams, own, ctx, n, starts)
+                before = ends[i - 1] if i else 0
+                starts = np.concatenate([[0], ends[i : j - 1] - before]).astype(np.int64)
+                best = best_classes(bigrams, np.full(len(starts), -1), ctx, n, starts)
                 seen = np.add.reduceat(n * (ctx < len(bigrams)), starts).astype(np.int64)
-                columns = [rows.column(0), pa.array(seen), pa.array(best.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns + [rows.column("cells")] * keep_cells, names=names)
-                begin = stop
+                columns = [rows.column(0), pa.array(seen), pa.array(best.astype(np.int32)), rows.column("cells")]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    ddl = f"{key} {kind}, n bigint, cls int" + ", cells array<struct<ctx:int,n:bigint>>" * keep_cells
-    return cells.mapInArrow(run, ddl)
+    return cells.mapInArrow(run, "word binary, n bigint, cls int, cells array<struct<ctx:int,n:bigint>>")
 
 
 def rare_table(words: DataFrame, size: int) -> np.ndarray:
@@ -481,12 +551,12 @@ def train(texts: DataFrame, words: list[bytes], counts: np.ndarray, model: Class
     shared = share(classes)
     tables = class_tables(texts, shared, size)
     for turn in range(model.rounds):
-        cells = listed_cells(texts, shared, size, model)
-        moved = with_class(cells, "at", "bigint", share(tables[0]), shared, False).toArrow()
-        label, at = classes.label.copy(), moved["at"].to_numpy()
         # Words that all move at once may crowd one class: seeds wait for the others, then every second word moves.
-        turns = (at + turn) % 2 == 0 if turn else at >= seeds
-        label[at[turns]] = moved["cls"].to_numpy()[turns]
+        moving = (0, turn % 2, 2) if turn else (seeds, 0, 1)
+        cells = listed_cells(texts, shared, size, moving, model)
+        moved = best_listed(cells, share(tables[0]), shared).toArrow()
+        label = classes.label.copy()
+        label[moved["at"].to_numpy()] = moved["cls"].to_numpy()
         tried = Classes(label, classes.first_ending, classes.endings)
         tried_shared = share(tried)
         after = class_tables(texts, tried_shared, size)
@@ -494,7 +564,7 @@ def train(texts: DataFrame, words: list[bytes], counts: np.ndarray, model: Class
             break
         classes, shared, tables = tried, tried_shared, after
     cells = rare_cells(texts, shared, size, model)
-    others = stored(with_class(cells, "word", "binary", share(tables[0]), shared, True), "classes")
+    others = stored(best_rare(cells, share(tables[0])), "classes")
     return classes, tables[1] + rare_table(others, size), others
 
 

@@ -237,3 +237,18 @@ def test_words_beyond_the_seeds_are_clustered(spark):
         held = [r for r in score_texts(frame, m).collect() if r["held_out"]]
         gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
         assert gain > 0.15  # endings say nothing; half of the most possible, log10(2)
+
+
+def test_packed_cells_and_sums():
+    size = 5
+    keys = np.array([1, 3, 12, 19, 40])
+    n = np.array([1, 65_535, 65_536, 200_000, 7])
+    schema = class_lm.pa.schema([("at", class_lm.pa.int32()), ("cells", class_lm.pa.binary())])
+    part = class_lm._packed(keys, n, size, schema)
+    got = Counter()
+    for at, cells in zip(*(c.to_pylist() for c in part.columns), strict=True):
+        for ctx, k in np.frombuffer(cells, dtype=class_lm._CELL).tolist():
+            got[at * 2 * size + ctx] += k
+    assert part.column(0).to_pylist() == [0, 1, 4] and got == dict(zip(keys.tolist(), n.tolist()))
+    values, sums = class_lm._summed([keys, keys[:2]], [n, n[:2]])
+    assert values.tolist() == keys.tolist() and sums.tolist() == [2, 131_070, *n[2:].tolist()]
