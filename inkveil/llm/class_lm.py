@@ -568,11 +568,13 @@ def train(texts: DataFrame, words: list[bytes], counts: np.ndarray, model: Class
     return classes, tables[1] + rare_table(others, size), others
 
 
-_SCORED = pa.schema(
-    [("doc_id", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64())]
-    + [("base", pa.float64()), ("score", pa.float64()), ("n_rare", pa.int64())]
-    + [("lc", pa.int32()), ("lw", pa.binary()), ("rc", pa.int32()), ("rw", pa.binary()), ("n", pa.int64())]
-)
+_SCORED = [
+    *(pa.field(c, pa.int64()) for c in ("doc_id", "h", "n_tokens", "n_known")),
+    *(pa.field(c, pa.float64()) for c in ("base", "score")),
+    pa.field("n_rare", pa.int64()),
+    *(pa.field(c, t) for side in "lr" for c, t in ((f"{side}c", pa.int32()), (f"{side}w", pa.binary()))),
+    pa.field("n", pa.int64()),
+]
 _SCORED_DDL = (
     "doc_id bigint, h bigint, n_tokens bigint, n_known bigint, base double, score double, n_rare bigint, "
     "lc int, lw binary, rc int, rw binary, n bigint"
@@ -590,40 +592,66 @@ def score_listed(texts: DataFrame, trained, model: ClassModel) -> DataFrame:
         t = trained.value
         own = t.classes
 
-        def rows():
-            for part in parts:
-                for doc, h, ids, rare in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    pairs: Counter = Counter()
-                    tokens = known = base = score = 0
-                    last, last_word = own.end, None
-                    for at, words in text_runs(ids, rare, own.end):
-                        at = np.concatenate([[last], at])
-                        chain = own.of(at, [last_word, *words] if last < 0 else words)
-                        listed = at >= 0
-                        both = listed[:-1] & listed[1:]
-                        here = at[1:][listed[1:]]
-                        tokens += len(at) - 1
-                        known += len(here)
-                        base += t.base[here].sum()
-                        score += t.emission[here].sum()
-                        score += t.transition[chain[:-1][both], chain[1:][both]].sum()
-                        words, before = iter(words), last_word if last < 0 else None
-                        for i in np.flatnonzero(~both):
-                            # The words that are not listed come in order; one on the left was on the right before.
-                            lw = before if at[i] < 0 else None
-                            rw = before = next(words) if at[i + 1] < 0 else None
-                            lc = None if at[i] < 0 else int(chain[i])
-                            pairs[lc, lw, None if at[i + 1] < 0 else int(chain[i + 1]), rw] += 1
-                        if len(pairs) > model.held_words:
-                            yield from ((doc, h, *[None] * 5, *p, n) for p, n in pairs.items())
-                            pairs.clear()
-                        last, last_word = int(at[-1]), before
-                    yield from ((doc, h, *[None] * 5, *p, n) for p, n in pairs.items())
-                    base -= len(rare) * t.base_total
-                    ends = 0 if t.end_known else 1
-                    yield doc, h, tokens, known - ends, float(base), float(score), len(rare), *[None] * 5
-
-        yield from batches(rows(), _SCORED, 5000)
+        texts_kept: list[list] = [[] for _ in range(7)]
+        pairs_kept: list[list] = [[] for _ in range(7)]
+
+        def given():
+            for kept, of in ((texts_kept, _SCORED[:7]), (pairs_kept, _SCORED[:2] + _SCORED[7:])):
+                if kept[0]:
+                    full = {f.name: pa.array(c, type=f.type) for f, c in zip(of, kept, strict=True)}
+                    none = {f.name: pa.nulls(len(kept[0]), f.type) for f in _SCORED if f.name not in full}
+                    columns = {**full, **none}
+                    yield pa.RecordBatch.from_arrays([columns[f.name] for f in _SCORED], schema=pa.schema(_SCORED))
+                    for column in kept:
+                        column.clear()
+
+        def keep(doc, h, pairs):
+            for column, values in zip(pairs_kept[2:6], zip(*pairs), strict=True):
+                column.extend(values)
+            pairs_kept[0].extend([doc] * len(pairs))
+            pairs_kept[1].extend([h] * len(pairs))
+            pairs_kept[6].extend(pairs.values())
+            pairs.clear()
+
+        for part in parts:
+            for doc, h, ids, rare in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                pairs: Counter = Counter()
+                tokens = known = base = score = 0
+                last, last_word = own.end, []
+                for at, words in text_runs(ids, rare, own.end):
+                    at, words = np.concatenate([[last], at]), last_word + words
+                    chain = own.of(at, words)
+                    listed = at >= 0
+                    both = listed[:-1] & listed[1:]
+                    here = at[1:][listed[1:]]
+                    tokens += len(at) - 1
+                    known += len(here)
+                    base += t.base[here].sum()
+                    score += t.emission[here].sum()
+                    score += t.transition[chain[:-1][both], chain[1:][both]].sum()
+                    if words:
+                        number, left = np.cumsum(~listed) - 1, np.flatnonzero(~both)
+                        sides = []
+                        for i in (left, left + 1):
+                            triples = list(zip(listed[i].tolist(), chain[i].tolist(), number[i].tolist(), strict=True))
+                            sides.append([c if is_listed else None for is_listed, c, _ in triples])
+                            sides.append([None if is_listed else words[j] for is_listed, _, j in triples])
+                        pairs.update(zip(*sides, strict=True))
+                    if len(pairs) > model.held_words:
+                        keep(doc, h, pairs)
+                        yield from given()
+                    last, last_word = int(at[-1]), words[-1:] if at[-1] < 0 else []
+                if pairs:
+                    keep(doc, h, pairs)
+                base -= len(rare) * t.base_total
+                ends = 0 if t.end_known else 1
+                row = (doc, h, tokens, known - ends, float(base), float(score), len(rare))
+                for column, value in zip(texts_kept, row, strict=True):
+                    column.append(value)
+                if len(texts_kept[0]) + len(pairs_kept[0]) > 10_000:
+                    yield from given()
+        yield from given()
+        pa.default_memory_pool().release_unused()
 
     return texts.select("doc_id", "h", "ids", "rare").mapInArrow(run, _SCORED_DDL)
 
@@ -684,16 +712,24 @@ def _with_rare(part: DataFrame, others: DataFrame, trained: Trained, tokens: int
     """Add what pairs with a word that is not listed are worth: its class and count are joined by the word."""
     spark, classes = part.sparkSession, trained.classes
 
-    def looked_up(pairs: DataFrame, side: str) -> DataFrame:
-        # A pair without a word on this side gets a key that is no word and spreads by text.
-        word = F.coalesce(f"{side}w", F.encode(F.concat(F.lit(" "), F.col("h").cast("string")), "UTF-8"))
-        known = others.select(F.col("word").alias("key"), F.col("n").alias("seen"), "cls")
-        tail = F.pmod(F.crc32(F.substring(f"{side}w", -2, 2)), F.lit(classes.endings)) + classes.first_ending
-        joined = pairs.withColumn("key", word).join(known, "key", "left")
-        return joined.withColumn(f"{side}c", F.coalesce(f"{side}c", "cls", tail.cast("int"))).drop("key", "cls")
+    known = others.select("word", F.col("n").alias("seen"), "cls")
+
+    def looked_up(pairs: DataFrame) -> DataFrame:
+        tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(classes.endings)) + classes.first_ending
+        return pairs.join(known, "word", "left").withColumn("cls", F.coalesce("cls", tail.cast("int")))
 
     pairs = part.filter(F.col("n").isNotNull()).select("doc_id", "h", "lc", "lw", "rc", "rw", "n")
-    found = looked_up(looked_up(pairs, "l").drop("seen"), "r")
+    right = F.col("rw").isNotNull()
+    names = ["doc_id", "h", "lc", "rc", "right", "seen", "n"]
+    one = looked_up(
+        pairs.filter(F.col("lw").isNull() | F.col("rw").isNull()).select(
+            "doc_id", "h", "lc", "rc", right.alias("right"), F.coalesce("lw", "rw").alias("word"), "n"
+        )
+    ).select("doc_id", "h", F.coalesce("lc", "cls").alias("lc"), F.coalesce("rc", "cls").alias("rc"), *names[4:])
+    two = pairs.filter(F.col("lw").isNotNull() & right).select("doc_id", "h", F.col("lw").alias("word"), "rw", "n")
+    two = looked_up(two).select("doc_id", "h", F.col("cls").alias("lc"), F.col("rw").alias("word"), "n")
+    two = looked_up(two).withColumns({"rc": F.col("cls"), "right": F.lit(True)}).select(names)
+    found = one.unionByName(two)
     size = classes.size
     table = pa.table(
         {
@@ -704,7 +740,7 @@ def _with_rare(part: DataFrame, others: DataFrame, trained: Trained, tokens: int
     )
     found = found.join(F.broadcast(spark.createDataFrame(table)), ["lc", "rc"])  # size squared rows
     seen = F.coalesce("seen", F.lit(0))
-    right = F.col("rw").isNotNull()
+    right = F.col("right")
     count = F.when(right, F.log10(seen + model.add)).otherwise(0.0)
     total = F.element_at(F.array(*[F.lit(float(x)) for x in trained.smoothed]), F.col("rc") + 1)
     sums = found.groupBy("doc_id", "h").agg(
