@@ -53,8 +53,8 @@ class ClassModel:
     rounds: int = 3
     add: float = 0.1
     add_class: float = 0.5
-    held_words: int = 400_000
-    held_cells: int = 1 << 21
+    held_words: int = 200_000
+    held_cells: int = 1 << 20
 
 
 def held_out(id_col: Column) -> Column:
@@ -88,16 +88,6 @@ def ending(word: bytes, endings: int) -> int:
     return zlib.crc32(word[-2:]) % endings
 
 
-_BUILT: list = [None, None]  # a broadcast list and its index
-
-
-def _index_of(shared) -> dict[bytes, int]:
-    """The numbers of listed words, built once per worker."""
-    if _BUILT[0] is not shared:
-        _BUILT[:] = [shared, {w: i for i, w in enumerate(shared.value)}]
-    return _BUILT[1]
-
-
 _ENCODED = pa.schema(
     [("doc_id", pa.int64()), ("h", pa.int64()), ("ids", pa.binary()), ("rare", pa.list_(pa.binary()))]
 )
@@ -107,7 +97,7 @@ def encoded_texts(docs: DataFrame, shared) -> DataFrame:
     """Texts as numbers of listed words (-1: another word) and the other words in order."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index_of(shared)
+        index = {w: i for i, w in enumerate(shared.value)}  # not kept: workers go on to other stages
 
         def rows():
             for part in parts:
@@ -124,7 +114,7 @@ def encoded_texts(docs: DataFrame, shared) -> DataFrame:
 
 
 Run = tuple[np.ndarray, list[bytes]]
-MOST_IN_RUN = 1 << 18
+MOST_IN_RUN = 1 << 17
 
 
 def text_runs(ids: bytes, rare: list[bytes], end: int) -> Iterator[Run]:
@@ -325,7 +315,7 @@ def best_listed(cells: DataFrame, table, shared) -> DataFrame:
             keys.append(np.repeat(part.column(0).to_numpy().astype(np.int64), lengths) * width + flat["ctx"])
             sums.append(flat["n"].astype(np.int64))
             held += len(flat)
-            if held > 1 << 18:
+            if held > 1 << 17:
                 values, n = _summed(keys, sums)
                 whole = int(np.searchsorted(values, values[-1] // width * width))  # the last word may go on
                 yield from chosen(values[:whole], n[:whole])
@@ -337,11 +327,11 @@ def best_listed(cells: DataFrame, table, shared) -> DataFrame:
 
 
 def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of words that have 8,192 cells or one word; ``ends``: where each word's cells end."""
+    """Ranges of words that have 2,048 cells or one word; ``ends``: where each word's cells end."""
     begin = 0
     while begin < len(ends):
         before = ends[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(ends, before + 8192, side="right")))
+        stop = max(begin + 1, int(np.searchsorted(ends, before + 2048, side="right")))
         yield begin, stop
         begin = stop
 
@@ -665,7 +655,7 @@ def score_texts(docs: DataFrame, model: ClassModel = ClassModel()) -> DataFrame:
     classes equally likely; an empty table gives no rows; other columns are
     not read.  Words of one frequency are listed in the order of their bytes,
     a word equally good in two classes stays where it is or takes the lower
-    one.  A very long text is counted and scored in runs of 2^18 words that
+    one.  A very long text is counted and scored in runs of 2^17 words that
     overlap by one.  The driver holds the listed words and their classes, two
     bounded matrices (seed symbols, classes) and sums.
     """
