@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.arrow_pass import SPANS, arrow_chain, arrow_spans
 from inkveil.functions.matching import java_pattern, sql_name, sql_text
 from inkveil.functions.rules import BOX_MARK, LABEL_MARK, Rule, known_style
+from inkveil.plans.layout import with_small_batches
 
 Source = tuple[str, int]  # pattern and flags, so that workers need not import rules
 
@@ -104,9 +106,6 @@ def leaks_of(text: str, sources: Sequence[Source], style: str) -> list[Span]:
 
 
 _DDL = "array<struct<rule_no: int, at: bigint, size: bigint, start: bigint, end: bigint>>"
-_KIND = pa.list_(
-    pa.struct([("rule_no", pa.int32()), *((name, pa.int64()) for name in ("at", "size", "start", "end"))])
-)
 
 
 def _listed(df: DataFrame, rules: Sequence[Rule], style: str, text: str, work) -> DataFrame:
@@ -116,14 +115,14 @@ def _listed(df: DataFrame, rules: Sequence[Rule], style: str, text: str, work) -
 
     def run(texts: pa.Array) -> pa.Array:
         found = ([] if t is None else [s._asdict() for s in work(t, sources, style)] for t in texts.to_pylist())
-        return pa.array(found, type=_KIND)
+        return pa.array(found, type=SPANS)
 
     javas = [java_pattern(rule) for rule in rules]
     hit = [F.expr(f"{sql_name(text)} RLIKE {sql_text(java)}") if java else F.lit(True) for java in javas]
     some = F.when(reduce(lambda a, b: a | b, hit, F.lit(False)), F.col(text))
     spans = F.arrow_udf(run, _DDL).asNondeterministic()(some)
     kept = [c for c in df.columns if c != text]
-    return df.select(*kept, spans.alias("__spans")).select(*kept, F.inline("__spans"))
+    return with_small_batches(df).select(*kept, spans.alias("__spans")).select(*kept, F.inline("__spans"))
 
 
 def redaction_spans(df: DataFrame, rules: Sequence[Rule], style: str = "box", text: str = "text") -> DataFrame:
@@ -135,6 +134,10 @@ def redaction_spans(df: DataFrame, rules: Sequence[Rule], style: str = "box", te
     cover: there ``at`` is ``start``.  Texts without a match, NULL and empty
     ones have no rows.  No shuffle takes place.
     """
+    if chain := arrow_chain(rules):
+        kept = [c for c in df.columns if c != text]
+        spans = arrow_spans(chain, known_style(style), spans_of)(F.col(text))
+        return with_small_batches(df).select(*kept, spans.alias("__spans")).select(*kept, F.inline("__spans"))
     return _listed(df, rules, style, text, spans_of)
 
 
