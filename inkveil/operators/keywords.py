@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -24,7 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.rules import BOX_MARK, LABEL_MARK, keyword_rules, known_style
+from inkveil.functions.rules import BOX_MARK, LABEL_MARK, Rule, keyword_rules, known_style
+from inkveil.plans.layout import with_small_batches
 from inkveil.plans.scratch import Staging
 
 # What a worker holds at once: keywords of so many characters, at about a
@@ -55,6 +57,13 @@ def _is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
 
+_RUN = re.compile(r"\w+")
+
+
+def _ranks(held: int | tuple[int, ...]) -> tuple[int, ...]:
+    return held if isinstance(held, tuple) else (held,)
+
+
 class Keywords:
     """An ordered list of keywords, ready to be looked for all at once."""
 
@@ -63,24 +72,33 @@ class Keywords:
         self.stretch = style != "label"
         self.whole_word = whole_word
         self.fold = str if case_sensitive else folded
-        self.rules = keyword_rules(keywords, case_sensitive, whole_word)
+        self.case_sensitive = case_sensitive
         self.words = [k.strip() for k in keywords if k.strip()]
         self.flags = 0 if case_sensitive else re.IGNORECASE
         self.checked: dict[tuple[str, str], bool] = {}
+        # Ranks by the word without case: of whole words that are one run of word
+        # characters, which are found by that run, and of all others by the automaton.
+        self.runs: dict[str, int | tuple[int, ...]] = {}
         self.automaton = ahocorasick.Automaton()
-        ranks: dict[str, list[int]] = {}
         for rank, word in enumerate(self.words):
-            ranks.setdefault(self.fold(word), []).append(rank)
-        for word, own in ranks.items():
-            self.automaton.add_word(word, (len(word), tuple(own)))
-        if ranks:
+            key = self.fold(word)
+            if whole_word and _RUN.fullmatch(word):
+                self.runs[key] = (*_ranks(self.runs[key]), rank) if key in self.runs else rank
+            else:
+                self.automaton.add_word(key, (*_ranks(self.automaton.get(key, ())), rank))
+        if len(self.automaton):
             self.automaton.make_automaton()
+        self.apart = len(self.automaton) == 0  # no keyword overlaps another
         mark = self.fold(self.mark)
         self.in_marks = [  # what a mark holds, or could be an end of
             rank for rank, word in enumerate(map(self.fold, self.words))
             if word in mark or any(edge in word for edge in (mark[0], mark[-1]))
         ]
 
+    def _rule(self, rank: int) -> Rule:
+        """A keyword's rule, made when it is needed: a table has many."""
+        return keyword_rules([self.words[rank]], self.case_sensitive, self.whole_word)[0]
+
     def _equal(self, rank: int, found: str) -> bool:
         word = self.words[rank]
         if self.flags == 0 or (word.isascii() and found.isascii()):
@@ -92,16 +110,31 @@ class Keywords:
             self.checked[key] = re.fullmatch(re.escape(word), found, self.flags) is not None
         return self.checked[key]
 
+    def _equal_runs(self, text: str) -> Iterator[tuple[list[int], int, int]]:
+        """Runs of word characters that are keywords: their ranks, start and end."""
+        whole = self.fold(text)
+        for run in _RUN.finditer(text):
+            start, end = run.span()
+            held = self.runs.get(whole[start:end])
+            if held is not None and (ranks := [r for r in _ranks(held) if self._equal(r, run[0])]):
+                yield ranks, start, end
+
     def _occurrences(self, text: str, first: int) -> list[tuple[int, int, int]]:
         """``(rank, start, end)`` from rank ``first`` on, by rank and place."""
-        if not self.words:
-            return []
-        found = [
-            (rank, end + 1 - size, end + 1)
-            for end, (size, ranks) in self.automaton.iter(self.fold(text))
-            for rank in ranks
-            if rank >= first
-        ]
+        whole, found = self.fold(text), []
+        if len(self.automaton):
+            found += [
+                (rank, end + 1 - len(self.words[rank]), end + 1)
+                for end, ranks in self.automaton.iter(whole)
+                for rank in ranks
+                if rank >= first
+            ]
+        if self.runs:
+            for run in _RUN.finditer(text):
+                start, end = run.span()
+                held = self.runs.get(whole[start:end])
+                if held is not None:
+                    found += [(rank, start, end) for rank in _ranks(held) if rank >= first]
         found.sort()
         return found
 
@@ -126,15 +159,24 @@ class Keywords:
     def counts(self, text: str) -> dict[str, int]:
         """Matches of each rule on its own, in rule order, equal labels summed."""
         out: dict[str, int] = {}
+        if self.apart:
+            found = Counter(rank for ranks, _, _ in self._equal_runs(text) for rank in ranks)
+            for rank, n in sorted(found.items()):
+                label = f'Keyword: "{self.words[rank]}"'
+                out[label] = out.get(label, 0) + n
+            return out
         none = bytearray(len(text))
         for rank, own in groupby(self._occurrences(text, 0), key=lambda o: o[0]):
             if n := len(self._accepted(text, own, none)):
-                label = self.rules[rank].label
+                label = self._rule(rank).label
                 out[label] = out.get(label, 0) + n
         return out
 
     def redact(self, text: str) -> tuple[str, int]:
         """The text that all rules leave, one after the other, and the number of substitutions."""
+        if self.apart and not self.in_marks:
+            spans = [(start, end) for _, start, end in self._equal_runs(text)]
+            return self._marked(text, spans), len(spans)
         total, first = 0, 0
         while first is not None:
             text, n, first = self._sweep(text, first)
@@ -153,7 +195,7 @@ class Keywords:
                 now = now or self._marked(text, spans)
                 if self.fold(self.words[rank]) in self.fold(now):
                     mark = (lambda m: self.mark * len(m[0])) if self.stretch else (lambda m: self.mark)
-                    left, n = self.rules[rank].compiled().subn(mark, now)
+                    left, n = self._rule(rank).compiled().subn(mark, now)
                     if n:
                         return left, len(spans) + n, rank + 1
                 continue
@@ -179,10 +221,9 @@ _BUILT: dict[str, Keywords] = {}
 
 
 def _built(key: str, shared: Broadcast, *options) -> Keywords:
-    """The table of a broadcast, built once per worker; only the last few are kept."""
+    """The table of a broadcast, built once per worker; only the last one is kept."""
     if key not in _BUILT:
-        while len(_BUILT) > 1:
-            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT.clear()
         _BUILT[key] = Keywords(shared.value, *options)
     return _BUILT[key]
 
@@ -230,7 +271,7 @@ def redact_keywords(
     spark, style = df.sparkSession, known_style(style)
     staging = staging or Staging(spark)
     kept = [c for c in df.columns if c not in (into, n_into)]
-    work = df.select(*kept, F.col(text).alias("__t"), F.lit(0).alias("__n"))
+    work = with_small_batches(df).select(*kept, F.col(text).alias("__t"), F.lit(0).alias("__n"))
     for number, part in enumerate(_passes(keywords, keyword, order, table_chars)):
         if number:
             work = staging.store(work, "keywords")
@@ -251,13 +292,21 @@ def detect_keywords(
     text: str = "text",
     into: str = "matches",
     table_chars: int = TABLE_CHARS,
+    staging: Staging | None = None,
 ) -> DataFrame:
-    """Add ``into``: the list of (label, n) on the original text, in rule order, labels with hits only."""
+    """Add ``into``: the list of (label, n) on the original text, in rule order, labels with hits only.
+
+    Longer tables are passes one after the other, as in ``redact_keywords``, so
+    that a task has one part of the table at a time.
+    """
+    staging = staging or Staging(df.sparkSession)
     spark, kind = df.sparkSession, pa.list_(pa.struct([("label", pa.string()), ("n", pa.int32())]))
     kept = [c for c in df.columns if c != into]
     none = F.array().cast("array<struct<label:string,n:int>>")
-    work = df.withColumn("__m", none)
-    for part in _passes(keywords, keyword, order, table_chars):
+    work = with_small_batches(df).withColumn("__m", none)
+    for number, part in enumerate(_passes(keywords, keyword, order, table_chars)):
+        if number:
+            work = staging.store(work, "keywords")
         count = _counter(spark.sparkContext.broadcast(part), kind, case_sensitive, whole_word)
         work = work.withColumn("__m", count(F.col(text), F.col("__m")))
     return work.select(*kept, F.col("__m").alias(into))

@@ -5,6 +5,7 @@ import pytest
 from inkveil.functions.rules import keyword_rules
 from inkveil.operators.keywords import Keywords, detect_keywords, redact_keywords
 from inkveil.operators.redact import redact
+from inkveil.plans.scratch import Staging
 from tests import plain
 
 LETTERS = "abAB [].-_éİıſsSKk█redactedREDACTED"
@@ -80,3 +81,29 @@ def test_time_does_not_follow_the_length_of_the_table():
             assert table.redact(text) == (text, 0)
         times.append(time.process_time() - start)
     assert times[1] < 5 * times[0] + 0.2
+
+
+@pytest.mark.parametrize("style", ["box", "label"])
+def test_whole_words_are_known_by_their_run(spark, style):
+    words = ["then", "Then", "e1", "é", "k", "ſki", "the_n", "redacted"]
+    table = Keywords(words, style, whole_word=True)
+    assert len(table.automaton) == 0 and not hasattr(table, "rules")
+    rules = keyword_rules(words, whole_word=True)
+    for text in ("Then the_n e1 É k K", "ſKI ski-THEN e1e1 then", "", "redacted then", "a then_ then. THEN"):
+        now, total, found = text, 0, {}
+        for rule in rules:
+            if n := len(rule.compiled().findall(text)):
+                found[rule.label] = found.get(rule.label, 0) + n
+            now, n = rule.compiled().subn("[REDACTED]" if style == "label" else (lambda m: "█" * len(m[0])), now)
+            total += n
+        assert table.redact(text) == (now, total) and table.counts(text) == found
+
+
+def test_detection_by_a_long_table_has_one_part_at_a_time(spark, tmp_path):
+    staging = Staging(spark)
+    docs = spark.createDataFrame([(1, "aa bb cc aa"), (2, None)], "id int, text string")
+    table = spark.createDataFrame([(i, w) for i, w in enumerate(["cc", "aa", "bb"])], "rule_no int, keyword string")
+    found = detect_keywords(docs, table, table_chars=2, staging=staging)
+    assert len(staging.paths) == 2
+    got = {r.id: [(m.label, m.n) for m in r.matches] for r in found.collect()}
+    assert got == {1: [('Keyword: "cc"', 1), ('Keyword: "aa"', 2), ('Keyword: "bb"', 1)], 2: []}
