@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.names import suffix
+from inkveil.plans.layout import with_small_batches
 from inkveil.sources.files import TEXT_SUFFIXES, decode_text
 from inkveil.sources.html import KEPT, page_markdown
 
@@ -65,7 +66,7 @@ def decode_references(text: Column) -> Column:
 
 def _pages_udf():
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array((None if p is None else page_markdown(p) for p in pages.to_pylist()), type=pa.string())
+        return pa.array((page_markdown(p.as_py()) if p.is_valid else None for p in pages), type=pa.string())
 
     return F.arrow_udf(run, "string").asNondeterministic()
 
@@ -116,7 +117,7 @@ def extract(
     plain, html = kind.isin(*TEXT_SUFFIXES), kind.isin(*HTML_SUFFIXES)
     source = F.coalesce(F.col(content), F.expr("X''"))
     decoded = decode_text(source)
-    work = df
+    work = df = with_small_batches(df)
     # The bytes of other files are not sent to Python.
     text = F.when(plain, decoded).when(html, html_to_markdown(F.when(html, decoded)))
     missing = F.concat(F.lit("No extractor for '"), kind, F.lit("'"))
