@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from inkveil.plans.layout import with_small_batches
 from inkveil.sources.files import scan_text_files
 
 MANIFEST = "run_id string, output string, size bigint"
@@ -47,7 +48,7 @@ class RunFilesWriter(DataSourceArrowWriter):
         store, _, draft = self._store()
         listed: dict[str, list[dict]] = {}
         for batch in iterator:
-            for run, output, markdown in zip(*(batch.column(c).to_pylist() for c in ("run_id", "output", "markdown")), strict=True):
+            for run, output, markdown in zip(*((v.as_py() for v in batch.column(c)) for c in ("run_id", "output", "markdown")), strict=True):
                 if any(p is None or p in ("", ".", "..") or "/" in p for p in (run, output)):
                     raise ValueError(f"Unsafe output path {[run, output]}")
                 if run not in listed:
@@ -107,7 +108,7 @@ def export_runs(outputs: DataFrame, folder: str) -> None:
     spark = outputs.sparkSession
     spark.dataSource.register(RunFiles)
     rows = outputs.filter(F.col("output") != "").select(F.col("run_id").cast("string").alias("run_id"), "output", "markdown")
-    rows.write.format("run_files").mode("append").save(folder)
+    with_small_batches(rows).write.format("run_files").mode("append").save(folder)
 
 
 def exported(spark: SparkSession, folder: str) -> DataFrame:
