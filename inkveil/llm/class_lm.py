@@ -19,10 +19,9 @@ task; the counts and classes of all others are found by joins.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress, repeat
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import batches, partitions, small_batches, stored, words_of
+from inkveil.llm.common import partitions, small_batches, stored
 
 
 @dataclass(frozen=True)
@@ -63,22 +62,53 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(text) % 10 == 0
 
 
+AT_ONCE = 1 << 22
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all in order, A-Z in lower case."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    some = np.asarray(pc.binary_length(flat)) > 0  # white space at either end leaves an empty piece
+    before = np.concatenate([[0], np.cumsum(some)])[offsets - offsets[0]]
+    return np.diff(before), flat.filter(pa.array(some)).cast(pa.binary())
+
+
+def _slices_of_texts(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (text last) in slices of at most ``AT_ONCE`` bytes or one text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(part.column(part.num_columns - 1))), dtype=np.int64)
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+        yield part.slice(begin, stop - begin)
+        begin = stop
+
+
 def word_counts(docs: DataFrame, model: ClassModel) -> DataFrame:
     """``(word, n)`` over the texts; every task sums before it passes counts on."""
-    out = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            counts: Counter = Counter()
-            for part in parts:
-                for text in part[0].to_pylist():
-                    counts.update(words_of(text))
-                    if len(counts) > model.held_words:
-                        yield from counts.items()
-                        counts.clear()
-            yield from counts.items()
-
-        yield from batches(rows(), out, 20_000)
+        kept, held = [], 0
+
+        def summed():
+            whole = pa.concat_tables(kept).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return whole.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+        for part in parts:
+            for some in _slices_of_texts(part):
+                found = _words(some.column(0))[1].value_counts()
+                kept.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                held += len(found)
+                if held > 2 * model.held_words:
+                    kept = [summed()]
+                    held = len(kept[0])
+                    if held > model.held_words:
+                        yield from kept.pop().to_batches(max_chunksize=20_000)
+                        held = 0
+        if kept:
+            yield from summed().to_batches(max_chunksize=20_000)
+        pa.default_memory_pool().release_unused()
 
     each = docs.select("text").mapInArrow(run, "word binary, n bigint")
     return each.groupBy("word").agg(F.sum("n").alias("n"))
@@ -88,25 +118,57 @@ def ending(word: bytes, endings: int) -> int:
     return zlib.crc32(word[-2:]) % endings
 
 
-_ENCODED = pa.schema(
-    [("doc_id", pa.int64()), ("h", pa.int64()), ("ids", pa.binary()), ("rare", pa.list_(pa.binary()))]
-)
+# A word that is not listed has the number -1 - tail: its last byte, or 256 and its last two.
+TAILS = 256 + 65_536
 
 
-def encoded_texts(docs: DataFrame, shared) -> DataFrame:
-    """Texts as numbers of listed words (-1: another word) and the other words in order."""
+def _tails(words: pa.Array) -> np.ndarray:
+    ends, signs = _binary(words)
+    size = np.diff(ends)
+    last = signs[ends[1:] - 1].astype(np.int32)
+    return np.where(size > 1, 256 + 256 * signs[np.maximum(ends[1:] - 2, 0)].astype(np.int32) + last, last)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w: i for i, w in enumerate(shared.value)}  # not kept: workers go on to other stages
 
-        def rows():
-            for part in parts:
-                for doc, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = words_of(text)
-                    at = np.fromiter(map(index.get, words, repeat(-1)), dtype="<i4", count=len(words))
-                    yield doc, h, at.tobytes(), [words[i] for i in np.flatnonzero(at < 0)]
+@lru_cache(maxsize=4)
+def _tail_endings(endings: int) -> np.ndarray:
+    """The ending of every tail."""
+    tails = [bytes([i]) for i in range(256)] + [i.to_bytes(2, "big") for i in range(65_536)]
+    return np.array([ending(t, endings) for t in tails], dtype=np.int32)
+
+
+def _binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the binary values begins (and the last one ends), and the bytes of all."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, dtype="<i4")[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, "<i4")
+    return at, np.frombuffer(data or b"", dtype=np.uint8)
+
 
-        yield from batches(rows(), _ENCODED, 200)
+def _binary_array(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values from where they begin in bytes."""
+    buffers = [None, pa.py_buffer(offsets.astype("<i4").tobytes()), pa.py_buffer(data.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+
+def encoded_texts(docs: DataFrame, shared) -> DataFrame:
+    """Texts as numbers of listed words (below 0: another word) and the other words in order."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = pa.array(shared.value, pa.binary())  # not kept: workers go on to other stages
+        for part in parts:
+            for some in _slices_of_texts(part):
+                counts, words = _words(some.column("text"))
+                found = pc.index_in(words, value_set=listed)
+                other = np.asarray(pc.is_null(found))
+                rare = words.filter(pa.array(other))
+                at = np.asarray(found.fill_null(0)).astype("<i4")
+                at[other] = -1 - _tails(rare)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                of_rare = np.concatenate([[0], np.cumsum(other)])[ends].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), some.column("h"), _binary_array(4 * ends, at), pa.ListArray.from_arrays(of_rare, rare)],
+                    names=["doc_id", "h", "ids", "rare"],
+                )
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "h", "text").mapInArrow(
         run, "doc_id bigint, h bigint, ids binary, rare array<binary>"
@@ -129,21 +191,27 @@ def text_runs(ids: bytes, rare: list[bytes], end: int) -> Iterator[Run]:
         used += others
 
 
-def token_runs(parts: Iterator[pa.RecordBatch], end: int) -> Iterator[Run]:
-    """All texts of ``(ids, rare)`` as runs, each beginning with the last token of the one before."""
-    at, rare, held = [np.array([end])], [], 1
+def _with_ends(ids: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts, with an ``end`` behind each; and where these ends are."""
+    offsets, raw = _binary(ids)
+    numbers = raw[offsets[0] : offsets[-1]].view("<i4")
+    ends = (offsets[1:] - offsets[0]) // 4 + np.arange(len(ids))
+    out = np.full(len(numbers) + len(ids), end, dtype=np.int32)
+    of_words = np.ones(len(out), dtype=bool)
+    of_words[ends] = False
+    out[of_words] = numbers
+    return out, ends
+
+
+def token_runs(parts: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+    """All texts of ``(ids)`` as runs, each beginning with the last token of the one before."""
+    last = np.array([end], dtype=np.int32)
     for part in parts:
-        for ids, others in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            for more, words in text_runs(ids, others, end):
-                at.append(more)
-                rare += words
-                held += len(more)
-                if held > MOST_IN_RUN:
-                    whole = np.concatenate(at)
-                    yield whole, rare
-                    at, rare, held = [whole[-1:]], rare[-1:] if whole[-1] < 0 else [], 1
-    if held > 1:
-        yield np.concatenate(at), rare
+        at, _ = _with_ends(part.column(0), end)
+        for i in range(0, len(at), MOST_IN_RUN):
+            whole = np.concatenate([last, at[i : i + MOST_IN_RUN]])
+            yield whole
+            last = whole[-1:]
 
 
 @dataclass(frozen=True)
@@ -162,12 +230,19 @@ class Classes:
     def size(self) -> int:
         return self.first_ending + self.endings + 1
 
-    def of(self, at: np.ndarray, rare: list[bytes]) -> np.ndarray:
+    @property
+    def end_class(self) -> int:
+        return int(self.label[-1])
+
+    @cached_property
+    def _by_number(self) -> np.ndarray:
+        """Classes by number; those of tails, from the back, by numbers below 0."""
+        tails = self.first_ending + _tail_endings(self.endings)[::-1]
+        return np.concatenate([self.label, tails]).astype(np.int64)
+
+    def of(self, at: np.ndarray) -> np.ndarray:
         """Classes along a run; words that are not listed stand in that of their ending."""
-        found = self.label[at]
-        if rare:
-            found[at < 0] = [self.first_ending + ending(w, self.endings) for w in rare]
-        return found
+        return self._by_number[at]
 
 
 def seed_bigrams(texts: DataFrame, symbols, size: int) -> np.ndarray:
@@ -176,13 +251,12 @@ def seed_bigrams(texts: DataFrame, symbols, size: int) -> np.ndarray:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = symbols.value
         total = np.zeros(size**2, dtype=np.int64)
-        for at, rare in token_runs(parts, own.end):
-            chain = own.of(at, rare)
-            values, n = np.unique(chain[:-1] * size + chain[1:], return_counts=True)
-            total[values] += n
+        for at in token_runs(parts, own.end):
+            chain = own.of(at)
+            total += np.bincount(chain[:-1] * size + chain[1:], minlength=size**2)
         yield from _table_rows(total[:, None])
 
-    return _table(texts.select("ids", "rare").mapInArrow(run, "pair bigint, n0 bigint"), size, 1)[0]
+    return _table(texts.select("ids").mapInArrow(run, "pair bigint, n0 bigint"), size, 1)[0]
 
 
 def class_tables(texts: DataFrame, shared, size: int) -> np.ndarray:
@@ -191,14 +265,14 @@ def class_tables(texts: DataFrame, shared, size: int) -> np.ndarray:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         total = np.zeros((size**2, 2), dtype=np.int64)
-        for at, rare in token_runs(parts, own.end):
-            chain = own.of(at, rare)
+        for at in token_runs(parts, own.end):
+            chain = own.of(at)
             pairs = chain[:-1] * size + chain[1:]
             total[:, 0] += np.bincount(pairs, minlength=size**2)
             total[:, 1] += np.bincount(pairs[(at[:-1] >= 0) & (at[1:] >= 0)], minlength=size**2)
         yield from _table_rows(total)
 
-    return _table(texts.select("ids", "rare").mapInArrow(run, "pair bigint, n0 bigint, n1 bigint"), size, 2)
+    return _table(texts.select("ids").mapInArrow(run, "pair bigint, n0 bigint, n1 bigint"), size, 2)
 
 
 def _table_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -241,9 +315,10 @@ def listed_cells(texts: DataFrame, shared, size: int, turn: tuple[int, int, int]
             for i in range(0, len(values), 200_000):
                 yield _packed(values[i : i + 200_000], n[i : i + 200_000], size, out)
 
-        for at, rare in token_runs(parts, own.end):
-            chain = own.of(at, rare)
-            word = (at >= 0) & moving[at]
+        for at in token_runs(parts, own.end):
+            chain = own.of(at)
+            word = (at >= 0) & moving[np.maximum(at, 0)]
+            at = at.astype(np.int64)
             left = (at[1:] * 2 * size + chain[:-1])[word[1:]]
             right = (at[:-1] * 2 * size + size + chain[1:])[word[:-1]]
             values, n = np.unique(np.concatenate([left, right]), return_counts=True)
@@ -259,7 +334,7 @@ def listed_cells(texts: DataFrame, shared, size: int, turn: tuple[int, int, int]
         if keys:
             yield from given(*_summed(keys, sums))
 
-    rows = texts.select("ids", "rare").mapInArrow(run, "at int, cells binary")
+    rows = texts.select("ids").mapInArrow(run, "at int, cells binary")
     return rows.repartition(partitions(texts.sparkSession), "at").sortWithinPartitions("at")
 
 
@@ -296,7 +371,7 @@ def best_listed(cells: DataFrame, table, shared) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bigrams, label = table.value, shared.value.label
-        width = 2 * len(bigrams)
+        width, gains = 2 * len(bigrams), Gains(bigrams)
 
         def chosen(keys, n):
             at, ctx = keys // width, keys % width
@@ -304,7 +379,7 @@ def best_listed(cells: DataFrame, table, shared) -> DataFrame:
             for i, j in _slices(np.append(starts[1:], len(at))):
                 low, high = starts[i], starts[j] if j < len(starts) else len(at)
                 some = at[starts[i:j]]
-                best = best_classes(bigrams, label[some], ctx[low:high], n[low:high].astype(float), starts[i:j] - low)
+                best = best_classes(bigrams, label[some], ctx[low:high], n[low:high].astype(float), starts[i:j] - low, gains)
                 columns = [pa.array(some.astype(np.int32)), pa.array(best.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
@@ -336,96 +411,167 @@ def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = stop
 
 
-def rare_cells(texts: DataFrame, shared, size: int, model: ClassModel) -> DataFrame:
-    """``(word, cells)`` of the words that are not listed; 2 size + ctx: such a word stands right of it."""
-    out = pa.schema([("word", pa.binary()), ("ctx", pa.int32()), ("n", pa.int64())])
+def rare_places(texts: DataFrame, shared, size: int) -> DataFrame:
+    """``(word, l, r)``, sorted, of words that are not listed: the class on the left, and on the right.
+
+    On the right it is size + the class, or 2 size + it if such a word stands
+    there.  No such word has more places than the least frequent listed one.
+    """
+    out = pa.schema([("word", pa.binary()), ("l", pa.int32()), ("r", pa.int32())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        for part in parts:
+            at, _ = _with_ends(part.column(0), own.end)
+            words = part.column(1).flatten()
+            where = np.flatnonzero(at < 0)
+            for i in range(0, len(where), 20_000):
+                some = where[i : i + 20_000]
+                right = at[some + 1]  # a text's last word has its end there
+                l = np.where(some > 0, own.of(at[some - 1]), own.end_class)
+                r = own.of(right) + np.where(right < 0, 2 * size, size)
+                columns = [words.slice(i, len(some)), pa.array(l.astype(np.int32)), pa.array(r.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-        def rows():
-            counts: Counter = Counter()
-            for at, rare in token_runs(parts, own.end):
-                if not rare:
-                    continue
-                chain, where = own.of(at, rare), np.flatnonzero(at < 0)
-                behind = where > 0
-                counts.update(zip(compress(rare, behind), chain[where[behind] - 1].tolist()))
-                ahead = where < len(at) - 1
-                to = where[ahead] + 1
-                ctx = chain[to] + np.where(at[to] < 0, 2 * size, size)
-                counts.update(zip(compress(rare, ahead), ctx.tolist()))
-                if len(counts) > model.held_words:
-                    yield from ((w, c, n) for (w, c), n in counts.items())
-                    counts.clear()
-            yield from ((w, c, n) for (w, c), n in counts.items())
-
-        yield from batches(rows(), out, 20_000)
-
-    cells = texts.select("ids", "rare").mapInArrow(run, "word binary, ctx int, n bigint")
-    dealt = cells.repartition(partitions(texts.sparkSession), "word")  # serves both groupings
-    sums = dealt.groupBy("word", "ctx").agg(F.sum("n").alias("n"))
-    # At most three cells per class.
-    return sums.groupBy("word").agg(F.collect_list(F.struct("ctx", "n")).alias("cells"))
-
-
-def best_classes(table: np.ndarray, own: np.ndarray, ctx: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    places = texts.select("ids", "rare").mapInArrow(run, "word binary, l int, r int")
+    return places.repartition(partitions(texts.sparkSession), "word").sortWithinPartitions("word")
+
+
+_RARE_CELL = np.dtype([("ctx", "<i4"), ("n", "<i8")])
+MOST_HELD = 1 << 17
+
+
+def _rare_sums(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Words, and sums ``word * width + ctx`` of their cells; a word that goes on is kept as its sums."""
+    last, keys, sums = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kept, held = [], 0
+
+    def grouped():
+        whole = pa.Table.from_batches(kept).combine_chunks()
+        words = pa.concat_arrays([last, *whole.column(0).chunks])
+        new = np.ones(len(words), dtype=bool)
+        new[1:] = np.asarray(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)))
+        number = (np.cumsum(new) - 1)[len(last) :] * width
+        places = [keys, *(number + whole.column(c).to_numpy() for c in (1, 2))]
+        return words.filter(pa.array(new)), *_summed(places, [sums, np.ones(2 * len(number), dtype=np.int64)])
+
+    for part in parts:
+        kept.append(part)
+        held += len(part)
+        if held > MOST_HELD:
+            words, values, n = grouped()
+            ready, kept, held = len(words) - 1, [], 0
+            whole = int(np.searchsorted(values, ready * width))
+            if ready:
+                yield words.slice(0, ready), values[:whole], n[:whole]
+            last, keys, sums = words.slice(ready), values[whole:] - ready * width, n[whole:]
+    if kept:
+        yield grouped()
+    elif len(last):
+        yield last, keys, sums
+
+
+class Gains:
+    """What counts from 0 to ``most`` add to the likelihood of a class table, worked out once."""
+
+    most = 32
+
+    def __init__(self, table: np.ndarray):
+        k = len(table) - 1
+        n = np.arange(self.most + 1.0)
+        self.near = np.concatenate([table[:, :k], table[:k].T])  # by context: a class on the left, on the right
+        self.near_gain = self._all(self.near, n[:, None, None]).reshape(-1, k)
+        self.sums = np.stack([table.sum(0)[:k], table.sum(1)[:k]])
+        self.sums_gain = self._all(self.sums, n[:, None, None])
+
+    @staticmethod
+    def _all(base: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return _xlogx(base + n) - _xlogx(base)
+
+    def of_cells(self, row: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at = np.minimum(n, self.most).astype(np.int64) * len(self.near) + row
+        out = self.near_gain[at]
+        more = np.flatnonzero(n > self.most)
+        out[more] = self._all(self.near[row[more]], n[more, None])
+        return out
+
+    def of_sums(self, side: int, n: np.ndarray) -> np.ndarray:
+        out = self.sums_gain[np.minimum(n, self.most).astype(np.int64), side]
+        more = np.flatnonzero(n > self.most)
+        out[more] = self._all(self.sums[side], n[more, None])
+        return out
+
+
+def best_classes(
+    table: np.ndarray, own: np.ndarray, ctx: np.ndarray, n: np.ndarray, starts: np.ndarray, gains: Gains | None = None
+) -> np.ndarray:
     """The class of highest likelihood for each word, given the class bigrams of all others.
 
     The cells of word i begin at ``starts[i]``; ``own`` is its class in
     ``table`` (a word next to itself counts as next to another of its class), or -1 if its counts are not to be taken out.  A tie with the
     own class stays, other ties go to the lower class.
     """
+    gains = gains or Gains(table)
     size = len(table)
     k = size - 1  # all but the end
     owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ctx))))
     left, c = ctx < size, ctx % size
-    near = np.zeros((2, len(starts), k))  # by word: counts of classes on its left, its right
-    np.add.at(near, ((~left & (c < k)).astype(int)[c < k], owner[c < k], c[c < k]), n[c < k])
+    inner = c < k
+    cell = ((~left).astype(np.int64) * len(starts) + owner) * k + c
+    near = np.bincount(cell[inner], weights=n[inner], minlength=2 * len(starts) * k)
+    near = near.reshape(2, len(starts), k)  # by word: counts of classes on its left, its right
     has = np.flatnonzero(own >= 0)
 
+    row = np.where(left, c, size + c)
+    gain = gains.of_cells(row, n)
     # The table without the word: its own class loses what stands next to it.
-    base = np.where(left[:, None], table[c, :k], table[:k].T[c])
     mine = np.flatnonzero(own[owner] >= 0)
-    base[mine, own[owner[mine]]] -= n[mine]
+    base = gains.near[row[mine], own[owner[mine]]] - n[mine]
+    gain[mine, own[owner[mine]]] = Gains._all(np.maximum(base, 0), n[mine])
     in_own = np.flatnonzero(c == own[owner])
-    base[in_own] -= near[left[in_own].astype(int), owner[in_own]]
-    base = np.maximum(base, 0)
-    gain = np.add.reduceat(_xlogx(base + n[:, None]) - _xlogx(base), starts, axis=0)
+    base = gains.near[row[in_own]]
+    base[np.arange(len(in_own)), own[owner[in_own]]] -= n[in_own]
+    base -= near[left[in_own].astype(int), owner[in_own]]
+    gain[in_own] = Gains._all(np.maximum(base, 0), n[in_own, None])
+    gain = np.add.reduceat(gain, starts, axis=0)
     # Where a class stands on both sides, one count of the table takes both.
     word, both = np.nonzero((near[0] > 0) & (near[1] > 0))
     l, r = near[0, word, both], near[1, word, both]
     d = np.maximum(table[both, both] - np.where(own[word] == both, l + r, 0), 0)
-    np.add.at(gain, (word, both), _xlogx(d + l + r) - _xlogx(d + l) - _xlogx(d + r) + _xlogx(d))
-    for side, sums in ((left, table.sum(0)[:k]), (~left, table.sum(1)[:k])):
+    gain[word, both] += _xlogx(d + l + r) - _xlogx(d + l) - _xlogx(d + r) + _xlogx(d)
+    for i, side in enumerate((left, ~left)):
         amount = np.bincount(owner, weights=n * side, minlength=len(starts))
-        rest = np.repeat(sums[None, :], len(starts), axis=0)
-        rest[has, own[has]] = np.maximum(rest[has, own[has]] - amount[has], 0)
-        gain -= _xlogx(rest + amount[:, None]) - _xlogx(rest)
+        lost = gains.of_sums(i, amount)
+        rest = np.maximum(gains.sums[i, own[has]] - amount[has], 0)
+        lost[has, own[has]] = Gains._all(rest, amount[has])
+        gain -= lost
     gain[has, own[has]] += 1e-9
     return gain.argmax(1)
 
 
-def best_rare(cells: DataFrame, table) -> DataFrame:
-    """``(word, n, cls, cells)``: each word's count and best class, with its cells."""
-    names = ["word", "n", "cls", "cells"]
+def best_rare(places: DataFrame, table) -> DataFrame:
+    """``(word, n, cls, cells)``: each word's count and best class, with its cells (at most three per class)."""
+    out = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("cls", pa.int32()), ("cells", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bigrams = table.value
-        for part in parts:
-            ends = np.cumsum(part.column("cells").value_lengths().to_numpy())
+        width, gains = 3 * len(bigrams), Gains(bigrams)
+        for words, keys, sums in _rare_sums(parts, width):
+            ctx, n = keys % width, sums.astype(float)
+            starts = np.searchsorted(keys, np.arange(len(words)) * width)
+            ends = np.append(starts[1:], len(keys))
+            best = np.zeros(len(words), dtype=np.int32)
             for i, j in _slices(ends):
-                rows = part.slice(i, j - i)
-                flat = rows.column("cells").flatten()
-                ctx, n = flat.field("ctx").to_numpy(), flat.field("n").to_numpy().astype(float)
-                before = ends[i - 1] if i else 0
-                starts = np.concatenate([[0], ends[i : j - 1] - before]).astype(np.int64)
-                best = best_classes(bigrams, np.full(len(starts), -1), ctx, n, starts)
-                seen = np.add.reduceat(n * (ctx < len(bigrams)), starts).astype(np.int64)
-                columns = [rows.column(0), pa.array(seen), pa.array(best.astype(np.int32)), rows.column("cells")]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                low, high = starts[i], ends[j - 1]
+                best[i:j] = best_classes(bigrams, np.full(j - i, -1), ctx[low:high], n[low:high], starts[i:j] - low, gains)
+            seen = np.add.reduceat(sums * (ctx < len(bigrams)), starts)
+            cells = np.empty(len(keys), dtype=_RARE_CELL)
+            cells["ctx"], cells["n"] = ctx, sums
+            packed = _binary_array(_RARE_CELL.itemsize * np.append(starts, len(keys)), cells)
+            whole = pa.RecordBatch.from_arrays([words, pa.array(seen), pa.array(best), packed], schema=out)
+            yield from (whole.slice(i, 20_000) for i in range(0, len(words), 20_000))
 
-    return cells.mapInArrow(run, "word binary, n bigint, cls int, cells array<struct<ctx:int,n:bigint>>")
+    return places.mapInArrow(run, "word binary, n bigint, cls int, cells binary")
 
 
 def rare_table(words: DataFrame, size: int) -> np.ndarray:
@@ -434,9 +580,10 @@ def rare_table(words: DataFrame, size: int) -> np.ndarray:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size**2, 1), dtype=np.int64)
         for part in parts:
-            flat = part.column(1).flatten()
-            ctx, n = flat.field("ctx").to_numpy(), flat.field("n").to_numpy()
-            cls = np.repeat(part.column(0).to_numpy(), part.column(1).value_lengths().to_numpy())
+            ends, raw = _binary(part.column(1))
+            flat = raw[ends[0] : ends[-1]].view(_RARE_CELL)
+            ctx, n = flat["ctx"].astype(np.int64), flat["n"]
+            cls = np.repeat(part.column(0).to_numpy().astype(np.int64), np.diff(ends) // _RARE_CELL.itemsize)
             for side, pairs in ((ctx < size, ctx * size + cls), (ctx // size == 1, cls * size + ctx % size)):
                 total[:, 0] += np.bincount(pairs[side], weights=n[side], minlength=size**2).astype(np.int64)
         yield from _table_rows(total)
@@ -553,94 +700,92 @@ def train(texts: DataFrame, words: list[bytes], counts: np.ndarray, model: Class
         if likelihood(after[0]) <= likelihood(tables[0]):
             break
         classes, shared, tables = tried, tried_shared, after
-    cells = rare_cells(texts, shared, size, model)
-    others = stored(best_rare(cells, share(tables[0])), "classes")
+    others = stored(best_rare(rare_places(texts, shared, size), share(tables[0])), "classes")
     return classes, tables[1] + rare_table(others, size), others
 
 
 _SCORED = [
     *(pa.field(c, pa.int64()) for c in ("doc_id", "h", "n_tokens", "n_known")),
     *(pa.field(c, pa.float64()) for c in ("base", "score")),
-    pa.field("n_rare", pa.int64()),
-    *(pa.field(c, t) for side in "lr" for c, t in ((f"{side}c", pa.int32()), (f"{side}w", pa.binary()))),
-    pa.field("n", pa.int64()),
+    *(pa.field(c, pa.int64()) for c in ("n_rare", "n")),
+    *(pa.field(c, pa.binary()) for c in ("word", "next")),
+    *(pa.field(c, pa.int32()) for c in ("lc", "rc")),
 ]
 _SCORED_DDL = (
     "doc_id bigint, h bigint, n_tokens bigint, n_known bigint, base double, score double, n_rare bigint, "
-    "lc int, lw binary, rc int, rw binary, n bigint"
+    "n bigint, word binary, next binary, lc int, rc int"
 )
 
 
-def score_listed(texts: DataFrame, trained, model: ClassModel) -> DataFrame:
-    """A row per text with its score by the listed words, and rows of the pairs with another word.
+def score_listed(texts: DataFrame, trained) -> DataFrame:
+    """A row per text with its score by the listed words, and rows of the other words.
 
-    Such a row has ``n`` times a class or a word on the left (lc, lw) and on
-    the right (rc, rw); their classes and counts are still to be found.
+    Such a row has ``n`` times a ``word`` that is not listed, between the
+    classes lc and rc, or the one behind it, ``next``, instead of rc; lc is
+    NULL behind another such word.  Their classes and counts are still to be
+    found.
     """
 
+    def rows(**columns) -> pa.RecordBatch:
+        size = len(columns["doc_id"])
+        full = [columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _SCORED]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(full, _SCORED, strict=True)], schema=pa.schema(_SCORED))
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trained.value
-        own = t.classes
-
-        texts_kept: list[list] = [[] for _ in range(7)]
-        pairs_kept: list[list] = [[] for _ in range(7)]
-
-        def given():
-            for kept, of in ((texts_kept, _SCORED[:7]), (pairs_kept, _SCORED[:2] + _SCORED[7:])):
-                if kept[0]:
-                    full = {f.name: pa.array(c, type=f.type) for f, c in zip(of, kept, strict=True)}
-                    none = {f.name: pa.nulls(len(kept[0]), f.type) for f in _SCORED if f.name not in full}
-                    columns = {**full, **none}
-                    yield pa.RecordBatch.from_arrays([columns[f.name] for f in _SCORED], schema=pa.schema(_SCORED))
-                    for column in kept:
-                        column.clear()
-
-        def keep(doc, h, pairs):
-            for column, values in zip(pairs_kept[2:6], zip(*pairs), strict=True):
-                column.extend(values)
-            pairs_kept[0].extend([doc] * len(pairs))
-            pairs_kept[1].extend([h] * len(pairs))
-            pairs_kept[6].extend(pairs.values())
-            pairs.clear()
-
+        own, none = t.classes, t.classes.size
         for part in parts:
-            for doc, h, ids, rare in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                pairs: Counter = Counter()
-                tokens = known = base = score = 0
-                last, last_word = own.end, []
-                for at, words in text_runs(ids, rare, own.end):
-                    at, words = np.concatenate([[last], at]), last_word + words
-                    chain = own.of(at, words)
-                    listed = at >= 0
-                    both = listed[:-1] & listed[1:]
-                    here = at[1:][listed[1:]]
-                    tokens += len(at) - 1
-                    known += len(here)
-                    base += t.base[here].sum()
-                    score += t.emission[here].sum()
-                    score += t.transition[chain[:-1][both], chain[1:][both]].sum()
-                    if words:
-                        number, left = np.cumsum(~listed) - 1, np.flatnonzero(~both)
-                        sides = []
-                        for i in (left, left + 1):
-                            triples = list(zip(listed[i].tolist(), chain[i].tolist(), number[i].tolist(), strict=True))
-                            sides.append([c if is_listed else None for is_listed, c, _ in triples])
-                            sides.append([None if is_listed else words[j] for is_listed, _, j in triples])
-                        pairs.update(zip(*sides, strict=True))
-                    if len(pairs) > model.held_words:
-                        keep(doc, h, pairs)
-                        yield from given()
-                    last, last_word = int(at[-1]), words[-1:] if at[-1] < 0 else []
-                if pairs:
-                    keep(doc, h, pairs)
-                base -= len(rare) * t.base_total
-                ends = 0 if t.end_known else 1
-                row = (doc, h, tokens, known - ends, float(base), float(score), len(rare))
-                for column, value in zip(texts_kept, row, strict=True):
-                    column.append(value)
-                if len(texts_kept[0]) + len(pairs_kept[0]) > 10_000:
-                    yield from given()
-        yield from given()
+            doc, h, words = part.column("doc_id"), part.column("h"), part.column("rare").flatten()
+            whole, ends = _with_ends(part.column("ids"), own.end)
+            known, others = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+            base, score = np.zeros(len(ends)), np.zeros(len(ends))
+            used = 0
+            for i in range(0, len(whole), MOST_IN_RUN):
+                # A token more on both sides: what pairs with the first and the last.
+                stop = min(i + MOST_IN_RUN, len(whole))
+                before = whole[i - 1 : i] if i else [own.end]
+                after = whole[stop : stop + 1] if stop < len(whole) else [own.end]
+                at = np.concatenate([before, whole[i:stop], after])
+                chain, listed = own.of(at), at >= 0
+                text = np.searchsorted(ends, np.arange(i, stop))
+                first, stop_text = text[0], text[-1] + 1
+                here = listed[1:-1]
+                step = np.where(here, t.emission[np.maximum(at[1:-1], 0)], 0.0)
+                step += np.where(here & listed[:-2], t.transition[chain[:-2], chain[1:-1]], 0.0)
+                single = np.where(here, t.base[np.maximum(at[1:-1], 0)], 0.0)
+                for total, weights in ((known, here), (others, ~here), (base, single), (score, step)):
+                    total[first:stop_text] += np.bincount(text - first, weights=weights).astype(total.dtype)
+                place = np.flatnonzero(~here)
+                if not len(place):
+                    continue
+                # A word's number among all that are not listed; also that of the one behind a run.
+                some = words.slice(used, len(place) + (at[-1] < 0)).dictionary_encode()
+                used += len(place)
+                code = some.indices.to_numpy().astype(np.int64)
+                number = np.cumsum(~here) - 1
+                lc = np.where(listed[place], chain[place], none)
+                follows = ~listed[place + 2]
+                rc = np.where(follows, none + 1 + code[np.minimum(number[place] + 1, len(code) - 1)], chain[place + 2])
+                width = none + 1 + len(some.dictionary)
+                key = ((text[place] - first) * len(some.dictionary) + code[number[place]]) * (none + 1) + lc
+                _, at_first, n = np.unique(key * width + rc, return_index=True, return_counts=True)  # below 2**58
+                for j in range(0, len(n), 20_000):
+                    one = at_first[j : j + 20_000]
+                    owner = pa.array(text[place[one]])
+                    yield rows(
+                        doc_id=doc.take(owner),
+                        h=h.take(owner),
+                        n=n[j : j + 20_000],
+                        word=some.dictionary.take(pa.array(code[number[place[one]]])),
+                        next=some.dictionary.take(pa.array(rc[one] - none - 1, mask=~follows[one])),
+                        lc=pa.array(lc[one].astype(np.int32), mask=lc[one] == none),
+                        rc=pa.array(np.where(follows[one], 0, rc[one]).astype(np.int32), mask=follows[one]),
+                    )
+            ends_known = 0 if t.end_known else 1
+            yield rows(
+                doc_id=doc, h=h, n_tokens=known + others, n_known=known - ends_known,
+                base=base - others * t.base_total, score=score, n_rare=others,
+            )
         pa.default_memory_pool().release_unused()
 
     return texts.select("doc_id", "h", "ids", "rare").mapInArrow(run, _SCORED_DDL)
@@ -694,7 +839,7 @@ def score_texts(docs: DataFrame, model: ClassModel = ClassModel()) -> DataFrame:
         base_total,
         ends > 0,
     )
-    part = stored(score_listed(texts, spark.sparkContext.broadcast(trained), model), "scores")
+    part = stored(score_listed(texts, spark.sparkContext.broadcast(trained)), "scores")
     return _with_rare(part, others, trained, tokens, model)
 
 
@@ -703,41 +848,39 @@ def _with_rare(part: DataFrame, others: DataFrame, trained: Trained, tokens: int
     spark, classes = part.sparkSession, trained.classes
 
     known = others.select("word", F.col("n").alias("seen"), "cls")
+    size = classes.size
 
-    def looked_up(pairs: DataFrame) -> DataFrame:
+    def looked_up(rows: DataFrame) -> DataFrame:
         tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(classes.endings)) + classes.first_ending
-        return pairs.join(known, "word", "left").withColumn("cls", F.coalesce("cls", tail.cast("int")))
-
-    pairs = part.filter(F.col("n").isNotNull()).select("doc_id", "h", "lc", "lw", "rc", "rw", "n")
-    right = F.col("rw").isNotNull()
-    names = ["doc_id", "h", "lc", "rc", "right", "seen", "n"]
-    one = looked_up(
-        pairs.filter(F.col("lw").isNull() | F.col("rw").isNull()).select(
-            "doc_id", "h", "lc", "rc", right.alias("right"), F.coalesce("lw", "rw").alias("word"), "n"
-        )
-    ).select("doc_id", "h", F.coalesce("lc", "cls").alias("lc"), F.coalesce("rc", "cls").alias("rc"), *names[4:])
-    two = pairs.filter(F.col("lw").isNotNull() & right).select("doc_id", "h", F.col("lw").alias("word"), "rw", "n")
-    two = looked_up(two).select("doc_id", "h", F.col("cls").alias("lc"), F.col("rw").alias("word"), "n")
-    two = looked_up(two).withColumns({"rc": F.col("cls"), "right": F.lit(True)}).select(names)
-    found = one.unionByName(two)
-    size = classes.size
-    table = pa.table(
-        {
-            "lc": pa.array(np.repeat(np.arange(size), size).astype(np.int32)),
-            "rc": pa.array(np.tile(np.arange(size), size).astype(np.int32)),
-            "step": pa.array(trained.transition.ravel()),
-        }
-    )
-    found = found.join(F.broadcast(spark.createDataFrame(table)), ["lc", "rc"])  # size squared rows
-    seen = F.coalesce("seen", F.lit(0))
-    right = F.col("right")
-    count = F.when(right, F.log10(seen + model.add)).otherwise(0.0)
-    total = F.element_at(F.array(*[F.lit(float(x)) for x in trained.smoothed]), F.col("rc") + 1)
-    sums = found.groupBy("doc_id", "h").agg(
-        F.sum(F.col("n") * count).alias("add_base"),
-        F.sum(F.col("n") * (F.col("step") + count - F.when(right, total).otherwise(0.0))).alias("add"),
-        F.sum(F.when(right & (seen > 0), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.when(right, F.col("n")).otherwise(0)).alias("k"),
+        return rows.join(known, "word", "left").withColumn("cls", F.coalesce("cls", tail.cast("int")))
+
+    table = pa.table({"pair": pa.array(np.arange(size**2)), "step": pa.array(trained.transition.ravel())})
+    steps = F.broadcast(spark.createDataFrame(table))  # size squared rows
+
+    def with_step(rows: DataFrame, into: str, left: str, right: str) -> DataFrame:
+        """NULL where there is no class on one of the sides."""
+        pair = (F.col(left).cast("bigint") * size + F.col(right)).alias("pair")
+        return rows.withColumn("pair", pair).join(steps.withColumnRenamed("step", into), "pair", "left").drop("pair")
+
+    words = part.filter(F.col("n").isNotNull()).select("doc_id", "h", "word", "next", "lc", "rc", "n")
+    one = looked_up(words.drop("next"))
+    one = with_step(with_step(one, "from_left", "lc", "cls"), "to_right", "cls", "rc")
+    seen, n = F.coalesce("seen", F.lit(0)), F.col("n")
+    count = F.log10(seen + model.add)
+    total = F.element_at(F.array(*[F.lit(float(x)) for x in trained.smoothed]), F.col("cls") + 1)
+    around = F.coalesce("from_left", F.lit(0.0)) + F.coalesce("to_right", F.lit(0.0))
+    one = one.select(
+        "doc_id", "h", (n * count).alias("base"), (n * (around + count - total)).alias("score"),
+        F.when(seen > 0, n).otherwise(0).alias("known"), n.alias("k"),
+    )
+    two = looked_up(words.filter(F.col("next").isNotNull()).select("doc_id", "h", "word", "next", "n"))
+    two = looked_up(two.select("doc_id", "h", F.col("cls").alias("lc"), F.col("next").alias("word"), "n"))
+    two = with_step(two, "step", "lc", "cls").select(
+        "doc_id", "h", F.lit(0.0).alias("base"), (n * F.col("step")).alias("score"),
+        F.lit(0).cast("bigint").alias("known"), F.lit(0).cast("bigint").alias("k"),
+    )
+    sums = one.unionByName(two).groupBy("doc_id", "h").agg(
+        F.sum("base").alias("add_base"), F.sum("score").alias("add"), F.sum("known").alias("known"), F.sum("k").alias("k")
     )
     key = F.struct("doc_id", "h").alias("key")  # never NULL
     per_text = sums.select(key, "add_base", "add", "known", "k")

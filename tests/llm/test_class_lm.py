@@ -252,3 +252,62 @@ def test_packed_cells_and_sums():
     assert part.column(0).to_pylist() == [0, 1, 4] and got == dict(zip(keys.tolist(), n.tolist()))
     values, sums = class_lm._summed([keys, keys[:2]], [n, n[:2]])
     assert values.tolist() == keys.tolist() and sums.tolist() == [2, 131_070, *n[2:].tolist()]
+
+
+def test_words_and_endings_of_a_batch_are_those_of_each_text():
+    texts = ["", "  ", "a", " B\x0bc\x0c\td ", "É\x1cx\x85  y z  ẞ", "\n\n", "x" * 9 + " é"]
+    counts, words = class_lm._words(class_lm.pa.array(texts).slice(1))
+    assert counts.tolist() == [len(words_of(t)) for t in texts[1:]]
+    assert words.to_pylist() == [w for t in texts[1:] for w in words_of(t)]
+    tails = class_lm._tail_endings(7)[class_lm._tails(words)]
+    assert tails.tolist() == [ending(w, 7) for w in words.to_pylist()]
+
+
+def test_counts_of_classes_read_numbers_alone(spark):
+    """Passes over the training texts that need no other words do not read them."""
+    listed = [b"a", b"b"]
+    docs = spark.createDataFrame([(1, 0, "a b xy a"), (2, 0, "zq b")], "doc_id bigint, h bigint, text string")
+    texts = encoded_texts(docs, spark.sparkContext.broadcast(listed))
+    classes = class_lm.Classes(np.array([0, 1, 2 + 4]), 2, 4)
+    tables = class_lm.class_tables(texts.drop("rare"), spark.sparkContext.broadcast(classes), classes.size)
+    want = np.zeros((2, 7, 7))
+    for words in ([b"a", b"b", b"xy", b"a"], [b"zq", b"b"]):
+        seen = [(listed.index(w), True) if w in listed else (2 + ending(w, 4), False) for w in words]
+        for (x, i), (y, j) in zip([(6, True), *seen], [*seen, (6, True)]):
+            want[0, x, y] += 1
+            want[1, x, y] += i and j
+    assert (tables == want).all()
+
+
+def test_gains_worked_out_once_choose_alike(monkeypatch):
+    rng = np.random.default_rng(4)
+    size = 6
+    table = rng.integers(50, 400, (size, size)).astype(float)
+    ctx = np.concatenate([np.sort(rng.choice(2 * size, 5, replace=False)) for _ in range(200)])
+    n, starts = rng.integers(1, 60, len(ctx)).astype(float), np.arange(200) * 5
+    for own in (np.full(200, -1), rng.integers(0, size - 1, 200)):
+        got = best_classes(table, own, ctx, n, starts, class_lm.Gains(table))
+        monkeypatch.setattr(class_lm.Gains, "most", 0)  # all counts beyond those worked out
+        assert (got == best_classes(table, own, ctx, n, starts)).all()
+        monkeypatch.undo()
+
+
+def test_cells_of_a_word_over_many_batches(monkeypatch):
+    """A word that goes on over batches is kept as sums, the last one comes out whole."""
+    monkeypatch.setattr(class_lm, "MOST_HELD", 3)
+    words = [b"a"] * 7 + [b"b"] + [b"c"] * 4
+    rows = [(w, i % 2, 4 + i % 3) for i, w in enumerate(words)]
+    parts = [
+        class_lm.pa.RecordBatch.from_arrays(
+            [class_lm.pa.array([r[0] for r in some], class_lm.pa.binary()), *(class_lm.pa.array([r[c] for r in some], class_lm.pa.int32()) for c in (1, 2))],
+            names=["word", "l", "r"],
+        )
+        for some in (rows[:2], rows[2:5], rows[5:9], rows[9:])
+    ]
+    got, seen = Counter(), []
+    for found, keys, sums in class_lm._rare_sums(iter(parts), 10):
+        seen += found.to_pylist()
+        for k, n in zip(keys.tolist(), sums.tolist(), strict=True):
+            got[found[k // 10].as_py(), k % 10] += n
+    assert seen == [b"a", b"b", b"c"]
+    assert got == Counter((w, c) for w, l, r in rows for c in (l, r))
