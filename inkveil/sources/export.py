@@ -2,13 +2,15 @@
 
 Tasks write below a draft folder.  Only when all of them are done, the files of
 each run are moved to their place as one folder and the run's manifest after
-them; a job that fails leaves nothing.  A run that is exported again replaces
+them; a job that fails leaves nothing, as tasks that still run then find no
+draft folder to write to.  A run that is exported again replaces
 its files.  Who reads goes by the manifest: a run without one is not there.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from inkveil.plans.layout import with_small_batches
-from inkveil.sources.files import scan_text_files
+from inkveil.plans.layout import dealt, with_small_batches
+from inkveil.sources.files import TEXT_SUFFIXES, decode_text
 
 MANIFEST = "run_id string, output string, size bigint"
 
@@ -44,6 +46,13 @@ class RunFilesWriter(DataSourceArrowWriter):
         store, base = fs.FileSystem.from_uri(self.folder)
         return store, base, f"{base}/_drafts/{self.job}"
 
+    def begin(self) -> RunFilesWriter:
+        """The draft folder is made once, before the tasks, and by none of them."""
+        store, _, draft = self._store()
+        for kind in ("files", "manifest"):
+            store.create_dir(f"{draft}/{kind}", recursive=True)
+        return self
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, _, draft = self._store()
         listed: dict[str, list[dict]] = {}
@@ -52,7 +61,7 @@ class RunFilesWriter(DataSourceArrowWriter):
                 if any(p is None or p in ("", ".", "..") or "/" in p for p in (run, output)):
                     raise ValueError(f"Unsafe output path {[run, output]}")
                 if run not in listed:
-                    store.create_dir(f"{draft}/files/{run}", recursive=True)
+                    store.create_dir(f"{draft}/files/{run}", recursive=False)  # fails once the job is aborted
                     listed[run] = []
                 raw = (markdown or "").encode()
                 with store.open_output_stream(f"{draft}/files/{run}/{output}") as stream:
@@ -60,7 +69,7 @@ class RunFilesWriter(DataSourceArrowWriter):
                 listed[run].append({"run_id": run, "output": output, "size": len(raw)})
         part = TaskContext.get().partitionId()
         for run, lines in listed.items():
-            store.create_dir(f"{draft}/manifest/{run}", recursive=True)
+            store.create_dir(f"{draft}/manifest/{run}", recursive=False)
             with store.open_output_stream(f"{draft}/manifest/{run}/{part}.json") as stream:
                 stream.write("".join(json.dumps(line) + "\n" for line in lines).encode())
         return Written(list(listed))
@@ -83,8 +92,15 @@ class RunFilesWriter(DataSourceArrowWriter):
 
     @staticmethod
     def _clear(store: fs.FileSystem, draft: str) -> None:
-        if store.get_file_info(draft).type == fs.FileType.Directory:
-            store.delete_dir(draft)
+        for pause in (0.1, 0.3, 1.0, 3.0, None):
+            try:
+                if store.get_file_info(draft).type == fs.FileType.Directory:
+                    store.delete_dir(draft)
+                return
+            except OSError:  # a task that is being ended wrote in between
+                if pause is None:
+                    raise
+                time.sleep(pause)
 
 
 class RunFiles(DataSource):
@@ -95,7 +111,7 @@ class RunFiles(DataSource):
         return "run_files"
 
     def writer(self, schema: StructType, overwrite: bool) -> RunFilesWriter:
-        return RunFilesWriter(self.options["path"])
+        return RunFilesWriter(self.options["path"]).begin()
 
 
 def export_runs(outputs: DataFrame, folder: str) -> None:
@@ -121,13 +137,47 @@ def exported_bundle(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
     return exported(spark, folder).filter(F.col("run_id") == F.lit(run_id)).select("output", "size").orderBy("output")
 
 
+_TEXTS = pa.schema([("run_id", pa.string()), ("output", pa.string()), ("content", pa.binary())])
+MOST_BYTES = 8 << 20
+
+
 def exported_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """``(run_id, output, text)`` of the files that the manifests list.
+    """``(run_id, output, text)`` of the text and Markdown files that the manifests list.
 
-    Spark does not read empty files, so theirs is known from the manifest; a
-    listed file that is gone has a NULL text.
+    The lines of the manifests are dealt to the tasks, which open the files one
+    by one: no folder is listed, and a task holds the files of a few megabytes.
+    A listed file that is gone, or of another kind, has a NULL text.
     """
-    run_id = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
-    found = scan_text_files(spark, f"{folder}/files").select(run_id.alias("run_id"), F.col("name").alias("output"), "text")
-    text = F.when(F.col("size") == 0, "").otherwise(F.col("text"))
-    return exported(spark, folder).join(found, ["run_id", "output"], "left").select("run_id", "output", text.alias("text"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+
+        def content(run_id: str, output: str, size: int) -> bytes | None:
+            if size == 0:
+                return b""
+            if not output.lower().endswith(TEXT_SUFFIXES):
+                return None
+            try:
+                with store.open_input_stream(f"{base}/files/{run_id}/{output}", compression=None) as stream:
+                    return stream.read()
+            except FileNotFoundError:
+                return None
+
+        for part in parts:
+            rows, held = [], 0
+            for run_id, output, size in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                rows.append((run_id, output, content(run_id, output, size)))
+                held += len(rows[-1][2] or b"")
+                if held > MOST_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TEXTS, strict=True)], schema=_TEXTS)
+
+    listed = with_small_batches(dealt(exported(spark, folder), "run_id", "output"))
+    found = listed.mapInArrow(run, "run_id string, output string, content binary")
+    return found.select("run_id", "output", decode_text(F.col("content")).alias("text"))

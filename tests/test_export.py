@@ -1,7 +1,8 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.sources.export import export_runs, exported, exported_bundle, exported_texts
+from inkveil.sources.export import RunFiles, export_runs, exported, exported_bundle, exported_texts
 
 
 def outputs(spark, tag="", runs=("a", "b c", "ä%2F")):
@@ -50,3 +51,26 @@ def test_a_job_that_fails_midway_leaves_no_file(spark, tmp_path):
 def test_nothing_to_export(spark, tmp_path):
     export_runs(outputs(spark).limit(0), f"file://{tmp_path}/out")
     assert not (tmp_path / "out").exists() or files_below(tmp_path / "out") == []
+
+
+def test_texts_are_read_by_the_manifest_alone(spark, tmp_path):
+    """No folder of files is listed: what is read are manifests; names that a listing hides or escapes are found."""
+    folder = f"file://{tmp_path}/out"
+    rows = [("ä%2F", "a b.md", "x\r\ny"), ("r", "_hidden.MD", "h"), ("r", "gone.md", "g"), ("r", "kept.bin", "b"), ("r", "empty.bin", "")]
+    export_runs(spark.createDataFrame(rows, "run_id string, output string, markdown string"), folder)
+    (tmp_path / "out/files/r/gone.md").unlink()
+    (tmp_path / "out/files/r/unlisted.md").write_text("u")
+    done = exported_texts(spark, folder)
+    assert {(r.run_id, r.output): r.text for r in done.collect()} == {
+        ("ä%2F", "a b.md"): "x\ny", ("r", "_hidden.MD"): "h", ("r", "gone.md"): None, ("r", "kept.bin"): None, ("r", "empty.bin"): "",
+    }
+    assert done.inputFiles() and all("/out/manifest/" in f for f in done.inputFiles())
+
+
+def test_a_task_that_outlives_the_job_writes_nothing(tmp_path):
+    writer = RunFiles({"path": f"file://{tmp_path}/out"}).writer(None, False)
+    writer.abort([])
+    batch = pa.RecordBatch.from_pydict({"run_id": ["r"], "output": ["a.md"], "markdown": ["text"]})
+    with pytest.raises(OSError):
+        writer.write(iter([batch]))
+    assert files_below(tmp_path) == []
