@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import WORD, small_batches, stored
+from inkveil.llm.common import WORD, partitions, small_batches, stored
 from inkveil.plans.scratch import Staging
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ class LineRules:
     around: int = 24
     over_break: int = 3
     filter_bits: int = 26
-    at_once: int = 1 << 21
+    at_once: int = 1 << 18
 
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -112,12 +112,10 @@ def picked(hashes: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
     return _sliding(np.maximum, np.pad(least, reach - 1), reach) == pairs
 
 
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
 # A value for each byte, far from those of its neighbours.
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_FACTOR))
 LONG_WORD = 4096
-_AT_A_TIME = 1 << 20
+_AT_A_TIME = 1 << 15  # what is summed stays near the processor
 
 
 def word_hashes(signs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -135,7 +133,7 @@ def word_hashes(signs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
             first, last = starts[low], ends[some - 1]
             up, down = _POWERS.upto(int(last - first) + 1)
             sums = np.zeros(last - first + 1, dtype=np.uint64)
-            np.cumsum(BYTE_VALUES[signs[first:last]] * up[: last - first], out=sums[1:])
+            np.cumsum(BYTE_VALUES.take(signs[first:last], mode="clip") * up[: last - first], out=sums[1:])
             a, b = starts[low:some] - first, ends[low:some] - first
             out[low:some] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
             low = some
@@ -173,7 +171,7 @@ def shape(texts: Sequence[bytes], rules: LineRules) -> Shape:
     """The lines and windows of several texts, one after another."""
     signs = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     blank = np.ones(len(signs) + 2, dtype=bool)
-    blank[1:-1] = _SPACES[signs]
+    blank[1:-1] = (signs == 32) | (signs - np.uint8(9) < 5)
     starts = np.flatnonzero(blank[:-2] & ~blank[1:-1])
     stops = np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
     n = len(starts)
@@ -206,7 +204,7 @@ def _groups(columns: list[list], rules: LineRules) -> Iterator[tuple[list, list[
     """Rows (text last) as groups of at most ``at_once`` bytes or one row, with their texts as bytes."""
     rows, texts, size = [], [], 0
     for row in zip(*columns, strict=True):
-        raw = row[-1].encode("utf-8", "replace")
+        raw = row[-1] if isinstance(row[-1], bytes) else row[-1].encode("utf-8", "replace")
         if rows and size + len(raw) > rules.at_once:
             yield rows, texts
             rows, texts, size = [], [], 0
@@ -227,17 +225,28 @@ def without_words(raw: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
     return b"".join(parts) + raw[end:]
 
 
-def _alike(own: np.ndarray, first: list[int], room: int, rules: LineRules) -> int:
-    """How many words next to a window are those at the first occurrence, by the hashes of the first k."""
-    n = min(len(own), len(first))
-    differ = np.flatnonzero(own[:n] != np.array(first[:n], dtype=np.int32))
-    equal = int(differ[0]) if len(differ) else n
-    return min(equal, room) if equal < room + rules.over_break else equal
+MOST_EDGES = 5000
 
 
-def cut_texts(
-    texts: Sequence[bytes], ats: Sequence[list[int]], more: Sequence[list[dict]], rules: LineRules
-) -> Iterator[tuple[bytes, int]]:
+def _alike(own: Shape, at: np.ndarray, limit: np.ndarray, way: int, first: pa.Array, room: np.ndarray, rules: LineRules) -> np.ndarray:
+    """How many words next to each window are those at its first occurrence, by the hashes of the first k.
+
+    ``first`` has a list of these hashes for each place ``at``, ``limit`` is
+    where its text ends, ``room`` how many words its physical line has there.
+    """
+    size = np.asarray(first.value_lengths())
+    far = np.arange(1, rules.around + 1)
+    there = np.zeros((len(at), rules.around), dtype=np.int32)
+    there[far <= size[:, None]] = first.flatten().to_numpy()
+    near = at[:, None]
+    ends = np.where(far <= np.minimum(size, way * (limit - at))[:, None], near + way * far, near)
+    here = own.stretch(near, ends) if way > 0 else own.stretch(ends, near)
+    same = (ends != near) & (here.astype(np.int32) == there)
+    equal = np.where(same.all(1), rules.around, same.argmin(1))
+    return np.where(equal < room + rules.over_break, np.minimum(equal, room), equal)
+
+
+def cut_texts(texts: Sequence[bytes], ats: pa.Array, more: pa.Array, rules: LineRules) -> Iterator[tuple[bytes, int]]:
     """Each text without its later windows, and the number of lines that lose words.
 
     ``ats`` are the lines that begin these windows; ``more`` has, for windows
@@ -248,23 +257,20 @@ def cut_texts(
     first = np.searchsorted(own.text, np.arange(len(texts) + 1))
     n = len(own.sums) - 1
     words = np.concatenate([own.begins, [n]])[first]
-    lines = np.concatenate([np.array(a, dtype=np.int64) + first[i] for i, a in enumerate(ats)])
+    lines = ats.flatten().to_numpy() + np.repeat(first[:-1], np.asarray(ats.value_lengths()))
     change = np.bincount(own.begins[lines], minlength=n + 1) - np.bincount(own.window_ends[lines], minlength=n + 1)
+    owner = np.repeat(np.arange(len(texts)), np.asarray(more.value_lengths().fill_null(0)))
+    places = dict(zip(("at", "before", "behind"), more.flatten().flatten()))
+    line = first[owner] + places["at"].to_numpy()
+    for name, way, at, limit in (("before", -1, own.begins, words[:-1]), ("behind", 1, own.window_ends, words[1:])):
+        compared = np.flatnonzero(np.asarray(places[name].is_valid()))
+        for i in range(0, len(compared), MOST_EDGES):
+            some = compared[i : i + MOST_EDGES]
+            here, there = at[line[some]], places[name].take(pa.array(some))
+            room = own.room[0 if way < 0 else 1][line[some]]
+            far = here + way * _alike(own, here, limit[owner[some]], way, there, room, rules)
+            change += np.bincount(np.minimum(here, far), minlength=n + 1) - np.bincount(np.maximum(here, far), minlength=n + 1)
     gone = np.cumsum(change)[:n] > 0
-    far = np.arange(1, rules.around + 1)
-    for i, edges in enumerate(more):
-        for edge in edges or ():
-            line = first[i] + edge["at"]
-            if edge["before"]:
-                at = int(own.begins[line])
-                back = at - far[: at - words[i]]
-                same = own.stretch(back, np.full(len(back), at)).astype(np.int32)
-                gone[at - _alike(same, edge["before"], int(own.room[0][line]), rules) : at] = True
-            if edge["behind"]:
-                at = int(own.window_ends[line])
-                ahead = at + far[: words[i + 1] - at]
-                same = own.stretch(np.full(len(ahead), at), ahead).astype(np.int32)
-                gone[at : at + _alike(same, edge["behind"], int(own.room[1][line]), rules)] = True
     touched = np.add.reduceat(gone, own.begins) > 0 if len(own.begins) else np.zeros(0, dtype=bool)
     for i, raw in enumerate(texts):
         some = slice(words[i], words[i + 1])
@@ -273,9 +279,24 @@ def cut_texts(
 
 _LINES = pa.schema(
     [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("rest", pa.bool_())]
-    + [("windows", pa.list_(pa.int64()))]
+    + [("windows", pa.binary())]
 )
-_LINES_DDL = "doc_id bigint, h bigint, n bigint, rest boolean, windows array<bigint>"
+_LINES_DDL = "doc_id bigint, h bigint, n bigint, rest boolean, windows binary"
+
+
+def _packed(offsets: np.ndarray, hashes: np.ndarray) -> pa.Array:
+    """A binary value of 8 bytes a hash for each range that ``offsets`` cut."""
+    buffers = [None, pa.py_buffer((8 * offsets).astype("<i4").tobytes()), pa.py_buffer(hashes.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes each value has, and the hashes of all."""
+    _, offsets, data = packed.buffers()
+    if not len(packed) or data is None:
+        return np.zeros(len(packed), dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    at = np.frombuffer(offsets, dtype="<i4")[packed.offset : packed.offset + len(packed) + 1]
+    return np.diff(at) // 8, np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(np.uint64)
 
 
 def _lines(keyed: DataFrame, rules: LineRules) -> DataFrame:
@@ -287,10 +308,8 @@ def _lines(keyed: DataFrame, rules: LineRules) -> DataFrame:
                 own = shape(texts, rules)
                 n = np.bincount(own.text, minlength=len(rows))
                 sizes = np.bincount(own.text[own.whole], minlength=len(rows))
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                windows = pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(own.windows[own.whole].view(np.int64))
-                )
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                windows = _packed(offsets, own.windows[own.whole])
                 rest = np.zeros(len(rows), dtype=bool)
                 some = np.flatnonzero(sizes)
                 first = np.cumsum(n) - n
@@ -321,6 +340,79 @@ def _shared_map(hashes: DataFrame, rules: LineRules) -> Broadcast:
     return hashes.sparkSession.sparkContext.broadcast(_bit_map(hashes, rules.filter_bits))
 
 
+_PART_BITS = 14  # of a map: what one row has
+_HELD = 1 << 20
+
+
+def _repeated_map(lines: DataFrame, rules: LineRules) -> Broadcast:
+    """A bit for the low part of every window's hash that occurs twice or more.
+
+    A part of the map is a group of hashes; a task packs its hashes of a part
+    into one value, none more than twice, and another one finds the repeated
+    ones of one part at a time.  The parts come to the driver: the map.
+    """
+    spark, bits = lines.sparkSession, rules.filter_bits
+    part_bits = min(bits, _PART_BITS)
+    low = np.uint64((1 << bits) - 1)
+
+    def parts_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+
+        def given():
+            hashes = np.sort(np.concatenate(kept))
+            third = np.zeros(len(hashes), dtype=bool)
+            third[2:] = hashes[2:] == hashes[:-2]
+            hashes = hashes[~third]
+            part = ((hashes & low) >> np.uint64(part_bits)).astype(np.uint32)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            packed = _packed(np.append(starts, len(part)), hashes[order])
+            return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), packed], names=["part", "hashes"])
+
+        for batch in parts:
+            _, hashes = _unpacked(batch.column(0))
+            for i in range(0, len(hashes), _HELD):
+                kept.append(hashes[i : i + _HELD].copy())
+                held += len(kept[-1])
+                if held >= _HELD:
+                    yield given()
+                    kept, held = [], 0
+        if held:
+            yield given()
+        pa.default_memory_pool().release_unused()
+
+    def repeated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(part, kept):
+            hashes = np.sort(np.concatenate(kept))
+            own = np.unique((hashes[1:][hashes[1:] == hashes[:-1]]) & np.uint64((1 << part_bits) - 1))
+            words = np.zeros(max(1, 1 << (part_bits - 6)), dtype=np.uint64)
+            np.bitwise_or.at(words, (own >> np.uint64(6)).astype(np.int64), np.uint64(1) << (own & np.uint64(63)))
+            columns = [pa.array([part], pa.int32()), pa.array([words.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "bits"])
+
+        at, kept = None, []
+        for batch in parts:
+            sizes, hashes = _unpacked(batch.column(1))
+            own, ends = batch.column(0).to_numpy(), np.cumsum(sizes)
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            for i, j in zip(starts, np.append(starts[1:], len(own))):
+                if kept and own[i] != at:
+                    yield given(at, kept)
+                    kept = []
+                at = own[i]
+                kept.append(hashes[ends[i] - sizes[i] : ends[j - 1]].copy())
+        if kept:
+            yield given(at, kept)
+
+    dealt = lines.select("windows").mapInArrow(parts_of, "part int, hashes binary").repartition(partitions(spark), "part")
+    found = dealt.sortWithinPartitions("part").mapInArrow(repeated, "part int, bits binary").toArrow()
+    out = np.zeros((1 << (bits - part_bits), max(1, 1 << (part_bits - 6))), dtype=np.uint64)
+    for part, words in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[part] = np.frombuffer(words, dtype=np.uint64)
+    return spark.sparkContext.broadcast(out.ravel())
+
+
 def _set_in(bits: np.ndarray, hashes: np.ndarray, rules: LineRules) -> np.ndarray:
     low = hashes & np.uint64((1 << rules.filter_bits) - 1)
     return (bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) == 1
@@ -338,20 +430,18 @@ def _passing(lines: DataFrame, shared: Broadcast, rules: LineRules) -> DataFrame
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for part in parts:
-            lists = part.column("windows")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(lists.offsets.to_numpy())
+            sizes, flat = _unpacked(part.column("windows"))
             row = np.repeat(np.arange(len(sizes)), sizes)
             first = np.cumsum(sizes) - sizes
             at = np.arange(len(flat)) - np.repeat(first, sizes)
             last = np.zeros(len(flat), dtype=bool)
             rest = part.column("rest").to_numpy(zero_copy_only=False)
             last[(first + sizes - 1)[(sizes > 0) & ~rest]] = True
-            hit = _set_in(bits, flat.view(np.uint64), rules)
+            hit = _set_in(bits, flat, rules)
             rows = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(rows), part.column("h").take(rows), pa.array(at[hit].astype(np.int32)),
-                 pa.array(flat[hit]), pa.array(last[hit])], schema=_PLACED,
+                 pa.array(flat[hit].view(np.int64)), pa.array(last[hit])], schema=_PLACED,
             )
 
     return lines.select("doc_id", "h", "rest", "windows").mapInArrow(run, _PLACED_DDL)
@@ -412,7 +502,7 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
     ``h`` is the hash of the text: rows alike in doc_id and text are one
     document.  ``ats`` are the lines that begin a later window, ``more`` the
     hashes of words that stand at the first occurrence of some of them.
-    Windows are counted by their hash alone, summed per task before; a bit map
+    Windows are counted by their hash alone, packed per task before; a bit map
     of the repeated ones then lets nearly all others be left out where they
     are, and only what passes it is compared by place.  Where repeats fill the
     map more passes, with the same result.  Of the texts with first occurrences
@@ -424,31 +514,127 @@ def repeated_windows(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[D
     )
     staging = Staging(docs.sparkSession)  # what nothing reads any more once the places are known
     lines = staging.store(_lines(keyed, rules), "lines")
-    counted = lines.select(F.explode("windows").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
-    windows = staging.store(_passing(lines, _shared_map(counted.filter("n > 1"), rules), rules), "windows")
+    windows = staging.store(_passing(lines, _repeated_map(lines, rules), rules), "windows")
     place = F.struct("doc_id", "h", "at")
     firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # Stored, as a join of two plain shuffles can be split where a hash is hot.
-    firsts = staging.store(firsts.drop("n"), "windows")
-    later = windows.join(firsts, "hash").filter(place > F.col("first"))
-    gone = later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("at", "last", "first"))).alias("gone"))
-    gone, sizes = stored(gone, "gone"), stored(lines.select("doc_id", "h", "n"), "sizes")
+    of_first = {"first_doc": "first.doc_id", "first_h": "first.h", "first_at": "first.at"}
+    firsts = staging.store(firsts.select("hash", *[F.col(c).alias(n) for n, c in of_first.items()]), "windows")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("h") == F.col("first_h")) & (F.col("at") == F.col("first_at"))
+    later = windows.join(firsts, "hash").filter(~is_first).select("doc_id", "h", "at", "last", *of_first)
+    gone, sizes = stored(_by_text(later), "gone"), stored(lines.select("doc_id", "h", "n"), "sizes")
     staging.clear()
     more = _beyond(keyed, gone, rules).groupBy(F.struct("doc_id", "h").alias("key"))
     more = more.agg(F.collect_list(F.struct("at", "before", "behind")).alias("more"))
-    ats = gone.select(F.struct("doc_id", "h").alias("key"), F.transform("gone", lambda g: g["at"]).alias("ats"))
+    ats = gone.select(F.struct("doc_id", "h").alias("key"), "ats")
     return sizes, ats.join(more, "key", "left").select("key.*", "ats", "more")
 
 
+_LATER = np.dtype(
+    [("none", "?"), ("doc", "<i8"), ("h", "<i8"), ("at", "<i4"), ("last", "?")]
+    + [("first_none", "?"), ("first_doc", "<i8"), ("first_h", "<i8"), ("first_at", "<i4")]
+)
+_GONE_DDL = (
+    "doc_id bigint, h bigint, ats array<int>, "
+    "edges array<struct<at: int, first_doc: bigint, first_h: bigint, first_at: int, begins: boolean, ends: boolean>>"
+)
+_TEXT_PARTS = 12  # a logarithm
+_HELD_ROWS = 1 << 19
+
+
+def _by_text(later: DataFrame) -> DataFrame:
+    """``(doc_id, h, ats, edges)``: the lines that begin a later window, and those where a stretch begins or ends.
+
+    Texts are dealt to parts by the hash of their key.  A task packs what it
+    has of a part into one value, a window once; another one gathers the
+    windows of the texts of one part at a time.
+    """
+
+    def changes(*columns: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(columns[0]), dtype=bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return new
+
+    def in_order(cells: np.ndarray) -> np.ndarray:
+        """The windows by text and line, each once."""
+        cells = cells[np.lexsort([cells[c] for c in ("at", "h", "doc", "none")])]
+        return cells[changes(*(cells[c] for c in ("none", "doc", "h", "at")))]
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+
+        def given():
+            table = pa.Table.from_batches(kept)
+            cells = np.zeros(len(table), dtype=_LATER)
+            for name in ("h", "at", "last", "first_h", "first_at"):
+                cells[name] = table[name].to_numpy()
+            for name, none, column in (("doc", "none", "doc_id"), ("first_doc", "first_none", "first_doc")):
+                cells[none] = np.asarray(table[column].is_null())
+                cells[name] = table[column].fill_null(0).to_numpy()
+            cells = in_order(cells)
+            part = mixed(cells["h"].view(np.uint64) ^ mixed(cells["doc"].view(np.uint64))) >> np.uint64(64 - _TEXT_PARTS)
+            part = part.astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            part, cells = part[order], cells[order]
+            starts = np.flatnonzero(changes(part))
+            offsets = (_LATER.itemsize * np.append(starts, len(cells))).astype("<i4")
+            values = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cells.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), values], names=["part", "cells"])
+
+        for batch in parts:
+            kept.append(batch)
+            held += len(batch)
+            if held >= _HELD_ROWS:
+                yield given()
+                kept, held = [], 0
+        if held:
+            yield given()
+        pa.default_memory_pool().release_unused()
+
+    def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(kept: list[bytes]) -> Iterator[pa.RecordBatch]:
+            cells = in_order(np.frombuffer(b"".join(kept), dtype=_LATER))
+            new = changes(*(cells[c] for c in ("none", "doc", "h")))
+            text, at = np.cumsum(new) - 1, cells["at"]
+            follows = ~new[1:] & (at[1:] == at[:-1] + 1)
+            begins, ends = at > 0, ~cells["last"]
+            begins[1:] &= ~follows
+            ends[:-1] &= ~follows
+            edge = begins | ends
+            own, of = cells[edge], np.arange(int(new.sum()) + 1)
+            columns = [pa.array(own["at"]), pa.array(own["first_doc"], mask=own["first_none"]), pa.array(own["first_h"]), pa.array(own["first_at"])]
+            names = ["at", "first_doc", "first_h", "first_at", "begins", "ends"]
+            edges = pa.StructArray.from_arrays([*columns, pa.array(begins[edge]), pa.array(ends[edge])], names=names)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(texts, of).astype(np.int32)), values)
+                for texts, values in ((text, pa.array(at)), (text[edge], edges))
+            ]
+            keys = [pa.array(cells["doc"][new], mask=cells["none"][new]), pa.array(cells["h"][new])]
+            whole = pa.RecordBatch.from_arrays([*keys, *lists], names=["doc_id", "h", "ats", "edges"])
+            yield from (whole.slice(i, 5000) for i in range(0, len(whole), 5000))
+
+        at, kept = None, []
+        for batch in parts:
+            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if kept and part != at:
+                    yield from given(kept)
+                    kept = []
+                at = part
+                kept.append(cells)
+        if kept:
+            yield from given(kept)
+
+    dealt = later.mapInArrow(packed, "part int, cells binary").repartition(partitions(later.sparkSession), "part")
+    return dealt.sortWithinPartitions("part").mapInArrow(gathered, _GONE_DDL)
+
+
 def _beyond(keyed: DataFrame, gone: DataFrame, rules: LineRules) -> DataFrame:
     """``(doc_id, h, at, before, behind)``: where a stretch begins or ends, the words next to the first occurrence."""
 
-    def edge(g, i):
-        begins = (g["at"] > 0) & ~F.coalesce(F.get("gone", i - 1)["at"] == g["at"] - 1, F.lit(False))
-        ends = ~g["last"] & ~F.coalesce(F.get("gone", i + 1)["at"] == g["at"] + 1, F.lit(False))
-        return F.struct(g["at"].alias("at"), g["first"].alias("first"), begins.alias("begins"), ends.alias("ends"))
-
-    edges = gone.select("doc_id", "h", F.inline(F.filter(F.transform("gone", edge), lambda e: e["begins"] | e["ends"])))
+    first = F.struct(F.col("first_doc").alias("doc_id"), F.col("first_h").alias("h"), F.col("first_at").alias("at"))
+    edges = gone.select("doc_id", "h", F.inline("edges")).select("doc_id", "h", "at", first.alias("first"), "begins", "ends")
     edges = stored(edges, "edges")
     places = stored(edges.select("first").distinct().select("first.*"), "edges")
     key = F.xxhash64("doc_id", "h")
@@ -485,14 +671,17 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     found = sizes.select(key, "n").join(gone.select(key, "ats", "more"), "key", "left")
 
     def apply(texts: pa.Array, ats: pa.Array, more: pa.Array) -> pa.Array:
-        rows = list(zip(texts.to_pylist(), ats.to_pylist(), more.to_pylist(), strict=True))
-        done: list[dict] = [{"text": None, "n": 0}] * len(rows)
-        hit = [(i, at, beyond, text) for i, (text, at, beyond) in enumerate(rows) if text is not None and at is not None]
-        for some, raw in _groups(list(zip(*hit, strict=True)), rules):
-            cuts = cut_texts(raw, [at for _, at, _ in some], [beyond for _, _, beyond in some], rules)
-            for (i, _, _), (left, n) in zip(some, cuts, strict=True):
-                done[i] = {"text": left.decode(), "n": n}
-        return pa.array(done, type=pa.struct([("text", pa.string()), ("n", pa.int64())]))
+        left: list[bytes | None] = [None] * len(texts)
+        lost = np.zeros(len(texts), dtype=np.int64)
+        hit = np.flatnonzero(np.asarray(texts.is_valid()) & np.asarray(ats.is_valid()))
+        rows, done = pa.array(hit), 0
+        texts, ats, more = texts.take(rows), ats.take(rows), more.take(rows)
+        for some, raw in _groups([hit.tolist(), texts.cast(pa.binary()).to_pylist()], rules):
+            cuts = cut_texts(raw, ats.slice(done, len(raw)), more.slice(done, len(raw)), rules)
+            for (i,), (text, n) in zip(some, cuts, strict=True):
+                left[i], lost[i] = text, n
+            done += len(raw)
+        return pa.StructArray.from_arrays([pa.array(left, pa.binary()).cast(pa.string()), pa.array(lost)], names=["text", "n"])
 
     # Texts that stay are not sent to Python.  Both results come from one call:
     # an expression that counts as nondeterministic is not copied into each use.

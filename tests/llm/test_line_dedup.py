@@ -277,3 +277,33 @@ def test_short_lines_are_joined_into_windows(spark):
     for i, text in docs[1:]:
         lines = text.split("\n")
         assert got[i]["text"].split("\n") == lines[:5] + lines[17:] and got[i]["n_removed"] == 12
+
+
+def test_windows_are_counted_and_gathered_in_parts(spark, monkeypatch):
+    """Small parts of all that a task holds give the same texts, rows alike and NULL ids among them."""
+    from inkveil.llm import line_dedup
+
+    docs, _ = corpus()
+    docs += [docs[4], docs[8], docs[8], (None, docs[12][1]), (None, docs[12][1])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+
+    def found():
+        rows = dedup_lines(frame).collect()
+        return sorted(((r["doc_id"] or -1, r["text"], r["n_lines"], r["n_removed"]) for r in rows))
+
+    whole = found()
+    assert len(whole) == len(docs) and any(r[3] for r in whole)
+    for name, value in (("_HELD", 7), ("_HELD_ROWS", 3), ("_PART_BITS", 20), ("_AT_A_TIME", 50), ("MOST_EDGES", 2)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert found() == whole
+
+
+def test_repeated_windows_make_the_map(spark):
+    """Hashes that occur twice or more, in one row or in several, and no others."""
+    from inkveil.llm.line_dedup import _repeated_map
+
+    hashes = [[1, 1, 2, 70, 3 + (1 << 63)], [3, 2, 2, 2], [5], [70, 6, 1 << 14, (1 << 14) + 9]]
+    lines = spark.createDataFrame([(bytearray(np.array(h, dtype=np.uint64).tobytes()),) for h in hashes], "windows binary")
+    bits = _repeated_map(lines, LineRules(filter_bits=16)).value
+    set_bits = [64 * i + j for i, word in enumerate(bits.tolist()) for j in range(64) if word >> j & 1]
+    assert set_bits == [1, 2, 70]
