@@ -538,7 +538,7 @@ _GONE_DDL = (
     "doc_id bigint, h bigint, ats array<int>, "
     "edges array<struct<at: int, first_doc: bigint, first_h: bigint, first_at: int, begins: boolean, ends: boolean>>"
 )
-_TEXT_PARTS = 12  # a logarithm
+_TEXT_PARTS = 10  # a logarithm
 _HELD_ROWS = 1 << 19
 
 
